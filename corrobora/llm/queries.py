@@ -13,7 +13,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corrobora.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_ngram_jaccard)}
 
 ORACLES = {
     "op1_exact_dedup": """
@@ -21,4 +27,24 @@ ORACLES = {
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op6_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+            FROM w
+        ), e AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+        ), p AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+            GROUP BY ALL HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+        ), l AS (
+            SELECT x, y FROM p UNION ALL SELECT y, x FROM p
+        ), r(x, y) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y
+        )
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, (SELECT min(r.y) FROM r WHERE r.x = s.doc_id) AS component_id FROM s
+    """,
 }
