@@ -35,7 +35,13 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op5_token_files, op6_ngram_jaccard)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corrobora.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op5_token_files, op6_ngram_jaccard, op10_decontaminate)}
 
 ORACLES = {
     "op1_exact_dedup": """
