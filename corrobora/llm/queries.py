@@ -21,6 +21,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corrobora.llm.line_dedup import line_verdicts
+
+    return line_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,7 +47,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op5_token_files, op6_ngram_jaccard, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_ngram_jaccard, op10_decontaminate)}
 
 ORACLES = {
     "op1_exact_dedup": """
@@ -69,4 +75,30 @@ ORACLES = {
         )
         SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, (SELECT min(r.y) FROM r WHERE r.x = s.doc_id) AS component_id FROM s
     """,
+    "op4_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no
+            FROM documents
+        ), w AS (
+            SELECT doc_id, line_no, list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM l
+        ), d AS (
+            SELECT w, min({'doc_id': doc_id, 'line_no': line_no}) AS first FROM w WHERE len(w) > 0 GROUP BY w
+        ), v AS (
+            SELECT first, w AS rest, -1 AS p FROM d WHERE len(w) >= 8
+            UNION ALL
+            SELECT first, list_concat(w[:i - 1], w[i + 1:]) AS rest, i AS p
+            FROM (SELECT first, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) >= 8)
+        ), n AS (
+            SELECT x.first AS x, min(y.first) AS y FROM v x JOIN v y ON x.rest = y.rest AND (x.p = y.p OR x.p = -1 OR y.p = -1)
+            WHERE y.first < x.first GROUP BY x.first
+        ), k AS (
+            SELECT d.w, CASE WHEN n.y < d.first THEN n.y ELSE d.first END AS keep FROM d LEFT JOIN n ON n.x = d.first
+        )
+        SELECT w.doc_id, w.line_no::BIGINT AS line_no, len(w.w)::BIGINT AS n_words,
+               coalesce(k.keep.doc_id, w.doc_id) AS keep_doc, coalesce(k.keep.line_no, w.line_no)::BIGINT AS keep_line,
+               k.keep IS NULL OR (k.keep.doc_id = w.doc_id AND k.keep.line_no = w.line_no) AS kept
+        FROM w LEFT JOIN k ON k.w = w.w AND len(w.w) > 0
+    """,
 }
