@@ -41,13 +41,19 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corrobora.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corrobora.llm.decontaminate import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_ngram_jaccard, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_ngram_jaccard, op8_quality_cnn, op10_decontaminate)}
 
 ORACLES = {
     "op1_exact_dedup": """
