@@ -47,13 +47,19 @@ def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corrobora.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corrobora.llm.decontaminate import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_ngram_jaccard, op8_quality_cnn, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_ngram_jaccard, op8_quality_cnn, op9_html_text, op10_decontaminate)}
 
 ORACLES = {
     "op1_exact_dedup": """
