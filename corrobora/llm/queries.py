@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corrobora.llm import secrets
 from corrobora.llm.common import table
 
 
@@ -41,6 +42,12 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corrobora.llm.secrets import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corrobora.llm.quality import classify
 
@@ -59,7 +66,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_ngram_jaccard, op8_quality_cnn, op9_html_text, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_ngram_jaccard, op7_secret_scan, op8_quality_cnn, op9_html_text, op10_decontaminate)}
 
 ORACLES = {
     "op1_exact_dedup": """
@@ -113,4 +120,5 @@ ORACLES = {
                k.keep IS NULL OR (k.keep.doc_id = w.doc_id AND k.keep.line_no = w.line_no) AS kept
         FROM w LEFT JOIN k ON k.w = w.w AND len(w.w) > 0
     """,
+    "op7_secret_scan": secrets.oracle(),
 }
