@@ -32,9 +32,10 @@ BLOCK = 4 << 20
 KNOWN = 300_000
 NULL_ID = -(2**63)
 
-#: The tokenizer's splitting of lower-case Latin-1 text, and what keeps a text off that path.
-LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^ \t\n\r\f\va-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
-UNUSUAL = re.compile(r"[\x1c-\x1f\x85\xa0]|<\|")
+#: The tokenizer's splitting of lower-case Latin-1 text, and the bytes that keep a text off that path.
+LATIN = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:[stmd]|re|ve|ll)|[0-9²³¹¼½¾]|[^ \t\n\r\f\va-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+UNUSUAL = bytes([0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0])
+WORD_END = "</w>"
 
 
 @lru_cache(2)
@@ -45,6 +46,18 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class Words(dict):
+    """Words to numbers in order of first sight; the new ones are also in ``new``."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordEncoder:
     """Ids of texts as the tokenizers library gives them, with the ids of words remembered.
 
@@ -54,54 +67,65 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Words()
         self.flat, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def learn(self, words: list[str]) -> None:
-        ids = self.whole(words)
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.flat = np.concatenate([self.flat, *ids])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids])])
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self) -> None:
+        """Encodes the new words as one text; each word's last token carries the mark of a word's end."""
+        words, self.known.new = self.known.new, []
+        ids = self.whole([" ".join(words)])[0]
+        lengths = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(lengths) != len(words) or lengths.sum() != len(ids):
+            each = self.whole(words)
+            ids, lengths = np.concatenate(each), np.array([len(x) for x in each])
+        self.flat = np.concatenate([self.flat, ids])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         words: list[str] = []
         plain, counts, other = [], [], []
         for i, text in enumerate(texts):
-            if text.isascii() or _latin(text):
-                if UNUSUAL.search(text) is None:
-                    found = LATIN.findall(text.lower())
-                    words += found
-                    plain.append(i)
-                    counts.append(len(found))
-                    continue
-            other.append(i)
+            if plain_latin(text):
+                found = LATIN.findall(text.lower())
+                words += found
+                plain.append(i)
+                counts.append(len(found))
+            else:
+                other.append(i)
         if other:
             for i, ids in zip(other, self.whole([texts[i] for i in other]), strict=True):
                 out[i] = ids
         if len(self.known) > KNOWN:
             self.forget()
-        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
-            self.learn(new)
         codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        edges = ragged.offsets(np.array(counts, np.int64))
+        if self.known.new:
+            self.learn()
+        flat, lengths = ragged.gather(self.flat, self.at, codes)
+        edges = ragged.offsets(lengths)[ragged.offsets(np.array(counts, np.int64))]
         for i, a, b in zip(plain, edges[:-1], edges[1:], strict=True):
-            out[i] = ragged.gather(self.flat, self.at, codes[a:b])[0]
+            out[i] = flat[a:b]
         return out
 
 
-def _latin(text: str) -> bool:
+def plain_latin(text: str) -> bool:
+    """Latin-1 only, without characters that the library treats in ways of its own, and without its markers."""
+    if "<|" in text:
+        return False
     try:
-        text.encode("latin-1")
+        raw = text.encode("latin-1")
     except UnicodeEncodeError:
         return False
-    return True
+    return len(raw.translate(None, UNUSUAL)) == len(raw)
 
 
 def _open(uri: str):
