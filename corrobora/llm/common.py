@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MADE: list[str] = []
+#: A table of row keys with at most this many rows is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,3 +69,14 @@ def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:
 
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def without(docs: DataFrame, keys: DataFrame, *on: Column) -> DataFrame:
+    """The rows of ``docs`` whose expressions ``on`` equal no row of ``keys``, column by column; null equals null."""
+    keys = written(keys.toDF(*(f"__{i}" for i in range(len(on)))).distinct())
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & c.eqNullSafe(F.col(f"__{i}"))
+    return docs.join(keys, same, "left_anti")

@@ -6,8 +6,8 @@ of its variants within that bound: itself and itself without its i-th word. Line
 the same position, or of which one equals the other without a word, are alike, so the earliest line of each
 such key is a witness for all others and no key needs its pairs spelled out. Witnesses are verified on words.
 
-One edit leaves the first or the last four words as they are. Only lines that share either with another
-distinct line emit variants; the rest can have no neighbour.
+One edit leaves the first or the last four words as they are, and indeed one half of the line. Only lines
+that share an end, and then a half, with another distinct line emit variants; the rest have no neighbour.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.common import text_or_empty, written
+from corrobora.llm.common import BROADCAST_ROWS, text_or_empty, written
 from corrobora.llm.wordhash import blocks, grams, mix, word_hashes
 
 U = np.uint64
@@ -27,8 +27,6 @@ BLOCK = 4 << 20
 ANCHOR = 4
 FIRST, SECOND = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 NULL_ID = -(2**63)
-#: A table of identifiers with at most this many rows is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
 
 
 class Lines:
@@ -49,11 +47,26 @@ class Lines:
         a, b = self.at[:-1], self.at[1:]
         return mix((total[b] - total[a]) * down[a]).view(np.int64)
 
-    def without_each(self, wanted: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each wanted line and each word position: the line, the position and the key without that word."""
+    def halves(self) -> np.ndarray:
+        """Six keys per line: its first and second half as one of two lines of n words, of n and n + 1, and of
+        n - 1 and n. Lines within one edit agree in a half of the pair's lengths, split by the shorter line."""
+        total, down = self._sums(SECOND)
+        a, b = self.at[:-1], self.at[1:]
+        n = b - a
+        out = []
+        for shorter, kind in ((n, 0), (n, 1), (np.maximum(n - 1, 0), 1)):
+            first = shorter // 2
+            second = shorter - first
+            tag = mix((2 * shorter + kind).astype(U))
+            out.append(mix((total[a + first] - total[a]) * down[a] ^ tag))
+            out.append(mix((total[b] - total[b - second]) * down[b - second] ^ ~tag))
+        return np.stack(out, 1).view(np.int64)
+
+    def without_each(self, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each line and each word position: the line, the position and the key without that word."""
         total, down = self._sums(base)
-        a, b = self.at[:-1][wanted], self.at[1:][wanted]
-        line = np.repeat(np.arange(len(wanted)), b - a)
+        a, b = self.at[:-1], self.at[1:]
+        line = np.repeat(np.arange(len(a)), b - a)
         position = np.arange(len(line)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
         i, start, end = a[line] + position, a[line], b[line]
         rest = (total[i] - total[start]) + (total[end] - total[i + 1]) * down[1]
@@ -87,23 +100,30 @@ def _lines(min_words: int):
     return run
 
 
-VARIANT = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("position", pa.int32()), ("key", pa.int64()), ("line", pa.binary())])
+WANTED = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("line", pa.binary()), ("halves", pa.list_(pa.int64()))])
+VARIANT = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("position", pa.int32()), ("key", pa.int64())])
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of the wanted lines of each document; position -1 is the line itself and carries its bytes."""
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted lines of each document, with the keys of their halves."""
     for batch in batches:
         ids, texts, wanted = (batch.column(k).to_pylist() for k in range(3))
-        size = np.array([len(t) for t in texts])
-        for a, b in blocks(size, BLOCK):
-            own = [(doc_id, no, lines[no]) for doc_id, lines, nos in ((ids[i], texts[i].split(b"\n"), wanted[i]) for i in range(a, b)) for no in nos]
-            doc_ids = np.array([x[0] for x in own], np.int64)
-            nos = np.array([x[1] for x in own], np.int32)
-            held = Lines([x[2] for x in own])
-            whole = held.keys(FIRST)
-            yield pa.record_batch([pa.array(doc_ids), pa.array(nos), pa.array(np.full(len(own), -1, np.int32)), pa.array(whole), pa.array([x[2] for x in own], pa.binary())], schema=VARIANT)
-            line, position, key = held.without_each(np.arange(len(own)), FIRST)
-            yield pa.record_batch([pa.array(doc_ids[line]), pa.array(nos[line]), pa.array(position.astype(np.int32)), pa.array(key), pa.nulls(len(key), pa.binary())], schema=VARIANT)
+        for a, b in blocks(np.array([len(t) for t in texts]), BLOCK):
+            own = [(doc_id, no, lines[no]) for doc_id, lines, nos in ((ids[i], texts[i].split(b"\n"), wanted[i]) for i in range(a, b)) for no in nos if no < len(lines)]
+            if own:
+                doc_ids, nos, lines = zip(*own, strict=True)
+                yield pa.record_batch([doc_ids, nos, lines, list(Lines(list(lines)).halves())], schema=WANTED)
+
+
+def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of each line without each of its words in turn, and of the line itself at position -1."""
+    for batch in batches:
+        ids, nos, lines = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        for a, b in blocks(np.array([len(t) for t in lines]), BLOCK):
+            held = Lines(lines[a:b])
+            line, position, key = held.without_each(FIRST)
+            yield pa.record_batch([ids[a:b], nos[a:b], np.full(b - a, -1, np.int32), held.keys(FIRST)], schema=VARIANT)
+            yield pa.record_batch([ids[a:b][line], nos[a:b][line], position.astype(np.int32), key], schema=VARIANT)
 
 
 def alike(x: list[bytes], y: list[bytes]) -> bool:
@@ -137,17 +157,22 @@ def _near(source: DataFrame, distinct: DataFrame) -> DataFrame:
     wanted = written(places.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.line_no").alias("nos")))
     few = wanted.count() <= BROADCAST_ROWS
     texts = source.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "nos")
-    emitted = written(texts.mapInArrow(_variants, "doc_id long, line_no int, position int, key long, line binary"))
-    keys = emitted.select(F.struct("doc_id", "line_no").alias("place"), "position", "key").distinct()
+    lines = written(texts.mapInArrow(_wanted, "doc_id long, line_no int, line binary, halves array<long>"))
+    place = F.struct("doc_id", "line_no")
+    halves = lines.select(place.alias("place"), F.explode(F.array_distinct("halves")).alias("half"))
+    agreed = halves.groupBy("half").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low < high").select("half")
+    near = halves.join(agreed, "half").select("place.*").distinct()
+    lines = written(lines.join(near, ["doc_id", "line_no"]).select("doc_id", "line_no", "line").dropDuplicates(["doc_id", "line_no"]))
+    keys = written(lines.mapInArrow(_variants, "doc_id long, line_no int, position int, key long")).select(place.alias("place"), "position", "key")
     cut, whole = keys.where("position >= 0"), keys.where("position < 0").select("key", F.col("place").alias("other"))
     # Lines without the same position: the earliest is a witness for the others.
-    least = cut.groupBy("key", "position").agg(F.min("place").alias("other"), F.count("*").alias("k")).where("k > 1").drop("k")
+    least = cut.groupBy("key", "position").agg(F.min("place").alias("other"), F.max("place").alias("last")).where("other < last").drop("last")
     same = cut.join(least, ["key", "position"]).select("place", "other")
     # A line and another one without a word.
     crossed = cut.join(whole, "key").select("place", "other")
     found = same.unionByName(crossed).unionByName(crossed.select(F.col("other").alias("place"), F.col("place").alias("other")))
     pairs = found.where("other < place").distinct()
-    lines = emitted.where("position < 0").select(F.struct("doc_id", "line_no").alias("place"), "line").dropDuplicates(["place"])
+    lines = lines.select(place.alias("place"), "line")
     both = pairs.join(lines.withColumnRenamed("line", "a"), "place").join(lines.select(F.col("place").alias("other"), F.col("line").alias("b")), "other")
     checked = both.select("place", "other", "a", "b").mapInArrow(_verified, f"x {PLACE}, y {PLACE}")
     return checked.groupBy("x").agg(F.min("y").alias("y"))

@@ -16,13 +16,11 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.common import text_or_empty, written
+from corrobora.llm.common import BROADCAST_ROWS, text_or_empty, written
 
 _parser = re._parser
 _c = re._constants
 NULL_ID = -(2**63)
-#: A table of flagged identifiers with at most this many rows is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
 #: Strings that an expression's exact part may have before its trigrams are taken.
 MOST_STRINGS = 64
 

@@ -14,7 +14,7 @@ import numpy as np
 
 U = np.uint64
 #: Texts are hashed in pieces of about this many bytes, so that a very long text needs no more memory.
-PIECE = 1 << 21
+PIECE = 1 << 17
 BASE = 0x9E3779B97F4A7C15 | 1
 GRAM = 0xD6E8FEB86659FD93
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -99,6 +99,17 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes or [np.empty(0, U)]), np.r_[0, np.cumsum(counts)]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order."""
+    if len(x) < 2:
+        return x.copy()
+    x = np.sort(x)
+    keep = np.empty(len(x), bool)
+    keep[0] = True
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` word hashes; the result is shorter by n - 1."""
     if len(h) < n:
@@ -117,7 +128,7 @@ def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
     out = []
     for a, b in zip(at[:-1], at[1:], strict=True):
         if b - a >= n:
-            out.append(np.unique(g[a : b - n + 1]))
+            out.append(distinct(g[a : b - n + 1]))
         else:
             out.append(grams(h[a:b], int(b - a)) if b > a else np.empty(0, U))
     return out
