@@ -5,11 +5,12 @@ and two sets at or above the threshold share a gram among their first |x| - ceil
 lists hold (set, size, position) by size. A pair is skipped by its sizes, or by its positions: the bound
 1 + min(|x| - i, |y| - j) must reach the overlap that the threshold asks for.
 
-Answers of a set are derived from those of a highly similar one. The first round verifies, in each list,
-only neighbours by size; sets linked there share their answers from then on, as what one reaches the
-other reaches. The second round takes only lists whose sets do not all share answers yet, and in these
-only pairs across. Hence a group of many near copies costs about as many verifications as it has
-members, and no link between components is lost.
+Answers of a set are derived from those of a highly similar one. The first rounds verify, in each list, each
+set with a few others, mostly the same in all lists of a group; sets linked there share their answers from
+then on, as what one reaches the other reaches. The last round takes only lists whose sets do not all share answers
+yet, and in these all pairs across. Hence a group of many near copies costs about as many verifications as it
+has members, and no link between components is lost. Before sets are fetched, parity sketches bound a pair's
+overlap from above, so only pairs that may be links cost a set.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.common import partitions, text_or_empty, written
+from corrobora.llm.common import BROADCAST_ROWS, partitions, text_or_empty, without, written
 from corrobora.llm.components import components
 from corrobora.llm.wordhash import blocks, shingle_sets
 
@@ -36,14 +37,34 @@ MOST_HEAVY = 1 << 16
 HEAVY_AT = 64
 #: A list with more sets is handled by several tasks.
 LONG_LIST = 4096
-#: A table of identifiers with at most this many rows is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
+#: Rounds in which the sets of a list meet its hubs only, so many of them, before all of its sets meet.
+STAR_ROUNDS = 2
+HUBS = 3
 
 
 def node_of(s: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of elements at each of 2^k >= |s| places, 64 at least, packed in bits.
+
+    Two sketches of one length differ in at most as many bits as the sets have elements apart.
+    """
+    size = max(64, 1 << (len(s) - 1).bit_length() if len(s) else 64)
+    return np.packbits((np.bincount((s & U(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """At least so many elements are in one of the two sets only; the longer sketch is folded to the shorter."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
     """Blocks of a batch whose columns are doc_id and the text's bytes."""
     column = batch.column(1)
@@ -51,19 +72,22 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
         yield a, b, column.slice(a, b - a).to_pylist()
 
 
+SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("gram", pa.bool_())])
+
+
 def _signatures(n: int):
+    """Rows of documents (doc_id, node, set size n, sketch) and of grams (node the gram, n sets of the block)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in _texts(batch):
                 sets = shingle_sets(texts, n)
-                nodes = np.array([node_of(s) for s in sets], np.int64)
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array([False] * len(sets))], names=["doc_id", "node", "n", "gram"])
-                first = np.unique(nodes, return_index=True)[1]
-                grams, count = np.unique(np.concatenate([sets[i] for i in first]), return_counts=True)
+                nodes = [node_of(s) for s in sets]
+                yield pa.record_batch([batch.column(0).slice(a, b - a), nodes, [len(s) for s in sets], [sketch(s) for s in sets], [False] * len(sets)], schema=SIGNED)
+                grams, count = np.unique(np.concatenate(list(dict(zip(nodes, sets, strict=True)).values())), return_counts=True)
                 often = count >= 2
-                if often.any():
-                    k = int(often.sum())
-                    yield pa.record_batch([pa.nulls(k, pa.int64()), pa.array(grams[often].view(np.int64)), pa.array(count[often].astype(np.int64)), pa.array([True] * k)], names=["doc_id", "node", "n", "gram"])
+                if k := int(often.sum()):
+                    yield pa.record_batch([pa.nulls(k, pa.int64()), grams[often].view(np.int64), count[often].astype(np.int64), pa.nulls(k, pa.binary()), [True] * k], schema=SIGNED)
 
     return run
 
@@ -158,8 +182,17 @@ def _index(percent: int):
         sig, node, size, pos = (x[first] for x in (sig, node, size, pos))
         k = len(sig)
         yield pa.record_batch([pa.array(np.zeros(k, bool)), pa.array(sig.view(np.int64)), pa.array(node), pa.array(size), pa.array(pos.astype(np.int32))], schema=INDEX)
-        near = (sig[1:] == sig[:-1]) & _reachable(size[1:].astype(np.int64), size[:-1].astype(np.int64), pos[1:].astype(np.int64), pos[:-1].astype(np.int64), percent)
-        x, y = node[1:][near], node[:-1][near]
+        # In each list all sets meet the one of the smallest node: lists of one group share it mostly, so
+        # their pairs coincide. A set out of its reach meets its neighbour by size instead.
+        size, pos = size.astype(np.int64), pos.astype(np.int64)
+        start = _runs(sig)
+        count = np.diff(np.r_[start, k])
+        run = np.repeat(np.arange(len(start)), count)
+        head = np.flatnonzero(node == np.minimum.reduceat(node, start)[run])[run]
+        ahead = np.maximum(np.arange(k) - 1, np.repeat(start, count))
+        partner = np.where(_reachable(size, size[head], pos, pos[head], percent), head, ahead)
+        near = (node != node[head]) & (node != node[partner]) & _reachable(size, size[partner], pos, pos[partner], percent)
+        x, y = node[near], node[partner[near]]
         pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.empty((0, 2), np.int64)
         k = len(pairs)
         yield pa.record_batch([pa.array(np.ones(k, bool)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32())], schema=INDEX)
@@ -179,10 +212,25 @@ def _index(percent: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs of different labels in each list; rows come sorted by (list, share, size)."""
+def _across(percent: int, star: bool):
+    """Pairs of different labels in each list; rows come sorted by (list, share, size).
+
+    With ``star`` each set meets only the list's ``HUBS`` foremost sets by ``like``, and as many outside the
+    first one's label. What stands in most lists for its size is what a group of near copies has in common.
+    """
+
+    def stars(node, size, pos, label, mine, like) -> np.ndarray:
+        size, pos = size.astype(np.int64), pos.astype(np.int64)
+        order = np.lexsort((node, -like))
+        hubs = {*order[:HUBS].tolist(), *order[label[order] != label[order[0]]][:HUBS].tolist()}
+        found = []
+        for hub in hubs:
+            ok = mine & (label != label[hub]) & _reachable(size, size[hub], pos, pos[hub], percent)
+            x = node[ok]
+            found.append(np.stack([np.minimum(x, node[hub]), np.maximum(x, node[hub])], 1))
+        return np.concatenate(found)
 
-    def pairs(node, size, pos, label, mine) -> np.ndarray:
+    def pairs(node, size, pos, label, mine, like) -> np.ndarray:
         found = []
         size, pos = size.astype(np.int64), pos.astype(np.int64)
         last = np.searchsorted(size, 100 * size // percent, side="right")
@@ -198,16 +246,17 @@ def _across(percent: int):
         held: list[list[np.ndarray]] = []
 
         def close() -> pa.RecordBatch | None:
-            lst, share, node, size, pos, label, mine = (np.concatenate(c) for c in zip(*held, strict=True))
+            lst, share, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
             starts = np.r_[_runs(lst, share), len(lst)]
-            out = [pairs(node[a:b], size[a:b], pos[a:b], label[a:b], mine[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-            both = np.concatenate(out)
+            take = stars if star else pairs
+            out = [take(*(c[a:b] for c in columns)) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            both = np.unique(np.concatenate(out), axis=0)
             return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"]) if len(both) else None
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("list", "share", "node", "size", "pos", "label", "mine")]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("list", "share", "node", "size", "pos", "label", "mine", "like")]
             starts = _runs(cols[0], cols[1])
             cut = int(starts[-1])
             same = held and held[-1][0][-1] == cols[0][0] and held[-1][1][-1] == cols[1][0]
@@ -242,6 +291,19 @@ def _set_blobs(n: int):
     return run
 
 
+def _may_link(percent: int):
+    """Drops pairs (a, b) of sizes m, n whose sketches x, y show that they cannot reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n, x, y = (batch.column(k).to_pylist() for k in ("m", "n", "x", "y"))
+            # |x n y| <= (m + n - d) / 2 and |x u y| = m + n - |x n y|
+            keep = pa.array([(100 + percent) * (p + q - apart(s, t)) >= 2 * percent * (p + q) for p, q, s, t in zip(m, n, x, y, strict=True)], pa.bool_())
+            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
+
+    return run
+
+
 def _verify(percent: int):
     """Keeps the pairs (a, b) whose sets x and y reach the threshold."""
 
@@ -269,8 +331,9 @@ class JaccardJoin:
             raise ValueError(f"words {words}, percent {percent}")
         self.spark, self.words, self.percent = docs.sparkSession, words, percent
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-        both = written(self.docs.mapInArrow(_signatures(words), "doc_id long, node long, n long, gram boolean"))
-        self.sets = both.where("not gram").drop("gram")
+        both = written(self.docs.mapInArrow(_signatures(words), "doc_id long, node long, n long, sketch binary, gram boolean"))
+        self.sets = both.where("not gram").select("doc_id", "node", "n")
+        self.nodes = both.where("not gram and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         heavy = both.where("gram").groupBy(F.col("node").alias("g")).agg(F.sum("n").alias("df")).where(F.col("df") >= HEAVY_AT)
         rows = heavy.orderBy(F.desc("df"), "g").limit(MOST_HEAVY).collect()
         grams = np.array([r.g for r in rows], np.int64).view(U)
@@ -280,32 +343,48 @@ class JaccardJoin:
     def _sets_of(self, pairs: DataFrame) -> DataFrame:
         """(node, grams) of the sets that occur in pairs, computed from one document of each."""
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        need = written(self.sets.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
+        need = written(self.nodes.select("node", "doc_id").join(nodes, "node").select("doc_id"))
         few = need.count() <= BROADCAST_ROWS
         texts = self.docs.join(F.broadcast(need) if few else need, "doc_id", "left_semi")
         blobs = texts.mapInArrow(_set_blobs(self.words), "node long, grams binary")
         return written(blobs.dropDuplicates(["node"]))
 
     def _linked(self, pairs: DataFrame) -> DataFrame:
+        x = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x"))
+        y = self.nodes.select(F.col("node").alias("b"), "n", F.col("sketch").alias("y"))
+        pairs = written(pairs.join(x, "a").join(y, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_may_link(self.percent), "a long, b long"))
         sets = self._sets_of(pairs)
         joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
         return written(joined.select("a", "b", "x", "y").mapInArrow(_verify(self.percent), "a long, b long"))
 
+    def _open(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows of lists whose sets have several labels; long lists once per task that shares them."""
+        rows = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = rows.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi")
+        rows = rows.join(several.select("list", F.ceil(F.col("k") / LONG_LIST).cast("int").alias("shares")), "list")
+        rows = rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("shares")) == F.col("share"))
+        rows = rows.select("list", "share", "node", "size", "pos", "label", "mine", "like").repartition(partitions(self.spark), "list", "share")
+        return rows.sortWithinPartitions("list", "share", "size", "node")
+
     def links(self) -> DataFrame:
         """(a, b) of verified links between distinct sets; enough of them to connect every component."""
         n = partitions(self.spark)
         prefixes = self.docs.where("doc_id is not null").mapInArrow(_prefixes(self.words, self.percent, *self._heavy, n * 4), "bucket long, tok binary, doc binary, pos binary, nodes binary, sizes binary")
         index = written(prefixes.repartition(n, "bucket").mapInArrow(_index(self.percent), "pair boolean, a long, b long, size int, pos int"))
-        first = self._linked(written(index.where("pair").select("a", "b").distinct()))
-        labels = components(first)
         lists = index.where("not pair").select(F.col("a").alias("list"), F.col("b").alias("node"), "size", "pos")
-        lists = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_lists = lists.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("list", F.ceil(F.col("k") / LONG_LIST).cast("int").alias("shares"))
-        rows = lists.join(open_lists, "list").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-        rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("shares")) == F.col("share"))
-        rows = rows.select("list", "share", "node", "size", "pos", "label", "mine").repartition(n, "list", "share").sortWithinPartitions("list", "share", "size", "node")
-        second = self._linked(written(rows.mapInArrow(_across(self.percent), "a long, b long").distinct()))
-        return first.unionByName(second)
+        often = lists.groupBy("node").agg((F.count("*") / F.max("size")).alias("like"))
+        lists = written(lists.join(often, "node"))
+        tried = index.where("pair").select("a", "b").distinct()
+        links = self._linked(tried)
+        for star in (*[True] * STAR_ROUNDS, False):
+            rows = self._open(lists, components(links))
+            pairs = written(rows.mapInArrow(_across(self.percent, star), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+            if star and pairs.isEmpty():
+                continue
+            found = self._linked(pairs)
+            tried, links = tried.unionByName(pairs), links.unionByName(found)
+        return links
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id: one row per document."""
@@ -326,3 +405,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty table gives none; other columns are ignored. Grams and sets are compared by 64-bit hashes.
     """
     return JaccardJoin(docs, id_col, text_col, words, percent).components()
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` that come first, by identifier, in their component, with their columns as they are.
+
+    Rows without identifier stay; rows that share an identifier stay or go together.
+    """
+    found = jaccard_components(docs, id_col, text_col, words, percent)
+    return without(docs, found.where("doc_id <> component_id").select("doc_id"), F.col(id_col).cast("long"))
