@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.common import partitions, text_or_empty, written
+from corrobora.llm.common import partitions, text_or_empty, without, written
 
 #: Bytes of labels that a task's trie holds before it moves a subtree to disk.
 SPILL_BYTES = 96 << 20
@@ -263,3 +263,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("first") & (F.col("rep") == F.col("keep_rep"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with their columns as they are.
+
+    Rows that repeat identifier and text are told apart by nothing here: one of them stays.
+    """
+    verdicts = written(exact_dedup(docs, id_col, text_col, keep))
+    key = ["doc_id", "text_sha256"]
+    per_key = verdicts.groupBy(*key).agg(F.max("kept").alias("kept"), F.count("*").alias("k"))
+    own = F.col(id_col).cast("long"), F.sha2(text_or_empty(text_col).cast("binary"), 256)
+    left = without(docs, per_key.where("not kept").select(*key), *own)
+    repeated = per_key.where("kept and k > 1").select(*key)
+    if repeated.isEmpty():
+        return left
+    once = without(left, repeated, *own)
+    again = left.withColumns({"__id": own[0], "__sha": own[1]}).join(repeated.toDF("__i", "__s"), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__sha") == F.col("__s")), "left_semi")
+    return once.unionByName(again.dropDuplicates(["__id", "__sha"]).select(*docs.columns))
