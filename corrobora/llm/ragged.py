@@ -21,6 +21,9 @@ def gather(flat: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[np.ndar
 
 
 def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Sum of each piece, 0 for empty ones."""
-    total = np.r_[values.dtype.type(0), np.cumsum(values)]
-    return total[at[1:]] - total[at[:-1]]
+    """Sum of each piece, 0 for empty ones; each is added by itself, so none loses digits to the others."""
+    out = np.zeros(len(at) - 1, values.dtype)
+    some = np.flatnonzero(np.diff(at))
+    if len(some):
+        out[some] = np.add.reduceat(values, at[some])
+    return out
