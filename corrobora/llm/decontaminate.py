@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.common import text_or_empty
+from corrobora.llm.common import text_or_empty, without
 from corrobora.llm.wordhash import mix
 
 U = np.uint64
@@ -27,7 +27,7 @@ U = np.uint64
 INDEX_CHARS = 8 << 20
 #: Characters of a document that are searched at a time; neighbours overlap by the longest passage and its budget.
 WINDOW = 1 << 20
-SIEVE_BITS = 20
+SIEVE_BITS = 22
 
 
 def normalise(text: str) -> str:
@@ -51,10 +51,11 @@ def qgrams(c: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Passages that share a q: their q-grams sorted, with passage and offset of each."""
+    """Passages that share a q: their distinct q-grams sorted, and passages and offsets of each from ``at`` on."""
 
     q: int
     grams: np.ndarray
+    at: np.ndarray
     item: np.ndarray
     offset: np.ndarray
     sieve: np.ndarray
@@ -92,7 +93,8 @@ def build(items: list[tuple[int, str]], q: int, percent: int) -> Passages:
         sieve[(flat >> U(64 - SIEVE_BITS)).astype(np.int64)] = True
         item = np.repeat(own, [len(g) for g in grams])[order]
         offset = np.concatenate([np.arange(len(g)) for g in grams])[order]
-        by_q.append(Index(k, flat[order], item, offset, sieve))
+        known, at = np.unique(flat[order], return_index=True)
+        by_q.append(Index(k, known, np.r_[at, len(flat)], item, offset, sieve))
     return Passages([i for i, _ in kept], texts, budgets, needed, by_q)
 
 
@@ -102,15 +104,22 @@ def regions(text: np.ndarray, index: Index, budgets: np.ndarray, needed: np.ndar
     at = np.flatnonzero(index.sieve[(grams >> U(64 - SIEVE_BITS)).astype(np.int64)])
     if not len(at):
         return []
-    found = grams[at]
-    low, high = np.searchsorted(index.grams, found, "left"), np.searchsorted(index.grams, found, "right")
-    count = high - low
+    place = np.minimum(np.searchsorted(index.grams, grams[at]), len(index.grams) - 1)
+    known = index.grams[place] == grams[at]
+    at, place = at[known], place[known]
+    low = index.at[place]
+    count = index.at[place + 1] - low
     total = int(count.sum())
     if not total:
         return []
     place = np.arange(total) + np.repeat(low - (np.cumsum(count) - count), count)
-    item, offset = index.item[place], index.offset[place]
-    band = (np.repeat(at, count) - offset) // (budgets[item] + 1)
+    item, offset, start = index.item[place], index.offset[place], np.repeat(at, count)
+    # A passage with fewer q-grams in the whole text than a band needs has no region.
+    some = (np.bincount(item, minlength=len(needed)) >= needed)[item]
+    if not some.any():
+        return []
+    item, offset, start = item[some], offset[some], start[some]
+    band = (start - offset) // (budgets[item] + 1)
     # Keys of (passage, band): bands are numbered from the least possible one.
     least = -int(index.offset.max()) - 2
     width = len(text) - least + 2
@@ -170,6 +179,10 @@ def matches(text: str, passages: Passages) -> list[tuple[int, int, int, int]]:
                 a, b = max(0, low), min(len(part), high + len(passages.texts[i]) + 1)
                 if a >= b:
                     continue
+                if (verbatim := text.find(passages.texts[i], at + a, at + b)) >= 0:
+                    found = (0, verbatim, verbatim + len(passages.texts[i]))
+                    best[i] = min(found, best.get(i, found))
+                    continue
                 pattern = points(passages.texts[i])
                 stretch = part[a:b]
                 edits, end = align(pattern, stretch, low - a, high - a)
@@ -237,6 +250,6 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no passage, with their columns as they are."""
-    bad = contamination(docs, items, id_col=id_col, **options).where("contaminated").select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__leaked")), "left_anti")
+    """The rows of ``docs`` that hold no passage, with their columns as they are; rows with one identifier go together."""
+    bad = contamination(docs, items, id_col=id_col, **options).where("contaminated").select("doc_id")
+    return without(docs, bad, F.col(id_col).cast("long"))
