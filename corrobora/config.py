@@ -109,3 +109,24 @@ def load(path: str | None = None, flags: dict | None = None) -> tuple[dict, list
     if config["local"]:
         config["embeddings"]["provider"], config["llm"]["provider"] = "mock", "lexical"
     return config, warnings
+
+
+def load_env(path: str, environment: dict[str, str]) -> list[str]:
+    """Adds a file's KEY=value lines to ``environment``, which keeps what it has; returns the names added.
+
+    Blank lines and lines that start with # are passed over, an ``export`` before the name and one pair of
+    quotes around the value are dropped. A missing file adds nothing.
+    """
+    added = []
+    if not Path(path).exists():
+        return added
+    for line in Path(path).read_text(encoding="utf-8-sig").splitlines():
+        name, equals, value = line.strip().removeprefix("export ").partition("=")
+        name, value = name.strip(), value.strip()
+        if line.lstrip().startswith("#") or not equals or not name or name in environment:
+            continue
+        if len(value) >= 2 and value[0] == value[-1] and value[0] in "\"'":
+            value = value[1:-1]
+        environment[name] = value
+        added.append(name)
+    return added

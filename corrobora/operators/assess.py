@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +27,14 @@ def fallback(outcomes: DataFrame, reason: Column | str, key: str = "outcome_id")
     )
 
 
-def assess(outcomes: DataFrame, hits: DataFrame, judge: str = "lexical", threshold: float = 0.6, critique: bool = False, key: str = "outcome_id") -> DataFrame:
+def assess(outcomes: DataFrame, hits: DataFrame, judge: str | Callable = "lexical", threshold: float = 0.6, critique: bool = False, key: str = "outcome_id") -> DataFrame:
     """One assessment per outcome, as one plan: judged, verified and flagged, or a fallback where there is no hit.
 
     With ``critique`` a second judgement is verified in the same way and replaces the first; critique_applied
-    tells whether it changed coverage or confidence.
+    tells whether it changed coverage or confidence. ``judge`` is a name in JUDGES or such a function.
     """
-    judged = JUDGES[judge](outcomes, hits, key)
-    claims = judged.where("quote is not null").select(key, F.lit(0).alias("pos"), "source_file", "quote")
+    judged = (JUDGES[judge] if isinstance(judge, str) else judge)(outcomes, hits, key)
+    claims = judged.select(key, F.posexplode("evidence").alias("pos", "e")).select(key, "pos", "e.source_file", "e.quote")
     checked = verify_quotes(claims, hits, key)
     done = flag_low(downgrade(judged.select(key, "coverage", "confidence", "rationale", "needs_review"), checked, key), threshold)
     if critique:
@@ -41,7 +43,8 @@ def assess(outcomes: DataFrame, hits: DataFrame, judge: str = "lexical", thresho
     else:
         done = done.withColumn("critique_applied", F.lit(None).cast("boolean"))
     seen = hits.select(key).distinct()
-    rows = done.join(seen, key, "left_semi").withColumns({"fallback": F.lit(False), "fallback_reason": F.lit(None).cast("string")})
+    failed = judged.select(key, "fallback_reason")
+    rows = done.join(seen, key, "left_semi").join(failed, key).withColumn("fallback", F.col("fallback_reason").isNotNull())
     missing = fallback(outcomes.join(seen, key, "left_anti"), NO_EVIDENCE, key)
     return rows.unionByName(missing, allowMissingColumns=True)
 

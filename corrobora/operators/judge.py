@@ -53,5 +53,14 @@ def lexical(outcomes: DataFrame, hits: DataFrame, key: str = "outcome_id") -> Da
     )
 
 
-#: Judges by name. A remote judge is a function of the same form that calls its service from a pandas function.
-JUDGES: dict[str, Callable] = {"lexical": lexical}
+def lexical_verdicts(outcomes: DataFrame, hits: DataFrame, key: str = "outcome_id") -> DataFrame:
+    """The lexical judge's verdicts in the form that ``assess`` takes; see JUDGES."""
+    pair = F.struct("source_file", "quote")
+    none = F.array().cast("array<struct<source_file:string,quote:string>>")
+    evidence = F.when(F.col("quote").isNotNull(), F.array(pair)).otherwise(none).alias("evidence")
+    return lexical(outcomes, hits, key).select(key, "coverage", "confidence", "rationale", "needs_review", evidence, F.lit(None).cast("string").alias("fallback_reason"))
+
+
+#: Judges by name: functions of outcomes (key, outcome), hits and the key to rows (key, coverage, confidence,
+#: rationale, needs_review, evidence of (source_file, quote), fallback_reason). See ``remote.judge`` for services.
+JUDGES: dict[str, Callable] = {"lexical": lexical_verdicts}
