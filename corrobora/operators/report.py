@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corrobora.functions import text as T
 from corrobora.functions.numbers import LEVELS, is_gap, percent
+from corrobora.operators.ordering import with_position_in
 
 # The order of known function names, and the evidence map's columns.
 FUNCTIONS = ["GOVERN", "IDENTIFY", "PROTECT", "DETECT", "RESPOND", "RECOVER"]
@@ -58,13 +59,12 @@ def function_order(entries: DataFrame, function: str = "function") -> DataFrame:
 
 def gaps_order(entries: DataFrame, key: str = "outcome_id", function: str = "function") -> DataFrame:
     """Gaps with their place within the function: none before partial, then by identifier."""
-    w = Window.partitionBy(function).orderBy(F.when(F.col("coverage") == "none", 0).otherwise(1), key)
-    return entries.where(is_gap(F.col("coverage"))).withColumn("pos", F.row_number().over(w) - 1)
+    gaps = entries.where(is_gap(F.col("coverage")))
+    return with_position_in(gaps, function, "pos", F.when(F.col("coverage") == "none", 0).otherwise(1), F.col(key))
 
 
 def covered_order(entries: DataFrame, key: str = "outcome_id", function: str = "function") -> DataFrame:
-    w = Window.partitionBy(function).orderBy(key)
-    return entries.where(~is_gap(F.col("coverage"))).withColumn("pos", F.row_number().over(w) - 1)
+    return with_position_in(entries.where(~is_gap(F.col("coverage"))), function, "pos", F.col(key))
 
 
 class UnresolvedError(ValueError):
