@@ -2,8 +2,9 @@
 
 Candidates come from an inverted index of prefixes: all sets use one global order, frequent grams last,
 and two sets at or above the threshold share a gram among their first |x| - ceil(t|x|) + 1 ones. Index
-lists hold (set, size, position) by size. A pair is skipped by its sizes, or by its positions: the bound
-1 + min(|x| - i, |y| - j) must reach the overlap that the threshold asks for.
+lists hold (set, size, position) in blocks of one size, sorted by position. Blocks are skipped by their size
+and by the position of the set that meets them, and cut at the position where min(|x| - i, |y| - j), with
+positions from 0, falls below the overlap that the threshold asks for.
 
 Answers of a set are derived from those of a highly similar one. The first rounds verify, in each list, each
 set with a few others, mostly the same in all lists of a group; sets linked there share their answers from
@@ -213,7 +214,7 @@ def _index(percent: int):
 
 
 def _across(percent: int, star: bool):
-    """Pairs of different labels in each list; rows come sorted by (list, share, size).
+    """Pairs of different labels in each list; rows come sorted by (list, share, size, pos).
 
     With ``star`` each set meets only the list's ``HUBS`` foremost sets by ``like``, and as many outside the
     first one's label. What stands in most lists for its size is what a group of near copies has in common.
@@ -231,15 +232,26 @@ def _across(percent: int, star: bool):
         return np.concatenate(found)
 
     def pairs(node, size, pos, label, mine, like) -> np.ndarray:
+        """Blocks of one size are sorted by position: those out of reach are skipped, others cut where it ends."""
         found = []
         size, pos = size.astype(np.int64), pos.astype(np.int64)
-        last = np.searchsorted(size, 100 * size // percent, side="right")
+        start = _runs(size)
+        end = np.r_[start[1:], len(size)]
+        block = np.repeat(np.arange(len(start)), end - start)
+        sizes = size[start]
+        last = np.searchsorted(sizes, 100 * size // percent, side="right")
         for i in np.flatnonzero(mine):
-            y = slice(i + 1, last[i])
-            ok = (label[y] != label[i]) & _reachable(size[i], size[y], pos[i], pos[y], percent)
-            if ok.any():
-                other = node[y][ok]
-                found.append(np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])], 1))
+            own = block[i]
+            other = sizes[own : last[i]]
+            need = -(-percent * (size[i] + other) // (100 + percent))
+            for k in np.flatnonzero(size[i] - pos[i] >= need):
+                b = own + k
+                stop = start[b] + np.searchsorted(pos[start[b] : end[b]], other[k] - need[k], side="right")
+                y = slice(i + 1 if k == 0 else start[b], stop)
+                far = label[y] != label[i]
+                if far.any():
+                    met = node[y][far]
+                    found.append(np.stack([np.minimum(met, node[i]), np.maximum(met, node[i])], 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +377,7 @@ class JaccardJoin:
         rows = rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
         rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("shares")) == F.col("share"))
         rows = rows.select("list", "share", "node", "size", "pos", "label", "mine", "like").repartition(partitions(self.spark), "list", "share")
-        return rows.sortWithinPartitions("list", "share", "size", "node")
+        return rows.sortWithinPartitions("list", "share", "size", "pos", "node")
 
     def links(self) -> DataFrame:
         """(a, b) of verified links between distinct sets; enough of them to connect every component."""
