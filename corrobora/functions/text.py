@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 # The white-space class, stop words and word classes that results depend on.
 SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+NOT_SPACE = "[^" + SPACE[1:]
 STOPWORDS = "the a an and or of to in for is are be by on with that this from as at it its their are".split()
 INTENT = "must|shall|will|should|policy|polic|require|required|expected|responsible|intend"
 OPERATIONAL = (

@@ -55,7 +55,7 @@ def chunk(segments: DataFrame, size: int = 1200, overlap: int = 200) -> DataFram
     """
     seg = F.col("seg") if "seg" in segments.columns else F.lit(0)
     source = segments.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), seg.cast("int").alias("seg"), T.norm_for_chunks(F.coalesce("text", F.lit(""))).alias("text"))
-    source = source.where(F.length(T.trim_space("text")) > 0)
+    source = source.where(F.col("text").rlike(T.NOT_SPACE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

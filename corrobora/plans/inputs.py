@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from corrobora.functions import hashing as H
 from corrobora.operators import report as R
-from corrobora.session import table
+from corrobora.session import spread, table
 
 IDS = ["GV", "ID", "PR", "DE", "RS", "RC"]
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return spread(table(spark, sf, "documents"), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def function_of(source):

@@ -24,3 +24,12 @@ def session(master: str = "local[*]", partitions: int = 8, memory: str = "8g", *
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as it is if it has a partition per core; a table of fewer files than that is dealt out by ``key``.
+
+    Only small tables are moved: a large one has more splits than cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
