@@ -402,7 +402,8 @@ class JaccardJoin:
         """doc_id, n_shingles, component_id: one row per document."""
         labels = components(self.links())
         own = self.sets.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
-        least = own.groupBy("comp").agg(F.min("doc_id").alias("least"))
+        # Written, so that both sides of the join are plain shuffles, of which Spark can split a hot component.
+        least = written(own.groupBy("comp").agg(F.min("doc_id").alias("least")))
         return own.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
