@@ -8,6 +8,12 @@ such key is a witness for all others and no key needs its pairs spelled out. Wit
 
 One edit leaves the first or the last four words as they are, and indeed one half of the line. Only lines
 that share an end, and then a half, with another distinct line emit variants; the rest have no neighbour.
+
+With ``percent``, a line of n words may have max(1, n * percent // 100) edits, n being the longer one's. k edits
+leave all but 3 k of a line's three-word grams, so of two such lines the 3 k + 1 grams that come first in any
+common order share one. Grams that are frequent in a sample come last in that order. Of the lines that share
+such a gram a line meets the earliest first, in growing rounds, until one is verified by edit distance; a group
+of lines that are alike needs no pairs beyond its first ones.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrobora.llm.common import BROADCAST_ROWS, text_or_empty, written
@@ -27,6 +33,12 @@ BLOCK = 4 << 20
 ANCHOR = 4
 FIRST, SECOND = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 NULL_ID = -(2**63)
+#: Words of a gram of the wide bound, and the most percent for which the grams are sure to share one.
+GRAM, MOST_PERCENT = 3, 20
+#: Counters of frequent grams, and one document in so many that is counted. Both only shape an order.
+HEATS, SAMPLED = 1 << 18, 16
+#: The first round meets the lines of ranks below this; each later round reaches so many times as far.
+REACH = 4
 
 
 class Lines:
@@ -76,7 +88,7 @@ class Lines:
 LINE = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("head", pa.int64()), ("tail", pa.int64())])
 
 
-def _lines(min_words: int):
+def _lines(min_words: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
@@ -85,11 +97,11 @@ def _lines(min_words: int):
                 counts = np.array([len(s) for s in split])
                 held = Lines([line for s in split for line in s])
                 n = np.diff(held.at)
-                four = grams(held.words, ANCHOR).view(np.int64)
+                four = grams(held.words, anchor).view(np.int64)
                 long = n >= min_words
                 head, tail = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
                 head[long] = four[held.at[:-1][long]]
-                tail[long] = ~four[held.at[1:][long] - ANCHOR]
+                tail[long] = ~four[held.at[1:][long] - anchor]
                 no = np.arange(len(n)) - np.repeat(np.cumsum(counts) - counts, counts)
                 ids = np.repeat(batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False), counts)
                 yield pa.record_batch(
@@ -149,15 +161,147 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PLACE = "struct<doc_id:long,line_no:int>"
 
 
+def within(x: list[bytes], y: list[bytes], k: int) -> bool:
+    """Do two word sequences differ by at most k edits? Furthest reaching points of each diagonal, edit by edit."""
+    m, n = len(x), len(y)
+    if abs(m - n) > k:
+        return False
+    reach = {0: -1}
+    for edits in range(k + 1):
+        new = {}
+        for d in range(-edits, edits + 1):
+            # Of diagonal d, i - j: a substitution, a word more in x, a word more in y.
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2) + 1, reach.get(d + 1, -2)) if edits else 0
+            i = min(i, m, n + d)
+            if i < 0 or i - d < 0:
+                continue
+            while i < m and i - d < n and x[i] == y[i - d]:
+                i += 1
+            if i == m and i - d == n:
+                return True
+            new[d] = i
+        reach = new
+    return False
+
+
+def _within(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = words(a), words(b)
+                keep.append(within(x, y, max(1, max(len(x), len(y)) * percent // 100)))
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _heats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counters far above their mean in this task."""
+    total = np.zeros(HEATS, np.int64)
+    for batch in batches:
+        lengths = pa.compute.binary_length(batch.column(0)).to_numpy(zero_copy_only=False)
+        for a, b in blocks(lengths, BLOCK):
+            g = grams(word_hashes(batch.column(0).slice(a, b - a).to_pylist())[0], GRAM)
+            total += np.bincount((g % U(HEATS)).astype(np.int64), minlength=HEATS)
+    found = np.flatnonzero(total > 8 + 8 * total.mean())
+    yield pa.record_batch([found, total[found]], names=["at", "n"])
+
+
+def most_edits(n: np.ndarray, percent: int) -> np.ndarray:
+    """The largest bound of a line of n words and a longer one that is within it."""
+    best = n * percent // 100
+    for longer in (n * 100 // (100 - percent) + d for d in range(-1, 3)):
+        k = longer * percent // 100
+        best = np.where(longer - k <= n, np.maximum(best, k), best)
+    return best
+
+
+def first_grams(lines: Lines, percent: int, heat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line numbers and keys of the grams that come first in the common order; a gram's repeats are numbered."""
+    n = np.diff(lines.at)
+    k = most_edits(n, percent)
+    own = np.flatnonzero(k >= 2)
+    size = n[own] - GRAM + 1
+    line = np.repeat(own, size)
+    start = np.repeat(np.cumsum(size) - size, size)
+    g = grams(lines.words, GRAM)[lines.at[:-1][line] + np.arange(len(line)) - start]
+    order = np.lexsort((g, line))
+    new = np.r_[True, (np.diff(line[order]) != 0) | (g[order][1:] != g[order][:-1])][: len(order)]
+    runs = np.flatnonzero(new)
+    repeat = np.empty(len(line), np.int64)
+    repeat[order] = np.arange(len(order)) - np.repeat(runs, np.diff(np.r_[runs, len(order)]))
+    key = mix(g + repeat.astype(U) * U(FIRST))
+    order = np.lexsort((key, heat[(g % U(HEATS)).astype(np.int64)], line))
+    taken = order[np.arange(len(order)) - start < GRAM * k[line] + 1]
+    return line[taken], key[taken].view(np.int64)
+
+
+def _first_grams(percent: int, min_words: int, heat: np.ndarray):
+    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("n", pa.int32()), ("key", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, wanted = (batch.column(k).to_pylist() for k in range(3))
+            for a, b in blocks(np.array([len(t) for t in texts]), BLOCK):
+                own = [(doc_id, no, lines[no]) for doc_id, lines, nos in ((ids[i], texts[i].split(b"\n"), wanted[i]) for i in range(a, b)) for no in nos if no < len(lines)]
+                if not own:
+                    continue
+                doc_ids, nos, lines = zip(*own, strict=True)
+                held = Lines(list(lines))
+                n = np.diff(held.at)
+                line, key = first_grams(held, percent, heat)
+                some = n[line] >= min_words
+                line, key = line[some], key[some]
+                yield pa.record_batch([np.array(doc_ids, np.int64)[line], np.array(nos, np.int32)[line], n[line].astype(np.int32), key], schema=schema)
+
+    return run
+
+
+def _texts(source: DataFrame, places: DataFrame) -> DataFrame:
+    """Documents' texts with the numbers of those of their lines that are among ``places`` (column first)."""
+    wanted = written(places.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.line_no").alias("nos")))
+    few = wanted.count() <= BROADCAST_ROWS
+    return source.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "nos")
+
+
+def _wide(source: DataFrame, distinct: DataFrame, min_words: int, percent: int) -> DataFrame:
+    """(x, y): distinct lines, with the earliest line before them within the bound that grows with length."""
+    heat = np.zeros(HEATS, np.int64)
+    sample = source.where(F.abs(F.xxhash64("doc_id")) % SAMPLED == 0).select("text").mapInArrow(_heats, "at long, n long")
+    for at, n in sample.groupBy("at").agg(F.sum("n")).collect():
+        heat[at] = n
+    place = F.struct("doc_id", "line_no")
+    keys = _texts(source, distinct.where("head is not null").select("first")).mapInArrow(_first_grams(percent, min_words, heat), "doc_id long, line_no int, n int, key long")
+    by_place = Window.partitionBy("key").orderBy("place")
+    ranked = keys.select(place.alias("place"), "n", "key").distinct().select("*", F.row_number().over(by_place).alias("rank"), F.lead("n").over(by_place).isNotNull().alias("more"))
+    ranked = written(ranked.where("rank > 1 or more").drop("more"))
+    texts = _texts(source, ranked.select(F.col("place").alias("first")).distinct())
+    lines = written(texts.mapInArrow(_wanted, "doc_id long, line_no int, line binary, halves array<long>").select(place.alias("place"), "line").dropDuplicates(["place"]))
+    pending, best, low, high = ranked.where("rank > 1"), None, 1, REACH
+    while not pending.isEmpty():
+        early = ranked.where((F.col("rank") >= low) & (F.col("rank") < high)).select("key", F.col("place").alias("other"), F.col("n").alias("m"), F.col("rank").alias("r"))
+        near = (F.col("r") < F.col("rank")) & (F.abs(F.col("n") - F.col("m")) <= F.greatest(F.lit(1), F.floor(F.greatest("n", "m") * percent / 100)))
+        pairs = pending.join(early, "key").where(near).select("place", "other").distinct()
+        if best is not None:
+            pairs = pairs.join(best, pairs["place"] == best["x"], "left").where("y is null or other < y").select("place", "other")
+        both = pairs.join(lines.withColumnRenamed("line", "a"), "place").join(lines.select(F.col("place").alias("other"), F.col("line").alias("b")), "other")
+        found = both.select("place", "other", "a", "b").mapInArrow(_within(percent), f"x {PLACE}, y {PLACE}")
+        best = written((found if best is None else found.unionByName(best)).groupBy("x").agg(F.min("y").alias("y")))
+        # A gram is done with when all its lines from here on come after the one that is found.
+        rest = ranked.where(F.col("rank") == high).select("key", F.col("place").alias("other"))
+        left = pending.where(F.col("rank") > high).join(rest, "key")
+        left = left.join(best, left["place"] == best["x"], "left").where("y is null or other < y")
+        pending, low, high = written(left.select("place", "n", "key", "rank")), high, high * REACH
+    return best if best is not None else source.sparkSession.createDataFrame([], f"x {PLACE}, y {PLACE}")
+
+
 def _near(source: DataFrame, distinct: DataFrame) -> DataFrame:
     """(x, y): distinct lines by their first place, with the earliest verified neighbour before them."""
     long = distinct.where("head is not null").select("first", F.explode(F.array("head", "tail")).alias("anchor"))
     shared = long.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
     places = long.join(shared, "anchor").select("first").distinct()
-    wanted = written(places.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.line_no").alias("nos")))
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = source.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "nos")
-    lines = written(texts.mapInArrow(_wanted, "doc_id long, line_no int, line binary, halves array<long>"))
+    lines = written(_texts(source, places).mapInArrow(_wanted, "doc_id long, line_no int, line binary, halves array<long>"))
     place = F.struct("doc_id", "line_no")
     halves = lines.select(place.alias("place"), F.explode(F.array_distinct("halves")).alias("half"))
     agreed = halves.groupBy("half").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low < high").select("half")
@@ -178,7 +322,7 @@ def _near(source: DataFrame, distinct: DataFrame) -> DataFrame:
     return checked.groupBy("x").agg(F.min("y").alias("y"))
 
 
-def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
+def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, percent: int = 0, short: int | None = None) -> DataFrame:
     """One row per line: doc_id, line_no, n_words, keep_doc, keep_line, kept.
 
     Lines are split at \\n and numbered from 0; words are runs of bytes other than space and \\x09-\\x0D with
@@ -186,16 +330,26 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the module); the line is kept when that is itself. Lines without words are always kept. A null text has
     one empty line. A null identifier comes before all others. Rows with one identifier count as one document:
     equal lines at the same number are then both first. An empty table gives no rows.
+
+    ``percent`` of the longer line's words may be edited if that is more than one word. With ``short``, lines
+    from that many words on, 2 at least, are compared too.
     """
     if min_words < 2 * ANCHOR:
         raise ValueError(f"min_words must be {2 * ANCHOR} at least")
+    if not 0 <= percent <= MOST_PERCENT:
+        raise ValueError(f"percent must be 0 to {MOST_PERCENT}")
+    if short is not None and not 2 <= short <= min_words:
+        raise ValueError("short must be 2 to min_words")
+    least = min_words if short is None else short
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-    lines = source.mapInArrow(_lines(min_words), "doc_id long, line_no int, n int, k1 long, k2 long, head long, tail long")
+    lines = source.mapInArrow(_lines(least, min(ANCHOR, least // 2)), "doc_id long, line_no int, n int, k1 long, k2 long, head long, tail long")
     lines = written(lines)
     place = F.struct("doc_id", "line_no")
     distinct = lines.where("n > 0").groupBy("k1", "k2").agg(F.min(place).alias("first"), F.first("head").alias("head"), F.first("tail").alias("tail"))
     distinct = written(distinct)
     near = _near(source, distinct)
+    if percent:
+        near = near.unionByName(_wide(source, distinct, least, percent)).groupBy("x").agg(F.min("y").alias("y"))
     keep = distinct.join(near, distinct["first"] == near["x"], "left").select("k1", "k2", F.least("first", "y").alias("keep"))
     # least() of structs skips nulls, so a line without neighbour keeps its own first place.
     out = lines.where("n > 0").select("doc_id", "line_no", "n", "k1", "k2").join(keep, ["k1", "k2"]).select("doc_id", "line_no", "n", "keep")
@@ -211,9 +365,9 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, percent: int = 0, short: int | None = None) -> DataFrame:
     """``docs`` with the lines that are not kept taken out of their texts; all rows and columns stay."""
-    verdicts = line_verdicts(docs, id_col, text_col, min_words).where("not kept")
+    verdicts = line_verdicts(docs, id_col, text_col, min_words, percent, short).where("not kept")
     gone = verdicts.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
     joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
     left = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__gone", i.cast("long")))

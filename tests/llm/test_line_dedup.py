@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from corrobora.llm.line_dedup import alike, dedup_lines, line_verdicts
+from corrobora.llm.line_dedup import alike, dedup_lines, line_verdicts, within
 
 KIND = "doc_id long, text string, line_no string"
 
@@ -69,3 +69,49 @@ def test_texts(spark):
     assert line_verdicts(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         line_verdicts(docs, min_words=3)
+
+
+def test_within_is_the_distance():
+    rng = random.Random(6)
+    for _ in range(3000):
+        x, y = ([rng.choice([b"a", b"b"]) for _ in range(rng.randint(0, 9))] for _ in range(2))
+        k = rng.randint(0, 5)
+        assert within(x, y, k) == (distance(x, y) <= k)
+
+
+def edited(rng, w, edits):
+    w = list(w)
+    for _ in range(edits):
+        act = rng.random()
+        at = rng.randrange(len(w))
+        if act < 0.5:
+            w[at] = f"new{rng.randint(0, 3)}"
+        elif act < 0.75:
+            w.pop(at)
+        else:
+            w.insert(at, rng.choice(["more", "w1", "w2"]))
+    return w
+
+
+@pytest.mark.parametrize("percent,short", [(10, 3), (20, None)])
+def test_bound_grows_with_length(spark, percent, short):
+    """All pairs within the bound are found, groups of many alike lines and repeated words included."""
+    rng = random.Random(percent)
+    vocabulary = [f"w{i}" for i in range(40)]
+    base = [[rng.choice(vocabulary) for _ in range(n)] for n in (3, 4, 6, 7, 8, 17, 18, 19, 20, 21, 29, 31, 57, 90)] + [["again"] * 25, ["x", "y"] * 15]
+    shared = [rng.choice(vocabulary) for _ in range(15)]
+    base += [[rng.choice(vocabulary) for _ in range(10)] + shared for _ in range(4)]
+    rows = []
+    for k in range(70):
+        lines = [" ".join(edited(rng, w, rng.choice([0, 1, 2, 3, 4, 6]) if len(w) > 12 else rng.choice([0, 1, 2]))) for w in rng.sample(base, 4)]
+        rows.append((k, "\n".join(lines), None))
+    got = sorted((r.doc_id, r.line_no, r.keep_doc, r.keep_line) for r in line_verdicts(spark.createDataFrame(rows, KIND), percent=percent, short=short).collect())
+    places = sorted((k, no, line.split()) for k, t, _ in rows for no, line in enumerate(t.split("\n")))
+    least, want = short or 8, []
+    for k, no, w in places:
+        def like(v, w=w):
+            bound = max(1, max(len(v), len(w)) * percent // 100)
+            return v == w or (min(len(v), len(w)) >= least and abs(len(v) - len(w)) <= bound and distance(v, w) <= bound)
+        want.append((k, no, *(min([(a, b) for a, b, v in places if (a, b) < (k, no) and v and w and like(v)], default=(k, no)))))
+    # The first place of an equal line stands for it.
+    assert got == sorted(want)
