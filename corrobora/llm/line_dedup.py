@@ -261,7 +261,9 @@ def _first_grams(percent: int, min_words: int, heat: np.ndarray):
 def _texts(source: DataFrame, places: DataFrame) -> DataFrame:
     """Documents' texts with the numbers of those of their lines that are among ``places`` (column first)."""
     wanted = written(places.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.line_no").alias("nos")))
-    few = wanted.count() <= BROADCAST_ROWS
+    # A document has any number of lines, so both are counted.
+    held = wanted.agg(F.count("*") + F.coalesce(F.sum(F.size("nos")), F.lit(0))).first()[0]
+    few = held <= BROADCAST_ROWS
     return source.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "nos")
 
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from corrobora.llm import line_dedup as module
 from corrobora.llm.line_dedup import alike, dedup_lines, line_verdicts, within
 
 KIND = "doc_id long, text string, line_no string"
@@ -115,3 +116,13 @@ def test_bound_grows_with_length(spark, percent, short):
         want.append((k, no, *(min([(a, b) for a, b, v in places if (a, b) < (k, no) and v and w and like(v)], default=(k, no)))))
     # The first place of an equal line stands for it.
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("limit,hints", [(1000, 1), (100, 0)])
+def test_line_numbers_count_for_the_broadcast(spark, monkeypatch, limit, hints):
+    monkeypatch.setattr(module, "BROADCAST_ROWS", limit)
+    source = spark.createDataFrame([(k, b"line\n" * 50) for k in range(3)], "doc_id long, text binary")
+    places = spark.createDataFrame([((k, no),) for k in range(3) for no in range(50)], f"first {module.PLACE}")
+    found = module._texts(source, places)
+    assert found._jdf.queryExecution().analyzed().toString().count("strategy=broadcast") == hints
+    assert sorted((r.doc_id, len(r.nos)) for r in found.collect()) == [(0, 50), (1, 50), (2, 50)]
