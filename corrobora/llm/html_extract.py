@@ -25,8 +25,11 @@ CONTAINERS = frozenset("article aside blockquote center dd details dialog div dl
 BOILER_TAGS = frozenset("aside dialog fieldset footer form header menu nav".split())
 MAIN_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-UNSEEN = frozenset("audio button canvas head iframe math noscript object optgroup option script select style svg template textarea title video".split())
+UNSEEN = frozenset("annotation annotation-xml audio button canvas head iframe noscript object optgroup option script select style svg template textarea title video".split())
 HINTS = frozenset("ad ads advert advertisement advertorial adverts alert banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies disqus footer form gdpr header login masthead menu nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split())
+# Names that tell what a page has or can do (no-sidebar, search-enabled), or how it is laid out (right-sidebar).
+ABOUT_FIRST, ABOUT_LAST = frozenset("has have no with without".split()), frozenset("disabled enabled".split())
+SIDES = frozenset("both left right".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -45,15 +48,30 @@ class Block:
     heading: bool
 
 
-def _hinted(attributes: str) -> bool:
-    return any(part in HINTS for found in NAMED.finditer(attributes) for part in PART.split(CAMEL.sub(" ", found[1] or found[2] or found[3] or "").lower()))
+def _hinted(attributes: str) -> int:
+    """2 for a hint, 1 for one that may be a layout around the article, 0 for none."""
+    best = 0
+    for found in NAMED.finditer(attributes):
+        for name in (found[1] or found[2] or found[3] or "").split():
+            parts = [part for part in PART.split(CAMEL.sub(" ", name).lower()) if part]
+            if any(part in HINTS for part in parts) and parts[0] not in ABOUT_FIRST and parts[-1] not in ABOUT_LAST:
+                best = max(best, 1 if any(part in SIDES for part in parts) else 2)
+    return best
+
+
+def _within(tag: str, hint: int, attributes: str) -> int:
+    """The hint from an opened container on: none passes into a main element, a layout's not into an article."""
+    if tag == "main":
+        return 0
+    hint = max(hint, _hinted(attributes))
+    return 0 if tag == "article" and hint == 1 else hint
 
 
 def text_blocks(page: str) -> list[Block]:
     """The page's non-empty blocks in order, references decoded and white space collapsed."""
     found: list[Block] = []
     pieces: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, and whether main, boiler or hint holds from it on
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, and whether main, boiler or hint holds from it on
     heading = False
     links = 0
 
@@ -64,8 +82,8 @@ def text_blocks(page: str) -> list[Block]:
             if text:
                 linked = sum(len(html.unescape(p).split()) for p, inside in pieces if inside)
                 words = text.count(" ") + 1
-                _, main, boiler, hint = stack[-1] if stack else ("", False, False, False)
-                found.append(Block(text, words, min(linked, words), main, boiler, hint, heading))
+                _, main, boiler, hint = stack[-1] if stack else ("", False, False, 0)
+                found.append(Block(text, words, min(linked, words), main, boiler, hint > 0, heading))
             pieces = []
 
     at = 0
@@ -102,8 +120,8 @@ def text_blocks(page: str) -> list[Block]:
                 if depth is not None:
                     del stack[depth:]
             else:
-                _, main, boiler, hint = stack[-1] if stack else ("", False, False, False)
-                stack.append((tag, main or tag in MAIN_TAGS, boiler or tag in BOILER_TAGS, hint or _hinted(attributes)))
+                _, main, boiler, hint = stack[-1] if stack else ("", False, False, 0)
+                stack.append((tag, main or tag in MAIN_TAGS, boiler or tag in BOILER_TAGS, _within(tag, hint, attributes)))
     if at < len(page):
         pieces.append((page[at:], links > 0))
     close()

@@ -47,3 +47,29 @@ def test_tree_separates_its_table():
     x, y = np.array([[0, 1], [1, 0], [1, 1], [0, 0]], float), np.array([1, 1, 0, 0], float)
     tree = grow(x, y)
     assert [tree(r) for r in x] == [True, True, False, False]
+
+
+@pytest.mark.parametrize(
+    "opened,closed",
+    [
+        ("<main class='content no-sidebar'>", "</main>"),
+        ("<div id='content' class='right-sidebar'><article>", "</article></div>"),
+        ("<div class='search-enabled'><article>", "</article></div>"),
+        ("<div class='content-sidebar-wrap'><main>", "</main></div>"),
+    ],
+)
+def test_layout_names_around_the_article(opened, closed):
+    text = "Words of a long enough paragraph follow here, and then some more of them."
+    advert = "<div class='ad'>Buy this now while the offer of a lifetime lasts for you.</div>"
+    assert main_text(f"<body>{opened}<p>{text}</p>{advert}<p>{text}</p>{closed}</body>") == f"{text}\n\n{text}"
+
+
+def test_hints_that_stay():
+    comment = "I read the whole article twice and I must say that it was quite good, thanks."
+    page = f"<body><article><p>{'Main words go here. ' * 5}</p></article><div class='comments'><article><p>{comment}</p></article></div><article class='comment'><p>{comment}</p></article></body>"
+    assert main_text(page) == ("Main words go here. " * 5).strip()
+
+
+def test_formulas_stay_in_the_article():
+    math = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='TeX'>x=2</annotation></semantics></math>"
+    assert main_text(f"<article><p>We know that {math} holds for all of these many cases.</p></article>") == "We know that x=2 holds for all of these many cases."
