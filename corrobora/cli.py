@@ -7,23 +7,41 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
+from collections.abc import Callable
 from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corrobora import __version__
 from corrobora import config as settings
 from corrobora.functions import hashing as H
 from corrobora.functions import text as T
-from corrobora.operators import assess, chunks, report, review, vectors
+from corrobora.operators import assess, chunks, remote, report, review, vectors
 from corrobora.operators.ordering import with_position
 from corrobora.session import session
 from corrobora.sources import catalogue, documents
+from corrobora.tables import written
 
 DECISIONS = "outcome_id string, decision string, final_coverage string, note string, reviewed_by string, reviewed_at string, reviewed_against string"
 
 
+def decisions(spark: SparkSession, path: str) -> DataFrame:
+    """(outcome_id, decision, final_coverage, note) of a reviewers' file: CSV with a header, JSON or Parquet."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind == "csv":
+        rows = spark.read.option("header", True).option("multiLine", True).csv(path)
+    elif kind in ("json", "jsonl"):
+        rows = spark.read.option("multiLine", kind == "json").json(path)
+    else:
+        rows = spark.read.parquet(path)
+    if missing := {"outcome_id", "decision"} - set(rows.columns):
+        raise ValueError(f"{path}: no column {', '.join(sorted(missing))}")
+    return rows.select("outcome_id", *(F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("decision", "final_coverage", "note")))
+
+
 class Run:
     """One working folder with its settings."""
 
@@ -31,24 +49,40 @@ class Run:
         self.spark, self.config, self.at = spark, config, config["workDir"].rstrip("/")
         self.now = config["fixedNow"] or datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
 
+    def _fs(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _write(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes beside and swaps, so a failed run leaves the table as it was."""
+        """Writes beside, moves the old table aside and the new one in, so that one of them is whole at any time."""
         df.write.mode("overwrite").parquet(f"{self.at}/{name}.new")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(self.at).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(path(f"{self.at}/{name}"), True)
-        fs.rename(path(f"{self.at}/{name}.new"), path(f"{self.at}/{name}"))
+        (new, fs), (now, _), (old, _) = self._fs(f"{name}.new"), self._fs(name), self._fs(f"{name}.old")
+        fs.delete(old, True)
+        if fs.exists(now) and not fs.rename(now, old):
+            raise OSError(f"cannot move {now}")
+        if not fs.rename(new, now):
+            raise OSError(f"cannot move {new}")
+        fs.delete(old, True)
         return self._read(name)
 
     def _has(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        """Is the table there? One that a crash left aside, between the two moves, goes back."""
+        (now, fs), (old, _) = self._fs(name), self._fs(f"{name}.old")
+        if not fs.exists(now) and fs.exists(old):
+            fs.rename(old, now)
+        return fs.exists(now)
 
     def _read(self, name: str) -> DataFrame:
         if not self._has(name):
             raise FileNotFoundError(f"{name} is missing in {self.at}: run the stage that makes it first")
         return self.spark.read.parquet(f"{self.at}/{name}")
 
+    def _embedder(self) -> tuple[str, str | Callable]:
+        """The embedder's identity, which the index keeps, and the embedder."""
+        c = self.config["embeddings"]
+        model = remote.model_of("embeddings", c)
+        return model if model == c["provider"] else f"{c['provider']}:{model}", remote.embedder_of(c)
+
     def ingest(self) -> dict:
         c = self.config
         parsed = self._write(documents.load(self.spark, c["docsPath"]), "parsed")
@@ -57,39 +91,66 @@ class Run:
         segments = files.select("doc_id", F.posexplode("segments").alias("seg", "s")).select("doc_id", "seg", "s.page", "s.text")
         made = chunks.chunk(segments, c["chunk"]["size"], c["chunk"]["overlap"]).join(files.select("doc_id", "path", F.col("file").alias("source_file")), "doc_id")
         made = made.withColumn("id", chunks.chunk_id(F.col("path"), F.col("source_file"), F.col("page"), F.col("ord")))
-        made = vectors.embed(made, "text", c["embeddings"]["provider"], batch=c["embeddings"]["batchSize"])
+        identity, embedder = self._embedder()
+        made = vectors.embed(made, "text", embedder, batch=c["embeddings"]["batchSize"])
         stored = self._write(with_position(made, "pos", F.col("doc_id"), F.col("ord")), "chunks")
         if stored.isEmpty():
             raise ValueError("no document gave any text")
-        self._write(chunks.index_id(stored, c["embeddings"]["provider"], c["chunk"]["size"], c["chunk"]["overlap"]).withColumn("embedder", F.lit(c["embeddings"]["provider"])), "index")
+        dim = stored.select(F.size("vector").alias("n")).first().n
+        index = chunks.index_id(stored, identity, c["chunk"]["size"], c["chunk"]["overlap"])
+        self._write(index.withColumns({"embedder": F.lit(identity), "dim": F.lit(dim), "created_at": F.lit(self.now)}), "index")
         return counts
 
-    def analyze(self) -> int:
+    def analyze(self) -> dict:
+        """Judges what is not judged yet under these settings; returns how many, how many were there, and the flagged."""
         c = self.config
         index = self._read("index").first()
-        if index.embedder != c["embeddings"]["provider"]:
-            raise ValueError(f"the index was made with {index.embedder}, the settings name {c['embeddings']['provider']}")
-        sig = H.engine_signature(c["embeddings"]["provider"], c["llm"]["provider"], c["retrieval"]["topK"], c["chunk"]["size"], c["chunk"]["overlap"], c["analysis"]["critique"], index.index_id)
+        identity, embedder = self._embedder()
+        if index.embedder != identity:
+            raise ValueError(f"the index was made with {index.embedder}, the settings name {identity}")
+        judge, warnings = remote.judge_of(c["llm"])
+        for w in warnings:
+            print(f"warning: {w}")
+        sig = H.engine_signature(remote.model_of("embeddings", c["embeddings"]), remote.model_of("llm", c["llm"]), c["retrieval"]["topK"], c["chunk"]["size"], c["chunk"]["overlap"], c["analysis"]["critique"], index.index_id)
         outcomes = catalogue.load(self.spark, c["cataloguePath"]).withColumnRenamed("id", "outcome_id")
         stored = self._read("assessments") if self._has("assessments") else None
         todo = assess.unfinished(outcomes, stored, sig, force=c["force"]) if stored is not None else outcomes
         rows = self._read("chunks")
-        asked = vectors.embed(todo.select(F.col("outcome_id").alias("qid"), F.col("outcome").alias("text")), "text", c["embeddings"]["provider"]).select("qid", "vector")
-        best = vectors.top_k(rows.select("id", "vector"), asked, c["retrieval"]["topK"], row_id="id").withColumnRenamed("qid", "outcome_id")
+        asked = written(vectors.embed(todo.select(F.col("outcome_id").alias("qid"), F.col("outcome").alias("text")), "text", embedder, batch=c["embeddings"]["batchSize"]).select("qid", "vector"))
+        if asked.where(F.size("vector") != index.dim).count():
+            raise ValueError(f"outcomes have other vectors than the index, which has {index.dim} dimensions")
+        best = written(vectors.top_k(rows.select("id", "vector"), asked, c["retrieval"]["topK"], row_id="id").withColumnRenamed("qid", "outcome_id"))
         hits = best.withColumnRenamed("id", "chunk_id").join(rows.select(F.col("id").alias("chunk_id"), "source_file", "page", "text"), "chunk_id")
-        new = assess.assess(todo.select("outcome_id", "outcome"), hits, c["llm"]["provider"], c["analysis"]["confidenceThreshold"], c["analysis"]["critique"])
-        new = new.withColumns({"engine_sig": F.lit(sig), "assessed_at": F.lit(self.now), "hash": H.assessment_hash(F.col("coverage"), F.coalesce("evidence", F.array().cast(new.schema["evidence"].dataType)))})
-        return self._write(assess.upsert(stored, new) if stored is not None else new, "assessments").count()
+        new = assess.assess(todo.select("outcome_id", "outcome"), hits, judge, c["analysis"]["confidenceThreshold"], c["analysis"]["critique"])
+        new = assess.enriched(new, outcomes, hits).withColumns({"engine_sig": F.lit(sig), "assessed_at": F.lit(self.now), "hash": H.assessment_hash(F.col("coverage"), F.coalesce("evidence", F.array().cast(new.schema["evidence"].dataType)))})
+        new = written(new)
+        # An outcome whose request failed was not judged: it stays to be asked again, the others are kept.
+        unanswered = F.coalesce(F.col("fallback_reason").startswith(remote.UNANSWERED), F.lit(False))
+        done = new.where(~unanswered)
+        kept = self._write(assess.upsert(stored, done) if stored is not None else done, "assessments")
+        failed = new.where(unanswered)
+        if n := failed.count():
+            raise remote.ServiceError(f"{n} of {new.count()} outcomes were not judged: {failed.first().fallback_reason}")
+        total = outcomes.count()
+        made = done.count()
+        return {"assessed": made, "reused": total - made, "fallback": done.where("fallback").count(), "flagged": assess.flagged(kept).first().flagged}
 
     def review(self) -> dict:
-        """Accepts the queue; decisions made elsewhere are rows of the same table."""
+        """Takes decisions from a file, or accepts the queue; decisions made elsewhere are rows of the same table."""
+        c = self.config
         decided = self._read("decisions") if self._has("decisions") else self.spark.createDataFrame([], DECISIONS)
-        rows = review.joined(self._read("assessments"), decided)
-        if self.config["acceptAll"]:
-            new = review.accept_all(rows, self.config["identity"], self.now, self.config["review"]["showAll"])
+        assessed = self._read("assessments")
+        rows, skipped = review.joined(assessed, decided), 0
+        if c["decisionsPath"]:
+            given = decisions(self.spark, c["decisionsPath"])
+            skipped = given.where("lower(trim(decision)) = 'skip'").count()
+            decided = self._write(assess.upsert(decided, review.decide(rows, given, c["identity"], self.now)), "decisions")
+            rows = review.joined(assessed, decided)
+        if c["acceptAll"]:
+            new = review.accept_all(rows, c["identity"], self.now, c["review"]["showAll"])
             decided = self._write(assess.upsert(decided, new), "decisions")
-            rows = review.joined(self._read("assessments"), decided)
-        return review.stats(rows).first().asDict()
+            rows = review.joined(assessed, decided)
+        return review.stats(rows).first().asDict() | {"skipped": skipped}
 
     def report(self) -> dict:
         """Profile JSON, gaps-first Markdown and the evidence map, all from one profile."""
@@ -111,31 +172,44 @@ class Run:
 
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="corrobora", description=__doc__)
-    parser.add_argument("command", choices=["init", "ingest", "analyze", "review", "report", "all"])
+    parser.add_argument("command", choices=["init", "ingest", "analyze", "review", "report", "all", "run"])
     parser.add_argument("--config", default="corrobora.config.json")
-    for flag in ("docs", "catalogue", "out", "embed-provider", "embed-model", "llm-provider", "llm-model", "identity", "now"):
+    parser.add_argument("--out", "--work-dir")
+    parser.add_argument("--now", "--fixed-now")
+    for flag in ("docs", "catalogue", "embed-provider", "embed-model", "llm-provider", "llm-model", "identity", "decisions", "env", "log-level"):
         parser.add_argument(f"--{flag}")
-    for flag in ("top-k", "chunk-size", "chunk-overlap"):
+    for flag in ("top-k", "chunk-size", "chunk-overlap", "batch-size", "max-tokens", "quote-chars"):
         parser.add_argument(f"--{flag}", type=int)
-    parser.add_argument("--threshold", type=float)
-    for flag in ("critique", "strict", "show-all", "accept-all", "force", "local"):
+    for flag in ("threshold", "temperature"):
+        parser.add_argument(f"--{flag}", type=float)
+    parser.add_argument("--critique", action=argparse.BooleanOptionalAction)
+    parser.add_argument("--show-all", "--all", action="store_true", default=None)
+    for flag in ("strict", "accept-all", "force", "local"):
         parser.add_argument(f"--{flag}", action="store_true", default=None)
+    for flag, level in (("verbose", "debug"), ("quiet", "quiet")):
+        parser.add_argument(f"--{flag}", action="store_const", const=level, dest="log_level")
+    parser.add_argument("--version", action="version", version=f"%(prog)s {__version__}")
     a = parser.parse_args(args)
     if a.command == "init":
         if not Path(a.config).exists():
             Path(a.config).write_text(json.dumps(settings.DEFAULTS, indent=2) + "\n")
         return
     flags = {
-        "docsPath": a.docs, "cataloguePath": a.catalogue, "workDir": a.out, "identity": a.identity, "fixedNow": a.now, "acceptAll": a.accept_all, "force": a.force, "local": a.local,
-        "chunk": {"size": a.chunk_size, "overlap": a.chunk_overlap}, "embeddings": {"provider": a.embed_provider, "model": a.embed_model}, "llm": {"provider": a.llm_provider, "model": a.llm_model},
+        "docsPath": a.docs, "cataloguePath": a.catalogue, "workDir": a.out, "identity": a.identity, "fixedNow": a.now, "acceptAll": a.accept_all, "force": a.force, "local": a.local, "decisionsPath": a.decisions, "envPath": a.env, "logLevel": a.log_level,
+        "chunk": {"size": a.chunk_size, "overlap": a.chunk_overlap}, "embeddings": {"provider": a.embed_provider, "model": a.embed_model, "batchSize": a.batch_size},
+        "llm": {"provider": a.llm_provider, "model": a.llm_model, "temperature": a.temperature, "maxTokens": a.max_tokens}, "report": {"evidenceQuoteMaxChars": a.quote_chars},
         "retrieval": {"topK": a.top_k}, "analysis": {"confidenceThreshold": a.threshold, "critique": a.critique, "strict": a.strict}, "review": {"showAll": a.show_all},
     }
     config, warnings = settings.load(a.config, flags)
-    for w in warnings:
+    settings.load_env(config["envPath"], os.environ)
+    quiet = config["logLevel"] in ("error", "quiet")
+    for w in warnings if not quiet else []:
         print(f"warning: {w}")
     run = Run(session(), config)
-    for stage in ["ingest", "analyze", "review", "report"] if a.command == "all" else [a.command]:
-        print(stage, getattr(run, stage)())
+    for stage in ["ingest", "analyze", "review", "report"] if a.command in ("all", "run") else [a.command]:
+        done = getattr(run, stage)()
+        if not quiet and config["logLevel"] != "warn":
+            print(stage, done)
 
 
 if __name__ == "__main__":

@@ -18,6 +18,8 @@ DEFAULTS: dict = {
     "analysis": {"confidenceThreshold": 0.6, "critique": False, "strict": False},
     "review": {"showAll": False},
     "acceptAll": False,
+    "decisionsPath": None,
+    "envPath": ".env",
     "report": {"evidenceQuoteMaxChars": 300},
     "identity": None,
     "fixedNow": None,
@@ -26,6 +28,8 @@ DEFAULTS: dict = {
     "logLevel": "info",
 }
 RULES: dict = {
+    "embeddings.provider": {"mock", "openai"},
+    "llm.provider": {"lexical", "mock", "openai", "ollama"},
     "chunk.size": (int, 100, 100_000),
     "chunk.overlap": (int, 0, 99_999),
     "embeddings.batchSize": (int, 1, 2048),

@@ -29,6 +29,27 @@ def half_up(c: Column, scale: int = 0) -> Column:
     return F.floor(c * factor + 0.5) / factor if scale else F.floor(c + 0.5)
 
 
+def to_fixed(c: Column, scale: int = 2) -> Column:
+    """The nearest multiple of 10^-scale to the double's exact value, halves up, for values that are not negative.
+
+    Rounding in decimal notation goes by the shortest decimal, and x * 10^scale is rounded itself: both give 0.73
+    for 0.725, whose double lies below. So the product is taken with its error, which is exact: the halves of x
+    have at most 27 digits each, and so do their products with 10^scale.
+    """
+    if not 0 <= scale <= 7:
+        raise ValueError("scale must be 0 to 7")
+    factor = F.lit(float(10**scale))
+    x = c.cast("double")
+    wide = x * 134217729.0
+    high = wide - (wide - x)
+    product = x * factor
+    error = (high * factor - product) + (x - high) * factor
+    whole = F.floor(product)
+    part = product - whole
+    up = (part > 0.5) | ((part == 0.5) & (error >= 0))
+    return (whole + F.when(up, 1).otherwise(0)) / factor
+
+
 def percent(part: Column, total: Column) -> Column:
     """A whole percentage, halves up; 0 of nothing."""
     return F.when(total > 0, half_up(part / total * 100)).otherwise(F.lit(0)).cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corrobora.functions import text as T
-from corrobora.functions.numbers import clamp, half_up
+from corrobora.functions.numbers import clamp, to_fixed
 
 
 def _best_sentence(sentences, words):
@@ -45,7 +45,7 @@ def lexical(outcomes: DataFrame, hits: DataFrame, key: str = "outcome_id") -> Da
         "n_keywords",
         "matched",
         "coverage",
-        half_up(F.col("raw"), 2).alias("confidence"),
+        to_fixed(F.col("raw"), 2).alias("confidence"),
         "quote",
         F.when(~F.col("nothing"), F.col("source_file")).alias("source_file"),
         reason.alias("rationale"),
@@ -53,8 +53,11 @@ def lexical(outcomes: DataFrame, hits: DataFrame, key: str = "outcome_id") -> Da
     )
 
 
-def lexical_verdicts(outcomes: DataFrame, hits: DataFrame, key: str = "outcome_id") -> DataFrame:
-    """The lexical judge's verdicts in the form that ``assess`` takes; see JUDGES."""
+def lexical_verdicts(outcomes: DataFrame, hits: DataFrame, key: str = "outcome_id", first: DataFrame | None = None) -> DataFrame:
+    """The lexical judge's verdicts in the form that ``assess`` takes; see JUDGES. As a critic it confirms."""
+    if first is not None:
+        rationale = F.trim(F.concat(F.lit("Critique: confirmed on the same evidence. "), F.coalesce("rationale", F.lit(""))))
+        return first.select(key, "coverage", "confidence", rationale.alias("rationale"), "needs_review", "evidence", F.lit(None).cast("string").alias("fallback_reason"))
     pair = F.struct("source_file", "quote")
     none = F.array().cast("array<struct<source_file:string,quote:string>>")
     evidence = F.when(F.col("quote").isNotNull(), F.array(pair)).otherwise(none).alias("evidence")
@@ -62,5 +65,6 @@ def lexical_verdicts(outcomes: DataFrame, hits: DataFrame, key: str = "outcome_i
 
 
 #: Judges by name: functions of outcomes (key, outcome), hits and the key to rows (key, coverage, confidence,
-#: rationale, needs_review, evidence of (source_file, quote), fallback_reason). See ``remote.judge`` for services.
-JUDGES: dict[str, Callable] = {"lexical": lexical_verdicts}
+#: rationale, needs_review, evidence of (source_file, quote), fallback_reason). For a critique they also get the first
+#: judgements in the same form, without the reason, and answer those. See ``remote.judge`` for services.
+JUDGES: dict[str, Callable] = {"lexical": lexical_verdicts, "mock": lexical_verdicts}

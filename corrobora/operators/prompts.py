@@ -34,6 +34,11 @@ def task(outcomes: DataFrame, hits: DataFrame, key: str = "outcome_id") -> DataF
     return rows.select(key, F.concat(F.lit("Outcome "), F.col(key).cast("string"), F.lit(": "), F.col("outcome"), F.lit("\n\nExcerpts:\n"), F.coalesce("evidence", F.lit(NOTHING)), F.lit("\n\n" + ASK)).alias("prompt"))
 
 
+def judgement(key: Column) -> Column:
+    """The JSON of a judgement (coverage, confidence, evidence, rationale, needs_review), as a critic is shown it."""
+    return F.to_json(F.struct(key.cast("string").alias("subcategory_id"), "coverage", "confidence", "evidence", "rationale", "needs_review"))
+
+
 def critique(prompt: Column, first: Column) -> Column:
     return F.concat(prompt, F.lit("\n\nA first judgement was:\n"), first, F.lit("\nQuestion it sceptically, correct what the excerpts do not support, and give the whole object again."))
 

@@ -1,28 +1,31 @@
 """Model services over HTTP, as judges and embedders.
 
 A sender is made once per task from plain settings, so nothing unpicklable travels; keys come from the
-executors' environment. Replies are kept by a checkpoint before they are used, as asking twice may answer
-differently.
+executors' environment. Replies are written before they are used, as asking twice may answer differently. A
+request that fails is its own row's failure, so that no answer already paid for is lost.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import tempfile
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corrobora.operators import contract, prompts
 from corrobora.operators.vectors import unit
+from corrobora.tables import written
 
 INVALID = "model output failed schema validation after one retry"
+#: Starts the fallback reason of a row whose request failed; such a row says nothing about its outcome.
+UNANSWERED = "the service did not answer: "
 
 
 class ServiceError(RuntimeError):
@@ -104,46 +107,93 @@ class HttpEmbedder:
             found = post(f"{self.url}/v1/embeddings", {"model": self.model, "input": texts}, os.environ.get(self.key_variable))["data"]
         except urllib.error.HTTPError as error:
             raise ServiceError(f"{self.url}: {error.code}") from error
-        import numpy as np
-
         return [unit(np.array(d["embedding"], np.float32)) for d in sorted(found, key=lambda d: d.get("index", 0))]
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` as it is now, in the checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corrobora-"))
-    return df.checkpoint()
-
+def ask(rows: DataFrame, send: Callable[[str], str], prompt: str = "prompt", out: str = "raw", error: str = "error") -> DataFrame:
+    """``rows`` with the service's answer to each prompt, or the error that came instead."""
 
-def ask(rows: DataFrame, send: Callable[[str], str], prompt: str = "prompt", out: str = "raw") -> DataFrame:
-    """``rows`` with the service's answer to each prompt."""
-
-    @F.pandas_udf("string")
-    def answers(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def answer(text: str) -> tuple[str | None, str | None]:
+        try:
+            return send(text), None
+        except ServiceError as why:
+            return None, f"{UNANSWERED}{why}"
+        except Exception as why:  # noqa: BLE001  an answer of another shape is this row's failure
+            return None, f"{type(why).__name__}: {why}"
+
+    @F.pandas_udf("raw string, error string")
+    def answers(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield part.map(send)
+            yield pd.DataFrame([answer(text) for text in part], columns=["raw", "error"], index=part.index)
 
-    return kept(rows.withColumn(out, answers(prompt)))
+    asked = written(rows.withColumn("__answer", answers(prompt)))
+    return asked.select(*rows.columns, F.col("__answer.raw").alias(out), F.col("__answer.error").alias(error))
 
 
-def judge(send: Callable[[str], str]) -> Callable[[DataFrame, DataFrame, str], DataFrame]:
+def judge(send: Callable[[str], str]) -> Callable[..., DataFrame]:
     """A judge for ``assess`` that asks a service: the task, once more with the errors if the answer is no valid
-    object, and a fallback reason if that one is not either."""
-
-    def verdicts(outcomes: DataFrame, hits: DataFrame, key: str = "outcome_id") -> DataFrame:
-        first = contract.validated(ask(prompts.task(outcomes, hits, key), send))
-        bad = first.where("not ok").select(key, prompts.repair(F.col("prompt"), F.col("errors")).alias("prompt"))
-        both = first.where("ok").select(key, "value", "ok").unionByName(contract.validated(ask(bad, send)).select(key, "value", "ok"))
-        return both.select(
+    object, and a fallback reason if that one is not either. A critique is asked once only."""
+
+    def verdicts(outcomes: DataFrame, hits: DataFrame, key: str = "outcome_id", first: DataFrame | None = None) -> DataFrame:
+        tasks = prompts.task(outcomes, hits, key)
+        if first is not None:
+            shown = first.select(key, prompts.judgement(F.col(key)).alias("__first"))
+            tasks = tasks.join(shown, key).select(key, prompts.critique(F.col("prompt"), F.col("__first")).alias("prompt"))
+        answers = contract.validated(ask(tasks, send))
+        columns = [key, "value", "ok", "error"]
+        if first is None:
+            again = F.col("error").isNull() & ~F.col("ok")
+            bad = answers.where(again).select(key, prompts.repair(F.col("prompt"), F.col("errors")).alias("prompt"))
+            answers = answers.where(~again).select(*columns).unionByName(contract.validated(ask(bad, send)).select(*columns))
+        why = F.when(~F.col("ok"), F.coalesce("error", F.lit(INVALID)))
+        return answers.select(
             key,
             F.when(F.col("ok"), F.col("value.coverage")).otherwise("none").alias("coverage"),
             F.when(F.col("ok"), F.col("value.confidence")).otherwise(0.0).alias("confidence"),
-            F.when(F.col("ok"), F.col("value.rationale")).otherwise(F.lit(f"Automated fallback: {INVALID}.")).alias("rationale"),
+            F.when(F.col("ok"), F.col("value.rationale")).otherwise(F.concat(F.lit("Automated fallback: "), why, F.lit("."))).alias("rationale"),
             (~F.col("ok") | F.coalesce("value.needs_review", F.lit(True))).alias("needs_review"),
             F.when(F.col("ok"), F.col("value.evidence")).otherwise(F.array().cast(contract.EVIDENCE)).alias("evidence"),
-            F.when(~F.col("ok"), F.lit(INVALID)).alias("fallback_reason"),
+            why.alias("fallback_reason"),
         )
 
     return verdicts
+
+
+# The services' variables, addresses and default models.
+CLOUD, CLOUD_KEY, CLOUD_URL = "https://api.openai.com", "OPENAI_API_KEY", "OPENAI_BASE_URL"
+DAEMON, DAEMON_URL = "http://127.0.0.1:11434", "OLLAMA_HOST"
+MODELS = {("llm", "openai"): "gpt-4o-mini", ("llm", "ollama"): "llama3.2", ("embeddings", "openai"): "text-embedding-3-small", ("llm", "lexical"): "lexical", ("embeddings", "mock"): "mock"}
+
+
+def model_of(kind: str, settings: dict) -> str:
+    """The model that the settings name, or the provider's own."""
+    return settings["model"] or MODELS.get((kind, settings["provider"]), settings["provider"])
+
+
+def _address(variable: str, default: str) -> str:
+    url = os.environ.get(variable) or default
+    url = url if url.startswith(("http://", "https://")) else f"http://{url}"
+    return url.rstrip("/").removesuffix("/v1")
+
+
+def judge_of(settings: dict) -> tuple[str | Callable, list[str]]:
+    """The judge of a provider with its model, after a pre-flight where there is one, and that one's warnings."""
+    provider, model = settings["provider"], model_of("llm", settings)
+    if provider == "openai":
+        if not os.environ.get(CLOUD_KEY):
+            raise ServiceError(f"{CLOUD_KEY} is not set")
+        return judge(Chat(_address(CLOUD_URL, CLOUD), model, settings["temperature"], settings["maxTokens"], CLOUD_KEY)), []
+    if provider == "ollama":
+        chat = LocalChat(_address(DAEMON_URL, DAEMON), model, settings["temperature"])
+        return judge(chat), chat.preflight()
+    return provider, []
+
+
+def embedder_of(settings: dict) -> str | Callable:
+    """A provider's embedder: a name in EMBEDDERS, or what makes one in each task."""
+    if settings["provider"] != "openai":
+        return settings["provider"]
+    if not os.environ.get(CLOUD_KEY):
+        raise ServiceError(f"{CLOUD_KEY} is not set")
+    made = HttpEmbedder(_address(CLOUD_URL, CLOUD), model_of("embeddings", settings), CLOUD_KEY)
+    return lambda: made

@@ -18,7 +18,8 @@ def profile(outcomes: DataFrame, assessments: DataFrame, decisions: DataFrame, k
     """Outcomes LEFT JOIN assessments LEFT JOIN decisions; what was not assessed is none, confidence 0, to review."""
     from corrobora.operators.review import joined
 
-    rows = outcomes.join(assessments, key, "left").withColumns({
+    own = assessments.drop(*(c for c in outcomes.columns if c != key))
+    rows = outcomes.join(own, key, "left").withColumns({
         "coverage": F.coalesce("coverage", F.lit("none")), "confidence": F.coalesce("confidence", F.lit(0.0)), "needs_review": F.coalesce("needs_review", F.lit(True)), "downgraded": F.coalesce("downgraded", F.lit(False)),
     })
     rows = joined(rows, decisions, key)

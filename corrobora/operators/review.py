@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corrobora.functions.hashing import assessment_hash
+from corrobora.functions.numbers import LEVELS
+
 
 def status(current_hash: Column, decision: Column, reviewed_against: Column) -> Column:
     """unreviewed without a decision, reviewed if it saw this assessment, else stale."""
@@ -35,6 +38,32 @@ def accept_all(rows: DataFrame, by: str | None = None, at: str | None = None, sh
     )
 
 
+DECISIONS = ("accept", "override", "note", "skip")
+
+
+def decide(rows: DataFrame, given: DataFrame, by: str | None = None, at: str | None = None, key: str = "outcome_id") -> DataFrame:
+    """Decisions from what reviewers gave: (key, decision[, final_coverage, note]).
+
+    accept and note take the coverage as it is, note with its remark; override needs a coverage level; skip decides
+    nothing. A decision on an outcome that was not assessed counts as one on a synthetic none. Of several for one
+    outcome the job fails, as it does for anything else than these four.
+    """
+    text = lambda c: (F.trim(F.col(c).cast("string")) if c in given.columns else F.lit(None).cast("string")).alias(c)
+    asked = given.select(key, F.lower(text("decision")).alias("__d"), F.lower(text("final_coverage")).alias("__f"), text("note").alias("__n"))
+    good = F.col("__d").isin(*DECISIONS) & ((F.col("__d") != "override") | F.coalesce(F.col("__f").isin(*LEVELS), F.lit(False)))
+    why = F.concat(F.lit("no decision: "), F.concat_ws(" ", F.col(key).cast("string"), "__d", "__f"))
+    asked = asked.where(F.when(F.coalesce(good, F.lit(False)), F.lit(True)).otherwise(F.raise_error(why).cast("boolean")))
+    once = asked.groupBy(key).agg(F.first("__d").alias("__d"), F.first("__f").alias("__f"), F.first("__n").alias("__n"), F.count("*").alias("__k"))
+    once = once.where(F.when(F.col("__k") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("several decisions: "), F.col(key).cast("string"))).cast("boolean")))
+    seen = once.where("__d <> 'skip'").join(rows.select(key, "coverage", "hash"), key, "left")
+    over = F.col("__d") == "override"
+    return seen.select(
+        key, F.when(over, "override").otherwise("accept").alias("decision"), F.when(over, F.col("__f")).otherwise(F.coalesce("coverage", F.lit("none"))).alias("final_coverage"),
+        F.nullif("__n", F.lit("")).alias("note"), F.lit(by).cast("string").alias("reviewed_by"), F.lit(at).cast("string").alias("reviewed_at"),
+        F.coalesce("hash", assessment_hash(F.lit("none"), F.array().cast("array<struct<source_file:string,quote:string>>"))).alias("reviewed_against"),
+    )
+
+
 def stats(rows: DataFrame) -> DataFrame:
     """One row: reviewed (accepted), overridden, skipped and remaining."""
     good = F.col("review_status") == "reviewed"

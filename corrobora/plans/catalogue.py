@@ -75,9 +75,9 @@ def s1_discover(spark, sf):
     return D.discover(_paths(spark, sf))
 
 
-@query("SELECT doc_id, NULL::INTEGER AS page, length(coalesce(text, '')) AS n_chars FROM documents")
+@query("SELECT doc_id, NULL::INTEGER AS page, sha256(ltrim(coalesce(text, ''), '\ufeff')) AS sha FROM documents")
 def s2_text_segments(spark, sf):
-    return D.text_segments(table(spark, sf, "documents")).select("doc_id", "page", F.length("text").cast("long").alias("n_chars"))
+    return D.text_segments(table(spark, sf, "documents")).select("doc_id", "page", F.sha2("text", 256).alias("sha"))
 
 
 @query("""
@@ -113,9 +113,9 @@ def f1_norm_chunk(spark, sf):
     return I.documents(spark, sf).select("doc_id", F.sha2(T.norm_for_chunks("text"), 256).alias("sha"))
 
 
-@query(f"WITH {DOCS} SELECT doc_id, regexp_replace(source || ' / ' || text[1:40], '[^A-Za-z0-9._-]+', '_', 'g') AS slug FROM docs")
+@query(f"WITH {DOCS} SELECT doc_id, regexp_replace(source || ' / ' || text, '[^A-Za-z0-9._-]+', '_', 'g') AS slug FROM docs")
 def f3_slug(spark, sf):
-    return I.documents(spark, sf).select("doc_id", T.slug(F.concat("source", F.lit(" / "), F.substring("text", 1, 40))).alias("slug"))
+    return I.documents(spark, sf).select("doc_id", T.slug(F.concat("source", F.lit(" / "), "text")).alias("slug"))
 
 
 @query(f"""
@@ -150,10 +150,10 @@ def f5_norm_match(spark, sf):
     return T.with_norm(I.documents(spark, sf).select("doc_id", "text"), "text", "norm").select("doc_id", F.sha2("norm", 256).alias("sha"))
 
 
-@query(f"WITH {DOCS}, t AS (SELECT doc_id, {TOKENS % ('text', 3)} AS k FROM docs) SELECT doc_id, len(k) AS n, array_to_string(k[1:5], ' ') AS first FROM t")
+@query(f"WITH {DOCS}, t AS (SELECT doc_id, {TOKENS % ('text', 3)} AS k FROM docs) SELECT doc_id, len(k) AS n, sha256(array_to_string(k, ' ')) AS sha FROM t")
 def f6_tokens(spark, sf):
     rows = I.documents(spark, sf).select("doc_id", T.tokens("text").alias("k"))
-    return rows.select("doc_id", F.size("k").cast("long").alias("n"), F.array_join(F.slice("k", 1, 5), " ").alias("first"))
+    return rows.select("doc_id", F.size("k").cast("long").alias("n"), F.sha2(F.array_join("k", " "), 256).alias("sha"))
 
 
 @query(f"SELECT item_id, array_to_string({_keywords_sql('text')}, ' ') AS words FROM benchmark")
@@ -166,10 +166,10 @@ def a4_distinct(spark, sf):
     return table(spark, sf, "documents").select("source", "lang").distinct()
 
 
-@query(f"WITH {DOCS}, s AS (SELECT doc_id, {_sentences_sql('text')} AS s FROM docs) SELECT doc_id, len(s) AS n, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS longest FROM s")
+@query(f"WITH {DOCS}, s AS (SELECT doc_id, {_sentences_sql('text')} AS s FROM docs) SELECT doc_id, len(s) AS n, sha256(array_to_string(s, chr(10))) AS sha FROM s")
 def f8_sentences(spark, sf):
     rows = I.documents(spark, sf).select("doc_id", T.sentences("text").alias("s"))
-    return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).cast("long").alias("longest"))
+    return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.sha2(F.array_join("s", "\n"), 256).alias("sha"))
 
 
 @query(f"""
@@ -243,13 +243,13 @@ def u1_hash_vector(spark, sf):
 
 
 @query("""
-    SELECT vec_id, len(embedding) AS dims, abs(list_sum(list_transform(u, lambda x: x * x)) - 1) < 1e-6 AS is_unit, round(u[1], 4) AS first
-    FROM (SELECT vec_id, embedding, list_transform(embedding, lambda x: (x::DOUBLE * (label + 1)) / sqrt(list_sum(list_transform(embedding, lambda y: (y::DOUBLE * (label + 1)) * (y::DOUBLE * (label + 1)))))) AS u FROM embeddings)
+    SELECT vec_id, len(embedding) AS dims, abs(list_sum(list_transform(u, lambda x: x * x)) - 1) < 1e-6 AS is_unit, array_to_string(list_transform(u, lambda x: round(x::FLOAT::DOUBLE * 1000000)::BIGINT), ',') AS millionths
+    FROM (SELECT vec_id, embedding, list_transform(embedding, lambda x: (x::DOUBLE * (label + 1))::FLOAT::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: (y::DOUBLE * (label + 1))::FLOAT::DOUBLE * (y::DOUBLE * (label + 1))::FLOAT::DOUBLE)))) AS u FROM embeddings)
 """)
 def m1_l2norm(spark, sf):
     scaled = F.transform("embedding", lambda x: (x * (F.col("label") + 1)).cast("float"))
     rows = table(spark, sf, "embeddings").select("vec_id", N.l2_normalised(scaled).alias("u"))
-    return rows.select("vec_id", F.size("u").cast("long").alias("dims"), (F.abs(N.squares(F.col("u")) - 1) < 1e-6).alias("is_unit"), F.round(F.get("u", F.lit(0)).cast("double"), 4).alias("first"))
+    return rows.select("vec_id", F.size("u").cast("long").alias("dims"), (F.abs(N.squares(F.col("u")) - 1) < 1e-6).alias("is_unit"), F.array_join(F.transform("u", lambda x: F.round(x.cast("double") * 1000000).cast("long")), ",").alias("millionths"))
 
 
 _SCORES = """
@@ -384,7 +384,7 @@ _JUDGE = rf"""
     y AS (SELECT *, regexp_matches(quote, '(?i)\b({T.OPERATIONAL})\b') AS does, regexp_matches(quote, '(?i)\b({T.INTENT})\b') AS means FROM z),
     x AS (SELECT *, CASE WHEN nothing THEN 'none' WHEN means AND NOT does THEN 'partial' WHEN ratio >= 0.7 AND does THEN 'full' WHEN ratio >= 0.45 AND does THEN 'substantial' ELSE 'partial' END AS coverage FROM y),
     v AS (SELECT *, CASE coverage WHEN 'none' THEN 0.3::DOUBLE WHEN 'partial' THEN greatest(0.4::DOUBLE, least(0.62::DOUBLE, 0.45::DOUBLE + ratio * 0.2::DOUBLE)) WHEN 'substantial' THEN greatest(0.6::DOUBLE, least(0.82::DOUBLE, 0.6::DOUBLE + ratio * 0.2::DOUBLE)) ELSE 0.85::DOUBLE END AS raw FROM x),
-    judged AS (SELECT item_id, n_keywords, matched, coverage, floor(raw * 100 + 0.5::DOUBLE) / 100 AS confidence, quote, CASE WHEN NOT nothing THEN b.f END AS source_file, nothing OR coverage = 'partial' OR raw < 0.6 AS needs_review FROM v)
+    judged AS (SELECT item_id, n_keywords, matched, coverage, round(format('{{:.25f}}', raw)::DECIMAL(38, 25), 2)::DOUBLE AS confidence, quote, CASE WHEN NOT nothing THEN b.f END AS source_file, nothing OR coverage = 'partial' OR raw < 0.6 AS needs_review FROM v)
 """
 
 
@@ -412,9 +412,41 @@ def u4_assess(spark, sf):
     return assess.assess(*_judge_inputs(spark, sf), key="item_id").select("item_id", "coverage", "confidence", "needs_review", "downgraded", "fallback")
 
 
-@query(f"WITH {_ASSESSED} SELECT item_id, coverage, confidence, needs_review, CASE WHEN NOT fallback THEN false END AS critique_applied FROM w")
+def _sceptic(outcomes, hits, key, first=None):
+    """Judges as the lexical judge; as a critic it answers a third of the outcomes with nothing valid, lowers a third
+    of those that are covered well, and confirms the rest."""
+    judged = judge.lexical_verdicts(outcomes, hits, key, first)
+    if first is None:
+        return judged
+    lowered = (F.col(key) % 3 == 1) & F.col("coverage").isin("substantial", "full")
+    return judged.withColumns({
+        "coverage": F.when(lowered, "partial").otherwise(F.col("coverage")), "confidence": F.when(lowered, 0.5).otherwise(F.col("confidence")), "fallback_reason": F.when(F.col(key) % 3 == 0, "no object"),
+    })
+
+
+@query(f"""
+    WITH {_ASSESSED}, l AS (SELECT *, item_id % 3 = 1 AND coverage IN ('substantial', 'full') AS lowered FROM w)
+    SELECT item_id, CASE WHEN lowered THEN 'partial' ELSE coverage END AS coverage, CASE WHEN lowered THEN 0.5 ELSE confidence END AS confidence, needs_review OR lowered OR item_id % 3 = 0 AS needs_review,
+           CASE WHEN NOT fallback THEN lowered END AS critique_applied
+    FROM l
+""")
 def u6_critique(spark, sf):
-    return assess.assess(*_judge_inputs(spark, sf), critique=True, key="item_id").select("item_id", "coverage", "confidence", "needs_review", "critique_applied")
+    return assess.assess(*_judge_inputs(spark, sf), _sceptic, critique=True, key="item_id").select("item_id", "coverage", "confidence", "needs_review", "critique_applied")
+
+
+@query(f"""
+    WITH h AS ({I.HITS}), s AS (SELECT *, (length(text) % 9973) / 9973.0::DOUBLE AS score FROM h)
+    SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY rank) - 1)::INTEGER AS pos, chunk_id, source_file, page, round(format('{{:.25f}}', score)::DECIMAL(38, 25), 4)::DOUBLE AS score FROM s
+""")
+def u10_retrieved(spark, sf):
+    scored = I.hits(spark, sf).withColumn("score", F.length("text") % 9973 / 9973)
+    items = table(spark, sf, "benchmark").select("item_id")
+    return assess.enriched(items, items, scored, "item_id").select("item_id", F.posexplode("retrieved").alias("pos", "r")).select("item_id", "pos", "r.*")
+
+
+@query(f"WITH a AS ({I.ASSESSMENTS}) SELECT count(*) FILTER (needs_review) AS flagged FROM a")
+def p9_flagged(spark, sf):
+    return assess.flagged(I.assessments(spark, sf))
 
 
 @query(f"SELECT item_id, 'none' AS coverage, 0::DOUBLE AS confidence, true AS needs_review, '{assess.NO_EVIDENCE}' AS fallback_reason FROM benchmark")

@@ -56,13 +56,13 @@ HITS = """
 
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:
-    """Three quotes per item: the start of its first hit under a wrong file, its own text, and a trivial one."""
+    """Three quotes per item: its whole first hit under a wrong file, its own text, and a trivial one."""
     first = hits(spark, sf).groupBy("item_id").agg(F.min_by("text", "rank").alias("text"), F.min_by("source_file", "rank").alias("file"))
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("own"))
     rows = items.join(first, "item_id", "left").select(
         "item_id",
         F.posexplode(F.array(
-            F.struct(F.lit("elsewhere").alias("source_file"), F.substring("text", 1, 120).alias("quote")),
+            F.struct(F.lit("elsewhere").alias("source_file"), F.col("text").alias("quote")),
             F.struct(F.coalesce("file", F.lit("")).alias("source_file"), F.col("own").alias("quote")),
             F.struct(F.lit("x").alias("source_file"), F.lit("the").alias("quote")),
         )).alias("pos", "c"),
@@ -80,7 +80,7 @@ def norm_match_sql(x: str) -> str:
 CLAIMS = f"""
     h AS ({HITS}), first AS (SELECT item_id, arg_min(text, rank) AS text, arg_min(source_file, rank) AS file FROM h GROUP BY item_id),
     claims AS (
-        SELECT b.item_id, 0 AS pos, 'elsewhere' AS source_file, coalesce(f.text[1:120], '') AS quote FROM benchmark b LEFT JOIN first f USING (item_id)
+        SELECT b.item_id, 0 AS pos, 'elsewhere' AS source_file, coalesce(f.text, '') AS quote FROM benchmark b LEFT JOIN first f USING (item_id)
         UNION ALL SELECT b.item_id, 1, coalesce(f.file, ''), coalesce(b.text, '') FROM benchmark b LEFT JOIN first f USING (item_id)
         UNION ALL SELECT item_id, 2, 'x', 'the' FROM benchmark
     ), hn AS (SELECT *, {norm_match_sql('text')} AS norm FROM h),
@@ -111,16 +111,17 @@ EVIDENCE = "array<struct<source_file:string,page:int,score:double,quote:string,v
 
 
 def catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).select(F.col("doc_id").alias("outcome_id"), function_of(F.col("source")).alias("function"), F.col("lang").alias("category"), F.substring("text", 1, 80).alias("outcome"))
+    return documents(spark, sf).select(F.col("doc_id").alias("outcome_id"), function_of(F.col("source")).alias("function"), F.col("lang").alias("category"), F.col("text").alias("outcome"))
 
 
 def assessments(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as assessments, the longer the better covered; those under 60 characters have none."""
+    """Documents as assessments, the longer the better covered, its halves as quotes; those without text have none."""
     n = F.length("text")
-    docs = documents(spark, sf).where(n >= 60)
+    docs = documents(spark, sf).where(n > 0)
     level = F.when(n < 400, "none").when(n < 1500, "partial").when(n < 5000, "substantial").otherwise("full")
     quote = lambda a, b: F.struct(F.col("source").alias("source_file"), F.when(F.col("lang") != "en", 1).cast("int").alias("page"), F.lit(0.5).alias("score"), F.substring("text", a, b).alias("quote"), F.lit(True).alias("verified"))
-    two = F.array(quote(1, 40), quote(41, 500))
+    half = F.floor(n / 2).cast("int")
+    two = F.array(quote(F.lit(1), half), quote(half + 1, n))
     evidence = F.when(level == "none", F.array().cast(EVIDENCE)).when(n % 2 == 0, F.slice(two, 1, 1)).otherwise(two)
     rows = docs.select(F.col("doc_id").alias("outcome_id"), level.alias("coverage"), (n % 100 / 100).alias("confidence"), (F.col("lang") != "en").alias("needs_review"), (n % 13 == 0).alias("downgraded"), F.concat(F.lit("=seen in "), F.col("source")).alias("rationale"), evidence.alias("evidence"))
     return rows.withColumn("hash", H.assessment_hash(F.col("coverage"), F.col("evidence")))
@@ -130,10 +131,10 @@ _QUOTE = """'{"quote":' || to_json(%s)::VARCHAR || ',"source_file":' || to_json(
 ASSESSMENTS = f"""
     SELECT *, sha256('{{"coverage":"' || coverage || '","evidence":[' || CASE WHEN coverage = 'none' THEN '' WHEN n % 2 = 0 THEN {_QUOTE % 'q1'} ELSE {_QUOTE % 'q1'} || ',' || {_QUOTE % 'q2'} END || ']}}')[1:12] AS hash
     FROM (
-        SELECT doc_id AS outcome_id, source, lang, length(text) AS n, text[1:40] AS q1, text[41:540] AS q2,
+        SELECT doc_id AS outcome_id, source, lang, length(text) AS n, text[1:length(text) // 2] AS q1, text[length(text) // 2 + 1:] AS q2,
                CASE WHEN length(text) < 400 THEN 'none' WHEN length(text) < 1500 THEN 'partial' WHEN length(text) < 5000 THEN 'substantial' ELSE 'full' END AS coverage,
                (length(text) % 100) / 100.0::DOUBLE AS confidence, lang <> 'en' AS needs_review, length(text) % 13 = 0 AS downgraded, '=seen in ' || source AS rationale
-        FROM documents WHERE length(coalesce(text, '')) >= 60
+        FROM documents WHERE length(coalesce(text, '')) > 0
     )
 """
 
@@ -164,7 +165,7 @@ PROFILE = f"""
                CASE WHEN d.decision IS NULL THEN 'unreviewed' WHEN d.reviewed_against IS NOT DISTINCT FROM a.hash THEN 'reviewed' ELSE 'stale' END AS review_status
         FROM a LEFT JOIN d USING (outcome_id)
     ), p0 AS (
-        SELECT x.doc_id AS outcome_id, CASE source {_KNOWN} ELSE source END AS function, x.lang AS category, coalesce(x.text, '')[1:80] AS outcome, coalesce(x.text, '') AS full_text,
+        SELECT x.doc_id AS outcome_id, CASE source {_KNOWN} ELSE source END AS function, x.lang AS category, coalesce(x.text, '') AS outcome,
                coalesce(a.coverage, 'none') AS ai_coverage, coalesce(a.confidence, 0) AS confidence, coalesce(a.needs_review, true) AS needs_review, coalesce(a.downgraded, false) AS downgraded,
                a.rationale, a.n, a.q1, a.q2, d.decision, d.final_coverage,
                CASE WHEN d.decision IS NULL THEN 'unreviewed' WHEN d.reviewed_against IS NOT DISTINCT FROM a.hash THEN 'reviewed' ELSE 'stale' END AS review_status

@@ -7,9 +7,7 @@ status ``failed``, not an error of the job.
 from __future__ import annotations
 
 import io
-import re
 import zipfile
-import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -19,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corrobora.functions import text as T
 from corrobora.operators.ordering import with_position
+from corrobora.sources.pdf import read_pdf
 
 SEGMENTS = "array<struct<text:string,page:int>>"
 PARSED = f"path string, file string, format string, segments {SEGMENTS}, warnings array<string>, status string, reason string"
@@ -56,41 +55,6 @@ def read_docx(content: bytes) -> tuple[list, list]:
     return [("".join(p + "\n\n" for p in paragraphs), None)], []
 
 
-def _pdf_string(raw: bytes) -> str:
-    simple = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-    out = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1] in (b"\n", b"\r\n") else simple.get(m[1], m[1]), raw, flags=re.S)
-    return out.decode("utf-16-be", "replace")[1:] if out.startswith(b"\xfe\xff") else out.decode("cp1252", "replace")
-
-
-def read_pdf(content: bytes) -> tuple[list, list]:
-    """The text layer of simple PDFs: literal and hex strings of the pages' content streams, page by page.
-
-    Pages are taken in file order; fonts with encodings of their own are not mapped, and there is no OCR.
-    """
-    if not content.startswith(b"%PDF"):
-        raise ValueError("not a PDF file")
-    objects = {int(n): body for n, body in re.findall(rb"(\d+)\s+\d+\s+obj\b(.*?)endobj", content, re.S)}
-    segments, number = [], 0
-    for body in objects.values():
-        if not re.search(rb"/Type\s*/Page\b(?!s)", body):
-            continue
-        number += 1
-        streams = re.search(rb"/Contents\s*(?:\[([^\]]*)\]|(\d+)\s+\d+\s+R)", body)
-        refs = [int(r) for r in re.findall(rb"(\d+)\s+\d+\s+R", streams[1])] if streams and streams[1] else [int(streams[2])] if streams else []
-        pieces = []
-        for ref in refs:
-            stream = re.search(rb"stream\r?\n(.*?)\r?\nendstream", objects.get(ref, b""), re.S)
-            data = stream[1] if stream else b""
-            if b"/FlateDecode" in objects.get(ref, b""):
-                data = zlib.decompressobj().decompress(data)
-            for s, h in re.findall(rb"\(((?:[^()\\]|\\.)*)\)|<([0-9A-Fa-f\s]+)>", data, re.S):
-                pieces.append(_pdf_string(bytes.fromhex(h.decode()) if h else s))
-        text = " ".join(" ".join(pieces).split())
-        if text:
-            segments.append((text, number))
-    return segments, [] if segments else ["no text layer"]
-
-
 READERS = {".txt": ("text", read_text), ".md": ("markdown", read_text), ".markdown": ("markdown", read_text), ".docx": ("docx", read_docx), ".pdf": ("pdf", read_pdf)}
 
 

@@ -5,8 +5,10 @@ import zipfile
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from corrobora import cli, config
+from corrobora.functions.numbers import to_fixed
 from corrobora.operators import assess, contract, ordering, report, review, vectors, verify
 from corrobora.sources import catalogue, documents
 
@@ -92,6 +94,38 @@ def test_positions(spark):
     df = spark.createDataFrame([(k * 37 % 101,) for k in range(101)], "v long")
     got = sorted((r.pos, r.v) for r in ordering.with_position(df, "pos", df.v).collect())
     assert got == [(k, k) for k in range(101)]
+    clash = spark.createDataFrame([(3, "a", 1), (1, "b", 2)], "v long, __p string, __k0 int")
+    assert sorted((r.pos, r.v, r["__p"]) for r in ordering.with_position(clash, "pos", F.col("v")).collect()) == [(0, 1, "b"), (1, 3, "a")]
+    assert ordering.with_position(df.limit(0), "pos", F.col("v")).count() == 0
+
+
+def test_positions_of_many_files_are_whole(spark, tmp_path):
+    rows = spark.range(500_000, numPartitions=7).select(F.xxhash64("id").alias("v"), F.repeat(F.lit("payload "), 3).alias("text"), F.col("id"))
+    rows.write.parquet(str(tmp_path / "t"))
+    placed = ordering.with_position(spark.read.parquet(str(tmp_path / "t")), "pos", F.col("v"))
+    got = placed.agg(F.count("*").alias("n"), F.countDistinct("pos").alias("d"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.sum("id").alias("s")).first()
+    assert (got.n, got.d, got.lo, got.hi, got.s) == (500_000, 500_000, 0, 499_999, 499_999 * 250_000)
+    back = placed.join(placed.select((F.col("pos") - 1).alias("pos"), F.col("v").alias("next")), "pos").where("next < v").count()
+    assert back == 0
+
+
+def test_rounding_goes_by_the_exact_value(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    ratios = [(m / n, base + m / n * 0.2) for n in range(1, 41) for m in range(n + 1) for base in (0.45, 0.6)]
+    got = spark.createDataFrame(ratios, "r double, x double").select("x", to_fixed(F.col("x"), 2).alias("y"), to_fixed(F.col("r"), 4).alias("z"), "r").collect()
+    exact = lambda v, step: float(Decimal(v).quantize(Decimal(step), ROUND_HALF_UP))
+    assert [(r.x, r.y) for r in got if r.y != exact(r.x, "0.01") or r.z != exact(r.r, "0.0001")] == []
+    assert [r.y for r in spark.createDataFrame([(0.725,), (0.605,), (0.575,), (0.625,)], "x double").select(to_fixed(F.col("x")).alias("y")).collect()] == [0.72, 0.6, 0.57, 0.63]
+
+
+def test_ties_do_not_depend_on_batches(spark):
+    rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in ("B", "a", "C", "b", "A")], "id string, vector array<float>").repartition(3)
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "qid int, vector array<float>")
+    for k in range(1, 6):
+        assert [r.id for r in vectors.top_k(rows, asked, k).orderBy("rank").collect()] == ["a", "A", "b", "B", "C"][:k]
+    with pytest.raises(Exception, match="another embedder"):
+        vectors.top_k(rows, spark.createDataFrame([(1, [1.0])], "qid int, vector array<float>"), 1).collect()
 
 
 def test_fallback_for_outcomes_without_hits(spark):
@@ -111,6 +145,18 @@ def test_review_and_queue(spark):
     assert review.stats(got).first().remaining == 3
 
 
+def test_given_decisions(spark):
+    rows = spark.createDataFrame([("a", "none", "h1"), ("b", "partial", "h2")], "outcome_id string, coverage string, hash string")
+    given = spark.createDataFrame([("a", "Override ", "full", "n"), ("b", "note", None, "why"), ("c", "accept", None, None), ("d", "skip", None, None)], "outcome_id string, decision string, final_coverage string, note string")
+    got = {r.outcome_id: (r.decision, r.final_coverage, r.note, r.reviewed_against) for r in review.decide(rows, given).collect()}
+    assert got == {"a": ("override", "full", "n", "h1"), "b": ("accept", "partial", "why", "h2"), "c": ("accept", "none", None, "cc98bcab3632")}
+    for bad in (("a", "override", "best", None), ("a", "maybe", None, None), ("a", None, None, None)):
+        with pytest.raises(Exception, match="no decision"):
+            review.decide(rows, spark.createDataFrame([bad], given.schema)).collect()
+    with pytest.raises(Exception, match="several decisions"):
+        review.decide(rows, given.unionByName(given)).collect()
+
+
 def test_strict_gate(spark):
     entries = spark.createDataFrame([(f"o{k:02}", "unreviewed") for k in range(12)], "outcome_id string, review_status string")
     with pytest.raises(report.UnresolvedError, match="12 unresolved: o00, .*o09…"):
@@ -133,6 +179,23 @@ def pdf(*pages):
     return out
 
 
+def test_pdf_structure():
+    """Pages in tree order within an object stream, a font with a Unicode map, kerning, and no text but shown text."""
+    packed = [b"<< /Type /Catalog /Pages 3 0 R >>", b"<< /Type /Pages /Kids [5 0 R 4 0 R] /Count 2 /Resources << /Font << /F1 6 0 R >> >> >>", b"<< /Type /Page /Parent 3 0 R /Contents [8 0 R] >>", b"<< /Type /Page /Parent 3 0 R /Contents 9 0 R >>", b"<< /Type /Font /Subtype /Type0 /ToUnicode 7 0 R >>"]
+    numbers, at, head, body = [2, 3, 4, 5, 6], 0, "", b""
+    for n, o in zip(numbers, packed, strict=True):
+        head += f"{n} {len(body)} "
+        body += o + b" "
+    stream = lambda n, data, more="": f"{n} 0 obj << /Length {len(data)} {more}>> stream\n".encode() + data + b"\nendstream endobj\n"
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <0041> <0002> <00660069> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange"
+    first = b"BT /F1 12 Tf [<0001> -50 <0010> -300 <00110012>] TJ <0002> Tj ET"
+    second = b"(not shown) pop BT (odd \\(hex\\)) Tj <484> Tj ET"
+    whole = b"%PDF-1.5\n" + stream(1, zlib.compress(head.encode() + body), f"/Type /ObjStm /N 5 /First {len(head)} /Filter /FlateDecode ") + stream(7, cmap) + stream(8, second) + stream(9, first)
+    assert documents.read_pdf(whole) == ([("Aa bc \ufb01".replace("\ufb01", "fi"), 1), ("odd (hex) H@", 2)], [])
+    with pytest.raises(ValueError, match="missing"):
+        documents.read_pdf(whole.replace(b"9 0 obj", b"99 0 obj"))
+
+
 def test_readers_and_report(spark):
     files = [("d/a.md", "﻿# T".encode()), ("d/b.DOCX", docx("Body")), ("d/c.pdf", pdf("One \\(x\\)", "", "Three")), ("d/d.pdf", b"no"), ("d/e.txt", b" \n"), ("d/f.csv", b"x")]
     parsed = documents.parse(spark.createDataFrame(files, "path string, content binary"))
@@ -175,7 +238,14 @@ def test_all_stages(spark, tmp_path):
     made, _ = config.load(None, {"docsPath": str(tmp_path / "docs"), "cataloguePath": str(tmp_path / "c.json"), "workDir": str(tmp_path / "out"), "fixedNow": "2020-01-01T00:00:00Z", "acceptAll": True})
     run = cli.Run(spark, made)
     assert run.ingest() == {"parsed": 1}
-    assert run.analyze() == 2 and run.analyze() == 2
+    assert run.analyze() == {"assessed": 2, "reused": 0, "fallback": 0, "flagged": 1}
+    assert run.analyze() == {"assessed": 0, "reused": 2, "fallback": 0, "flagged": 1}
+    kept = run._read("assessments").where("outcome_id = 'GV.A-1'").first()
+    assert [(h.chunk_id, h.source_file, round(h.score, 4) == h.score) for h in kept.retrieved] == [(kept.retrieved[0].chunk_id, "a.txt", True)] and kept.category == "C"
+    (tmp_path / "d.csv").write_text("outcome_id,decision,final_coverage,note\nGV.A-1,override,full,seen\nQQ.B-2,skip,,\n")
+    run.config["acceptAll"], run.config["decisionsPath"] = False, str(tmp_path / "d.csv")
+    assert run.review() == {"reviewed": 0, "overridden": 1, "skipped": 1, "remaining": 1}
+    run.config["acceptAll"], run.config["decisionsPath"] = True, None
     assert run.review()["reviewed"] >= 1
     assert run.report()["total"] == 2
     text = (tmp_path / "out" / "reports" / "gap-analysis.md").read_text()
