@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MADE: list[str] = []
+from corrobora.tables import discard, fresh, scratch, written
+
+__all__ = ["BROADCAST_ROWS", "discard", "fresh", "held_out", "partitions", "scratch", "table", "text_or_empty", "without", "written"]
+
 #: A table of row keys with at most this many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 
@@ -18,46 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corrobora-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def scratch(spark: SparkSession) -> str:
-    """A fresh path under the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/corrobora/{uuid.uuid4().hex}"
-    if not MADE:
-        atexit.register(_sweep, spark)
-    MADE.append(path)
-    return path
-
-
-def _sweep(spark: SparkSession) -> None:
-    for path in MADE:
-        drop(spark, path)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Removes one path; a driver that is already going down leaves it to the folder's owner."""
-    try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the gateway may be gone at exit
-        pass
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage: ``df`` as a table in the shared folder, which outlives any executor."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -73,10 +32,11 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
 
 def without(docs: DataFrame, keys: DataFrame, *on: Column) -> DataFrame:
     """The rows of ``docs`` whose expressions ``on`` equal no row of ``keys``, column by column; null equals null."""
-    keys = written(keys.toDF(*(f"__{i}" for i in range(len(on)))).distinct())
+    names = fresh(docs.columns, *(f"__{i}" for i in range(len(on))))
+    keys = written(keys.toDF(*names).distinct())
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     same = F.lit(True)
-    for i, c in enumerate(on):
-        same = same & c.eqNullSafe(F.col(f"__{i}"))
+    for name, c in zip(names, on, strict=True):
+        same = same & c.eqNullSafe(F.col(name))
     return docs.join(keys, same, "left_anti")

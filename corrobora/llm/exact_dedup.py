@@ -3,8 +3,8 @@
 Each scan task first collapses its own copies, so that a text travels once per scan task however many
 copies that task holds. The collapsed texts are dealt by byte length and content hash; the owner of a
 partition inserts their full byte strings into a radix trie, whose terminal nodes keep the identifier
-that stays and the number of rows. A trie above ``SPILL_BYTES`` moves its largest subtree to a file and
-goes on with that file's entries later. Equality is decided by the byte strings, never by a hash.
+that stays and the number of rows. A trie above ``SPILL_BYTES`` moves subtrees to files, of which each is taken up
+as a trie of its own later. Equality is decided by the byte strings, never by a hash.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.common import partitions, text_or_empty, without, written
+from corrobora.llm.common import fresh, partitions, text_or_empty, without, written
 
 #: Bytes of labels that a task's trie holds before it moves a subtree to disk.
 SPILL_BYTES = 96 << 20
 #: Bytes of text that a scan task collapses at a time.
 LOCAL_BYTES = 48 << 20
+#: What a node takes beside its label.
+NODE_BYTES = 200
 
 
 class Node:
@@ -33,37 +35,52 @@ class Node:
         self.label, self.kids, self.end, self.spill = label, {}, None, None
 
 
+class Spilled:
+    """Keys below a node, in a file, and what had been moved from below before, by its place under the node."""
+
+    __slots__ = ("file", "parts")
+
+    def __init__(self) -> None:
+        self.file, self.parts = tempfile.TemporaryFile(), []
+
+    def add(self, *entry) -> None:
+        pickle.dump(entry, self.file)
+
+    def entries(self) -> Iterator[tuple]:
+        stack = [(b"", self)]
+        while stack:
+            prefix, held = stack.pop()
+            held.file.seek(0)
+            while True:
+                try:
+                    key, *more = pickle.load(held.file)
+                except EOFError:
+                    break
+                yield prefix + key, *more
+            held.file.close()
+            stack.extend((prefix + place, part) for place, part in held.parts)
+
+
 class RadixTrie:
-    """Byte strings to terminal payloads [count, best identifier, best representative, representatives]."""
+    """Byte strings to terminal payloads [count, best identifier, best representative, representatives].
+
+    Memory holds the labels; above ``limit`` the keys below a heavy node move to a file, relative to that node,
+    which keeps its own label. A key that the trie holds alone never moves, as moving it gains nothing.
+    """
 
     def __init__(self, better, limit: int = SPILL_BYTES):
-        self.root, self.held, self.better, self.limit = Node(b""), 0, better, limit
+        self.root, self.held, self.better, self.limit, self.ceiling = Node(b""), 0, better, limit, limit
 
-    def insert(self, key: bytes, count: int, best, rep: int) -> None:
+    def insert(self, key: bytes, count: int, best, rep: int, reps: list[int] | None = None) -> None:
+        """Adds ``count`` rows; ``reps`` are all representatives where these are more than the best one, ``rep``."""
         node, at = self.root, 0
-        while True:
-            if node.spill is not None:
-                pickle.dump((key[at:], count, best, rep), node.spill)
-                return
-            if at == len(key):
-                if node.end is None:
-                    node.end = [0, best, rep, []]
-                end = node.end
-                end[0] += count
-                end[3].append(rep)
-                if self.better((best, rep), (end[1], end[2])):
-                    end[1], end[2] = best, rep
-                return
+        while at < len(key) and node.spill is None:
             kid = node.kids.get(key[at])
             if kid is None:
                 kid = node.kids[key[at]] = Node(key[at:])
-                self.held += len(kid.label) + 200
+                self.held += len(kid.label) + NODE_BYTES
                 node, at = kid, len(key)
-                if self.held > self.limit:
-                    kid.end = [count, best, rep, [rep]]
-                    self.spill()
-                    return
-                continue
+                break
             label = kid.label
             if key.startswith(label, at):
                 node, at = kid, at + len(label)
@@ -73,50 +90,72 @@ class RadixTrie:
             kid.label = label[same:]
             upper.kids[kid.label[0]] = kid
             node.kids[key[at]] = upper
+            self.held += NODE_BYTES
             node, at = upper, at + same
-
-    def spill(self) -> None:
-        """Moves the root's largest subtree to a file; its later keys go straight there."""
-        weigh = {first: weight(kid) for first, kid in self.root.kids.items() if kid.spill is None}
-        if not weigh:
+        if node.spill is not None:
+            node.spill.add(key[at:], count, best, rep, reps)
             return
-        first = max(weigh, key=weigh.get)
-        kid, out = self.root.kids[first], tempfile.TemporaryFile()
-        label, kid.label = kid.label, kid.label[:1]
-        for key, end in walk(kid, label[1:]):
-            pickle.dump((key, end[0], (end[1], end[2]), end[3]), out)
-        kid.kids, kid.end, kid.spill = {}, None, out
-        self.held -= weigh[first]
+        if node.end is None:
+            node.end = [0, best, rep, []]
+        end = node.end
+        end[0] += count
+        end[3].extend(reps or [rep])
+        if self.better((best, rep), (end[1], end[2])):
+            end[1], end[2] = best, rep
+        if self.held > self.ceiling:
+            self.spill()
 
-    def groups(self) -> Iterator[list]:
-        """The terminal payloads, subtrees on disk included."""
-        stack = [self.root]
+    def spill(self) -> None:
+        """Moves what stands below the deepest node that holds more than half of all, then the root's heaviest kids.
+
+        The first leaves that node with its whole label, so keys with a long common prefix move by what follows it;
+        the second takes over where no such node is below the root. A lone key stays.
+        """
+        total = weights(self.root)
+        node = self.root
+        while heavy := [kid for kid in node.kids.values() if kid.kids and 2 * total[id(kid)] > total[id(self.root)]]:
+            node = heavy[0]
+        if node is not self.root:
+            self.move(node, total)
+        elif len(self.root.kids) > 1:
+            for kid in sorted((k for k in self.root.kids.values() if k.spill is None), key=lambda k: -total[id(k)]):
+                if 2 * self.held <= self.limit:
+                    break
+                # Of a leaf the first byte stays, by which it is told from the other kids.
+                rest, kid.label = (kid.label[1:], kid.label[:1]) if not kid.kids else (b"", kid.label)
+                self.move(kid, total, rest)
+        # What cannot be moved is not tried again until it has doubled.
+        self.ceiling = max(self.limit, 2 * self.held)
+
+    def move(self, node: Node, total: dict[int, int], rest: bytes = b"") -> None:
+        out, stack = Spilled(), [(node, rest)]
         while stack:
-            node = stack.pop()
-            if node.spill is not None:
-                node.spill.seek(0)
-                sub = RadixTrie(self.better, self.limit)
-                while True:
-                    try:
-                        key, count, best, rep = pickle.load(node.spill)
-                    except EOFError:
-                        break
-                    if isinstance(rep, list):  # a terminal that had been merged before it moved
-                        sub.insert(key, count, best[0], best[1])
-                        sub.absorb(key, [r for r in rep if r != best[1]])
-                    else:
-                        sub.insert(key, count, best, rep)
-                node.spill.close()
-                yield from sub.groups()
-                continue
-            if node.end is not None:
-                yield node.end
-            stack.extend(node.kids.values())
+            below, key = stack.pop()
+            if below.spill is not None:
+                out.parts.append((key, below.spill))
+            if below.end is not None:
+                out.add(key, *below.end)
+            stack.extend((kid, key + kid.label) for kid in below.kids.values())
+        self.held -= total[id(node)] - len(node.label) - NODE_BYTES
+        node.kids, node.end, node.spill = {}, None, out
 
-    def absorb(self, key: bytes, reps: list[int]) -> None:
-        """Further representatives of a key whose count is already in."""
-        for rep in reps:
-            self.insert(key, 0, None, rep)
+    def groups(self) -> Iterator[list]:
+        """The terminal payloads; the files' tries are built one after another, from a list of work."""
+        tries, files = [self], []
+        while tries or files:
+            if not tries:
+                trie = RadixTrie(self.better, self.limit)
+                for entry in files.pop().entries():
+                    trie.insert(*entry)
+                tries.append(trie)
+            stack = [tries.pop().root]
+            while stack:
+                node = stack.pop()
+                if node.spill is not None:
+                    files.append(node.spill)
+                if node.end is not None:
+                    yield node.end
+                stack.extend(node.kids.values())
 
 
 def shared_prefix(label: bytes, key: bytes, at: int) -> int:
@@ -130,26 +169,19 @@ def shared_prefix(label: bytes, key: bytes, at: int) -> int:
     return low
 
 
-def weight(node: Node) -> int:
-    total, stack = 0, [node]
+def weights(root: Node) -> dict[int, int]:
+    """Bytes of each node with all below it."""
+    order, stack = [], [root]
     while stack:
         node = stack.pop()
-        total += len(node.label) + 200
+        order.append(node)
         stack.extend(node.kids.values())
+    total: dict[int, int] = {}
+    for node in reversed(order):
+        total[id(node)] = len(node.label) + NODE_BYTES + sum(total[id(kid)] for kid in node.kids.values())
     return total
 
 
-def walk(node: Node, prefix: bytes) -> Iterator[tuple[bytes, list]]:
-    stack = [(node, prefix)]
-    while stack:
-        node, prefix = stack.pop()
-        if node.spill is not None:
-            raise ValueError("a subtree moves once")
-        if node.end is not None:
-            yield prefix, node.end
-        stack.extend((kid, prefix + kid.label) for kid in node.kids.values())
-
-
 def _largest(a, b) -> bool:
     """Is candidate a better than b: the larger identifier, then the smaller representative; null is least."""
     (x, r), (y, s) = a, b
@@ -279,5 +311,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if repeated.isEmpty():
         return left
     once = without(left, repeated, *own)
-    again = left.withColumns({"__id": own[0], "__sha": own[1]}).join(repeated.toDF("__i", "__s"), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__sha") == F.col("__s")), "left_semi")
-    return once.unionByName(again.dropDuplicates(["__id", "__sha"]).select(*docs.columns))
+    ident, sha, i, s = fresh(docs.columns, "__id", "__sha", "__i", "__s")
+    again = left.withColumns({ident: own[0], sha: own[1]}).join(repeated.toDF(i, s), F.col(ident).eqNullSafe(F.col(i)) & (F.col(sha) == F.col(s)), "left_semi")
+    return once.unionByName(again.dropDuplicates([ident, sha]).select(*docs.columns))

@@ -1,8 +1,9 @@
 """Vectorised tokenising and hashing of whole texts with numpy.
 
-A word is a maximal run of bytes other than space and \\x09-\\x0D, with A-Z lowered. Its hash is a
-polynomial in 64 bits over per-byte random values, taken for all words of a block from one running
-sum, then mixed. Equal words always get equal hashes.
+A word is a maximal run of bytes other than space and \\x09-\\x0D, with A-Z lowered. Its hash takes the word's
+length and then eight bytes at a time, each time through a mixer in which every bit reaches every other one; all
+words of a block go through it together, and long words through XXH3 one by one. Words of up to eight bytes and
+one length never collide; nor do structured ones, such as Thue-Morse words, for which polynomials modulo 2^64 do.
 """
 
 from __future__ import annotations
@@ -11,22 +12,18 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 #: Texts are hashed in pieces of about this many bytes, so that a very long text needs no more memory.
 PIECE = 1 << 17
-BASE = 0x9E3779B97F4A7C15 | 1
-GRAM = 0xD6E8FEB86659FD93
+#: Longer words are hashed one by one.
+LONG_WORD = 256
+GRAM, NEXT = U(0xD6E8FEB86659FD93), U(0x9E3779B97F4A7C15)
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
-
-
-def _fold(b: int) -> int:
-    return b + 32 if 65 <= b <= 90 else b
-
-
 IS_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
-VALUE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)[[_fold(b) for b in range(256)]]
-_powers: list[np.ndarray] = []
+#: Keeps the first k bytes of eight.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,24 +35,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, PIECE + 4096)
-        _powers[:] = [np.cumprod(np.r_[U(1), np.full(size, U(b), U)]) for b in (BASE, pow(BASE, -1, 1 << 64))]
-    return _powers[0], _powers[1]
-
-
 def _hash_piece(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start offsets and hashes of the words of ``buf``."""
     arr = np.frombuffer(buf, np.uint8)
     edge = np.flatnonzero(np.diff(IS_WORD[arr].view(np.int8), prepend=0, append=0))
     if not len(edge):
         return np.empty(0, np.int64), np.empty(0, U)
-    starts, ends = edge[::2], edge[1::2]
-    up, down = _power(len(arr))
-    total = np.zeros(len(arr) + 1, U)
-    np.cumsum(VALUE[arr] * up[: len(arr)], out=total[1:])
-    return starts, mix((total[ends] - total[starts]) * down[starts])
+    starts, n = edge[::2], edge[1::2] - edge[::2]
+    lower = buf.lower()
+    eight = np.ndarray(len(buf) + 1, "<u8", lower + bytes(8), strides=(1,))
+    h = n.astype(U) * NEXT
+    some, at, left = np.arange(len(n)), starts, n
+    if len(some) and int(n.max()) > LONG_WORD:
+        some = np.flatnonzero(n <= LONG_WORD)
+        at, left = starts[some], n[some]
+        for i in np.flatnonzero(n > LONG_WORD):
+            h[i] = xxhash.xxh3_64_intdigest(lower[starts[i] : starts[i] + n[i]])
+    while len(some):
+        h[some] = mix(h[some] + NEXT ^ eight[at] & FIRST_BYTES[np.minimum(left, 8)])
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    return starts, h
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -116,7 +116,8 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, U)
     out = h[: len(h) - n + 1].copy()
     for k in range(1, n):
-        out *= U(GRAM)
+        out ^= out >> U(29)
+        out *= GRAM
         out += h[k : len(h) - n + 1 + k]
     return mix(out ^ U(n))
 
