@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corrobora.tables import discard, fresh, scratch, written
 
-__all__ = ["BROADCAST_ROWS", "discard", "fresh", "held_out", "partitions", "scratch", "table", "text_or_empty", "without", "written"]
+__all__ = ["BROADCAST_ROWS", "discard", "fresh", "held_out", "many_to_one", "partitions", "scratch", "table", "text_or_empty", "without", "written"]
 
 #: A table of row keys with at most this many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
@@ -40,3 +40,19 @@ def without(docs: DataFrame, keys: DataFrame, *on: Column) -> DataFrame:
     for name, c in zip(names, on, strict=True):
         same = same & c.eqNullSafe(F.col(name))
     return docs.join(keys, same, "left_anti")
+
+
+def many_to_one(many: DataFrame, one: DataFrame, on: list[str], least: int = 256) -> DataFrame:
+    """``many`` joined with ``one``, in which each key stands once, without a task per frequent key.
+
+    Keys with more than twice a task's fair share of ``many`` get their row by broadcast; there are fewer of them
+    than half the tasks, whatever the data. The others meet in a shuffle. ``many`` should be a stored table.
+    """
+    spark = many.sparkSession
+    share = max(least, 2 * many.count() // partitions(spark))
+    n, *_ = fresh([*many.columns, *one.columns], "__n")
+    hot = written(many.groupBy(*on).agg(F.count("*").alias(n)).where(F.col(n) > share).drop(n))
+    if hot.isEmpty():
+        return many.join(one, on)
+    rows = F.broadcast(written(one.join(F.broadcast(hot), on)))
+    return many.join(F.broadcast(hot), on, "left_anti").join(one, on).unionByName(many.join(rows, on))

@@ -72,6 +72,27 @@ def test_texts(spark):
         line_verdicts(docs, min_words=3)
 
 
+def test_rows_that_share_an_identifier_lose_their_own_lines(spark):
+    docs = spark.createDataFrame([(0, "copy line\nX", "p"), (1, "keep me\nB", "q"), (1, "copy line\nC", "r"), (None, "copy line\nN", "s")], "doc_id long, text string, __gone string")
+    out = dedup_lines(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["__gone"], r.text) for r in out.collect()) == [("p", "X"), ("q", "keep me\nB"), ("r", "C"), ("s", "copy line\nN")]
+    long = "one two three four five six seven eight nine"
+    near = spark.createDataFrame([(0, long), (1, f"{long} ten"), (1, "quite another line of some eight or nine words")], "doc_id long, text string")
+    assert sorted(r.text for r in dedup_lines(near).collect()) == ["", long, "quite another line of some eight or nine words"]
+
+
+def test_structured_words_and_lines_are_told_apart(spark):
+    """Thue-Morse sequences, whose polynomials modulo 2^64 are equal at every base."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(0, word), (1, other), (2, " ".join(word)), (3, " ".join(other)), (4, " ".join(other) + " c")], "doc_id long, text string")
+    got = {r.doc_id: r.keep_doc for r in line_verdicts(docs).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3}
+
+
 def test_within_is_the_distance():
     rng = random.Random(6)
     for _ in range(3000):
@@ -122,7 +143,7 @@ def test_bound_grows_with_length(spark, percent, short):
 def test_line_numbers_count_for_the_broadcast(spark, monkeypatch, limit, hints):
     monkeypatch.setattr(module, "BROADCAST_ROWS", limit)
     source = spark.createDataFrame([(k, b"line\n" * 50) for k in range(3)], "doc_id long, text binary")
-    places = spark.createDataFrame([((k, no),) for k in range(3) for no in range(50)], f"first {module.PLACE}")
+    places = spark.createDataFrame([((k, no),) for k in range(3) for no in range(50)], "first struct<doc_id:long,line_no:int>")
     found = module._texts(source, places)
     assert found._jdf.queryExecution().analyzed().toString().count("strategy=broadcast") == hints
     assert sorted((r.doc_id, len(r.nos)) for r in found.collect()) == [(0, 50), (1, 50), (2, 50)]
