@@ -1,9 +1,12 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
-A page is read once from front to back into text blocks, the stretches between block-level tags, each with
-its word count, the share of its words in links, and what its open containers say. A block's features are
-its own and its two neighbours'; a decision tree fitted on the small labelled table below tells main text
+A page is read once from front to back into text blocks, the stretches between block-level tags. A block's features
+are its word count and link density, those of its two neighbours, its size beside the page's longest block, and what
+its containers are. A decision tree fitted on a small labelled table, the blocks of the pages below, tells main text
 from the rest.
+
+Names and kinds of containers are no verdicts by themselves: one that holds most of a page's running text is a layout
+around the article, whatever it is called, and nothing is inherited through it.
 """
 
 from __future__ import annotations
@@ -25,11 +28,14 @@ CONTAINERS = frozenset("article aside blockquote center dd details dialog div dl
 BOILER_TAGS = frozenset("aside dialog fieldset footer form header menu nav".split())
 MAIN_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-UNSEEN = frozenset("annotation annotation-xml audio button canvas head iframe noscript object optgroup option script select style svg template textarea title video".split())
+#: Elements whose content is not shown. RAW ones run to the end of the page where they are not closed, as in browsers;
+#: the others then end at the next block.
+RAW = frozenset("script style textarea".split())
+UNSEEN = RAW | frozenset("annotation annotation-xml audio button canvas head iframe noscript object optgroup option select svg template title video".split())
 HINTS = frozenset("ad ads advert advertisement advertorial adverts alert banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies disqus footer form gdpr header login masthead menu nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split())
-# Names that tell what a page has or can do (no-sidebar, search-enabled), or how it is laid out (right-sidebar).
-ABOUT_FIRST, ABOUT_LAST = frozenset("has have no with without".split()), frozenset("disabled enabled".split())
-SIDES = frozenset("both left right".split())
+DISCUSSION = frozenset("comment comments disqus replies reply respond".split())
+# Names that tell what a page has or can do (no-sidebar, comments-open), or how it is laid out (sidebar-right).
+ABOUT_FIRST, ABOUT_LAST = frozenset("has have is no with without".split()), frozenset("both closed disabled enabled layout left open right wrapper".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -37,41 +43,66 @@ PART = re.compile(r"[^a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+BLOCK_AHEAD = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK_TAGS))}|body)\b", re.I)
+
+
+@dataclass
+class Container:
+    """An open element that holds blocks; ``running`` counts the words outside links in it and, in the end, below."""
+
+    tag: str
+    parent: int
+    hint: bool = False
+    discussion: bool = False
+    running: int = 0
+    holds_main: bool = False
+    main: bool = False
+    boiler: bool = False
+
+
 @dataclass
 class Block:
     text: str
     words: int
     linked: int
-    main: bool
-    boiler: bool
-    hint: bool
     heading: bool
+    container: int
 
 
-def _hinted(attributes: str) -> int:
-    """2 for a hint, 1 for one that may be a layout around the article, 0 for none."""
-    best = 0
+def _hinted(attributes: str) -> tuple[bool, bool]:
+    """Does a class, id or role name a part that is not the article, and is that part a discussion?"""
+    hint = discussion = False
     for found in NAMED.finditer(attributes):
         for name in (found[1] or found[2] or found[3] or "").split():
             parts = [part for part in PART.split(CAMEL.sub(" ", name).lower()) if part]
-            if any(part in HINTS for part in parts) and parts[0] not in ABOUT_FIRST and parts[-1] not in ABOUT_LAST:
-                best = max(best, 1 if any(part in SIDES for part in parts) else 2)
-    return best
-
-
-def _within(tag: str, hint: int, attributes: str) -> int:
-    """The hint from an opened container on: none passes into a main element, a layout's not into an article."""
-    if tag == "main":
-        return 0
-    hint = max(hint, _hinted(attributes))
-    return 0 if tag == "article" and hint == 1 else hint
-
-
-def text_blocks(page: str) -> list[Block]:
-    """The page's non-empty blocks in order, references decoded and white space collapsed."""
+            if parts and parts[0] not in ABOUT_FIRST and parts[-1] not in ABOUT_LAST and not HINTS.isdisjoint(parts):
+                hint = True
+                discussion |= not DISCUSSION.isdisjoint(parts)
+    return hint, discussion
+
+
+def _after_unseen(page: str, tag: str, at: int) -> int:
+    """Where an element that is not shown, opened before ``at``, ends."""
+    if tag == "head":
+        stop = re.compile(r"</head\b[^>]*>|(?=<body\b)", re.I).search(page, at)
+        return stop.end() if stop else at
+    stop = re.compile(rf"<(/?){tag}\b[^>]*>", re.I).search(page, at)
+    if tag in RAW:
+        while stop and not stop[1]:
+            stop = re.compile(rf"<(/?){tag}\b[^>]*>", re.I).search(page, stop.end())
+        return stop.end() if stop else len(page)
+    if stop and stop[1]:
+        return stop.end()
+    block = BLOCK_AHEAD.search(page, at)
+    return block.start() if block else len(page)
+
+
+def text_blocks(page: str) -> tuple[list[Block], list[Container]]:
+    """The page's non-empty blocks in order, references decoded and white space collapsed, and their containers."""
     found: list[Block] = []
+    containers = [Container("", 0)]
     pieces: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, and whether main, boiler or hint holds from it on
+    stack = [0]
     heading = False
     links = 0
 
@@ -82,8 +113,8 @@ def text_blocks(page: str) -> list[Block]:
             if text:
                 linked = sum(len(html.unescape(p).split()) for p, inside in pieces if inside)
                 words = text.count(" ") + 1
-                _, main, boiler, hint = stack[-1] if stack else ("", False, False, 0)
-                found.append(Block(text, words, min(linked, words), main, boiler, hint > 0, heading))
+                found.append(Block(text, words, min(linked, words), heading, stack[-1]))
+                containers[stack[-1]].running += words - min(linked, words)
             pieces = []
 
     at = 0
@@ -102,8 +133,7 @@ def text_blocks(page: str) -> list[Block]:
             if tag in ("head", "title"):
                 close()
             if not ends and not attributes.endswith("/"):
-                stop = re.compile(rf"</{tag}\b[^>]*>|(?=<body\b)" if tag == "head" else rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else at if tag == "head" else len(page)
+                at = _after_unseen(page, tag, at)
             continue
         if tag == "br":
             pieces.append((" ", links > 0))
@@ -116,57 +146,103 @@ def text_blocks(page: str) -> list[Block]:
             if tag not in CONTAINERS:
                 continue
             if ends:
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+                depth = next((k for k in range(len(stack) - 1, 0, -1) if containers[stack[k]].tag == tag), None)
                 if depth is not None:
                     del stack[depth:]
             else:
-                _, main, boiler, hint = stack[-1] if stack else ("", False, False, 0)
-                stack.append((tag, main or tag in MAIN_TAGS, boiler or tag in BOILER_TAGS, _within(tag, hint, attributes)))
+                containers.append(Container(tag, stack[-1], *_hinted(attributes)))
+                stack.append(len(containers) - 1)
     if at < len(page):
         pieces.append((page[at:], links > 0))
     close()
-    return found
-
-
-FEATURES = ("words before", "words", "words after", "links before", "links", "links after", "in main", "in boilerplate element", "hinted", "heading", "page has main")
-
-
-def features(blocks: list[Block]) -> np.ndarray:
+    _inherit(containers)
+    return found, containers
+
+
+def _inherit(containers: list[Container]) -> None:
+    """Sums upwards, then what containers say downwards, but for those that are a layout around the main text."""
+    mains = 0
+    for k in range(len(containers) - 1, 0, -1):
+        own = containers[k]
+        above = containers[own.parent]
+        above.running += own.running
+        own.holds_main |= own.tag in MAIN_TAGS
+        mains += own.tag in MAIN_TAGS
+        above.holds_main |= own.holds_main
+    total = containers[0].running
+    for own in containers[1:]:
+        above = containers[own.parent]
+        # A discussion may be longer than the article; it is the page itself only where there is no article but in it.
+        around = 2 * own.running >= total and (own.holds_main or not mains) and not (own.discussion and above.running > own.running)
+        own.main = above.main or own.tag in MAIN_TAGS
+        own.hint = (own.hint or (above.hint and own.tag != "main")) and not around
+        own.boiler = (own.tag in BOILER_TAGS or (above.boiler and own.tag != "main")) and not around
+
+
+FEATURES = ("words before", "words", "words after", "links before", "links", "links after", "words beside the longest", "heading", "in main", "in boilerplate element", "named as no article", "page has main")
+
+
+def features(blocks: list[Block], containers: list[Container]) -> np.ndarray:
     """One row per block; a missing neighbour has no words and no links."""
     words = np.array([0, *(b.words for b in blocks), 0], float)
     links = np.array([0, *(b.linked / b.words for b in blocks), 0], float)
-    flags = np.array([[b.main, b.boiler, b.hint, b.heading] for b in blocks], float).reshape(-1, 4)
-    has_main = np.full(len(blocks), float(any(b.main for b in blocks)))
-    return np.column_stack([words[:-2], words[1:-1], words[2:], links[:-2], links[1:-1], links[2:], flags, has_main])
-
-
-#: The labelled table: a row of FEATURES, then 1 for main text and 0 for the rest.
-LABELLED = np.array([
-    # pages with an article or main element: its paragraphs, long and short, its headings
-    (14, 9, 60, 0, 0, 0, 1, 0, 0, 1, 1, 1), (1, 7, 45, 1, 0, 0, 1, 0, 0, 1, 1, 1), (0, 3, 80, 0, 0, 0, 1, 0, 0, 1, 1, 1), (60, 4, 55, 0, 0, 0, 1, 0, 0, 1, 1, 1),
-    (9, 60, 70, 0, 0, 0, 1, 0, 0, 0, 1, 1), (70, 80, 50, 0, 0.05, 0, 1, 0, 0, 0, 1, 1), (80, 120, 14, 0.02, 0, 0, 1, 0, 0, 0, 1, 1), (60, 1, 70, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (1, 1, 60, 0, 0, 0, 1, 0, 0, 0, 1, 1), (40, 5, 12, 0, 0, 0, 1, 0, 0, 0, 1, 1), (3, 2, 11, 0, 0, 0, 1, 0, 0, 0, 1, 1), (30, 12, 35, 0, 0.4, 0, 1, 0, 0, 0, 1, 1),
-    (50, 6, 40, 0, 1, 0, 1, 0, 0, 0, 1, 1), (9, 300, 0, 0, 0.01, 0, 1, 0, 0, 0, 1, 1), (20, 8, 9, 0, 0, 0.1, 1, 0, 0, 0, 1, 1), (45, 2, 14, 0, 0, 0, 1, 0, 0, 0, 1, 1),
-    (70, 55, 1, 0, 0, 1, 1, 0, 0, 0, 1, 1), (60, 3, 2, 0, 0, 1, 1, 0, 0, 0, 1, 1), (20, 9, 4, 0, 0.1, 1, 1, 0, 0, 0, 1, 1), (1, 40, 1, 1, 0, 1, 1, 0, 0, 0, 1, 1), (1, 8, 1, 1, 0, 1, 1, 0, 0, 1, 1, 1),
-    # link lists inside the article
-    (2, 2, 3, 1, 1, 1, 1, 0, 0, 0, 1, 0), (3, 4, 2, 1, 1, 1, 1, 0, 0, 0, 1, 0), (40, 3, 3, 0, 1, 1, 1, 0, 0, 0, 1, 0),
-    # menus, headers, footers, sidebars and forms, inside the article too
-    (1, 1, 1, 1, 1, 1, 0, 1, 0, 0, 1, 0), (0, 1, 1, 0, 1, 1, 0, 1, 0, 0, 1, 0), (1, 1, 14, 1, 1, 0, 0, 1, 0, 0, 1, 0), (60, 14, 0, 0, 0, 0, 0, 1, 0, 0, 1, 0),
-    (90, 25, 0, 0, 0.1, 0, 0, 1, 0, 0, 1, 0), (60, 30, 70, 0, 0, 0, 1, 1, 0, 0, 1, 0), (50, 4, 60, 0, 0, 0, 1, 1, 0, 1, 1, 0), (0, 5, 1, 0, 0, 1, 0, 1, 0, 1, 1, 0),
-    (70, 90, 40, 0, 0, 0, 1, 1, 0, 0, 1, 0), (5, 80, 10, 0, 0, 0, 0, 1, 0, 0, 1, 0),
-    # adverts, notices and readers' comments by their names
-    (1, 14, 9, 1, 0, 0, 0, 0, 1, 0, 1, 0), (1, 3, 9, 1, 0, 0, 0, 0, 1, 0, 1, 0), (60, 20, 70, 0, 0, 0, 1, 0, 1, 0, 1, 0), (40, 90, 50, 0, 0, 0, 1, 0, 1, 0, 1, 0),
-    (80, 45, 30, 0, 0, 0, 0, 0, 1, 0, 1, 0), (90, 2, 40, 0, 0, 0, 0, 0, 1, 1, 1, 0), (30, 60, 14, 0, 0, 0, 1, 0, 1, 0, 1, 0),
-    # anything outside the article of a page that has one
-    (0, 12, 1, 0, 0, 1, 0, 0, 0, 0, 1, 0), (50, 40, 14, 0, 0, 0, 0, 0, 0, 0, 1, 0), (60, 70, 60, 0, 0, 0, 0, 0, 0, 0, 1, 0), (40, 5, 30, 0, 0, 0, 0, 0, 0, 1, 1, 0), (2, 3, 2, 1, 0, 1, 0, 0, 0, 0, 1, 0),
-    # pages without one: running text, headings before it, short paragraphs within it
-    (9, 60, 70, 0, 0, 0, 0, 0, 0, 0, 0, 1), (70, 40, 30, 0, 0.1, 0, 0, 0, 0, 0, 0, 1), (60, 3, 50, 0, 0, 0, 0, 0, 0, 0, 0, 1), (45, 8, 40, 0, 0, 0, 0, 0, 0, 0, 0, 1),
-    (2, 7, 60, 1, 0, 0, 0, 0, 0, 1, 0, 1), (0, 6, 45, 0, 0, 0, 0, 0, 0, 1, 0, 1), (50, 5, 55, 0, 0, 0, 0, 0, 0, 1, 0, 1), (40, 25, 6, 0, 0, 0, 0, 0, 0, 0, 0, 1), (0, 90, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1), (30, 18, 22, 0, 0, 0, 0, 0, 0, 0, 0, 1),
-    (60, 70, 2, 0, 0, 1, 0, 0, 0, 0, 0, 1), (40, 35, 1, 0, 0.1, 1, 0, 0, 0, 0, 0, 1), (1, 50, 1, 1, 0, 1, 0, 0, 0, 0, 0, 1),
-    # and what surrounds it there
-    (1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0), (2, 3, 2, 1, 0, 1, 0, 0, 0, 0, 0, 0), (3, 20, 4, 1, 0.9, 1, 0, 0, 0, 0, 0, 0), (60, 6, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), (50, 9, 2, 0, 0.2, 1, 0, 0, 0, 0, 0, 0), (60, 30, 5, 0, 0.8, 1, 0, 0, 0, 0, 0, 0), (1, 4, 3, 1, 0, 0.5, 0, 0, 0, 1, 0, 0),
-    (40, 30, 35, 0, 0, 0, 0, 0, 1, 0, 0, 0), (60, 70, 50, 0, 0, 0, 0, 1, 0, 0, 0, 0), (1, 14, 60, 1, 0, 0, 0, 0, 1, 0, 0, 0), (60, 14, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0),
-])
+    own = [containers[b.container] for b in blocks]
+    flags = np.array([[b.heading, c.main, c.boiler, c.hint] for b, c in zip(blocks, own, strict=True)], float).reshape(-1, 4)
+    has_main = np.full(len(blocks), float(any(c.main for c in own)))
+    running = words * (1 - links)
+    return np.column_stack([words[:-2], words[1:-1], words[2:], links[:-2], links[1:-1], links[2:], words[1:-1] / max(1, running.max()), flags, has_main])
+
+
+#: The labelled pages. {n} stands for n words and [n] for a link of n words; a block that starts with + is main text.
+LABELLED = (
+    # an article with a menu, an advert and a footer around it
+    "<nav><ul><li>[1]<li>[1]<li>[2]</ul></nav><div class=ad>{9}</div><article><h1>+{9}</h1><p>+{60}</p><p>+{8}</p><p>+{90}</p><h2>+{3}</h2><ul><li>+{6}<li>+{12}</ul><p>+{1}</p></article><footer>{12}</footer>",
+    "<header>{2}<ul><li>[1]<li>[1]</ul></header><article><h1>+{5}</h1><p>+{1}</p><p>+{300}</p></article><div class=advert>{30}</div><footer><p>{25} [2]</p><ul><li>[1]<li>[2]</ul></footer>",
+    "<nav>[1] [1] [1]</nav><div class=ad>{12}</div><article><h1>+{12}</h1><p>+{4}</p><p>+{3}</p></article><footer>{5} [2]</footer>",
+    # a main element with asides, forms, related links and a sign-up in it
+    "<header><p>{3}</p></header><main><h1>+{6}</h1><p>+{45}</p><blockquote><p>+{20}</p></blockquote><p>+[5] {2}</p><table><tr><td>+{2}<td>+{1}<tr><td>+{3}<td>+{8}</table><aside><h4>{3}</h4><p>{30}</p></aside><p>+{55}</p><figure><figcaption>+{9}</figcaption></figure><p>+{25} [20]</p>"
+    "<div class=related-posts><h3>{2}</h3><ul><li>[6]<li>[5]</ul></div><div class=newsletter-signup><p>{14}</p></div><form><p>{5}</p></form></main><div><p>{40}</p><p>{5}</p></div><footer><p>{60}</p></footer>",
+    "<div>[1] [1] [1]</div><main><ul><li>[2]<li>[3]<li>[2]</ul><h1>+{4}</h1><p>+{35}</p><h2>+{2}</h2><p>+{70}</p><ul><li>[4]<li>[3]<li>[5]</ul></main><div><h3>{3}</h3><p>{70}</p></div>",
+    "<article><h1>+{4} [1]</h1><p>+{14} [2]</p><p>+{30} [6]</p><p>+{8} [4]</p><ul><li>+{5} [3]<li>+{9} [2]<li>+[3]: {6}</ul><p>+{3} [1]</p><p>+{20} [9]</p></article><div>{14} [2]</div><footer>{9} [3]</footer>",
+    "<div>[1] [1] [2]</div><p>+{30} [5]</p><p>+{12} [3]</p><p>+{45} [2]</p><p>+{9} [1] {4}</p><p>+{50}</p><div>[2] [1] {2}</div>",
+    # articles that end the page, and texts that are all of it
+    "<nav>[1] [1]</nav><article><h1>+{5}</h1><p>+{80}</p><p>+{150}</p></article>", "<main><p>+{40}</p><p>+{6}</p><p>+{70}</p></main>", "<article><p>+{300}</p></article>", "<article><h2>+{4}</h2><p>+{16}</p></article>",
+    "<p>+{90}</p><p>+{200}</p><p>+{68}</p>", "<h1>+{6}</h1><p>+{75}</p><p>+{110}</p>", "<ul><li>[1]<li>[2]</ul><p>+{60}</p><p>+{130}</p>", "<p>+{500}</p>", "<h2>+{3}</h2><p>+{35}</p><p>+{20}</p><p>+{100}</p>",
+    # a few words between links, at the end and in the middle
+    "<div>+{60}</div><div>+{55}</div><div>[4]</div><div>{5}</div><div>[5]</div>", "<div>[3]</div><div>{4}</div><div>[4]</div><div>{6}</div><div>[2]</div><p>+{70}</p><p>+{4}</p><p>+{40}</p><div>[5]</div><div>{3}</div><div>[3]</div>",
+    "<div>[3] {1}</div><div>{2}</div><div>[1] [1]</div><h1>+{6}</h1><p>+{25}</p><p>+{7}</p><p>+{31}</p><div>[2]</div><div>{8}</div><div>[3] [3]</div><div>{12}</div>",
+    "<main><div class=breadcrumb>[1] {1} [1]</div><h1>+{7}</h1><div class=share>{2} [1]</div><p>+{50}</p><div class=promo><p>{35}</p></div><p>+{2}</p><p>+{65}</p></main>",
+    # readers' comments, within the article and after it, some longer than it
+    "<article><h1>+{8}</h1><p>+{60}</p><p>+{30}</p><section id=comments><h2>{2}</h2><div class=comment><p>{35}</p></div><div class=comment><p>{4}</p><p>{90}</p></div></section></article>",
+    "<article><p>+{40}</p><p>+{6}</p></article><div class=comments><p>{80}</p><p>{50}</p><p>{2}</p></div><footer>{14}</footer>",
+    # pages without these elements: running text among menus, headlines and small print
+    "<div>[1] [1] [1] [1]</div><div><h1>+{7}</h1><p>+{50}</p><p>+{5}</p><p>+{70}</p></div><div>[2] [2] {1}</div><div>{6}</div>",
+    "<div>[2] [1]</div><div>{3}</div><div><p>+{35}</p><p>+{18}</p><p>+{22}</p><p>+{8}</p><p>+{40}</p></div><ul><li>[5]<li>[6]</ul><p>{4} [2]</p>",
+    "<table><tr><td>[1]<br>[1]<br>[2]<td><p>+{40}<p>+{80}<p>+{3}<p>+{30}<td>{3} [6]</table>",
+    "<div>[8] {2}</div><div>[7]</div><div>[9] {3}</div><h2>+{6}</h2><div>+{90}</div><div>+{45} [4]</div><div>[7]</div><div>[8] {4}</div><div>{9} [1]</div>",
+    "<ul><li>[1]<li>[1]</ul><h1>+{3}</h1><div>+{12}</div><div>+{15}</div><div>+{60}</div><h3>+{2}</h3><div>+{25}</div><ul><li>[2]<li>[2]</ul>",
+    "<div>[1] [2]</div><p>+{120}</p><div>[2] [1] [1]</div>",
+    # short pages of nothing but text, and pages of nothing but links
+    "<p>+{4}</p><p>+{3}</p>", "+{2}", "<h1>+{2}</h1><p>+{7}</p>", "<p>+{12}</p><p>+{9}</p><p>+{1}</p>", "<div>+{25}</div>",
+    "<ul><li>[1]<li>[1]<li>[2]</ul><div>[3] {1}</div>", "<p>[4]</p>", "<nav>[1] [2]</nav><footer>{8}</footer>",
+    # parts that only their names tell
+    "<div id=header>{4}</div><div id=menu>[1] [1]</div><div id=content><h1>+{5}</h1><p>+{33}</p><p>+{50}</p><p>+{4}</p></div><div class=sidebar><h3>{2}</h3><p>{25}</p></div><div id=footer><p>{20}</p></div><div class=cookie-banner>{22}</div>",
+    "<div class=topbar>{6}</div><div><p>+{28}</p><p>+{60}</p></div><div class=comment-list><p>{30}</p><p>{45}</p></div><div class=notice>{15}</div>",
+    # boilerplate elements around running text of a page that has no main one
+    "<header><h1>{4}</h1></header><div><p>+{45}</p><p>+{60}</p></div><aside><p>{40}</p></aside><footer><p>{35}</p><p>{3}</p></footer>",
+)
+
+
+def _labelled() -> tuple[np.ndarray, np.ndarray]:
+    """Features and answers of all blocks of the labelled pages."""
+    rows, answers = [], []
+    for page in LABELLED:
+        page = re.sub(r"\[(\d+)\]", r"<a href=x>{\1}</a>", page)
+        page = re.sub(r"\{(\d+)\}", lambda n: " ".join(["w"] * int(n[1])), page)
+        blocks, containers = text_blocks(page)
+        rows.append(features(blocks, containers))
+        answers += [b.text.startswith("+") for b in blocks]
+    return np.concatenate(rows), np.array(answers, float)
 
 
 @dataclass
@@ -186,8 +262,9 @@ class Tree:
         return node.answer
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Tree:
-    """Splits by Gini impurity until leaves are pure; of equal splits the first feature's lowest bound is taken."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1) -> Tree:
+    """Splits by Gini impurity until leaves are pure or would hold fewer rows than ``least``; of equal splits the
+    first feature's lowest bound is taken."""
     answer = bool(2 * y.sum() >= len(y))
     if depth == 0 or y.min() == y.max():
         return Tree(answer)
@@ -196,26 +273,28 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Tree:
         values = np.unique(x[:, f])
         for bound in (values[1:] + values[:-1]) / 2:
             left = x[:, f] <= bound
+            if min(left.sum(), (~left).sum()) < least:
+                continue
             impurity = sum(len(p) * p.mean() * (1 - p.mean()) for p in (y[left], y[~left]))
             if best is None or impurity < best[0] - 1e-12:
                 best = impurity, f, float(bound)
     if best is None:
         return Tree(answer)
     left = x[:, best[1]] <= best[2]
-    return Tree(answer, best[1], best[2], grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1))
+    return Tree(answer, best[1], best[2], grow(x[left], y[left], depth - 1, least), grow(x[~left], y[~left], depth - 1, least))
 
 
 @lru_cache(1)
 def fitted() -> Tree:
-    return grow(LABELLED[:, :-1].astype(float), LABELLED[:, -1].astype(float))
+    return grow(*_labelled(), least=3)
 
 
 def main_text(page: str) -> str:
-    blocks = text_blocks(page)
+    blocks, containers = text_blocks(page)
     if not blocks:
         return ""
     tree = fitted()
-    return "\n\n".join(b.text for b, row in zip(blocks, features(blocks), strict=True) if tree(row))
+    return "\n\n".join(b.text for b, row in zip(blocks, features(blocks, containers), strict=True) if tree(row))
 
 
 PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -235,7 +314,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Character references are decoded, white space within a block becomes one space, blocks are trimmed and
     joined by an empty line in page order. A page that is null, empty or without main text has the empty
     text. Unclosed and misnested tags are taken as browsers do where it matters here; an unclosed comment,
-    script or style runs to the end. Null and repeated identifiers are kept as they come, other columns are
+    script, style or textarea runs to the end, any other element that is not shown to the next block. Null and repeated identifiers are kept as they come, other columns are
     ignored, an empty table gives no rows.
     """
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))

@@ -2,6 +2,7 @@
 
 import pytest
 
+from corrobora.llm import html_extract as module
 from corrobora.llm.html_extract import extract, grow, main_text, text_blocks
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p><article>no</article>";</script></head><body>
@@ -64,6 +65,49 @@ def test_layout_names_around_the_article(opened, closed):
     assert main_text(f"<body>{opened}<p>{text}</p>{advert}<p>{text}</p>{closed}</body>") == f"{text}\n\n{text}"
 
 
+LONG = ("Words of a long enough paragraph follow here, and then some more of them, until there are sixty of them. " * 3).strip()
+
+
+@pytest.mark.parametrize(
+    "page,parts",
+    [
+        ("<main class='has-sidebar'>{p}{p}</main>", 2),
+        ("<div class='layout has-sidebar'><article>{p}{p}</article></div>", 2),
+        ("<div class='sidebar-layout'><div>{p}{p}</div></div>", 2),
+        ("<article class='post comments-open'>{p}{p}</article>", 2),
+        ("<nav><a href=x>One</a></nav><article class='sidebar'>{p}{p}</article><footer>Two words</footer>", 2),
+        ("<form id='page'><div class='menu'><a href=x>One</a></div><article>{p}{p}</article></form>", 2),
+        ("<form>{p}{p}</form>", 2),
+        ("<article>{p}<button>Share{p}</article>", 2),
+        ("<article>{p}<button>Share{p}<button>Print</button>{p}</article>", 3),
+        ("<article>{p}<svg><path d='M0'>{p}</article>", 2),
+        ("<article>{p}<noscript>{p}</article>", 2),
+        ("<article>{p}<noscript>none</noscript>{p}<script>var x = '<p>';</article>{p}", 2),
+        ("<article>{p}</article><div class='comments'>{p}{p}{p}</div>", 1),
+    ],
+)
+def test_pages_of_misleading_names_and_unclosed_elements(page, parts):
+    assert main_text(page.replace("{p}", f"<p>{LONG}</p>")) == "\n\n".join([LONG] * parts)
+
+
+def test_short_pages():
+    assert main_text("<body><p>Hello there you.</p><p>Second short one.</p></body>") == "Hello there you.\n\nSecond short one."
+    assert main_text("<ul><li><a href=x>One</a><li><a href=y>Two</a></ul>") == ""
+
+
+def test_neighbours_decide():
+    """The same short block: among running text, and among links."""
+    short = "<div>Five words and no link</div>"
+    assert "Five words" in main_text(f"<div>{LONG}</div>{short}<div>{LONG}</div>")
+    assert "Five words" not in main_text(f"<div>{LONG}</div><div>{LONG}</div><div><a href=x>One of the links</a></div>{short}<div><a href=y>Another one of the links</a></div>")
+
+
+def test_the_labelled_pages_are_told_apart():
+    rows, answers = module._labelled()
+    assert len(rows) == len(answers) > 100
+    assert sum(module.fitted()(r) == bool(y) for r, y in zip(rows, answers, strict=True)) >= 0.97 * len(rows)
+
+
 def test_hints_that_stay():
     comment = "I read the whole article twice and I must say that it was quite good, thanks."
     page = f"<body><article><p>{'Main words go here. ' * 5}</p></article><div class='comments'><article><p>{comment}</p></article></div><article class='comment'><p>{comment}</p></article></body>"

@@ -79,7 +79,9 @@ def test_scores_and_pages(spark, con):
     pages = {r.page_id: r for r in queries.op9_html_text(spark, str(SF)).collect()}
     for k, page in con.execute("SELECT page_id, html FROM pages").fetchall():
         inner = "".join(re.findall(r"<article>(.*?)</article>", page, re.S))
-        assert pages[k].text.replace("\n\n", "").replace(" ", "") in unescape(re.sub(r"<[^>]*>", "", inner)).replace(" ", "").replace("\n", "") or not inner
+        want = unescape(re.sub(r"<!--.*?-->|<script.*?</script>|<[^>]*>", " ", inner, flags=re.S)).split()
+        # All of the article and nothing else.
+        assert "".join(pages[k].text.split()) == "".join(want) and (want or not inner)
 
 
 def test_pipeline_query(spark, con):
