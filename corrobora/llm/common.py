@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corrobora.tables import discard, fresh, scratch, written
 
-__all__ = ["BROADCAST_ROWS", "discard", "fresh", "held_out", "many_to_one", "partitions", "scratch", "table", "text_or_empty", "without", "written"]
+__all__ = ["BROADCAST_ROWS", "discard", "fresh", "held_out", "many_to_one", "partitions", "scratch", "stable", "table", "text_or_empty", "without", "written"]
 
 #: A table of row keys with at most this many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
@@ -42,6 +42,14 @@ def without(docs: DataFrame, keys: DataFrame, *on: Column) -> DataFrame:
     return docs.join(keys, same, "left_anti")
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` if it reads stored files with nothing but columns and filters chosen, else ``df`` as a table: two reads
+    of anything else may differ in rows or in their order."""
+    nodes = {line.lstrip(" :+-*").split(" ")[0].split("(")[0] for line in df._jdf.queryExecution().analyzed().toString().splitlines()}
+    plain = nodes <= {"Project", "Filter", "Relation", "SubqueryAlias"} and df._jdf.queryExecution().analyzed().deterministic()
+    return df if plain else written(df)
+
+
 def many_to_one(many: DataFrame, one: DataFrame, on: list[str], least: int = 256) -> DataFrame:
     """``many`` joined with ``one``, in which each key stands once, without a task per frequent key.
 

@@ -1,14 +1,17 @@
 """A Katz backoff model over words: training, partitioned tables, and scores of whole texts.
 
-The model is of order two: p(w|h) = r* / c(h) for a seen pair, else alpha(h) * p(w), and p(w) = r* / N for a
-seen word, with what is left for the one unknown word. r* is Katz's Good-Turing count for r <= ``CUT``, and
-r - ``HIGH`` above it, so that every context leaves some mass; alpha(h) makes each context sum to one.
-
-Work goes by blocks of documents. A block asks for its distinct words once; the owners of word buckets add
-up counts and answer with identifiers. Then it asks for its distinct pairs; the owners of pair buckets add
-up r, answer with it, and keep each context's sums, from which alpha follows exactly. Pairs are dealt by
-context; a context with more than a quarter of a bucket's share of all tokens is dealt by pair instead. There
-are at most four times as many of these as buckets, so their alphas, and only theirs, go to every task.
+p(w|h) = r* / c(h) for an n-gram that training has, else alpha(h) * p(w|h'), where h' is h without its first word;
+p(w) = r* / N for a seen word, with what is left for the one unknown word. A context that training lacks hands on to
+h' as it is. r* is Katz's Good-Turing count of the order for r <= ``CUT``, and r - ``HIGH`` above it, so that every
+context leaves some mass; alpha(h) makes each context sum to one. A text is preceded by one mark in place of all the
+words that it lacks before its first.
+
+Work goes by blocks of documents, order by order. A block asks for its distinct words once; the owners of word buckets
+add up counts and answer with identifiers. Then, for each order, it asks for its distinct n-grams, a context's known
+identifier and a word's; the owners of buckets add up r, and answer with r, with identifiers of what they have, and,
+of contexts from which the block backs off, with their sums, from which alpha follows exactly. N-grams are dealt by
+context; a context with more than a quarter of a bucket's share of all tokens is dealt by n-gram instead. There are at
+most four times as many of these as buckets, so their alphas, and only theirs, go to every task.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corrobora.llm import ragged
-from corrobora.llm.common import held_out, partitions, text_or_empty, written
+from corrobora.llm.common import discard, held_out, partitions, stable, text_or_empty, written
 from corrobora.llm.wordhash import blocks, mix, word_hashes
 
 U = np.uint64
 BLOCK = 8 << 20
+#: Bytes of text to a bucket; what an owner holds at a time is some twenty times as much.
+BUCKET = 32 << 20
 CUT = 5
 HIGH = 0.1
 #: The end of a text as a word hash, and identifiers that are no word's: an unknown word, a text's start.
@@ -97,11 +102,15 @@ class Words:
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
 
-ROW = "block binary, bucket int, a binary, b binary, c binary, d binary, sums array<long>"
-ROWS = pa.schema([("block", pa.binary()), ("bucket", pa.int32()), *((x, pa.binary()) for x in "abcd"), ("sums", pa.list_(pa.int64()))])
+ROW = "block binary, level int, bucket int, a binary, b binary, c binary, d binary, e binary, f binary, sums array<long>"
+ROWS = pa.schema([("block", pa.binary()), ("level", pa.int32()), ("bucket", pa.int32()), *((x, pa.binary()) for x in "abcdef"), ("sums", pa.list_(pa.int64()))])
 DOCS = pa.schema([("doc_id", pa.int64()), ("held", pa.bool_()), ("n", pa.int64())])
 
 
+def row(block: bytes | None, level: int, bucket: int, *blobs: bytes | None, sums: list[int] | None = None) -> tuple:
+    return block, level, bucket, *blobs, *[None] * (6 - len(blobs)), sums
+
+
 def rows(found: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([list(c) for c in zip(*found, strict=True)] if found else [[] for _ in ROWS], schema=ROWS)
 
@@ -110,6 +119,10 @@ def table_of(found: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([rows(found)])
 
 
+def columns(batch) -> list[list]:
+    return [batch.column(k).to_pylist() for k in range(len(ROWS))]
+
+
 def _docs_blob(ids: pa.Array, held: pa.Array, n: np.ndarray) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, DOCS) as out:
@@ -150,11 +163,11 @@ def _ask_words(buckets: int, words_only: bool):
         if words_only:
             train = np.repeat(~part.column(1).to_numpy(zero_copy_only=False), n)
             trained = np.bincount(code[train], minlength=len(words))
-            return [(mark.digest(), k, words[order[x]].tobytes(), pack(trained[order[x]]), None, None, None) for k, x in _by_bucket(bucket[order], buckets)]
+            return [row(mark.digest(), 1, k, words[order[x]].tobytes(), pack(trained[order[x]])) for k, x in _by_bucket(bucket[order], buckets)]
         place = np.empty(len(words), np.int64)
         for k, x in _by_bucket(bucket[order], buckets):
             place[order[x]] = np.arange(x.stop - x.start) * buckets + k
-        return [(mark.digest(), -1, _docs_blob(part.column(0), part.column(1), n), pack(place[code]), None, None, None)]
+        return [row(mark.digest(), 1, -1, _docs_blob(part.column(0), part.column(1), n), pack(place[code]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,11 +178,16 @@ def _ask_words(buckets: int, words_only: bool):
     return run
 
 
+def _counts(total: np.ndarray) -> list[int]:
+    """Numbers of types seen 1 to CUT + 1 times."""
+    return np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3)[1 : CUT + 2].tolist()
+
+
 def _answer_words(buckets: int):
     """A bucket of words: to each block its words' identifiers and training counts, then the bucket's sums."""
 
     def run(asked: pa.Table) -> pa.Table:
-        block, bucket, words, trained = (asked.column(k).to_pylist() for k in range(4))
+        block, _, bucket, words, trained, *_ = columns(asked)
         words, trained = [np.frombuffer(w, U) for w in words], [unpack(t) for t in trained]
         known, code = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(code, np.concatenate(trained), len(known)).astype(np.int64)
@@ -178,96 +196,197 @@ def _answer_words(buckets: int):
         ids[order] = FIRST_ID + np.arange(len(known)) * buckets + bucket[0]
         ids[total == 0] = UNKNOWN
         edges = ragged.offsets(np.array([len(w) for w in words]))
-        out = [(b, bucket[0], pack(ids[code[x:y]]), pack(total[code[x:y]]), None, None, None) for b, x, y in zip(block, edges[:-1], edges[1:], strict=True)]
-        sums = [int(total.sum()), int((total > 0).sum()), int(total[known == END].sum()), *np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3)[1 : CUT + 2].tolist()]
-        out.append((None, bucket[0], None, None, None, None, sums))
+        out = [row(b, 1, bucket[0], pack(ids[code[x:y]]), pack(total[code[x:y]])) for b, x, y in zip(block, edges[:-1], edges[1:], strict=True)]
+        out.append(row(None, 1, bucket[0], sums=[int(total.sum()), int((total > 0).sum()), int(total[known == END].sum()), *_counts(total)]))
         return table_of(out)
 
     return run
 
 
+CHANGED = "the documents changed between two reads; write them as a table first"
+
+
 def _number(buckets: int):
     """A block's positions and answers together: its tokens as identifiers, and the counts of its words."""
 
     def run(given: pa.Table) -> pa.Table:
-        block, bucket, a, b = (given.column(k).to_pylist() for k in range(4))
+        block, _, bucket, a, b, *_ = columns(given)
         answers = {k: (unpack(x), unpack(y)) for k, x, y in zip(bucket, a, b, strict=True) if k >= 0}
         own = [i for i, k in enumerate(bucket) if k < 0]
         if not own:
-            raise ValueError("the documents changed between two reads; write them as a table first")
+            raise ValueError(CHANGED)
         code = unpack(b[own[0]])
         width = int(code.max()) + buckets + 1
         ids, counts = np.full(width, -1, np.int64), np.zeros(width, np.int64)
         for k, (x, y) in answers.items():
             ids[k : k + len(x) * buckets : buckets], counts[k : k + len(y) * buckets : buckets] = x, y
         if (ids[code] < 0).any():
-            raise ValueError("the documents changed between two reads; write them as a table first")
+            raise ValueError(CHANGED)
         vocabulary, first = np.unique(ids[ids >= 0], return_index=True)
         counts = counts[ids >= 0][first]
-        row = (block[0], -1, a[own[0]], pack(ids[code]), pack(vocabulary), pack(np.where(vocabulary == UNKNOWN, 0, counts)), None)
-        return table_of([row] * len(own))  # a block that occurs twice as a whole stays twice
+        found = row(block[0], 1, -1, a[own[0]], pack(ids[code]), pack(vocabulary), pack(np.where(vocabulary == UNKNOWN, 0, counts)))
+        return table_of([found] * len(own))  # a block that occurs twice as a whole stays twice
 
     return run
 
 
-class Pairs:
-    """The distinct pairs of known words of one numbered block, in the order in which it asks for them."""
+class Grams:
+    """One numbered block, with its distinct n-grams of one order after another.
+
+    ``item`` is each token's n-gram of the current order by number; ``ids`` and ``r`` are the numbers' identifiers
+    and training counts. The last number stands for any n-gram that training cannot have.
+    """
 
-    def __init__(self, row: tuple, words: Words, buckets: int):
-        docs, tokens, vocabulary, counts = row
+    def __init__(self, blobs: tuple, words: Words, buckets: int):
+        docs, tokens, vocabulary, counts = blobs
+        self.words, self.buckets, self.level = words, buckets, 1
         self.docs = _docs(docs)
         self.n = self.docs.column("n").to_numpy()
-        self.tokens, self.vocabulary, self.counts = unpack(tokens), unpack(vocabulary), unpack(counts)
-        at = ragged.offsets(self.n)
-        w = np.searchsorted(self.vocabulary, self.tokens)
-        # Contexts have the vocabulary's numbers, and the one after them stands for a text's start.
-        start = len(self.vocabulary)
-        h = np.empty_like(w)
-        h[1:] = w[:-1]
-        h[at[:-1]] = start
-        self.w, self.h = w, h
-        self.context_ids = np.r_[self.vocabulary, START]
-        self.context_counts = np.r_[self.counts, words.texts]
-        self.askable = (self.tokens != UNKNOWN) & (self.context_counts[h] > 0)
-        key = h[self.askable] * (start + 1) + w[self.askable]
-        pair, self.code = np.unique(key, return_inverse=True)
-        self.pair_h, self.pair_w = pair // (start + 1), pair % (start + 1)
-        self.hot = self.context_counts * 4 * buckets >= words.tokens
-        hid, wid = self.context_ids[self.pair_h].astype(U), self.vocabulary[self.pair_w].astype(U)
-        self.bucket = (np.where(self.hot[self.pair_h], mix(hid * U(0x9E3779B97F4A7C15) + wid), mix(hid)) % U(buckets)).astype(np.int64)
-        self.order = np.lexsort((wid, hid, self.bucket))
-
-
-def _columns(batch) -> Iterator[tuple]:
-    return zip(*(batch.column(k).to_pylist() for k in range(len(ROWS))), strict=True)
+        self.at = ragged.offsets(self.n)
+        vocabulary = unpack(vocabulary)
+        self.w = self.item = np.searchsorted(vocabulary, unpack(tokens))
+        self.word_ids = self.ids = np.r_[vocabulary, UNKNOWN]
+        self.r = np.r_[unpack(counts), 0]
+        #: Of each token, the count of its n-gram's context; of single words, all tokens.
+        self.context = np.full(len(self.w), words.tokens)
+
+    def seen(self) -> np.ndarray:
+        return self.r[self.item]
+
+    def up(self) -> None:
+        """The next order's contexts and the n-grams to be asked for, by bucket and then by context and word."""
+        self.level += 1
+        last = len(self.r) - 1
+        self.lower, lower_context = self.seen(), self.context
+        # Contexts by identifier, so that these rise; the start of a text comes after them.
+        order = np.argsort(self.ids[:last], kind="stable")
+        rank = np.empty(last + 1, np.int64)
+        rank[order], rank[last] = np.arange(last), last + 1
+        h = np.empty(len(self.w), np.int64)
+        h[1:] = rank[self.item[:-1]]
+        h[self.at[:-1]] = last
+        self.h = h
+        self.context_ids = np.r_[self.ids[order], START, UNKNOWN]
+        self.context_counts = np.r_[self.r[order], self.words.texts, 0]
+        self.context = self.context_counts[h]
+        self.askable = self.context > 0
+        # What training cannot have, as it lacks the shorter n-gram, is asked for as the unknown word: for the context.
+        width = len(self.word_ids)
+        w = np.where(self.lower > 0, self.w, width - 1)
+        key, first, self.code = np.unique(h[self.askable] * width + w[self.askable], return_index=True, return_inverse=True)
+        self.gram_h, self.gram_w = key // width, key % width
+        self.gram_lower = self.lower[self.askable][first]
+        self.gram_base = lower_context[self.askable][first]
+        self.hot = self.context_counts * 4 * self.buckets >= self.words.tokens
+        hid, wid = self.context_ids[self.gram_h].astype(U), self.word_ids[self.gram_w].astype(U)
+        self.bucket = (np.where(self.hot[self.gram_h], mix(hid * U(0x9E3779B97F4A7C15) + wid), mix(hid)) % U(self.buckets)).astype(np.int64)
+        small = np.uint16 if self.buckets <= 1 << 16 else np.int64
+        self.order = np.argsort(self.bucket.astype(small), kind="stable")
+
+    def slices(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each bucket: its n-grams, and where among them a context starts."""
+        for k, s in _by_bucket(self.bucket[self.order], self.buckets):
+            own = self.order[s]
+            h = self.gram_h[own]
+            yield k, own, np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+
+    def asked(self, block: bytes) -> list[tuple]:
+        train = np.repeat(~self.docs.column("held").to_numpy(), self.n)[self.askable]
+        trained = np.bincount(self.code[train], minlength=len(self.gram_h))
+        out = []
+        for k, own, starts in self.slices():
+            h = self.gram_h[own[starts]]
+            out.append(row(
+                block, self.level, k, pack(np.diff(self.context_ids[h] * 2 + self.hot[h], prepend=0)), pack(np.diff(np.r_[starts, len(own)])), pack(self.gram_base[own[starts]]),
+                pack(self.word_ids[self.gram_w[own]]), pack(trained[own]), pack(self.gram_lower[own]),
+            ))
+        return out
+
+    def take(self, answers: dict[int, tuple]) -> tuple[np.ndarray, ...]:
+        """Takes the order's answers: counts and identifiers become the block's, and the contexts' sums are given
+        back as (numbers of the contexts, types, mass)."""
+        k = len(self.gram_h)
+        r, ids = np.zeros(k + 1, np.int64), np.full(k + 1, UNKNOWN, np.int64)
+        contexts, types, mass = [np.empty(0, np.int64)], [np.empty((0, CUT + 1), np.int64)], [np.empty(0)]
+        for bucket, own, starts in self.slices():
+            if bucket not in answers:
+                raise ValueError(CHANGED)
+            total, found, kinds, masses = answers[bucket]
+            r[own] = total = unpack(total)
+            ids[own[total > 0]] = np.cumsum(unpack(found))
+            h = self.gram_h[own[starts]]
+            contexts.append(h[_backs_off(total, starts) & ~self.hot[h]])
+            types.append(unpack(kinds).reshape(-1, CUT + 1))
+            mass.append(np.frombuffer(masses, float))
+        self.r, self.ids = r, ids
+        self.item = np.full(len(self.w), k)
+        self.item[self.askable] = self.code
+        return np.concatenate(contexts), np.concatenate(types), np.concatenate(mass)
+
+
+def _backs_off(total: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Has a context an n-gram among those asked for that training lacks?"""
+    return np.minimum.reduceat(total, starts) == 0 if len(starts) else np.empty(0, bool)
+
+
+def _answers(level: list, bucket: list, blobs: list[list]) -> dict[int, dict[int, tuple]]:
+    """A block's answers by order and bucket; a block that occurs twice gets the same ones twice."""
+    out: dict[int, dict[int, tuple]] = {}
+    for k, b, *found in zip(level, bucket, *blobs, strict=True):
+        if b >= 0:
+            out.setdefault(k, {})[b] = tuple(found)
+    return out
+
+
+def _climb(given, words: Words, buckets: int) -> tuple[Grams, dict[int, dict[int, tuple]], list[bytes]]:
+    block, level, bucket, *blobs, _ = columns(given)
+    own = [i for i, k in enumerate(bucket) if k < 0]
+    if not own:
+        raise ValueError(CHANGED)
+    return Grams(tuple(blobs[k][own[0]] for k in range(4)), words, buckets), _answers(level, bucket, blobs[:4]), [block[i] for i in own]
 
 
 def _ask_pairs(words: Words, buckets: int):
+    """Order two needs no answers before it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, _, *row, _ in _columns(batch):
-                x = Pairs(tuple(row), words, buckets)
-                train = np.repeat(~x.docs.column("held").to_numpy(), x.n)[x.askable]
-                trained = np.bincount(x.code[train], minlength=len(x.pair_h))[x.order]
-                hid, wid = x.context_ids[x.pair_h[x.order]] * 2 + x.hot[x.pair_h[x.order]], x.vocabulary[x.pair_w[x.order]]
-                count = x.counts[x.pair_w[x.order]]
-                yield rows([(block, k, pack(np.diff(hid[s], prepend=0)), pack(wid[s]), pack(trained[s]), pack(count[s]), None) for k, s in _by_bucket(x.bucket[x.order], buckets)])
+            for k in range(batch.num_rows):
+                grams, _, blocks_ = _climb(batch.slice(k, 1), words, buckets)
+                grams.up()
+                yield rows(grams.asked(blocks_[0]))
+
+    return run
+
+
+def _ask_longer(words: Words, buckets: int):
+    """A block with the answers of all orders below: its questions for the next one."""
+
+    def run(given: pa.Table) -> pa.Table:
+        grams, answers, own = _climb(given, words, buckets)
+        for k in sorted(answers):
+            grams.up()
+            grams.take(answers[k])
+        grams.up()
+        return table_of(grams.asked(own[0]) * len(own))
 
     return run
 
 
-def _answer_pairs(words: Words, buckets: int):
-    """A bucket of pairs: to each block its pairs' r; of the contexts their sums.
+def _answer_grams(level: int, lower: Discount, buckets: int):
+    """A bucket of n-grams: to each block its r, identifiers and contexts' sums; of hot contexts their sums.
 
-    Contexts of the bucket come in one row (block null): identifiers, numbers of types with r = 1, ..., CUT
-    and above, and the sum of p(w) over what was seen after them. Hot contexts, whose identifiers are asked
-    with the lowest bit set, come with bucket -2.
+    The sums of a context are its numbers of types with r = 1, ..., CUT and above, and the sum of the lower order's
+    p(w|h') over what was seen after it. Contexts whose identifiers are asked with the lowest bit set are hot; theirs
+    come in one row of bucket -2 (block null), as other buckets hold the rest of them.
     """
 
     def run(asked: pa.Table) -> pa.Table:
-        block, bucket, hs, ws, trained, counts, _ = (asked.column(k).to_pylist() for k in range(len(ROWS)))
-        each = [np.cumsum(unpack(x)) for x in hs]
-        h, w, r, c = np.concatenate(each), *(np.concatenate([unpack(x) for x in blobs]) for blobs in (ws, trained, counts))
+        block, _, bucket, hs, sizes, bases, ws, trained, lowers, _ = columns(asked)
+        sizes = [unpack(x) for x in sizes]
+        each = [np.repeat(np.cumsum(unpack(x)), n) for x, n in zip(hs, sizes, strict=True)]
+        h, w, r, low = np.concatenate(each), *(np.concatenate([unpack(x) for x in blobs]) for blobs in (ws, trained, lowers))
+        base = np.concatenate([np.repeat(unpack(x), n) for x, n in zip(bases, sizes, strict=True)])
         order = np.lexsort((w, h))
         new = np.ones(len(h), bool)
         new[1:] = (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0)
@@ -275,111 +394,78 @@ def _answer_pairs(words: Words, buckets: int):
         code[order] = np.cumsum(new) - 1
         first = order[new]
         total = np.bincount(code, r, len(first)).astype(np.int64)
-        edges = ragged.offsets(np.array([len(x) for x in each]))
-        out = [(b, bucket[0], pack(total[code[x:y]]), None, None, None, None) for b, x, y in zip(block, edges[:-1], edges[1:], strict=True)]
         seen = total > 0
-        h, total, p = h[first][seen], total[seen], words.p(c[first][seen])
-        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
-        types = np.stack([np.add.reduceat((total == k).astype(np.int64), starts) for k in range(1, CUT + 1)] + [np.add.reduceat((total > CUT).astype(np.int64), starts)], 1) if len(h) else np.empty((0, CUT + 1), np.int64)
-        mass = np.add.reduceat(p, starts) if len(h) else np.empty(0)
-        contexts, hot = h[starts] // 2, h[starts] % 2 == 1
-        sums = np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3)[1 : CUT + 2].tolist()
-        for own, k in ((~hot, bucket[0]), (hot, -2)):
-            out.append((None, k, pack(contexts[own]), pack(types[own].reshape(-1)), mass[own].tobytes(), None, sums if k >= 0 else None))
+        ids = FIRST_ID + (np.cumsum(seen) - 1) * buckets + bucket[0]
+        starts = np.flatnonzero(np.r_[True, np.diff(h[first]) != 0])
+        context = np.cumsum(np.r_[False, np.diff(h[first]) != 0])
+        p = np.where(seen, lower.kept(low[first]) / base[first], 0.0)
+        types = np.stack([np.add.reduceat((total == k).astype(np.int64), starts) for k in range(1, CUT + 1)] + [np.add.reduceat((total > CUT).astype(np.int64), starts)], 1)
+        mass = np.add.reduceat(p, starts)
+        hot = h[first][starts] % 2 == 1
+        out, x = [], 0
+        for b, n in zip(block, sizes, strict=True):
+            y = x + int(n.sum())
+            own = code[x:y]
+            found = total[own]
+            edges = np.cumsum(n) - n
+            # Contexts from which the block backs off; the block tells them by the same rule.
+            at = context[own[edges]][_backs_off(found, edges)]
+            at = at[~hot[at]]
+            out.append(row(b, level, bucket[0], pack(found), pack(np.diff(ids[own][found > 0], prepend=0)), pack(types[at].reshape(-1)), mass[at].tobytes()))
+            x = y
+        out.append(row(None, level, bucket[0], sums=_counts(total)))
+        if hot.any():
+            out.append(row(None, level, -2, pack(h[first][starts][hot] // 2), pack(types[hot].reshape(-1)), mass[hot].tobytes()))
         return table_of(out)
 
     return run
 
 
-def _contexts(ids: bytes, types: bytes, mass: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return unpack(ids), unpack(types).reshape(-1, CUT + 1), np.frombuffer(mass, float)
-
-
-PART = "block binary, place long, doc_id long, held boolean, n_tokens long, n_known long, base double, part double, bucket int, a binary, b binary"
-PARTS = pa.schema([("block", pa.binary()), ("place", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("part", pa.float64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
-
-
-def _score(words: Words, pairs: Discount, buckets: int, hot: tuple[np.ndarray, np.ndarray]):
-    """A numbered block and its answers: per document all that is known here, and questions for alphas.
-
-    A question row has a bucket, contexts and the places of the documents that back off from them.
-    """
+def log_left(discount: Discount, types: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """log10 of c(h) * alpha(h): the counts that the context leaves, over the mass of what was not seen after it."""
+    left = discount.left(types[:, :CUT].astype(float), types[:, CUT].astype(float))
+    return np.log10(left) - np.log10(1 - mass)
 
-    def run(given: pa.Table) -> pa.Table:
-        block, bucket, a, b, c, d, _ = (given.column(k).to_pylist() for k in range(len(ROWS)))
-        own = [i for i, k in enumerate(bucket) if k < 0]
-        x = Pairs((a[own[0]], b[own[0]], c[own[0]], d[own[0]]), words, buckets)
-        answers = {k: unpack(y) for k, y in zip(bucket, a, strict=True) if k >= 0}
-        r = np.empty(len(x.order), np.int64)
-        r[x.order] = np.concatenate([np.empty(0, np.int64), *(answers[k] for k in sorted(answers))])
-        seen = np.zeros(len(x.tokens), np.int64)
-        seen[x.askable] = r[x.code]
-        count = x.counts[x.w]
-        context = x.context_counts[x.h]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            log = np.where(seen > 0, np.log10(pairs.kept(seen)), np.log10(words.p(count))) - np.log10(np.maximum(context, 1))
-        doc = np.repeat(np.arange(len(x.n)), x.n)
-        asks = (seen == 0) & (context > 0)
-        local = asks & x.hot[x.h]
-        if local.any():
-            ids, alphas = hot
-            log[local] += alphas[np.searchsorted(ids, x.context_ids[x.h[local]])]
-        asks &= ~local
-        at = ragged.offsets(x.n)
-        sums = [ragged.sums(v, at) for v in ((count > 0).astype(np.int64), words.base(count), log)]
-        h, place = x.context_ids[x.h[asks]], doc[asks]
-        to = (mix(h.astype(U)) % U(buckets)).astype(np.int64)
-        order = np.lexsort((place, h, to))
-        questions = [(k, pack(np.diff(h[order[s]], prepend=0)), pack(place[order[s]])) for k, s in _by_bucket(to[order], buckets)]
-        out = []
-        k = len(x.n)
-        for copy in range(len(own)):
-            name = block[0] + copy.to_bytes(4, "big")
-            out.append(pa.record_batch([[name] * k, np.arange(k), x.docs.column("doc_id").combine_chunks(), x.docs.column("held").combine_chunks(), x.n, *sums, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema=PARTS))
-            q = len(questions)
-            if q:
-                none = [pa.nulls(q, f.type) for f in PARTS][1:8]
-                out.append(pa.record_batch([[name] * q, *none, *([col[i] for col in questions] for i in range(3))], schema=PARTS))
-        return pa.Table.from_batches(out)
 
-    return run
+SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _back_off(pairs: Discount):
-    """A bucket's contexts and questions: sums of log alpha per document."""
-    schema = pa.schema([("block", pa.binary()), ("place", pa.int64()), ("part", pa.float64())])
+def _score(words: Words, discounts: list[Discount], buckets: int, hot: list[tuple[np.ndarray, np.ndarray]]):
+    """A numbered block and its answers: the score of each token from the lowest order up, added by document."""
 
     def run(given: pa.Table) -> pa.Table:
-        block, a, b, c = (given.column(k).to_pylist() for k in ("block", "a", "b", "c"))
-        held = [_contexts(x, y, z) for name, x, y, z in zip(block, a, b, c, strict=True) if name is None]
-        ids, types, mass = (np.concatenate(v) for v in zip(*held, strict=True)) if held else (np.empty(0, np.int64),) * 3
-        order = np.argsort(ids)
-        ids = ids[order]
-        alpha = log_alpha(pairs, types[order], mass[order]) if len(ids) else np.empty(0)
-        out = []
-        for name, hs, places in zip(block, a, b, strict=True):
-            if name is not None:
-                h, place = np.cumsum(unpack(hs)), unpack(places)
-                if not np.array_equal(ids[np.searchsorted(ids, h)], h):
-                    raise ValueError("a context of the training texts is missing")
-                at, inverse = np.unique(place, return_inverse=True)
-                out.append(pa.record_batch([[name] * len(at), at, np.bincount(inverse, alpha[np.searchsorted(ids, h)], len(at))], schema=schema))
-        return pa.Table.from_batches(out, schema)
+        grams, answers, own = _climb(given, words, buckets)
+        count = grams.seen()
+        score = np.log10(words.p(count))
+        for k, (discount, (ids, alphas)) in enumerate(zip(discounts, hot, strict=True), 2):
+            grams.up()
+            contexts, types, mass = grams.take(answers.get(k, {}))
+            left = np.full(len(grams.context_ids), np.nan)
+            left[contexts] = log_left(discount, types, mass)
+            if len(ids):
+                at = np.minimum(np.searchsorted(ids, grams.context_ids), len(ids) - 1)
+                known = grams.hot & (ids[at] == grams.context_ids)
+                left[known] = alphas[at[known]]
+            seen = grams.seen()
+            # A context that training lacks hands on as it is.
+            log_c = np.log10(np.maximum(grams.context, 1))
+            with np.errstate(divide="ignore"):
+                score = np.where(seen > 0, np.log10(discount.kept(seen)) - log_c, score + np.where(grams.context > 0, left[grams.h] - log_c, 0.0))
+        if np.isnan(score).any():
+            raise ValueError("a context's sums are missing")
+        sums = [ragged.sums(v, grams.at) for v in ((count > 0).astype(np.int64), words.base(count), score)]
+        part = pa.record_batch([grams.docs.column("doc_id").combine_chunks(), grams.docs.column("held").combine_chunks(), grams.n, *sums], schema=SCORES)
+        return pa.Table.from_batches([part] * len(own))
 
     return run
 
 
-def log_alpha(pairs: Discount, types: np.ndarray, mass: np.ndarray) -> np.ndarray:
-    """log10 of c(h) * alpha(h): the counts that the context leaves, over the mass of what was not seen after it."""
-    left = pairs.left(types[:, :CUT].astype(float), types[:, CUT].astype(float))
-    return np.log10(left) - np.log10(1 - mass)
-
-
 def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("id", pa.int64()), *((f"t{i}", pa.int64()) for i in range(CUT + 1)), ("mass", pa.float64())])
     for batch in batches:
         for a, b, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            ids, types, mass = _contexts(a, b, c)
-            yield pa.record_batch([ids, list(types), mass], schema=pa.schema([("id", pa.int64()), ("types", pa.list_(pa.int64())), ("mass", pa.float64())]))
+            yield pa.record_batch([unpack(a), *unpack(b).reshape(-1, CUT + 1).T, np.frombuffer(c, float)], schema=schema)
 
 
 def _sums(table: DataFrame, n: int) -> list[int]:
@@ -387,53 +473,63 @@ def _sums(table: DataFrame, n: int) -> list[int]:
 
 
 class Katz:
-    """A model trained on the rows that are not held out, with all rows numbered by its words."""
+    """A model of some order trained on the rows that are not held out, with all rows numbered by its words."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 1):
-        self.n = 3 * partitions(docs.sparkSession)
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 1, order: int = 3):
+        if order < 1:
+            raise ValueError(f"order {order}")
         source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
         source = source.select("doc_id", held_out(modulus, remainder).alias("held"), "text")
+        size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.n = max(3 * partitions(docs.sparkSession), -(-size // BUCKET))
         asked = source.mapInArrow(_ask_words(self.n, True), ROW)
-        #: Words by bucket, then blocks as numbers, then pairs and contexts by bucket.
-        self.word_table = written(asked.groupBy("bucket").applyInArrow(_answer_words(self.n), ROW))
-        self.words = Words.of(_sums(self.word_table, 3 + CUT + 1))
+        #: Words by bucket, then blocks as numbers, then n-grams by bucket, order by order.
+        word_table = written(asked.groupBy("bucket").applyInArrow(_answer_words(self.n), ROW))
+        self.words = Words.of(_sums(word_table, 3 + CUT + 1))
         positions = source.mapInArrow(_ask_words(self.n, False), ROW)
-        self.blocks = written(positions.unionByName(self.word_table.where("block is not null")).groupBy("block").applyInArrow(_number(self.n), ROW))
-        self.pair_table = written(self.blocks.mapInArrow(_ask_pairs(self.words, self.n), ROW).groupBy("bucket").applyInArrow(_answer_pairs(self.words, self.n), ROW))
-        self.pairs = Discount.good_turing([x or 0 for x in _sums(self.pair_table, CUT + 1)])
-
-    def _hot(self) -> tuple[np.ndarray, np.ndarray]:
+        self.blocks = written(positions.unionByName(word_table.where("block is not null")).groupBy("block").applyInArrow(_number(self.n), ROW))
+        discard(word_table)
+        self.discounts, self.hot, self.tables = [], [], []
+        lower = self.words.discount
+        for level in range(2, order + 1):
+            if level == 2:
+                asked = self.blocks.mapInArrow(_ask_pairs(self.words, self.n), ROW)
+            else:
+                asked = self._with_answers().groupBy("block").applyInArrow(_ask_longer(self.words, self.n), ROW)
+            self.tables.append(written(asked.groupBy("bucket").applyInArrow(_answer_grams(level, lower, self.n), ROW)))
+            lower = Discount.good_turing([x or 0 for x in _sums(self.tables[-1], CUT + 1)])
+            self.discounts.append(lower)
+            self.hot.append(self._hot(self.tables[-1], lower))
+
+    def _with_answers(self) -> DataFrame:
+        given = self.blocks
+        for table in self.tables:
+            given = given.unionByName(table.where("block is not null"))
+        return given
+
+    def _hot(self, table: DataFrame, discount: Discount) -> tuple[np.ndarray, np.ndarray]:
         """The hot contexts' alphas: at most four times as many as there are buckets."""
-        table = self.pair_table.where("block is null and bucket = -2").select("a", "b", "c").mapInArrow(_hot_rows, "id long, types array<long>, mass double")
-        sums = [F.sum(F.col("types")[i]) for i in range(CUT + 1)]
-        found = sorted(tuple(r) for r in table.groupBy("id").agg(*sums, F.sum("mass")).collect())
-        if not found:
-            return np.empty(0, np.int64), np.empty(0)
-        rows = np.array([r[1:] for r in found], float)
-        return np.array([r[0] for r in found], np.int64), log_alpha(self.pairs, rows[:, :-1], rows[:, -1])
+        kinds = [f"t{i}" for i in range(CUT + 1)]
+        parts = table.where("block is null and bucket = -2").select("a", "b", "c").mapInArrow(_hot_rows, "id long, " + ", ".join(f"{k} long" for k in kinds) + ", mass double")
+        found = parts.groupBy("id").agg(*(F.sum(k).alias(k) for k in kinds), F.sum("mass").alias("mass")).toArrow().sort_by("id")
+        types = np.stack([found.column(k).to_numpy() for k in kinds], 1)
+        return found.column("id").to_numpy(), log_left(discount, types, found.column("mass").to_numpy())
 
     def scores(self) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-        answers = self.pair_table.where("block is not null")
-        parts = written(self.blocks.unionByName(answers).groupBy("block").applyInArrow(_score(self.words, self.pairs, self.n, self._hot()), PART))
-        questions = parts.where("bucket is not null").select("block", "bucket", "a", "b", F.lit(None).cast("binary").alias("c"))
-        contexts = self.pair_table.where("block is null and bucket >= 0").select("block", "bucket", "a", "b", "c")
-        backed = questions.unionByName(contexts).groupBy("bucket").applyInArrow(_back_off(self.pairs), "block binary, place long, part double")
-        own = parts.where("bucket is null").select("block", "place", "doc_id", "held", "n_tokens", "n_known", "base", "part")
-        both = own.unionByName(backed, allowMissingColumns=True).groupBy("block", "place")
-        total = both.agg(*(F.max(c).alias(c) for c in ("doc_id", "held", "n_tokens", "n_known", "base")), F.sum("part").alias("score"))
-        return total.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(self.words.tokens).cast("long").alias("train_tokens"), F.round("base", 6).alias("base_score"), F.round("score", 6).alias("score"))
+        found = self._with_answers().groupBy("block").applyInArrow(_score(self.words, self.discounts, self.n, self.hot), SCORE)
+        return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(self.words.tokens).cast("long").alias("train_tokens"), F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 1) -> DataFrame:
-    """Trains on the rows whose crc32 of the identifier does not leave ``remainder`` and scores all rows.
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 1, order: int = 3) -> DataFrame:
+    r"""Trains on the rows whose crc32 of the identifier does not leave ``remainder`` and scores all rows.
 
     Words are runs of bytes other than space and \x09-\x0D with A-Z lowered, then comes one end. A null text
     counts as empty and is one end; a null identifier counts as ''. n_known counts tokens that occur in
-    training. base_score adds log10((c + 0.5) / (N + 0.5 * (V + 1))) over the tokens; score adds the model's
-    log10 probabilities, both rounded to six decimals. Without training rows every token is unknown with
-    probability one. Repeated rows train and are scored as often as they occur; an empty table gives no rows;
-    other columns are ignored. Words are told apart by 64-bit hashes; all else is by number. The input is read
-    twice and must be the same both times, as tables are.
+    training. base_score adds log10((c + 0.5) / (N + 0.5 * (V + 1))) over the tokens; score adds the log10
+    probabilities of the model of that ``order``, both rounded to six decimals. Without training rows every token
+    is unknown with probability one. Repeated rows train and are scored as often as they occur; an empty table
+    gives no rows; other columns are ignored. Words are told apart by 64-bit hashes; all else is by number. Input
+    that is no stored table is written first, as it is read twice.
     """
-    return Katz(docs, id_col, text_col, modulus, remainder).scores()
+    return Katz(stable(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "id", "text", modulus, remainder, order).scores()

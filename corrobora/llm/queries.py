@@ -88,27 +88,30 @@ ORACLES = {
                    list_append(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' end') AS w
             FROM documents
         ), t AS (
-            SELECT rid, held_out, unnest(w) AS w, unnest(list_prepend(' start', w[:-2])) AS h FROM d
+            SELECT rid, held_out, unnest(w) AS w, unnest(list_prepend(' start', w[:-2])) AS h, unnest(list_concat([' start', ' start'], w[:-3])[:len(w)]) AS g FROM d
         ), c AS (SELECT w, count(*) AS r FROM t WHERE NOT held_out GROUP BY w),
         p AS (SELECT h, w, count(*) AS r FROM t WHERE NOT held_out GROUP BY h, w),
+        q AS (SELECT g, h, w, count(*) AS r FROM t WHERE NOT held_out GROUP BY g, h, w),
         n AS (
-            SELECT 1 AS k, list_transform(range(1, 7), lambda i: len(list_filter(x, lambda y: y = i))::DOUBLE) AS n FROM (SELECT list(r) AS x FROM c)
-            UNION ALL SELECT 2, list_transform(range(1, 7), lambda i: len(list_filter(x, lambda y: y = i))::DOUBLE) FROM (SELECT list(r) AS x FROM p)
-        ), q AS (
+            SELECT k, list_transform(range(1, 7), lambda i: len(list_filter(x, lambda y: y = i))::DOUBLE) AS n
+            FROM (SELECT 1 AS k, list(r) AS x FROM c UNION ALL SELECT 2, list(r) FROM p UNION ALL SELECT 3, list(r) FROM q)
+        ), m AS (
             SELECT k, n, 6 * n[6] / n[1] AS m, list_transform(range(1, 6), lambda i: (i + 1) * n[i + 1] / n[i] / i) AS raw FROM n
-        ), g AS (
+        ), d0 AS (
             SELECT k, CASE WHEN list_min(n[1:5]) > 0 AND m < 1 AND list_min(list_transform(raw, lambda x: (x - m) / (1 - m))) > 0 AND list_max(list_transform(raw, lambda x: (x - m) / (1 - m))) < 1
-                           THEN list_transform(raw, lambda x: (x - m) / (1 - m)) ELSE list_transform(range(1, 6), lambda i: (i - 0.5::DOUBLE) / i) END AS d FROM q
-        ), g1 AS (SELECT d FROM g WHERE k = 1), g2 AS (SELECT d FROM g WHERE k = 2),
-        s AS (SELECT sum(r) AS big_n, count(*) AS big_v, sum(CASE WHEN r <= 5 THEN d[r] * r ELSE r - 0.1::DOUBLE END) AS kept FROM c, g1),
-        u AS (SELECT w, r, CASE WHEN r <= 5 THEN d[r] * r ELSE r - 0.1::DOUBLE END / big_n AS p FROM c, g1, s),
-        k AS (SELECT h, w, r, CASE WHEN r <= 5 THEN d[r] * r ELSE r - 0.1::DOUBLE END AS kept FROM p, g2),
-        a AS (
-            SELECT k.h, sum(k.r) AS total, (sum(k.r - k.kept) / sum(k.r)) / (1 - sum(u.p)) AS alpha FROM k JOIN u USING (w) GROUP BY k.h
-        ), l AS (
+                           THEN list_transform(raw, lambda x: (x - m) / (1 - m)) ELSE list_transform(range(1, 6), lambda i: (i - 0.5::DOUBLE) / i) END AS d FROM m
+        ), s AS (SELECT sum(r) AS big_n, count(*) AS big_v, sum(CASE WHEN r <= 5 THEN d[r] * r ELSE r - 0.1::DOUBLE END) AS kept FROM c, d0 WHERE k = 1),
+        u AS (SELECT w, r, CASE WHEN r <= 5 THEN d[r] * r ELSE r - 0.1::DOUBLE END / big_n AS p FROM c, d0, s WHERE k = 1),
+        p1 AS (SELECT h, w, r, CASE WHEN r <= 5 THEN d[r] * r ELSE r - 0.1::DOUBLE END AS kept, sum(r) OVER (PARTITION BY h) AS total FROM p, d0 WHERE k = 2),
+        q1 AS (SELECT g, h, w, r, CASE WHEN r <= 5 THEN d[r] * r ELSE r - 0.1::DOUBLE END AS kept, sum(r) OVER (PARTITION BY g, h) AS total FROM q, d0 WHERE k = 3),
+        a2 AS (SELECT h, (sum(p1.r - p1.kept) / sum(p1.r)) / (1 - sum(u.p)) AS alpha FROM p1 JOIN u USING (w) GROUP BY h),
+        a3 AS (SELECT q1.g, q1.h, (sum(q1.r - q1.kept) / sum(q1.r)) / (1 - sum(p1.kept / p1.total)) AS alpha FROM q1 JOIN p1 ON p1.h = q1.h AND p1.w = q1.w GROUP BY q1.g, q1.h),
+        l AS (
             SELECT t.rid, u.r AS c, log10((coalesce(u.r, 0) + 0.5::DOUBLE) / (s.big_n + 0.5::DOUBLE * (s.big_v + 1))) AS base,
-                   CASE WHEN k.r IS NOT NULL THEN log10(k.kept / a.total) ELSE log10(coalesce(a.alpha, 1) * coalesce(u.p, (s.big_n - s.kept) / s.big_n)) END AS score
-            FROM t CROSS JOIN s LEFT JOIN u ON u.w = t.w LEFT JOIN k ON k.h = t.h AND k.w = t.w LEFT JOIN a ON a.h = t.h
+                   CASE WHEN q1.r IS NOT NULL THEN log10(q1.kept / q1.total) WHEN p1.r IS NOT NULL THEN log10(coalesce(a3.alpha, 1) * p1.kept / p1.total)
+                        ELSE log10(coalesce(a3.alpha, 1) * coalesce(a2.alpha, 1) * coalesce(u.p, (s.big_n - s.kept) / s.big_n)) END AS score
+            FROM t CROSS JOIN s LEFT JOIN u ON u.w = t.w LEFT JOIN p1 ON p1.h = t.h AND p1.w = t.w LEFT JOIN a2 ON a2.h = t.h
+                 LEFT JOIN q1 ON q1.g = t.g AND q1.h = t.h AND q1.w = t.w LEFT JOIN a3 ON a3.g = t.g AND a3.h = t.h
         )
         SELECT d.doc_id, d.held_out, count(*) AS n_tokens, count(l.c) AS n_known, (SELECT big_n FROM s)::BIGINT AS train_tokens, round(fsum(l.base), 6) AS base_score, round(fsum(l.score), 6) AS score
         FROM d JOIN l USING (rid) GROUP BY d.rid, d.doc_id, d.held_out

@@ -10,6 +10,7 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 
 MADE: dict[str, SparkSession] = {}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,10 +49,20 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage: ``df`` as a table in the shared folder, which outlives any executor."""
+    """Cuts lineage: ``df`` as a table in the shared folder, which outlives any executor.
+
+    The shuffles that made it are of no more use then, and leave the executors' disks at once.
+    """
     spark = df.sparkSession
-    path = scratch(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = scratch(spark), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
