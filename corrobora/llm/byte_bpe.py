@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
@@ -26,15 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corrobora.llm import ragged
-from corrobora.llm.common import partitions, text_or_empty
+from corrobora.llm.common import partitions, stable, text_or_empty
 from corrobora.llm.wordhash import blocks
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK = 4 << 20
 #: Characters that are pre-tokenised at a time.
 SEGMENT = 1 << 20
-#: A pre-token never runs across such a place.
+#: A pre-token of the public pattern never runs across such a place; texts are cut there, for this pattern only.
 CUT = re.compile(r"(?<=\S)\s")
+#: Distinct words whose ids an owner keeps between blocks.
+KNOWN = 500_000
 
 ROW = "block binary, bucket int, a binary, b binary, c binary"
 ROWS = pa.schema([("block", pa.binary()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -69,7 +72,10 @@ class Numbered(dict):
         return number
 
 
-def segments(text: str) -> Iterator[str]:
+def segments(text: str, pattern: str) -> Iterator[str]:
+    if pattern != public_tokenizers.PATTERN:
+        yield text
+        return
     at = 0
     while len(text) - at > SEGMENT:
         cut = CUT.search(text, at + SEGMENT)
@@ -101,7 +107,7 @@ def _explode(pattern: str, buckets: int, words_only: bool):
             mark.update(f"{doc_id},{len(text)}:".encode())
             mark.update(text)
             n = 0
-            for part in segments(text.decode("utf-8", "replace")):
+            for part in segments(text.decode("utf-8", "replace"), pattern):
                 found = split(part)
                 codes.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
                 n += len(found)
@@ -142,6 +148,8 @@ def _encode(path: str, pattern: str):
             out = []
             for block, bucket, words, lengths in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 words, at, ids = zstandard.decompress(words), 0, []
+                if len(known) > KNOWN:
+                    known.clear()
                 for n in unpack(lengths).tolist():
                     word = words[at : at + n]
                     at += n
@@ -187,9 +195,11 @@ def _reassemble(finish, schema: pa.Schema):
 
 
 def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, finish, ddl: str, schema: pa.Schema) -> DataFrame:
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
+    docs = stable(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    source = docs.select(F.col("id").cast("long").alias("doc_id"), text_or_empty("text").cast("binary").alias("text"))
     n = partitions(docs.sparkSession)
-    words = source.mapInArrow(_explode(pattern, n, True), ROW).repartition(n, "bucket").mapInArrow(_encode(path, pattern), ROW)
+    # A bucket is a partition: hashing its number once more would leave some without any and give others several.
+    words = source.mapInArrow(_explode(pattern, n, True), ROW).repartitionById(n, "bucket").mapInArrow(_encode(path, pattern), ROW)
     positions = source.mapInArrow(_explode(pattern, n, False), ROW)
     return positions.unionByName(words).groupBy("block").applyInArrow(_reassemble(finish, schema), ddl)
 
@@ -199,8 +209,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     Each match of ``pattern`` is encoded by itself by the ranks in the file ``path`` (base64 token and rank on
     each line), without special tokens. A null text counts as empty and has no ids; a null identifier and
-    repeated rows are kept as they are; an empty table gives no rows; other columns are ignored. The input is
-    read twice and must be the same both times, as tables are.
+    repeated rows are kept as they are; an empty table gives no rows; other columns are ignored. Input that is
+    no stored table is written first, as it is read twice.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     return _encoded(docs, path, pattern, id_col, text_col, lambda ids: (len(ids), ids.astype("<u4").tobytes()), OUT, schema)

@@ -183,7 +183,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
     store, root = _open(folder)
     store.create_dir(root, recursive=True)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-    dealt = source.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # An identifier that repeats, or null, is no single range; how texts begin orders them as the texts do.
+    dealt = source.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     parts = written(dealt.mapInArrow(_write(folder, path, end_id, wide), PARTS))
     # One row per part: what this window gathers is the number of parts, not of documents.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
