@@ -296,9 +296,12 @@ class Grams:
         out = []
         for k, own, starts in self.slices():
             h = self.gram_h[own[starts]]
+            # What the lower order says is needed once of what training has, and any block that trains on it has it.
+            r = trained[own]
+            base = np.where(np.maximum.reduceat(r, starts) > 0, self.gram_base[own[starts]], 0)
             out.append(row(
-                block, self.level, k, pack(np.diff(self.context_ids[h] * 2 + self.hot[h], prepend=0)), pack(np.diff(np.r_[starts, len(own)])), pack(self.gram_base[own[starts]]),
-                pack(self.word_ids[self.gram_w[own]]), pack(trained[own]), pack(self.gram_lower[own]),
+                block, self.level, k, pack(np.diff(self.context_ids[h] * 2 + self.hot[h], prepend=0)), pack(np.diff(np.r_[starts, len(own)])), pack(base),
+                pack(self.word_ids[self.gram_w[own]]), pack(r), pack(np.where(r > 0, self.gram_lower[own], 0)),
             ))
         return out
 
@@ -313,7 +316,8 @@ class Grams:
                 raise ValueError(CHANGED)
             total, found, kinds, masses = answers[bucket]
             r[own] = total = unpack(total)
-            ids[own[total > 0]] = np.cumsum(unpack(found))
+            if found:
+                ids[own[total > 0]] = np.cumsum(unpack(found))
             h = self.gram_h[own[starts]]
             contexts.append(h[_backs_off(total, starts) & ~self.hot[h]])
             types.append(unpack(kinds).reshape(-1, CUT + 1))
@@ -373,8 +377,9 @@ def _ask_longer(words: Words, buckets: int):
     return run
 
 
-def _answer_grams(level: int, lower: Discount, buckets: int):
-    """A bucket of n-grams: to each block its r, identifiers and contexts' sums; of hot contexts their sums.
+def _answer_grams(level: int, lower: Discount, buckets: int, last: bool):
+    """A bucket of n-grams: to each block its r, identifiers unless it is the last order, and contexts' sums; of hot
+    contexts their sums.
 
     The sums of a context are its numbers of types with r = 1, ..., CUT and above, and the sum of the lower order's
     p(w|h') over what was seen after it. Contexts whose identifiers are asked with the lowest bit set are hot; theirs
@@ -398,7 +403,9 @@ def _answer_grams(level: int, lower: Discount, buckets: int):
         ids = FIRST_ID + (np.cumsum(seen) - 1) * buckets + bucket[0]
         starts = np.flatnonzero(np.r_[True, np.diff(h[first]) != 0])
         context = np.cumsum(np.r_[False, np.diff(h[first]) != 0])
-        p = np.where(seen, lower.kept(low[first]) / base[first], 0.0)
+        trains = r > 0
+        p = np.zeros(len(first))
+        p[code[trains]] = lower.kept(low[trains]) / base[trains]
         types = np.stack([np.add.reduceat((total == k).astype(np.int64), starts) for k in range(1, CUT + 1)] + [np.add.reduceat((total > CUT).astype(np.int64), starts)], 1)
         mass = np.add.reduceat(p, starts)
         hot = h[first][starts] % 2 == 1
@@ -411,7 +418,7 @@ def _answer_grams(level: int, lower: Discount, buckets: int):
             # Contexts from which the block backs off; the block tells them by the same rule.
             at = context[own[edges]][_backs_off(found, edges)]
             at = at[~hot[at]]
-            out.append(row(b, level, bucket[0], pack(found), pack(np.diff(ids[own][found > 0], prepend=0)), pack(types[at].reshape(-1)), mass[at].tobytes()))
+            out.append(row(b, level, bucket[0], pack(found), None if last else pack(np.diff(ids[own][found > 0], prepend=0)), pack(types[at].reshape(-1)), mass[at].tobytes()))
             x = y
         out.append(row(None, level, bucket[0], sums=_counts(total)))
         if hot.any():
@@ -496,7 +503,7 @@ class Katz:
                 asked = self.blocks.mapInArrow(_ask_pairs(self.words, self.n), ROW)
             else:
                 asked = self._with_answers().groupBy("block").applyInArrow(_ask_longer(self.words, self.n), ROW)
-            self.tables.append(written(asked.groupBy("bucket").applyInArrow(_answer_grams(level, lower, self.n), ROW)))
+            self.tables.append(written(asked.groupBy("bucket").applyInArrow(_answer_grams(level, lower, self.n, level == order), ROW)))
             lower = Discount.good_turing([x or 0 for x in _sums(self.tables[-1], CUT + 1)])
             self.discounts.append(lower)
             self.hot.append(self._hot(self.tables[-1], lower))
