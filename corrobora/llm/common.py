@@ -50,17 +50,21 @@ def stable(df: DataFrame) -> DataFrame:
     return df if plain else written(df)
 
 
-def many_to_one(many: DataFrame, one: DataFrame, on: list[str], least: int = 256) -> DataFrame:
+def many_to_one(many: DataFrame, one: DataFrame, on: list[str], counted: str | None = None, least: int = 256) -> DataFrame:
     """``many`` joined with ``one``, in which each key stands once, without a task per frequent key.
 
     Keys with more than twice a task's fair share of ``many`` get their row by broadcast; there are fewer of them
-    than half the tasks, whatever the data. The others meet in a shuffle. ``many`` should be a stored table.
+    than half the tasks, whatever the data. The others meet in a shuffle. ``many`` should be a stored table. With
+    ``counted``, that column of ``one``, a stored table then, has the number of rows of ``many`` with the key.
     """
     spark = many.sparkSession
     share = max(least, 2 * many.count() // partitions(spark))
     n, *_ = fresh([*many.columns, *one.columns], "__n")
-    hot = written(many.groupBy(*on).agg(F.count("*").alias(n)).where(F.col(n) > share).drop(n))
+    if counted:
+        hot = one.where(F.col(counted) > share).select(*on)
+    else:
+        hot = written(many.groupBy(*on).agg(F.count("*").alias(n)).where(F.col(n) > share).drop(n))
     if hot.isEmpty():
         return many.join(one, on)
-    rows = F.broadcast(written(one.join(F.broadcast(hot), on)))
+    rows = F.broadcast(one.where(F.col(counted) > share) if counted else written(one.join(F.broadcast(hot), on)))
     return many.join(F.broadcast(hot), on, "left_anti").join(one, on).unionByName(many.join(rows, on))

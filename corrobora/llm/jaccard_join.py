@@ -9,9 +9,9 @@ positions from 0, falls below the overlap that the threshold asks for.
 Answers of a set are derived from those of a highly similar one. The first rounds verify, in each list, each
 set with a few others, mostly the same in all lists of a group; sets linked there share their answers from
 then on, as what one reaches the other reaches. The last round takes only lists whose sets do not all share answers
-yet, and in these all pairs across. Hence a group of many near copies costs about as many verifications as it
-has members, and no link between components is lost. Before sets are fetched, parity sketches bound a pair's
-overlap from above, so only pairs that may be links cost a set.
+yet, and in these the sets outside the list's most frequent label, each with all others. Hence a group of many near
+copies costs about as many verifications as it has members, and no link between components is lost. Before sets are
+fetched, parity sketches bound a pair's overlap from above, so only pairs that may be links cost a set.
 """
 
 from __future__ import annotations
@@ -24,27 +24,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.common import BROADCAST_ROWS, partitions, text_or_empty, without, written
+from corrobora.llm.common import BROADCAST_ROWS, discard, many_to_one, partitions, text_or_empty, without, written
 from corrobora.llm.components import components
 from corrobora.llm.wordhash import blocks, shingle_sets
 
 U = np.uint64
 #: Bytes of text whose sets a task holds at a time.
 BLOCK = 8 << 20
-#: Grams that the order moves to the end; the most frequent ones if there are more. It bounds a broadcast
+#: Grams that the order moves to the end; the most frequent ones if there are more. It bounds a broadcast of 16 MB
 #: and changes only how many candidates there are, never the result.
-MOST_HEAVY = 1 << 16
-#: A gram in so many sets counts as frequent.
+MOST_HEAVY = 1 << 20
+#: A gram in so many sets counts as frequent: seen so often within blocks, or twice in one set of so many.
 HEAVY_AT = 64
-#: A list with more sets is handled by several tasks.
+#: A list with more sets is handled by several tasks, each of which meets so many sets with so many others.
 LONG_LIST = 4096
 #: Rounds in which the sets of a list meet its hubs only, so many of them, before all of its sets meet.
 STAR_ROUNDS = 2
 HUBS = 3
+#: Prefix entries of a bucket, which one task sorts at a time.
+BUCKET = 1 << 22
 
 
-def node_of(s: np.ndarray) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True)
+def identity(s: np.ndarray, seed: int) -> tuple[int, int]:
+    """Two 64-bit halves of a set's digest: its node, and what tells whether two sets got the same one."""
+    digest = xxhash.xxh3_128_digest(s.tobytes(), seed)
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def node_of(s: np.ndarray, seed: int) -> int:
+    return identity(s, seed)[0]
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -73,27 +81,35 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
         yield a, b, column.slice(a, b - a).to_pylist()
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("gram", pa.bool_())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("gram", pa.bool_())])
 
 
-def _signatures(n: int):
-    """Rows of documents (doc_id, node, set size n, sketch) and of grams (node the gram, n sets of the block)."""
+def _signatures(n: int, seed: int):
+    """Rows of documents (doc_id, node, check, set size n, sketch) and of grams (node the gram, n a count of sets).
+
+    Grams are counted within each block where they occur twice, and in one set of HEAVY_AT for the whole table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in _texts(batch):
                 sets = shingle_sets(texts, n)
-                nodes = [node_of(s) for s in sets]
-                yield pa.record_batch([batch.column(0).slice(a, b - a), nodes, [len(s) for s in sets], [sketch(s) for s in sets], [False] * len(sets)], schema=SIGNED)
-                grams, count = np.unique(np.concatenate(list(dict(zip(nodes, sets, strict=True)).values())), return_counts=True)
+                names = [identity(s, seed) for s in sets]
+                yield pa.record_batch([batch.column(0).slice(a, b - a), [x for x, _ in names], [y for _, y in names], [len(s) for s in sets], [sketch(s) for s in sets], [False] * len(sets)], schema=SIGNED)
+                own = dict(zip(names, sets, strict=True))
+                grams, count = np.unique(np.concatenate(list(own.values())), return_counts=True)
                 often = count >= 2
-                if k := int(often.sum()):
-                    yield pa.record_batch([pa.nulls(k, pa.int64()), grams[often].view(np.int64), count[often].astype(np.int64), pa.nulls(k, pa.binary()), [True] * k], schema=SIGNED)
+                sampled = [s for (_, check), s in own.items() if check % HEAVY_AT == 0]
+                found = [(grams[often], count[often].astype(np.int64)), *((s, np.full(len(s), HEAVY_AT // 2)) for s in sampled)]
+                values, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+                if k := len(values):
+                    none = pa.nulls(k, pa.int64())
+                    yield pa.record_batch([none, values.view(np.int64), none, counts, pa.nulls(k, pa.binary()), [True] * k], schema=SIGNED)
 
     return run
 
 
-def _prefixes(n: int, percent: int, heavy: np.ndarray, rank: np.ndarray, buckets: int):
+def _prefixes(n: int, percent: int, seed: int, heavy: np.ndarray, rank: np.ndarray, buckets: int):
     """One row per block and bucket: the prefix entries of the block's distinct sets that fall there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +118,7 @@ def _prefixes(n: int, percent: int, heavy: np.ndarray, rank: np.ndarray, buckets
                 toks, lens, nodes, sizes = [], [], [], []
                 seen: set[int] = set()
                 for s in shingle_sets(texts, n):
-                    if not len(s) or (node := node_of(s)) in seen:
+                    if not len(s) or (node := node_of(s, seed)) in seen:
                         continue
                     seen.add(node)
                     if len(heavy):
@@ -156,7 +172,7 @@ INDEX = pa.schema([("pair", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), (
 
 
 def _index(percent: int):
-    """Builds the lists of a partition's buckets; lists of the same sets become one.
+    """Builds the lists of each bucket, rows coming by bucket; lists of the same sets become one.
 
     Gives rows of lists (a list, b set, size, pos) and of the first round's pairs (a, b).
     """
@@ -199,9 +215,15 @@ def _index(percent: int):
         yield pa.record_batch([pa.array(np.ones(k, bool)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32())], schema=INDEX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[np.ndarray]] = {k: [] for k in ("tok", "node", "size", "pos")}
+        names = ("tok", "node", "size", "pos")
+        parts: dict[str, list[np.ndarray]] = {k: [] for k in names}
+        now = None
         for batch in batches:
-            for tok, doc, pos, nodes, sizes in zip(*(batch.column(k).to_pylist() for k in ("tok", "doc", "pos", "nodes", "sizes")), strict=True):
+            for bucket, tok, doc, pos, nodes, sizes in zip(*(batch.column(k).to_pylist() for k in ("bucket", "tok", "doc", "pos", "nodes", "sizes")), strict=True):
+                if bucket != now and parts["tok"]:
+                    yield from build(parts)
+                    parts = {k: [] for k in names}
+                now = bucket
                 doc = np.frombuffer(doc, np.uint32)
                 parts["tok"].append(np.frombuffer(tok, np.uint32))
                 parts["node"].append(np.frombuffer(nodes, np.int64)[doc])
@@ -213,75 +235,62 @@ def _index(percent: int):
     return run
 
 
-def _across(percent: int, star: bool):
-    """Pairs of different labels in each list; rows come sorted by (list, share, size, pos).
+def reaches(x: str, y: str, percent: int):
+    """``_reachable`` of the columns size and pos of two structs."""
+    sx, sy = F.col(f"{x}.size").cast("long"), F.col(f"{y}.size").cast("long")
+    bound = 1 + F.least(sx - F.col(f"{x}.pos") - 1, sy - F.col(f"{y}.pos") - 1)
+    return (100 * F.least(sx, sy) >= percent * F.greatest(sx, sy)) & (100 * bound >= percent * (sx + sy - bound))
 
-    With ``star`` each set meets only the list's ``HUBS`` foremost sets by ``like``, and as many outside the
-    first one's label. What stands in most lists for its size is what a group of near copies has in common.
-    """
 
-    def stars(node, size, pos, label, mine, like) -> np.ndarray:
-        size, pos = size.astype(np.int64), pos.astype(np.int64)
-        order = np.lexsort((node, -like))
-        hubs = {*order[:HUBS].tolist(), *order[label[order] != label[order[0]]][:HUBS].tolist()}
-        found = []
-        for hub in hubs:
-            ok = mine & (label != label[hub]) & _reachable(size, size[hub], pos, pos[hub], percent)
-            x = node[ok]
-            found.append(np.stack([np.minimum(x, node[hub]), np.maximum(x, node[hub])], 1))
-        return np.concatenate(found)
-
-    def pairs(node, size, pos, label, mine, like) -> np.ndarray:
+CELL = ("list", "i", "j")
+
+
+def _across(percent: int):
+    """Pairs of different labels in each cell of a list, of its own rows with all; rows come by cell, size and pos."""
+
+    def pairs(node, size, pos, label, mine) -> np.ndarray:
         """Blocks of one size are sorted by position: those out of reach are skipped, others cut where it ends."""
-        found = []
+        found = [np.empty((0, 2), np.int64)]
         size, pos = size.astype(np.int64), pos.astype(np.int64)
         start = _runs(size)
         end = np.r_[start[1:], len(size)]
-        block = np.repeat(np.arange(len(start)), end - start)
         sizes = size[start]
-        last = np.searchsorted(sizes, 100 * size // percent, side="right")
+        low = np.searchsorted(sizes, -(-percent * size // 100))
+        high = np.searchsorted(sizes, 100 * size // percent, side="right")
         for i in np.flatnonzero(mine):
-            own = block[i]
-            other = sizes[own : last[i]]
+            other = sizes[low[i] : high[i]]
             need = -(-percent * (size[i] + other) // (100 + percent))
             for k in np.flatnonzero(size[i] - pos[i] >= need):
-                b = own + k
-                stop = start[b] + np.searchsorted(pos[start[b] : end[b]], other[k] - need[k], side="right")
-                y = slice(i + 1 if k == 0 else start[b], stop)
+                b = low[i] + k
+                y = slice(start[b], start[b] + np.searchsorted(pos[start[b] : end[b]], other[k] - need[k], side="right"))
                 far = label[y] != label[i]
                 if far.any():
                     met = node[y][far]
                     found.append(np.stack([np.minimum(met, node[i]), np.maximum(met, node[i])], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        return np.unique(np.concatenate(found), axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def close() -> pa.RecordBatch | None:
-            lst, share, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
-            starts = np.r_[_runs(lst, share), len(lst)]
-            take = stars if star else pairs
-            out = [take(*(c[a:b] for c in columns)) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            starts = np.r_[_runs(*columns[: len(CELL)]), len(columns[0])]
+            out = [pairs(*(c[a:b] for c in columns[len(CELL) :])) for a, b in zip(starts[:-1], starts[1:], strict=True)]
             both = np.unique(np.concatenate(out), axis=0)
             return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"]) if len(both) else None
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("list", "share", "node", "size", "pos", "label", "mine", "like")]
-            starts = _runs(cols[0], cols[1])
-            cut = int(starts[-1])
-            same = held and held[-1][0][-1] == cols[0][0] and held[-1][1][-1] == cols[1][0]
-            if held and not (same and cut == 0):
-                split = (int(starts[1]) if len(starts) > 1 else batch.num_rows) if same else 0
-                if split:
-                    held.append([c[:split] for c in cols])
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in (*CELL, "node", "size", "pos", "label", "mine")]
+            # The last cell may go on in the next batch; those before it are whole once the held ones are added.
+            cut = int(_runs(*cols[: len(CELL)])[-1])
+            if held and (cut or any(h[-1] != c[0] for h, c in zip(held[-1], cols[: len(CELL)], strict=False))):
+                held.append([c[:cut] for c in cols])
                 if (out := close()) is not None:
                     yield out
-                held, cols, cut = [], [c[split:] for c in cols], cut - split
-                if not len(cols[0]):
-                    continue
-            if cut > 0:
+                held, cols = [], [c[cut:] for c in cols]
+            elif cut:
                 held.append([c[:cut] for c in cols])
                 if (out := close()) is not None:
                     yield out
@@ -293,12 +302,12 @@ def _across(percent: int, star: bool):
     return run
 
 
-def _set_blobs(n: int):
+def _set_blobs(n: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, texts in _texts(batch):
                 sets = shingle_sets(texts, n)
-                yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"])
+                yield pa.record_batch([pa.array([node_of(s, seed) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"])
 
     return run
 
@@ -335,6 +344,13 @@ def _verify(percent: int):
     return run
 
 
+def _hubs() -> list:
+    """In each of HUBS classes of a list's sets, the foremost one by ``like``: what stands in most lists for its size
+    is what a group of near copies has in common."""
+    row = F.struct((-F.col("like")).alias("order"), "node", "size", "pos", "label")
+    return [F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(HUBS)) == c, row)).alias(f"h{c}") for c in range(HUBS)]
+
+
 class JaccardJoin:
     """The join over one table of documents; ``links`` and ``components`` are its results."""
 
@@ -343,14 +359,20 @@ class JaccardJoin:
             raise ValueError(f"words {words}, percent {percent}")
         self.spark, self.words, self.percent = docs.sparkSession, words, percent
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-        both = written(self.docs.mapInArrow(_signatures(words), "doc_id long, node long, n long, sketch binary, gram boolean"))
-        self.sets = both.where("not gram").select("doc_id", "node", "n")
-        self.nodes = both.where("not gram and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        for self.seed in range(8):
+            both = written(self.docs.mapInArrow(_signatures(words, self.seed), "doc_id long, node long, check long, n long, sketch binary, gram boolean"))
+            sets = both.where("not gram")
+            nodes = written(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), (F.min("check") != F.max("check")).alias("clash")))
+            if nodes.where("clash").isEmpty():
+                break
+            discard(both, nodes)  # two sets of one node: other nodes
+        self.sets = sets.select("doc_id", "node", "n")
+        self.nodes = nodes.where("doc_id is not null").drop("clash")
         heavy = both.where("gram").groupBy(F.col("node").alias("g")).agg(F.sum("n").alias("df")).where(F.col("df") >= HEAVY_AT)
-        rows = heavy.orderBy(F.desc("df"), "g").limit(MOST_HEAVY).collect()
-        grams = np.array([r.g for r in rows], np.int64).view(U)
+        found = heavy.orderBy(F.desc("df"), "g").limit(MOST_HEAVY).toArrow()
+        grams = found.column("g").to_numpy().view(U)
         order = np.argsort(grams)
-        self._heavy = grams[order], (len(rows) - order).astype(np.int64)
+        self._heavy = grams[order], len(grams) - order.astype(np.int64)
 
     def _sets_of(self, pairs: DataFrame) -> DataFrame:
         """(node, grams) of the sets that occur in pairs, computed from one document of each."""
@@ -358,44 +380,96 @@ class JaccardJoin:
         need = written(self.nodes.select("node", "doc_id").join(nodes, "node").select("doc_id"))
         few = need.count() <= BROADCAST_ROWS
         texts = self.docs.join(F.broadcast(need) if few else need, "doc_id", "left_semi")
-        blobs = texts.mapInArrow(_set_blobs(self.words), "node long, grams binary")
+        blobs = texts.mapInArrow(_set_blobs(self.words, self.seed), "node long, grams binary")
         return written(blobs.dropDuplicates(["node"]))
 
+    def _with_both(self, pairs: DataFrame, sets: DataFrame, *columns: tuple[str, str, str]) -> DataFrame:
+        """Stored pairs (a, b) with columns of both sets, given as (column, its name for a, its name for b)."""
+        x = sets.select(F.col("node").alias("a"), *(F.col(c).alias(p) for c, p, _ in columns))
+        y = sets.select(F.col("node").alias("b"), *(F.col(c).alias(q) for c, _, q in columns))
+        # A hub is in many pairs on either side. Its row is met by broadcast, so that no task gets all of them.
+        share = max(256, 2 * pairs.count() // partitions(self.spark))
+        often = [r[0] for r in pairs.select(F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(k).alias("node")) for k in "ab"))).alias("e")).groupBy("e").count().where(F.col("count") > share).select("e.node").distinct().collect()]
+        if not often:
+            return pairs.join(x, "a").join(y, "b")
+        hubs = self.spark.createDataFrame([(n,) for n in often], "node long")
+        own = written(sets.join(F.broadcast(hubs), "node"))
+        hot = pairs
+        for key, side, names in (("a", x, [p for _, p, _ in columns]), ("b", y, [q for _, _, q in columns])):
+            near = own.select(F.col("node").alias(key), *(F.col(c).alias(n) for (c, _, _), n in zip(columns, names, strict=True)))
+            keys = F.broadcast(hubs.select(F.col("node").alias(key)))
+            hot = hot.join(keys, key, "left_anti").join(side, key).unionByName(hot.join(F.broadcast(near), key))
+        return hot
+
     def _linked(self, pairs: DataFrame) -> DataFrame:
-        x = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x"))
-        y = self.nodes.select(F.col("node").alias("b"), "n", F.col("sketch").alias("y"))
-        pairs = written(pairs.join(x, "a").join(y, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_may_link(self.percent), "a long, b long"))
-        sets = self._sets_of(pairs)
-        joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-        return written(joined.select("a", "b", "x", "y").mapInArrow(_verify(self.percent), "a long, b long"))
-
-    def _open(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
-        """The rows of lists whose sets have several labels; long lists once per task that shares them."""
-        rows = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        several = rows.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi")
-        rows = rows.join(several.select("list", F.ceil(F.col("k") / LONG_LIST).cast("int").alias("shares")), "list")
-        rows = rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-        rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("shares")) == F.col("share"))
-        rows = rows.select("list", "share", "node", "size", "pos", "label", "mine", "like").repartition(partitions(self.spark), "list", "share")
-        return rows.sortWithinPartitions("list", "share", "size", "pos", "node")
+        """The links among stored pairs."""
+        sized = self._with_both(pairs, self.nodes, ("n", "m", "n"), ("sketch", "x", "y"))
+        left = written(sized.select("a", "b", "m", "n", "x", "y").mapInArrow(_may_link(self.percent), "a long, b long"))
+        sets = self._sets_of(left)
+        found = written(self._with_both(left, sets, ("grams", "x", "y")).select("a", "b", "x", "y").mapInArrow(_verify(self.percent), "a long, b long"))
+        discard(left, sets)
+        return found
+
+    def _open(self, lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of lists with labels, and the lists (list, k sets) whose sets have several, both stored."""
+        rows = written(lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        several = rows.groupBy("list").agg(F.count("*").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi"), *_hubs()).where("lo <> hi")
+        return rows, written(several.drop("lo", "hi"))
+
+    def _stars(self, rows: DataFrame, several: DataFrame) -> DataFrame:
+        """Pairs of each set of an open list with the list's hubs, and with as many outside the first one's label."""
+        names = [f"h{c}" for c in range(HUBS)]
+        hubs = several.select("list", "k", F.array_compact(F.array(*names)).alias("hubs"), F.least(*names)["label"].alias("main"))
+        near = many_to_one(rows, hubs, ["list"], "k")
+        others = written(near.where("label <> main").groupBy("list").agg(F.max("k").alias("k"), *_hubs()))
+        away = many_to_one(rows, others.select("list", "k", F.array_compact(F.array(*names)).alias("hubs")), ["list"], "k")
+        met = near.drop("main").unionByName(away).select(F.struct("node", "size", "pos", "label").alias("x"), F.explode("hubs").alias("y"))
+        met = met.where("x.label <> y.label").where(reaches("x", "y", self.percent))
+        return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+    def _cells(self, rows: DataFrame, several: DataFrame) -> DataFrame:
+        """Rows of open lists by cell: sets outside a list's most frequent label (mine) are to meet all others.
+
+        A long list is a grid, of so many of the former and of so many of all to a cell, and its rows go to the cells
+        of their line and column only.
+        """
+        by_label = many_to_one(rows, several.select("list", "k"), ["list"], "k").groupBy("list", "label").agg(F.count("*").alias("n"), F.max("k").alias("k"))
+        main = written(by_label.groupBy("list").agg(F.max("k").alias("k"), F.max(F.struct("n", "label")).alias("main")))
+        cells = lambda c: F.greatest(F.lit(1), F.ceil(c / LONG_LIST)).cast("int")
+        grid = main.select("list", "k", F.col("main.label").alias("main"), cells(F.col("k") - F.col("main.n")).alias("lines"), cells(F.col("k")).alias("columns"))
+        own = many_to_one(rows, grid, ["list"], "k").withColumn("mine", F.col("label") != F.col("main"))
+        line, column = F.pmod(F.xxhash64("node"), F.col("lines")).cast("int"), F.pmod(F.xxhash64("node"), F.col("columns")).cast("int")
+        kept = ["list", "node", "size", "pos", "label"]
+        whole = own.where("lines * columns = 1").select(*kept, "mine", F.lit(0).alias("i"), F.lit(0).alias("j"))
+        large = own.where("lines * columns > 1")
+        met = large.select(*kept, F.lit(False).alias("mine"), F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("i"), column.alias("j"))
+        mine = large.where("mine").select(*kept, "mine", line.alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"))
+        both = whole.unionByName(met).unionByName(mine).select(*CELL, "node", "size", "pos", "label", "mine")
+        return both.repartition(partitions(self.spark), *CELL).sortWithinPartitions(*CELL, "size", "pos", "node")
 
     def links(self) -> DataFrame:
         """(a, b) of verified links between distinct sets; enough of them to connect every component."""
         n = partitions(self.spark)
-        prefixes = self.docs.where("doc_id is not null").mapInArrow(_prefixes(self.words, self.percent, *self._heavy, n * 4), "bucket long, tok binary, doc binary, pos binary, nodes binary, sizes binary")
-        index = written(prefixes.repartition(n, "bucket").mapInArrow(_index(self.percent), "pair boolean, a long, b long, size int, pos int"))
+        entries = (self.nodes.agg(F.sum("n")).first()[0] or 0) * (100 - self.percent) // 100
+        buckets = max(4 * n, -(-entries // BUCKET))
+        prefixes = self.docs.where("doc_id is not null").mapInArrow(_prefixes(self.words, self.percent, self.seed, *self._heavy, buckets), "bucket long, tok binary, doc binary, pos binary, nodes binary, sizes binary")
+        index = written(prefixes.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_index(self.percent), "pair boolean, a long, b long, size int, pos int"))
         lists = index.where("not pair").select(F.col("a").alias("list"), F.col("b").alias("node"), "size", "pos")
         often = lists.groupBy("node").agg((F.count("*") / F.max("size")).alias("like"))
         lists = written(lists.join(often, "node"))
-        tried = index.where("pair").select("a", "b").distinct()
+        tried = written(index.where("pair").select("a", "b").distinct())
+        discard(index)
         links = self._linked(tried)
         for star in (*[True] * STAR_ROUNDS, False):
-            rows = self._open(lists, components(links))
-            pairs = written(rows.mapInArrow(_across(self.percent, star), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
-            if star and pairs.isEmpty():
+            rows, several = self._open(lists, components(links))
+            if several.isEmpty():
+                break
+            found = self._stars(rows, several) if star else self._cells(rows, several).mapInArrow(_across(self.percent), "a long, b long")
+            pairs = written(found.distinct().join(tried, ["a", "b"], "left_anti"))
+            discard(rows, several)
+            if pairs.isEmpty():
                 continue
-            found = self._linked(pairs)
-            tried, links = tried.unionByName(pairs), links.unionByName(found)
+            tried, links = tried.unionByName(pairs), written(links.unionByName(self._linked(pairs)))
         return links
 
     def components(self) -> DataFrame:
@@ -415,7 +489,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     is linked with nothing. Documents are linked when 100 * |intersection| >= percent * |union|, compared in
     integers. component_id is the smallest identifier reachable by links, the document itself included. A
     row without identifier neither makes nor gets a link of its own. Repeated rows give repeated rows; an
-    empty table gives none; other columns are ignored. Grams and sets are compared by 64-bit hashes.
+    empty table gives none; other columns are ignored. Grams are compared by 64-bit
+    hashes; no two different sets of such share a node.
     """
     return JaccardJoin(docs, id_col, text_col, words, percent).components()
 

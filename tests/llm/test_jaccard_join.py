@@ -103,6 +103,15 @@ def test_chain_components(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_structured_texts_are_told_apart(spark):
+    """Thue-Morse words, whose polynomials modulo 2^64 are equal at every base."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(0, word), (1, word.translate(str.maketrans("ab", "ba"))), (2, " ".join(word)), (3, " ".join(word) + " x")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_components(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", ""), (1, "a b c d e f", ""), (2, "A b  c d e f", "")], KIND)
     assert sorted(map(tuple, jaccard_components(docs).collect())) == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
