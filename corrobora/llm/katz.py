@@ -318,10 +318,11 @@ class Grams:
             r[own] = total = unpack(total)
             if found:
                 ids[own[total > 0]] = np.cumsum(unpack(found))
-            h = self.gram_h[own[starts]]
-            contexts.append(h[_backs_off(total, starts) & ~self.hot[h]])
-            types.append(unpack(kinds).reshape(-1, CUT + 1))
-            mass.append(np.frombuffer(masses, float))
+            if kinds:
+                h = self.gram_h[own[starts]]
+                contexts.append(h[_backs_off(total, starts) & ~self.hot[h]])
+                types.append(unpack(kinds).reshape(-1, CUT + 1))
+                mass.append(np.frombuffer(masses, float))
         self.r, self.ids = r, ids
         self.item = np.full(len(self.w), k)
         self.item[self.askable] = self.code
@@ -502,16 +503,18 @@ class Katz:
             if level == 2:
                 asked = self.blocks.mapInArrow(_ask_pairs(self.words, self.n), ROW)
             else:
-                asked = self._with_answers().groupBy("block").applyInArrow(_ask_longer(self.words, self.n), ROW)
+                asked = self._with_answers(sums=False).groupBy("block").applyInArrow(_ask_longer(self.words, self.n), ROW)
             self.tables.append(written(asked.groupBy("bucket").applyInArrow(_answer_grams(level, lower, self.n, level == order), ROW)))
             lower = Discount.good_turing([x or 0 for x in _sums(self.tables[-1], CUT + 1)])
             self.discounts.append(lower)
             self.hot.append(self._hot(self.tables[-1], lower))
 
-    def _with_answers(self) -> DataFrame:
-        given = self.blocks
+    def _with_answers(self, sums: bool = True) -> DataFrame:
+        """The blocks with all answers to them, without the contexts' sums where only questions are to follow."""
+        given, none = self.blocks, F.lit(None).cast("binary")
         for table in self.tables:
-            given = given.unionByName(table.where("block is not null"))
+            answers = table.where("block is not null")
+            given = given.unionByName(answers if sums else answers.withColumns({"c": none, "d": none}))
         return given
 
     def _hot(self, table: DataFrame, discount: Discount) -> tuple[np.ndarray, np.ndarray]:
