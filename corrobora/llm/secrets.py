@@ -23,6 +23,9 @@ _c = re._constants
 NULL_ID = -(2**63)
 #: Strings that an expression's exact part may have before its trigrams are taken.
 MOST_STRINGS = 64
+#: Trigrams asked for by an alternative, those with fewest letters first, as they are rarest in prose. Fewer only
+#: let more candidates through.
+MOST_TRIGRAMS = 3
 
 
 @dataclass(frozen=True)
@@ -45,6 +48,24 @@ RULES = [
     Rule("hex", r"""[0-9a-f]+""", 0, 24, quick=r"[0-9a-f]{24}"),
     Rule("pem", r"""-----BEGIN [A-Z ]*PRIVATE KEY-----""", 0, 0, base=False),
     Rule("github", r"""gh[opsu]_[A-Za-z0-9]{36}""", 0, 0, base=False),
+    Rule("github_fine", r"""github_pat_[A-Za-z0-9_]{82}""", 0, 0, base=False),
+    Rule("gitlab", r"""glpat-[A-Za-z0-9_-]{20}""", 0, 0, base=False),
+    Rule("slack", r"""xox[abprs]-[A-Za-z0-9-]{10,}""", 0, 0, base=False),
+    Rule("slack_hook", r"""hooks\.slack\.com/services/T[A-Z0-9]{8,12}/B[A-Z0-9]{8,12}/[A-Za-z0-9]{24}""", 0, 0, base=False),
+    Rule("stripe", r"""[rs]k_live_[A-Za-z0-9]{24,}""", 0, 0, base=False),
+    Rule("google", r"""AIza[A-Za-z0-9_-]{35}""", 0, 0, base=False),
+    Rule("google_oauth", r"""ya29\.[A-Za-z0-9_-]{20,}""", 0, 0, base=False),
+    Rule("access_temporary", r"""ASIA[A-Z0-9]{16}""", 0, 0, base=False),
+    Rule("npm", r"""npm_[A-Za-z0-9]{36}""", 0, 0, base=False),
+    Rule("pypi", r"""pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}""", 0, 0, base=False),
+    Rule("sendgrid", r"""SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}""", 0, 0, base=False),
+    Rule("shopify", r"""shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}""", 0, 0, base=False),
+    Rule("digitalocean", r"""do[opr]_v1_[0-9a-f]{64}""", 0, 0, base=False),
+    Rule("databricks", r"""dapi[0-9a-f]{32}""", 0, 0, base=False),
+    Rule("docker", r"""dckr_pat_[A-Za-z0-9_-]{27}""", 0, 0, base=False),
+    Rule("azure_storage", r"""AccountKey=[A-Za-z0-9+/]{86}==""", 0, 0, base=False),
+    Rule("telegram", r"""[0-9]{8,10}:AA[A-Za-z0-9_-]{33}""", 0, 0, base=False),
+    Rule("age", r"""AGE-SECRET-KEY-1[A-Z0-9]{58}""", 0, 0, base=False),
 ]
 
 
@@ -112,9 +133,15 @@ def query_of(pattern: str) -> list[frozenset[str]]:
     return trigrams(strings) if strings is not None else query
 
 
+def lookups(rule: Rule) -> list[frozenset[str]]:
+    """The rule's query with at most MOST_TRIGRAMS trigrams an alternative, which its matches must hold as well."""
+    few = {frozenset(sorted(s, key=lambda t: (sum(map(str.isalpha, t)), t))[:MOST_TRIGRAMS]) for s in query_of(rule.pattern)}
+    return sorted((s for s in few if not any(t < s for t in few)), key=sorted)
+
+
 def index(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """Postings (trigram, doc_id) of the trigrams that the rules' queries ask for, in lower-case text."""
-    asked = sorted({t for r in rules for s in query_of(r.pattern) for t in s})
+    asked = sorted({t for r in rules for s in lookups(r) for t in s})
     low = docs.select("doc_id", F.lower("text").alias("low"))
     present = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in asked))) if asked else F.array().cast("array<string>")
     return low.select("doc_id", F.explode(present).alias("trigram"))
@@ -122,7 +149,7 @@ def index(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def candidates(postings: DataFrame, rules: list[Rule]) -> DataFrame:
     """(doc_id, kinds): documents that fill an alternative of a rule's query, with those rules' kinds."""
-    rows = [(r.kind, k, len(s), t) for r in rules for k, s in enumerate(query_of(r.pattern)) for t in sorted(s)]
+    rows = [(r.kind, k, len(s), t) for r in rules for k, s in enumerate(lookups(r)) for t in sorted(s)]
     asked = postings.sparkSession.createDataFrame(rows, "kind string, alternative int, size int, trigram string")
     found = postings.distinct().join(F.broadcast(asked), "trigram")  # as many rows as the rules have trigrams
     filled = found.groupBy("doc_id", "kind", "alternative", "size").agg(F.count("*").alias("n")).where("n = size")
@@ -206,7 +233,8 @@ def oracle(rules: list[Rule] = RULES) -> str:
     lists = []
     for rank, r in enumerate(rules):
         piece = rf"([\s\S]*?)({r.pattern}|\z)".replace("'", "''")
-        get = lambda g, p=piece: f"list_transform(regexp_extract_all(t, '{p}', {g}), lambda x: length(x))"
+        held = f"CASE WHEN regexp_matches(t, '{r.pattern.replace(chr(39), chr(39) * 2)}') THEN t ELSE '' END"
+        get = lambda g, p=piece, t=held: f"list_transform(regexp_extract_all({t}, '{p}', {g}), lambda x: length(x))"
         lists.append(f"""
             (SELECT list({{'start': e - n, 'rank': {rank}, 'kind': '{r.kind}', 'end': e}}) FROM (
                 SELECT n, j, sum(g + n) OVER (ORDER BY i) AS e FROM (SELECT unnest({get(1)}) AS g, unnest({get(2)}) AS n, unnest({get(2 + r.group)}) AS j, generate_subscripts({get(1)}, 1) AS i)

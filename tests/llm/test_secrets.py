@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from corrobora.llm.secrets import RULES, digests, query_of, scan
+from corrobora.llm.secrets import RULES, digests, lookups, query_of, scan
 
 BASE = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24)]
 
@@ -36,6 +36,24 @@ def test_other_rules_add_spans(spark):
     assert r.base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+#: What each further rule finds, but for its filling of one repeated character.
+MADE = {"pem": "-----BEGIN EC PRIVATE KEY-----", "github": "gho_" + "a" * 36, "github_fine": "github_pat_" + "a" * 82, "gitlab": "glpat-" + "a" * 20, "slack": "xoxb-" + "1" * 12,
+        "slack_hook": "hooks.slack.com/services/T" + "A" * 8 + "/B" + "A" * 9 + "/" + "a" * 24, "stripe": "rk_live_" + "a" * 24, "google": "AIza" + "-" * 35, "google_oauth": "ya29." + "a" * 20,
+        "access_temporary": "ASIA" + "Q" * 16, "npm": "npm_" + "a" * 36, "pypi": "pypi-AgEIcHlwaS5vcmc" + "_" * 50, "sendgrid": "SG." + "x" * 22 + "." + "y" * 43, "shopify": "shpca_" + "F" * 32,
+        "digitalocean": "dop_v1_" + "0f" * 32, "databricks": "dapi" + "0f" * 16, "docker": "dckr_pat_" + "a" * 27, "azure_storage": "AccountKey=" + "/" * 86 + "==", "telegram": "12345678:AA" + "h" * 33, "age": "AGE-SECRET-KEY-1" + "Q" * 58}
+
+
+def test_every_further_rule_is_met_through_the_index(spark):
+    further = [r for r in RULES if not r.base]
+    assert sorted(MADE) == sorted(r.kind for r in further) and all(lookups(r) for r in further)
+    texts = {k: f"é🙂 {MADE[r.kind]}\n{MADE[r.kind]} end" for k, r in enumerate(further)}
+    got = {r.doc_id: r.found for r in scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for k, text in texts.items():
+        want = sorted((m.start(), rank, r.kind, m.end()) for rank, r in enumerate(RULES) for m in re.finditer(r.pattern, text) if r.group == 0 and len(m[0]) >= r.least)
+        assert sorted(map(tuple, (x for x in got[k] if x.kind != "assign"))) == want
+        assert sum(x.kind == further[k].kind for x in got[k]) == 2
+
+
 def test_queries_are_necessary():
     assert query_of("[0-9a-f]+") == []
     assert query_of("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
