@@ -72,7 +72,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_katz_backoff, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_ngram_jaccard, op7_secret_scan, op8_quality_cnn, op9_html_text, op10_decontaminate)}
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corrobora.llm.url_filter import RULES, judge_urls
+
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")], RULES)
+    return judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_katz_backoff, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_ngram_jaccard, op7_secret_scan, op8_quality_cnn, op9_html_text, op10_decontaminate, op13_url_filter)}
 
 ORACLES = {
     "op1_exact_dedup": """
@@ -163,4 +170,19 @@ ORACLES = {
         FROM w LEFT JOIN k ON k.w = w.w AND len(w.w) > 0
     """,
     "op7_secret_scan": secrets.oracle(),
+    "op13_url_filter": r"""
+        WITH rules(host, path, verdict, depth) AS (
+            VALUES ('net', '/', 'block', 1), ('example.net', '/en/', 'allow', 2), ('example.com', '/de/', 'block', 2), ('org', '/fr/', 'allow', 1)
+        ), u AS (
+            SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url FROM pages
+        ), p AS (
+            SELECT rid, page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+            FROM u
+        ), f AS (
+            SELECT p.rid, max_by({'rule': r.host || r.path, 'verdict': r.verdict}, 100000 * r.depth + length(r.path)) AS best
+            FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.rid
+        )
+        SELECT p.page_id, p.host, p.path, f.best.rule AS rule, coalesce(f.best.verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (rid)
+    """,
 }
