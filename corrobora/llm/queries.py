@@ -72,6 +72,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corrobora.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corrobora.llm.url_filter import RULES, judge_urls
 
@@ -79,7 +85,7 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_katz_backoff, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_ngram_jaccard, op7_secret_scan, op8_quality_cnn, op9_html_text, op10_decontaminate, op13_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_katz_backoff, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_ngram_jaccard, op7_secret_scan, op8_quality_cnn, op9_html_text, op10_decontaminate, op11_importance, op13_url_filter)}
 
 ORACLES = {
     "op1_exact_dedup": """
@@ -170,6 +176,37 @@ ORACLES = {
         FROM w LEFT JOIN k ON k.w = w.w AND len(w.w) > 0
     """,
     "op7_secret_scan": secrets.oracle(),
+    "op11_importance": r"""
+        WITH x AS (
+            SELECT row_number() OVER () AS rid, doc_id, true AS corpus, coalesce(text, '') AS text FROM documents
+            UNION ALL SELECT NULL, NULL, false, coalesce(text, '') FROM benchmark
+        ), w AS (
+            SELECT rid, doc_id, corpus, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda t: t <> '') AS w FROM x
+        ), t AS (
+            SELECT rid, corpus, unnest(w) AS word FROM w
+        ), v AS (
+            SELECT word, hex(encode(word)) AS hx FROM (SELECT DISTINCT word FROM t)
+        ), b AS (
+            SELECT word, list_transform(range(0, length(hx) // 2), lambda i: 16 * (strpos('0123456789ABCDEF', substr(hx, 2 * i + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(hx, 2 * i + 2, 1)) - 1) AS c FROM v
+        ), k AS (
+            SELECT word, xor(list_reduce(c, lambda h, y: list_reduce(range(8), lambda a, z: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END), xor(h, y)), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM b
+        ), n AS (
+            SELECT bucket, count(*) FILTER (corpus) AS s, count(*) FILTER (NOT corpus) AS t FROM t JOIN k USING (word) GROUP BY bucket
+        ), g AS (
+            SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM n
+        ), d AS (
+            SELECT t.rid, sum(gain)::BIGINT AS total, count(*) AS n FROM t JOIN k USING (word) JOIN g USING (bucket) WHERE corpus GROUP BY t.rid
+        ), s AS (
+            SELECT w.rid, w.doc_id, coalesce(d.n, 0)::BIGINT AS n_features, coalesce((d.total - ((d.total % d.n) + d.n) % d.n) // d.n, 0)::BIGINT AS weight,
+                   list_reduce(list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', substr(sha256('2024:' || coalesce(w.doc_id::VARCHAR, '')), i, 1)) - 1), lambda a, c: 16 * a + c)::DOUBLE AS h
+            FROM w LEFT JOIN d USING (rid) WHERE corpus
+        ), f AS (
+            SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score, n_features >= 20 AS may FROM s
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) FILTER (may) OVER () AS many FROM f
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= 10 * many // 100 THEN place END AS rank FROM r
+    """,
     "op13_url_filter": r"""
         WITH rules(host, path, verdict, depth) AS (
             VALUES ('net', '/', 'block', 1), ('example.net', '/en/', 'allow', 2), ('example.com', '/de/', 'block', 2), ('org', '/fr/', 'allow', 1)
