@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corrobora.llm import secrets
 from corrobora.llm.common import table
@@ -78,6 +79,13 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corrobora.llm.hard_negatives import hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corrobora.llm.url_filter import RULES, judge_urls
 
@@ -85,7 +93,7 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_katz_backoff, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_ngram_jaccard, op7_secret_scan, op8_quality_cnn, op9_html_text, op10_decontaminate, op11_importance, op13_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_katz_backoff, op3_byte_bpe, op4_line_dedup, op5_token_files, op6_ngram_jaccard, op7_secret_scan, op8_quality_cnn, op9_html_text, op10_decontaminate, op11_importance, op12_hard_negatives, op13_url_filter)}
 
 ORACLES = {
     "op1_exact_dedup": """
@@ -207,6 +215,21 @@ ORACLES = {
         )
         SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= 10 * many // 100 THEN place END AS rank FROM r
     """,
+    "op12_hard_negatives": r"""
+        WITH r AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS s
+            FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ), p AS (
+            SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5
+        )
+        SELECT p.a AS anchor_id, p.b AS positive_id, (row_number() OVER w)::INT AS rank, n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+        FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 80 * p.s <= 100 * n.s AND 100 * n.s <= 100 * p.s
+        QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b)
+    """,
     "op13_url_filter": r"""
         WITH rules(host, path, verdict, depth) AS (
             VALUES ('net', '/', 'block', 1), ('example.net', '/en/', 'allow', 2), ('example.com', '/de/', 'block', 2), ('org', '/fr/', 'allow', 1)
