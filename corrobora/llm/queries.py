@@ -228,7 +228,7 @@ ORACLES = {
         )
         SELECT p.a AS anchor_id, p.b AS positive_id, (row_number() OVER w)::INT AS rank, n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
         FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 80 * p.s <= 100 * n.s AND 100 * n.s <= 100 * p.s
-        QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b)
+        WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) QUALIFY row_number() OVER w <= 5
     """,
     "op13_url_filter": r"""
         WITH rules(host, path, verdict, depth) AS (
