@@ -5,8 +5,12 @@ are its word count and link density, those of its two neighbours, its size besid
 its containers are. A decision tree fitted on a small labelled table, the blocks of the pages below, tells main text
 from the rest.
 
-Names and kinds of containers are no verdicts by themselves: one that holds most of a page's running text is a layout
-around the article, whatever it is called, and nothing is inherited through it.
+Names and kinds of containers are evidence beside the words, not verdicts: one that holds most of a page's running text
+is a layout around the article, whatever it is called, and nothing is inherited through it; a name that layouts use as
+well (widget, share, banner) counts for less than one that only tells of other parts (advert, comments), and for nothing
+where most of the running text stands under it; the header of an article belongs to it, and so do lists of links in it.
+
+Reading takes time in proportion to the page, whatever is unclosed in it.
 """
 
 from __future__ import annotations
@@ -33,11 +37,14 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RAW = frozenset("script style textarea".split())
 UNSEEN = RAW | frozenset("annotation annotation-xml audio button canvas head iframe noscript object optgroup option select svg template title video".split())
 HINTS = frozenset("ad ads advert advertisement advertorial adverts alert banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies disqus footer form gdpr header login masthead menu nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split())
+#: Those of them that layouts also use around an article's own parts.
+WEAK_HINTS = frozenset("banner header login masthead menu nav navbar navigation notice notification search share sharing social toolbar topbar widget".split())
 DISCUSSION = frozenset("comment comments disqus replies reply respond".split())
 # Names that tell what a page has or can do (no-sidebar, comments-open), or how it is laid out (sidebar-right).
 ABOUT_FIRST, ABOUT_LAST = frozenset("has have is no with without".split()), frozenset("both closed disabled enabled layout left open right wrapper".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile("[<>\"']")
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[^a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -52,11 +59,13 @@ class Container:
 
     tag: str
     parent: int
-    hint: bool = False
+    hints: frozenset[str] = frozenset()
+    hint: int = 0
     discussion: bool = False
     running: int = 0
     holds_main: bool = False
     main: bool = False
+    article: bool = False
     boiler: bool = False
 
 
@@ -69,30 +78,67 @@ class Block:
     container: int
 
 
-def _hinted(attributes: str) -> tuple[bool, bool]:
-    """Does a class, id or role name a part that is not the article, and is that part a discussion?"""
-    hint = discussion = False
+def _hinted(attributes: str) -> frozenset[str]:
+    """The words by which a class, id or role names a part that is not the article."""
+    hints: set[str] = set()
     for found in NAMED.finditer(attributes):
         for name in (found[1] or found[2] or found[3] or "").split():
             parts = [part for part in PART.split(CAMEL.sub(" ", name).lower()) if part]
-            if parts and parts[0] not in ABOUT_FIRST and parts[-1] not in ABOUT_LAST and not HINTS.isdisjoint(parts):
-                hint = True
-                discussion |= not DISCUSSION.isdisjoint(parts)
-    return hint, discussion
+            if parts and parts[0] not in ABOUT_FIRST and parts[-1] not in ABOUT_LAST:
+                hints |= HINTS.intersection(parts)
+    return frozenset(hints)
+
+
+def tags(page: str, at: int = 0) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closes, attributes) of tags from ``at`` on; comments and declarations have no name.
 
+    A tag ends at the first ``>`` outside quotes; where a quote does not close, or another tag opens before that, at
+    the first one at all. Every place is passed a bounded number of times. The caller may send where to go on.
+    """
+    last = {c: page.rfind(c) for c in "\"'>"}
+    while (start := page.find("<", at)) >= 0 and start < last[">"] or page.startswith("<!--", start):
+        if page.startswith("<!--", start):
+            close = page.find("-->", start + 4)
+            token = start, len(page) if close < 0 else close + 3, "", False, ""
+        elif page.startswith(("<!", "<?"), start):
+            token = start, page.find(">", start) + 1, "", False, ""
+        elif (name := NAME.match(page, start)) is None:
+            at = start + 1
+            continue
+        else:
+            end = begin = name.end()
+            while (stop := STOP.search(page, end)) and stop[0] in "\"'" and stop.start() < last[stop[0]]:
+                end = page.find(stop[0], stop.end()) + 1
+            end = stop.start() if stop and stop[0] == ">" else page.find(">", begin)
+            token = start, end + 1, name[2].lower(), bool(name[1]), page[begin:end]
+        moved = yield token
+        at = token[1] if moved is None else moved
 
-def _after_unseen(page: str, tag: str, at: int) -> int:
-    """Where an element that is not shown, opened before ``at``, ends."""
+
+def _tag(page: str, tag: str, at: int) -> tuple[bool, int] | None:
+    """Whether the next tag of that name closes, and where it ends."""
+    found = re.compile(rf"<(/?){tag}\b", re.I).search(page, at)
+    end = page.find(">", found.end()) if found else -1
+    return (bool(found[1]), end + 1) if end >= 0 else None
+
+
+def _after_unseen(page: str, tag: str, at: int, absent: set[str]) -> int:
+    """Where an element that is not shown, opened before ``at``, ends; ``absent`` gathers what does not come again."""
     if tag == "head":
-        stop = re.compile(r"</head\b[^>]*>|(?=<body\b)", re.I).search(page, at)
-        return stop.end() if stop else at
-    stop = re.compile(rf"<(/?){tag}\b[^>]*>", re.I).search(page, at)
+        stop = None if tag in absent else re.compile(r"</head\b|<body\b", re.I).search(page, at)
+        if stop is None:
+            absent.add(tag)
+            return at
+        return page.find(">", stop.end()) + 1 or at if stop[0][1] == "/" else stop.start()
+    stop = None if tag in absent else _tag(page, tag, at)
+    if stop is None:
+        absent.add(tag)
     if tag in RAW:
-        while stop and not stop[1]:
-            stop = re.compile(rf"<(/?){tag}\b[^>]*>", re.I).search(page, stop.end())
-        return stop.end() if stop else len(page)
-    if stop and stop[1]:
-        return stop.end()
+        while stop and not stop[0]:
+            stop = _tag(page, tag, stop[1])
+        return stop[1] if stop else len(page)
+    if stop and stop[0]:
+        return stop[1]
     block = BLOCK_AHEAD.search(page, at)
     return block.start() if block else len(page)
 
@@ -117,23 +163,26 @@ def text_blocks(page: str) -> tuple[list[Block], list[Container]]:
                 containers[stack[-1]].running += words - min(linked, words)
             pieces = []
 
-    at = 0
+    at, reader = 0, tags(page)
+    moved = None
+    open_tags: dict[str, int] = {}
+    absent: set[str] = set()
     while True:
-        token = TOKEN.search(page, at)
-        if token is None:
+        try:
+            start, end, tag, ends, attributes = reader.send(moved)
+        except StopIteration:
             break
-        if token.start() > at:
-            pieces.append((page[at : token.start()], links > 0))
-        at = token.end()
-        tag = (token[2] or token[5] or "").lower()
+        moved = None
+        if start > at:
+            pieces.append((page[at:start], links > 0))
+        at = end
         if not tag:
             continue
-        ends, attributes = bool(token[1] or token[4]), token[3] or token[6] or ""
         if tag in UNSEEN:
             if tag in ("head", "title"):
                 close()
             if not ends and not attributes.endswith("/"):
-                at = _after_unseen(page, tag, at)
+                at = moved = _after_unseen(page, tag, at, absent)
             continue
         if tag == "br":
             pieces.append((" ", links > 0))
@@ -145,13 +194,15 @@ def text_blocks(page: str) -> tuple[list[Block], list[Container]]:
             heading = tag in HEADINGS and not ends
             if tag not in CONTAINERS:
                 continue
-            if ends:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if containers[stack[k]].tag == tag), None)
-                if depth is not None:
-                    del stack[depth:]
-            else:
-                containers.append(Container(tag, stack[-1], *_hinted(attributes)))
+            if not ends:
+                containers.append(Container(tag, stack[-1], _hinted(attributes)))
                 stack.append(len(containers) - 1)
+                open_tags[tag] = open_tags.get(tag, 0) + 1
+            elif open_tags.get(tag):
+                gone = ""
+                while gone != tag:
+                    gone = containers[stack.pop()].tag
+                    open_tags[gone] -= 1
     if at < len(page):
         pieces.append((page[at:], links > 0))
     close()
@@ -170,16 +221,27 @@ def _inherit(containers: list[Container]) -> None:
         mains += own.tag in MAIN_TAGS
         above.holds_main |= own.holds_main
     total = containers[0].running
+    under: dict[str, int] = {}
+    inside: list[frozenset[str]] = [frozenset()]
+    for own in containers[1:]:
+        # Words already met on the way down are counted once.
+        for word in (own.hints & WEAK_HINTS) - inside[own.parent]:
+            under[word] = under.get(word, 0) + own.running
+        inside.append(inside[own.parent] | own.hints)
+    void = {word for word, words in under.items() if 2 * words >= total}
     for own in containers[1:]:
         above = containers[own.parent]
+        own.hint = max([0, *(1 if word in WEAK_HINTS else 2 for word in own.hints - void)])
+        own.discussion = not DISCUSSION.isdisjoint(own.hints)
         # A discussion may be longer than the article; it is the page itself only where there is no article but in it.
         around = 2 * own.running >= total and (own.holds_main or not mains) and not (own.discussion and above.running > own.running)
         own.main = above.main or own.tag in MAIN_TAGS
-        own.hint = (own.hint or (above.hint and own.tag != "main")) and not around
-        own.boiler = (own.tag in BOILER_TAGS or (above.boiler and own.tag != "main")) and not around
+        own.article = above.article or own.tag == "article"
+        own.hint = 0 if around else max(own.hint, above.hint * (own.tag != "main"))
+        own.boiler = (own.tag in BOILER_TAGS and not (own.tag == "header" and above.article) or (above.boiler and own.tag != "main")) and not around
 
 
-FEATURES = ("words before", "words", "words after", "links before", "links", "links after", "words beside the longest", "heading", "in main", "in boilerplate element", "named as no article", "page has main")
+FEATURES = ("words before", "words", "words after", "links before", "links", "links after", "words beside the longest", "heading", "in main", "in article", "in boilerplate element", "named as no article", "page has main")
 
 
 def features(blocks: list[Block], containers: list[Container]) -> np.ndarray:
@@ -187,7 +249,7 @@ def features(blocks: list[Block], containers: list[Container]) -> np.ndarray:
     words = np.array([0, *(b.words for b in blocks), 0], float)
     links = np.array([0, *(b.linked / b.words for b in blocks), 0], float)
     own = [containers[b.container] for b in blocks]
-    flags = np.array([[b.heading, c.main, c.boiler, c.hint] for b, c in zip(blocks, own, strict=True)], float).reshape(-1, 4)
+    flags = np.array([[b.heading, c.main, c.article, c.boiler, c.hint] for b, c in zip(blocks, own, strict=True)], float).reshape(-1, 5)
     has_main = np.full(len(blocks), float(any(c.main for c in own)))
     running = words * (1 - links)
     return np.column_stack([words[:-2], words[1:-1], words[2:], links[:-2], links[1:-1], links[2:], words[1:-1] / max(1, running.max()), flags, has_main])
@@ -228,6 +290,11 @@ LABELLED = (
     # parts that only their names tell
     "<div id=header>{4}</div><div id=menu>[1] [1]</div><div id=content><h1>+{5}</h1><p>+{33}</p><p>+{50}</p><p>+{4}</p></div><div class=sidebar><h3>{2}</h3><p>{25}</p></div><div id=footer><p>{20}</p></div><div class=cookie-banner>{22}</div>",
     "<div class=topbar>{6}</div><div><p>+{28}</p><p>+{60}</p></div><div class=comment-list><p>{30}</p><p>{45}</p></div><div class=notice>{15}</div>",
+    # parts of an article that names and links alone would take for something else
+    "<nav>[1] [2]</nav><article><header><h1>+{5}</h1><p>+{12}</p></header><p>+{60}</p><div class=text-widget><p>+{60}</p></div><p>+{70}</p><section class=share><p>+{55}</p></section><div class=share>{2} [1]</div><p>+{50}</p></article>",
+    "<article><header><h2>+{7}</h2></header><p>+{80}</p><h3>+{1}</h3><ul><li>+[4]<li>+[6]<li>+[2]<li>+[9]</ul><p>+{30}</p><div class=widget>{3} [2]</div><div class=banner><p>+{80}</p></div><div class=banner>{6}</div></article><div class=widget><p>{14}</p></div>",
+    "<article><p>+{100}</p><ol><li>+[5]<li>+[3]<li>+[8]</ol><div class=ad><p>{60}</p></div><div class=notice><p>+{65}</p></div><div class=notice>{10}</div><aside><p>{60}</p></aside><div class=related><ul><li>[5]<li>[7]<li>[6]</ul></div><div class=promo>{70}</div></article>",
+    "<article><h1>+{3}</h1><p>+[12]</p><p>+{45}</p><p>+[3]</p><p>+{60}</p><form><p>{50}</p></form><div class=social><ul><li>[1]<li>[1]<li>[1]</ul></div><nav><ul><li>[4]<li>[5]<li>[6]<li>[3]</ul></nav><p>+{40}</p><aside><ul><li>[7]<li>[5]<li>[6]</ul></aside><footer><ul><li>[4]<li>[3]</ul></footer></article>",
     # boilerplate elements around running text of a page that has no main one
     "<header><h1>{4}</h1></header><div><p>+{45}</p><p>+{60}</p></div><aside><p>{40}</p></aside><footer><p>{35}</p><p>{3}</p></footer>",
 )

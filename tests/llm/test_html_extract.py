@@ -1,5 +1,7 @@
 """Main text of pages with every kind of surrounding."""
 
+import time
+
 import pytest
 
 from corrobora.llm import html_extract as module
@@ -34,6 +36,39 @@ def test_odd_pages_do_not_fail(page):
     text_blocks(page)
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, "<a b='" * 170_001, "<a b='" * 170_001 + ">", "<a b=\"x>" * 120_000 + "'>", '<a ">"' * 170_000 + "'", "<svg>" + "<svg " * 200_000, "<div>" * 100_000 + "</section>" * 100_000, "<head>" * 170_000 + "<p>", "<" * 1_000_000, "<!--" * 250_000, "<button><p>" * 90_000, "<p>" + "&amp" * 250_000, "<div id" * 140_000 + ">", "<b <b>" * 170_000, "<p>" + "word " * 200_000],
+)
+def test_long_pages_take_time_in_proportion(page):
+    """A megabyte each; what searches to the end at every tag takes minutes here."""
+    main_text("<p>warm</p>")
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 2
+
+
+def test_quotes_and_brackets_in_tags():
+    long = "Words of a long enough paragraph follow here, and then some more of them."
+    assert main_text(f"<p title='a > b' id=\"<p>\">{long}</p><p <b>{long}</b></p><p title='open>{long}</p>") == "\n\n".join([long] * 3)
+    assert main_text(f"<p>{long} 1 < 2 and 3 > 2 <3</p>") == f"{long} 1 < 2 and 3 > 2 <3"
+
+
+def test_parts_of_an_article_that_names_and_links_do_not_take():
+    links = "".join(f"<li><a href={k}>Source number {k} of them</a></li>" for k in range(4))
+    for part, kept in [
+        (f"<div class='text-widget'><p>{LONG}</p></div>", LONG),
+        (f"<div class='share'><p>{LONG}</p></div>", LONG),
+        (f"<ul>{links}</ul>", "Source number 3 of them"),
+        ("<header><h1>The title of it</h1></header>", "The title of it"),
+    ]:
+        assert kept in main_text(f"<nav><a href=x>One</a></nav><article><p>{LONG}</p>{part}<p>{LONG}</p></article><footer>Two words</footer>"), part
+    widgets = "".join(f"<div class='elementor-widget'><p>{x}</p></div>" for x in (LONG, "Short one here.", LONG))
+    assert "Short one" in main_text(f"<div><a href=x>One</a></div>{widgets}")
+    for part in (f"<div class='advert'><p>{LONG}</p></div>", "<div class='share'>Share it <a href=x>now</a></div>", f"<nav><ul>{links}</ul></nav>", f"<div class='related'><ul>{links}</ul></div>", f"<aside><p>{LONG[:300]}</p></aside>"):
+        assert main_text(f"<article><p>{LONG}</p>{part}<p>{LONG}</p></article>") == f"{LONG}\n\n{LONG}", part
+
+
 def test_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, "v", None, "y"), (None, None, "", "z"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     got = extract(pages).collect()
