@@ -1,25 +1,28 @@
 """Vectorised tokenising and hashing of whole texts with numpy.
 
-A word is a maximal run of bytes other than space and \\x09-\\x0D, with A-Z lowered. Its hash takes the word's
-length and then eight bytes at a time, each time through a mixer in which every bit reaches every other one; all
-words of a block go through it together, and long words through XXH3 one by one. Words of up to eight bytes and
-one length never collide; nor do structured ones, such as Thue-Morse words, for which polynomials modulo 2^64 do.
+A word is a maximal run of bytes other than space and \\x09-\\x0D, with A-Z lowered. Words of up to seven bytes are
+told apart by their bytes themselves: length and bytes go through a bijection of 63 bits, so no two of them have one
+hash. Longer ones have the first 63 bits of their BLAKE2b digest, made once for each distinct word that a worker
+meets. The last bit tells the two kinds apart. So two words get one hash only if two digests of 63 bits are equal,
+which nobody can bring about short of trying some 2^32 long words, and which among 10^9 of them happens with a
+probability of about one in twenty.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 
 U = np.uint64
 #: Texts are hashed in pieces of about this many bytes, so that a very long text needs no more memory.
 PIECE = 1 << 17
-#: Longer words are hashed one by one.
-LONG_WORD = 256
-GRAM, NEXT = U(0xD6E8FEB86659FD93), U(0x9E3779B97F4A7C15)
+#: Words of more bytes are hashed by their digest; digests that a worker remembers.
+SHORT_WORD, KNOWN = 7, 500_000
+GRAM, OTHER_GRAM = U(0xD6E8FEB86659FD93), U(0x9E3779B97F4A7C15)
+LOW = U((1 << 63) - 1)
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 IS_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 #: Keeps the first k bytes of eight.
@@ -35,6 +38,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+class _Digests(dict):
+    """Long words to their hashes, made on first sight; emptied when there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        number = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") | 1
+        return number
+
+
+digests = _Digests()
+
+
+def _mix63(x: np.ndarray) -> np.ndarray:
+    """A bijection of 63 bits: every step can be undone."""
+    x = x ^ (x >> U(31))
+    x *= U(0xBF58476D1CE4E5B9)
+    x &= LOW
+    x ^= x >> U(29)
+    x *= U(0x94D049BB133111EB)
+    x &= LOW
+    return x ^ (x >> U(32))
+
+
 def _hash_piece(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start offsets and hashes of the words of ``buf``."""
     arr = np.frombuffer(buf, np.uint8)
@@ -44,17 +71,10 @@ def _hash_piece(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
     starts, n = edge[::2], edge[1::2] - edge[::2]
     lower = buf.lower()
     eight = np.ndarray(len(buf) + 1, "<u8", lower + bytes(8), strides=(1,))
-    h = n.astype(U) * NEXT
-    some, at, left = np.arange(len(n)), starts, n
-    if len(some) and int(n.max()) > LONG_WORD:
-        some = np.flatnonzero(n <= LONG_WORD)
-        at, left = starts[some], n[some]
-        for i in np.flatnonzero(n > LONG_WORD):
-            h[i] = xxhash.xxh3_64_intdigest(lower[starts[i] : starts[i] + n[i]])
-    while len(some):
-        h[some] = mix(h[some] + NEXT ^ eight[at] & FIRST_BYTES[np.minimum(left, 8)])
-        more = left > 8
-        some, at, left = some[more], at[more] + 8, left[more] - 8
+    size = np.minimum(n, SHORT_WORD)
+    h = _mix63(size.astype(U) << U(56) | eight[starts] & FIRST_BYTES[size]) << U(1)
+    long = np.flatnonzero(n > SHORT_WORD)
+    h[long] = np.fromiter(map(digests.__getitem__, [lower[a:b] for a, b in zip(starts[long].tolist(), (starts + n)[long].tolist(), strict=True)]), U, len(long))
     return starts, h
 
 
@@ -111,15 +131,23 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of ``n`` word hashes; the result is shorter by n - 1."""
+    """Hash of each run of ``n`` word hashes; the result is shorter by n - 1.
+
+    Two chains of other multipliers run side by side, and what comes out is made of both: a word that brings one of
+    them back to where another run has it does not bring back the other.
+    """
     if len(h) < n:
         return np.empty(0, U)
-    out = h[: len(h) - n + 1].copy()
+    one, two = h[: len(h) - n + 1].copy(), ~h[: len(h) - n + 1]
     for k in range(1, n):
-        out ^= out >> U(29)
-        out *= GRAM
-        out += h[k : len(h) - n + 1 + k]
-    return mix(out ^ U(n))
+        word = h[k : len(h) - n + 1 + k]
+        one ^= one >> U(29)
+        one *= GRAM
+        one += word
+        two ^= two >> U(32)
+        two *= OTHER_GRAM
+        two ^= word
+    return mix(mix(one ^ U(n)) + two)
 
 
 def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:

@@ -112,6 +112,19 @@ def test_structured_texts_are_told_apart(spark):
     assert {r.doc_id: r.component_id for r in jaccard_components(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 2}
 
 
+@pytest.mark.parametrize("pair", [("?&6rtcebaaaa385a", "{,!o.jd.$qb_@_@~"), ("aaaaaaaa", "aaaaaaa\x01"), ("\x00", "\x00\x00")])
+def test_words_that_weak_hashes_merge(spark, pair):
+    docs = spark.createDataFrame([(k, " ".join([w] * 6)) for k, w in enumerate(pair)] + [(2, f"{pair[0]} a b c d"), (3, f"{pair[1]} a b c d")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_components(docs).collect()} == {k: k for k in range(4)}
+
+
+def test_word_hashes_are_one_to_one():
+    rng = random.Random(4)
+    words = {bytes(rng.choice(b"ab\x00{}\xff") for _ in range(rng.randint(1, 9))) for _ in range(20_000)}
+    h, at = word_hashes([b" ".join(words)])
+    assert len(set(h.tolist())) == len(words) == at[-1]
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", ""), (1, "a b c d e f", ""), (2, "A b  c d e f", "")], KIND)
     assert sorted(map(tuple, jaccard_components(docs).collect())) == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]

@@ -122,6 +122,18 @@ def test_structured_words_are_told_apart(spark):
         assert a[5:] == pytest.approx(plain.row(*r)[5:], rel=1e-7, abs=2e-6)
 
 
+@pytest.mark.parametrize("pair", [("?&6rtcebaaaa385a", "{,!o.jd.$qb_@_@~"), ("aaaaaaaa", "aaaaaaa\x01"), ("\x00", "\x00\x00")])
+def test_words_that_weak_hashes_merge(spark, pair):
+    """A held-out text with the word that training texts do not have."""
+    only_held, seen = next(k for k in range(99) if held(k)), next(k for k in range(99) if not held(k))
+    rows = sorted([(seen, f"{pair[0]} {pair[0]} x"), (only_held, f"{pair[1]} x")])
+    plain = Plain(rows)
+    got = sorted(tuple(r) for r in katz_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert next(r for r in got if r[0] == only_held)[3] == 2
+    for a, r in zip(got, rows, strict=True):
+        assert a[5:] == pytest.approx(plain.row(*r)[5:], rel=1e-7, abs=2e-6)
+
+
 def test_edge_cases(spark):
     kind = "doc_id long, text string, score string"
     assert katz_scores(spark.createDataFrame([], kind)).count() == 0

@@ -93,6 +93,12 @@ def test_structured_words_and_lines_are_told_apart(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3}
 
 
+@pytest.mark.parametrize("pair", [("?&6rtcebaaaa385a", "{,!o.jd.$qb_@_@~"), ("aaaaaaaa", "aaaaaaa\x01"), ("\x00", "\x00\x00")])
+def test_words_that_weak_hashes_merge(spark, pair):
+    docs = spark.createDataFrame([(k, " ".join([w] * 9)) for k, w in enumerate(pair)] + [(2, f"{pair[0]} a"), (3, f"{pair[1]} a")], "doc_id long, text string")
+    assert {r.doc_id: r.keep_doc for r in line_verdicts(docs).collect()} == {k: k for k in range(4)}
+
+
 def test_within_is_the_distance():
     rng = random.Random(6)
     for _ in range(3000):
