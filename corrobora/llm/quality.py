@@ -5,7 +5,8 @@ whole. Each byte is a learned vector plus one channel that says whether its trig
 just before, which lets a filter see repetition. Filters of ``WIDTH`` bytes, one step per ``STEP`` bytes,
 are max-pooled over a chunk; the chunks' logits, weighted by their bytes, are averaged to one probability.
 
-The network is fitted on the driver, on at most ``max_per_class`` labelled rows of each class.
+The network is fitted on the driver, on at most ``max_per_class`` labelled rows of each class, of at most
+``longest_fitted`` bytes each.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ VECTOR, FILTERS, LAGS = 4, 16, range(2, 21)
 INPUT = VECTOR + 1
 #: Bytes of text that are scored at a time.
 BLOCK = 1 << 20
-#: Longer texts are not used for fitting; it bounds what the driver holds. All texts are scored whole.
-LONGEST_FITTED = 1 << 17
 
 
 def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,11 +150,13 @@ def fit(texts: list[bytes], labels: list[int], prior: float, seed: int = 7, pass
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_per_class: int = 1500) -> Network:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_per_class: int = 1500, longest_fitted: int = 1 << 17) -> Network:
     """Fits on the labelled rows that are not held out, the same ones at every run.
 
     Takes the rows of each class in the order of a hash of their identifiers, ``max_per_class`` at most; null
-    labels or identifiers and texts above ``LONGEST_FITTED`` bytes are left out, and an identifier counts once.
+    labels or identifiers are left out, and an identifier counts once, with the least of its texts by their hashes.
+    The network sees texts of at most ``longest_fitted`` bytes; both bounds keep down what the driver holds, and only
+    fitting is subject to them: all texts are scored, whole.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(4, 2, "id"))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
@@ -163,8 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     good, bad = counts.get(1, 0), counts.get(0, 0)
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_per_class) for y in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])  # two ids and labels per row: bounded, so it is broadcast
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text")).where(F.octet_length("text") <= LONGEST_FITTED)
-    rows = texts.join(F.broadcast(ids), "id").dropDuplicates(["id"]).collect()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text")).where(F.octet_length("text") <= longest_fitted)
+    rows = texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).collect()
     rows.sort(key=lambda r: r.id)
     return fit([bytes(r.text) for r in rows], [r.y for r in rows], (good + 0.5) / (good + bad + 1))
 

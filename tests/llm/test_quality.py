@@ -1,11 +1,14 @@
 """The quality classifier on documents it has not seen."""
 
+import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pytest
 
-from corrobora.llm.quality import CHUNK, STRIDE, Network, chunks, classify, echo, keep_good, train
+from corrobora.llm.quality import CHUNK, FILTERS, INPUT, LAGS, STEP, STRIDE, WIDTH, Network, chunks, classify, echo, keep_good, train
 
 
 def rows(seed, size):
@@ -73,3 +76,49 @@ def test_gradients():
     for _ in range(30):
         net.step(x, y, np.ones(4), 0.01)
     assert loss() < before / 2
+
+
+def plain_score(net, text):
+    """One text's score by loops: every chunk, every step, every filter."""
+    parts, logits, sizes = max(1, -(-(len(text) - WIDTH) // STRIDE)), [], []
+    for k in range(parts):
+        row = text[k * STRIDE : k * STRIDE + CHUNK].ljust(CHUNK, b"\0")
+        seen = [[*net.vectors[b].tolist(), float(b > 0 and any(i >= lag and (row + b"\0\0")[i : i + 3] == row[i - lag : i - lag + 3] for lag in LAGS))] for i, b in enumerate(row)]
+        best = []
+        for f in range(FILTERS):
+            values = []
+            for at in range(0, CHUNK - WIDTH + 1, STEP):
+                values.append(sum(seen[at + j * STEP + i][c] * float(net.filters[j][i * INPUT + c][f]) for j in range(WIDTH // STEP) for i in range(STEP) for c in range(INPUT)))
+            best.append(max(max(values) + float(net.bias[f]), 0.0))
+        logits.append(sum(b * float(o) for b, o in zip(best, net.out, strict=True)) + net.out_bias + net.shift)
+        sizes.append(min(max(len(text) - k * STRIDE, 1), CHUNK))
+    mean = sum(z * n for z, n in zip(logits, sizes, strict=True)) / sum(sizes)
+    return 1 / (1 + math.exp(-mean))
+
+
+def test_scores_are_those_of_plain_loops():
+    rng = random.Random(5)
+    net = Network.fresh(3)
+    net.shift, net.out_bias = 0.3, -0.2
+    texts = [b"", b"abcabcabcabc", " ".join(rng.choice(["one", "two", "zwölf", "|"]) for _ in range(400)).encode()]
+    assert net.scores(texts) == pytest.approx([plain_score(net, t) for t in texts], abs=1e-4)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no tables")
+def test_held_out_labels_of_the_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    held = [r for r in classify(docs, labels).collect() if r.held_out and r.doc_id in truth]
+    assert len(held) > 50 and sum(r.predicted == truth[r.doc_id] for r in held) >= 0.95 * len(held)
+
+
+def test_bounds_of_fitting_and_repeated_identifiers(spark):
+    data = rows(4, 60)
+    docs = spark.createDataFrame([(k, t) for k, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in data], "doc_id long, quality int")
+    twice = docs.unionByName(docs.selectExpr("doc_id", "concat(text, ' more of it') AS text"))
+    # Sums of 32-bit floats depend on which rows share a batch.
+    scores = lambda table, **kw: sorted((r.doc_id, r.held_out, round(r.score, 5)) for r in classify(table, labels, **kw).collect())
+    assert scores(twice) == scores(twice.orderBy("text", ascending=False).repartition(5))
+    assert all(r[2] == pytest.approx(0.5, abs=0.5) for r in scores(docs, longest_fitted=0, max_per_class=0))
+    assert len({r[2] for r in scores(docs, longest_fitted=0)}) == 1
