@@ -20,7 +20,6 @@ from corrobora.llm.common import BROADCAST_ROWS, text_or_empty, written
 
 _parser = re._parser
 _c = re._constants
-NULL_ID = -(2**63)
 #: Strings that an expression's exact part may have before its trigrams are taken.
 MOST_STRINGS = 64
 #: Trigrams asked for by an alternative, those with fewest letters first, as they are rarest in prose. Fewer only
@@ -199,10 +198,11 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", tex
     those of different rules may. A null text counts as empty. Null and repeated identifiers are kept as they
     come, other columns are ignored, an empty table gives no rows.
     """
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     flagged = written(candidates(index(source, rules), rules))
     few = flagged.count() <= BROADCAST_ROWS
-    rows = source.join(F.broadcast(flagged) if few else flagged, "doc_id", "left")
+    hit = flagged.withColumnRenamed("doc_id", "hit")
+    rows = source.join(F.broadcast(hit) if few else hit, F.col("doc_id").eqNullSafe(F.col("hit")), "left")
     none = F.array().cast(SPAN)
     found = []
     for rank, rule in enumerate(rules):
@@ -210,7 +210,7 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", tex
         if rule.quick:
             look = look & F.col("text").rlike(rule.quick)
         found.append(F.when(look, spans(F.col("text"), rule, rank)).otherwise(none))
-    return rows.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), F.array_sort(F.concat(*found)).alias("found"))
+    return rows.select("doc_id", F.array_sort(F.concat(*found)).alias("found"))
 
 
 def digests(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

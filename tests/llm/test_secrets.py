@@ -65,6 +65,12 @@ def test_queries_are_necessary():
                 assert any(all(t in text.lower() for t in s) for s in query_of(rule.pattern))
 
 
+def test_null_and_extreme_identifiers(spark):
+    rows = [(None, "token=abcdef"), (None, "nothing"), (-(2**63), "AKIA" + "B" * 16), (-(2**63), "x"), (2**63 - 1, None)]
+    got = digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_assign, r.n_access) for r in got) == sorted([("None", 1, 0), ("None", 0, 0), (str(-(2**63)), 0, 1), (str(-(2**63)), 0, 0), (str(2**63 - 1), 0, 0)])
+
+
 def test_no_python_runs(spark):
     plan = scan(spark.createDataFrame([(1, "token=abcdef")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
