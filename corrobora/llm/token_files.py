@@ -1,9 +1,9 @@
 """Token ids as flat binary files.
 
-Documents are dealt by ranges of their identifiers. Each range is one part of three files: ``.tokens``
+Documents are dealt by ranges of their identifiers. Each range is one part of four files: ``.tokens``
 (unsigned 16- or 32-bit integers, little-endian), ``.offsets`` (n + 1 unsigned 64-bit positions of its
-documents) and ``.ids`` (the documents' signed 64-bit identifiers; -2**63 stands for null). The parts'
-bases are the prefix sums of their token counts. A task writes under a name of its own attempt and renames
+documents), ``.ids`` (the documents' signed 64-bit identifiers) and ``.nulls`` (one unsigned 64-bit integer: so many
+of the first documents have no identifier, and 0 in its place). The parts' bases are the prefix sums of their token counts. A task writes under a name of its own attempt and renames
 at the end, so a repeated or speculative task replaces the same part with the same bytes.
 """
 
@@ -30,7 +30,6 @@ from corrobora.llm.wordhash import blocks
 BLOCK = 4 << 20
 #: Words whose ids a task remembers.
 KNOWN = 300_000
-NULL_ID = -(2**63)
 
 #: The tokenizer's splitting of lower-case Latin-1 text, and the bytes that keep a text off that path.
 LATIN = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:[stmd]|re|ve|ll)|[0-9²³¹¼½¾]|[^ \t\n\r\f\va-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
@@ -148,9 +147,9 @@ def _write(folder: str, path: str, end_id: int | None, wide: bool):
         enc = WordEncoder(path)
         store, root = _open(folder)
         part, attempt = task.partitionId(), task.taskAttemptId()
-        names = [f"{root}/{part:06d}.{x}" for x in ("tokens", "offsets", "ids")]
+        names = [f"{root}/{part:06d}.{x}" for x in ("tokens", "offsets", "ids", "nulls")]
         files = [store.open_output_stream(f"{n}.{attempt}") for n in names]
-        total = docs = 0
+        total = docs = nulls = 0
         files[1].write(np.array([0], "<u8").tobytes())
         for batch in batches:
             lengths = pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
@@ -163,8 +162,10 @@ def _write(folder: str, path: str, end_id: int | None, wide: bool):
                     raise ValueError(f"id {int(flat.max())} does not fit {kind}")
                 files[0].write(flat.astype(kind).tobytes())
                 files[1].write(ends.astype("<u8").tobytes())
-                files[2].write(batch.column(0).slice(a, b - a).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                files[2].write(batch.column(0).slice(a, b - a).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                nulls += batch.column(0).slice(a, b - a).null_count
                 total, docs = int(ends[-1]), docs + b - a
+        files[3].write(np.array([nulls], "<u8").tobytes())
         for f, n in zip(files, names, strict=True):
             f.close()
             store.move(f"{n}.{attempt}", n)
@@ -211,11 +212,12 @@ def _read(folder: str, wide: bool):
                 tokens = _map(folder, part, "tokens", "<u4" if wide else "<u2")
                 at = _map(folder, part, "offsets", "<u8").astype(np.int64)
                 ids = _map(folder, part, "ids", "<i8")
+                nulls = int(_map(folder, part, "nulls", "<u8")[0])
                 for a in range(0, len(ids), 8192):
                     edges = at[a : a + 8193]
                     crc = [zlib.crc32(tokens[x:y].astype("<u4").tobytes()) for x, y in zip(edges[:-1], edges[1:], strict=True)]
                     own = np.asarray(ids[a : a + 8192])
-                    yield pa.record_batch([pa.array(own, mask=own == NULL_ID), pa.array(base + edges[:-1]), pa.array(np.diff(edges)), pa.array(crc, pa.int64())], schema=READ)
+                    yield pa.record_batch([pa.array(own, mask=np.arange(a, a + len(own)) < nulls), pa.array(base + edges[:-1]), pa.array(np.diff(edges)), pa.array(crc, pa.int64())], schema=READ)
 
     return run
 

@@ -29,7 +29,7 @@ def test_encoder_is_the_library(texts):
 
 def test_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "KNOWN", 3)
-    rows = [(k * 13 % 40, t, "x") for k, t in enumerate(["", "Hello World's", "日本 é 12", "a" * 5000, "<|endoftext|> x", "   "] * 6)] + [(None, None, None), (3, "twice", "y")]
+    rows = [(k * 13 % 40, t, "x") for k, t in enumerate(["", "Hello World's", "日本 é 12", "a" * 5000, "<|endoftext|> x", "   "] * 6)] + [(None, None, None), (3, "twice", "y"), (None, "b", "z"), (-(2**63), "a", "z"), (0, "c", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")
     folder = str(tmp_path / "tokens")
     parts = write_token_files(docs, folder, PATH, 1)
