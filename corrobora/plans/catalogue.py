@@ -13,6 +13,7 @@ from corrobora.functions import text as T
 from corrobora.operators import assess, chunks, contract, judge, report, review, vectors, verify
 from corrobora.operators.ordering import with_position
 from corrobora.plans import inputs as I
+from corrobora.plans import made_pdf
 from corrobora.session import table
 from corrobora.sources import catalogue as cat
 from corrobora.sources import documents as D
@@ -80,6 +81,21 @@ def s2_text_segments(spark, sf):
     return D.text_segments(table(spark, sf, "documents")).select("doc_id", "page", F.sha2("text", 256).alias("sha"))
 
 
+@query(r"""
+    WITH w AS (
+        SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents
+    ), p AS (
+        SELECT doc_id, a, array_to_string(w[a + 1:a + 300], ' ') AS t FROM (SELECT doc_id, w, unnest(range(0, len(w), 300)) AS a FROM w)
+    )
+    SELECT doc_id, (a // 300 + 1)::INT AS page, length(t) AS n_chars, sha256(t) AS text_sha256 FROM p
+""")
+def s4_pdf_pages(spark, sf):
+    """Every document as a PDF file, in five ways of keeping text, and its pages read back."""
+    files = table(spark, sf, "documents").select("doc_id", "text").mapInArrow(made_pdf.files, "path string, content binary")
+    pages = D.parse(files).select(F.regexp_extract("path", r"^(-?\d+)\.", 1).cast("long").alias("doc_id"), F.explode("segments").alias("s"))
+    return pages.select("doc_id", "s.page", F.length("s.text").alias("n_chars"), F.sha2("s.text", 256).alias("text_sha256"))
+
+
 @query("""
     SELECT CASE WHEN lang NOT IN ('en', 'fr') THEN 'failed' WHEN trim(coalesce(text, '')) = '' THEN 'skipped' ELSE 'parsed' END AS status, count(*) AS n FROM documents GROUP BY 1
 """)

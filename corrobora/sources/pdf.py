@@ -1,19 +1,19 @@
-"""The text layer of PDF files: object streams, the page tree, text operators and fonts' Unicode maps."""
+"""The text layer of PDF files: objects and object streams, the page tree, and each page's text."""
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
+from corrobora.sources.pdf_filters import FILTERS
+from corrobora.sources.pdf_text import Writing, interpret
+
 SPACE = b"\0\t\n\f\r "
 TOKEN = re.compile(rb"[\0\t\n\f\r ]*(?:%[^\r\n]*[\0\t\n\f\r ]*)*(<<|>>|[\[\](<{}]|/[^\0\t\n\f\r ()<>\[\]{}/%]*|[^\0\t\n\f\r ()<>\[\]{}/%]+|[>)])?")
 REFERENCE = re.compile(rb"[\0\t\n\f\r ]+(\d+)[\0\t\n\f\r ]+R(?![^\0\t\n\f\r ()<>\[\]{}/%])")
 NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)\Z")
 OBJECT = re.compile(rb"(?<!\d)(\d+)[\0\t\n\f\r ]+\d+[\0\t\n\f\r ]+obj\b")
-#: A gap of more than this many thousandths of an em within one operator is a space.
-GAP = 200
 
 
 class Ref(NamedTuple):
@@ -116,13 +116,16 @@ class File:
         return x
 
     def decoded(self, stream: Stream) -> bytes:
-        filters = self.of(stream.head.get("/Filter"))
+        """A stream's bytes, through its filters in order."""
+        names, parms = (self.of(stream.head.get(long) or stream.head.get(short)) for long, short in (("/Filter", "/F"), ("/DecodeParms", "/DP")))
+        names = names if isinstance(names, list) else [names] if names else []
+        parms = parms if isinstance(parms, list) else [parms] * len(names)
         data = stream.raw
-        for name in filters if isinstance(filters, list) else [filters] if filters else []:
-            name = self.of(name)
-            if name not in ("/FlateDecode", "/Fl"):
+        for k, name in enumerate(map(self.of, names)):
+            if name not in FILTERS:
                 raise ValueError(f"streams with {name} are not read")
-            data = zlib.decompressobj().decompress(data)
+            given = self.of(parms[k]) if k < len(parms) else None
+            data = FILTERS[name](data, {key: self.of(x) for key, x in given.items()} if isinstance(given, dict) else {})
         return data
 
     def pages(self) -> Iterator[dict]:
@@ -154,28 +157,6 @@ class File:
             raise ValueError("a page's content is missing")
         return b"\n".join(self.decoded(s) for s in streams)
 
-    def fonts(self, page: dict) -> dict:
-        found = self.of((self.of(page.get("/Resources")) or {}).get("/Font")) or {}
-        return {name: self.font(self.of(f) or {}) for name, f in found.items()}
-
-    def font(self, font: dict):
-        """A function from a shown string's bytes to text."""
-        mapped = self.of(font.get("/ToUnicode"))
-        if not isinstance(mapped, Stream):
-            wide = font.get("/Subtype") == "/Type0"
-            return (lambda raw: raw.decode("utf-16-be", "replace")) if wide else plain_text
-        codes, width = unicode_map(self.decoded(mapped))
-
-        def text(raw: bytes) -> str:
-            pieces = [raw[k : k + width] for k in range(0, len(raw), width)]
-            return "".join(codes.get(p) or ("" if width > 1 else plain_text(p)) for p in pieces)
-
-        return text
-
-
-def plain_text(raw: bytes) -> str:
-    return raw.decode("utf-16", "replace") if raw[:2] in (b"\xfe\xff", b"\xff\xfe") else raw.decode("cp1252", "replace")
-
 
 def values(data: bytes) -> Iterator:
     at = 0
@@ -185,34 +166,12 @@ def values(data: bytes) -> Iterator:
             yield got
 
 
-def unicode_map(data: bytes) -> tuple[dict[bytes, str], int]:
-    """Character codes to text, and the codes' width in bytes, of a CMap's bfchar and bfrange sections."""
-    codes: dict[bytes, str] = {}
-    width, held = 1, []
-    for token in values(data):
-        if not isinstance(token, Name) or token.startswith("/"):
-            held.append(token)
-            continue
-        if token == "endcodespacerange" and held and isinstance(held[0], bytes):
-            width = len(held[0])
-        elif token == "endbfchar":
-            codes.update((a, b.decode("utf-16-be", "replace")) for a, b in zip(held[::2], held[1::2], strict=False) if isinstance(b, bytes))
-        elif token == "endbfrange":
-            for low, high, to in zip(held[::3], held[1::3], held[2::3], strict=False):
-                first, last = int.from_bytes(low, "big"), int.from_bytes(high, "big")
-                for k in range(min(last - first, 0xFFFF) + 1):
-                    if isinstance(to, list):
-                        target = to[k] if k < len(to) else b""
-                    else:
-                        target = to[:-2] + ((int.from_bytes(to[-2:], "big") + k) & 0xFFFF).to_bytes(min(2, len(to)), "big") if len(to) >= 2 else to
-                    codes[(first + k).to_bytes(len(low), "big")] = target.decode("utf-16-be", "replace")
-        held = []
-    return codes, width
-
-
-def shown(data: bytes, fonts: dict) -> Iterator[str]:
-    """What each text operator shows, in order; inline images are passed over."""
-    font, operands, at = plain_text, [], 0
+IMAGE_END = re.compile(rb"[\0\t\n\f\r ]EI(?=[\0\t\n\f\r ]|\Z)")
+
+
+def operators(data: bytes) -> Iterator[tuple[str, list]]:
+    """A content stream's operators with their operands; inline images are passed over."""
+    operands, at = [], 0
     while at < len(data):
         token, at = value(data, at, refs=False)
         if token is None:
@@ -220,27 +179,25 @@ def shown(data: bytes, fonts: dict) -> Iterator[str]:
         if not isinstance(token, Name) or token.startswith("/"):
             operands.append(token)
             continue
-        if token == "Tf" and len(operands) >= 2:
-            font = fonts.get(operands[-2], plain_text)
-        elif token in ("Tj", "'", '"') and operands and isinstance(operands[-1], bytes):
-            yield font(operands[-1])
-        elif token == "TJ" and operands and isinstance(operands[-1], list):
-            yield "".join(font(x) if isinstance(x, bytes) else " " if isinstance(x, float) and -x > GAP else "" for x in operands[-1])
-        elif token == "ID":
-            end = re.compile(rb"[\0\t\n\f\r ]EI(?=[\0\t\n\f\r ]|\Z)").search(data, at)
+        if token == "ID":
+            end = IMAGE_END.search(data, at)
             at = end.end() if end else len(data)
+        yield token, operands
         operands = []
 
 
 def read_pdf(content: bytes) -> tuple[list, list]:
     """(text, page number) of each page with text, pages counted from 1 in the page tree's order; no OCR.
 
-    What one operator shows is a piece, and pieces are joined by a space, white space collapsed.
+    Text comes in the order in which it is shown, that of form XObjects where they are drawn. Pieces that go on where
+    the last one ended are one word; after a gap or on another line comes a space. White space is collapsed.
     """
     file = File(content)
-    segments = []
+    segments, fonts = [], {}
     for number, page in enumerate(file.pages(), 1):
-        text = " ".join(" ".join(shown(file.content(page), file.fonts(page))).split())
+        out = Writing()
+        interpret(file, file.content(page), file.of(page.get("/Resources")) or {}, operators, values, out, fonts=fonts)
+        text = " ".join("".join(out.pieces).split())
         if text:
             segments.append((text, number))
     return segments, [] if segments else ["no text layer"]
