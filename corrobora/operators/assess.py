@@ -32,9 +32,13 @@ IGNORED = "The critique's answer was invalid and was ignored; the first judgemen
 
 
 def _verified(judged: DataFrame, hits: DataFrame, threshold: float, key: str) -> DataFrame:
-    """Judgements with verified quotes, downgraded and flagged as these ask for."""
+    """Judgements with verified quotes, downgraded and flagged as these ask for.
+
+    An outcome's hits are its top k, so quotes meet them by a join on the outcome, in the same plan as the judge's
+    answers, which are asked for once.
+    """
     claims = judged.select(key, F.posexplode("evidence").alias("pos", "e")).select(key, "pos", "e.source_file", "e.quote")
-    checked = verify_quotes(claims, hits, key)
+    checked = verify_quotes(claims, hits, key, bounded=True)
     return flag_low(downgrade(judged.select(key, "coverage", "confidence", "rationale", "needs_review"), checked, key), threshold)
 
 

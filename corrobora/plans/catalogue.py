@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from corrobora.functions import hashing as H
 from corrobora.functions import numbers as N
 from corrobora.functions import text as T
-from corrobora.operators import assess, chunks, contract, judge, report, review, vectors, verify
+from corrobora.operators import assess, chunks, contract, judge, pruned, report, review, vectors, verify
 from corrobora.operators.ordering import with_position
 from corrobora.plans import inputs as I
 from corrobora.plans import made_pdf
 from corrobora.session import table
 from corrobora.sources import catalogue as cat
 from corrobora.sources import documents as D
+from corrobora.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -291,6 +292,14 @@ def w1_topk(spark, sf):
     return vectors.top_k(rows, asked, 6, row_id="vec_id").select("qid", F.col("rank").cast("long").alias("rank"), "vec_id")
 
 
+@query(f"WITH {_SCORES} SELECT qid, rank, vec_id FROM (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 6")
+def w1_topk_pruned(spark, sf):
+    """The same by inverted lists with block maxima."""
+    rows, asked = _embeddings(spark, sf)
+    index = written(pruned.build(rows, "vec_id"))
+    return pruned.search(index, asked, 6, row_id="vec_id").select("qid", F.col("rank").cast("long").alias("rank"), "vec_id")
+
+
 @query("""SELECT doc_id, sha256('{"quality":' || quality || ',"toxic":' || toxic || '}')[1:12] AS hash FROM labels""")
 def h1_short_hash(spark, sf):
     return table(spark, sf, "labels").select("doc_id", H.short_hash(H.canonical(F.struct("quality", "toxic"))).alias("hash"))
@@ -352,6 +361,28 @@ def j5_quote_verify(spark, sf):
     return found.select("item_id", "pos", "hit_source", F.col("page").cast("long").alias("page"), "chunk_id", "verified", "attribution_corrected")
 
 
+@query(f"""
+    WITH h AS (SELECT doc_id, {I.norm_match_sql('text')} AS norm FROM documents),
+    q AS (
+        SELECT 'item ' || item_id AS quote_id, {I.norm_match_sql('text')} AS needle FROM benchmark
+        UNION ALL SELECT 'doc ' || doc_id, {I.norm_match_sql("coalesce(text, '')[length(text) // 3 + 1:length(text) // 3 + 60]")} FROM documents
+    ), ok AS (
+        SELECT * FROM q WHERE length(needle) >= 20 AND len(regexp_extract_all(needle, '[a-z]{{3,}}')) >= 3
+    ), f AS (
+        SELECT ok.quote_id, min(h.doc_id) AS first_doc FROM ok JOIN h ON contains(h.norm, ok.needle) GROUP BY ok.quote_id
+    )
+    SELECT q.quote_id, f.first_doc, f.first_doc IS NOT NULL AS verified FROM q LEFT JOIN f USING (quote_id)
+""")
+def j5_one_outcome(spark, sf):
+    """Every document is a hit of one outcome, whose quotes are all items' texts and a stretch of every document."""
+    docs = I.documents(spark, sf)
+    third = F.floor(F.length("text") / 3).cast("int") + 1
+    asked = table(spark, sf, "benchmark").select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("pos"), F.coalesce("text", F.lit("")).alias("quote")).unionByName(docs.select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("pos"), F.substring("text", third, F.lit(60)).alias("quote")))
+    hits = docs.select(F.lit("o").alias("outcome_id"), F.col("doc_id").alias("rank"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("source_file"), F.lit(None).cast("int").alias("page"), "text")
+    found = verify.verify_quotes(asked.select(F.lit("o").alias("outcome_id"), "pos", F.lit("x").alias("source_file"), "quote"), hits)
+    return found.select(F.col("pos").alias("quote_id"), F.col("chunk_id").cast("long").alias("first_doc"), "verified")
+
+
 @query(f"WITH c AS (SELECT doc_id, {I.norm_match_sql('text')} AS n FROM documents) SELECT doc_id, length(n) >= 20 AND len(regexp_extract_all(n, '[a-z]{{3,}}')) >= 3 AS substantive FROM c")
 def p5_substantive(spark, sf):
     return T.with_norm(I.documents(spark, sf).select("doc_id", "text"), "text", "norm").select("doc_id", T.substantive("norm").alias("substantive"))
