@@ -20,7 +20,7 @@ U = np.uint64
 #: Texts are hashed in pieces of about this many bytes, so that a very long text needs no more memory.
 PIECE = 1 << 17
 #: Words of more bytes are hashed by their digest; digests that a worker remembers.
-SHORT_WORD, KNOWN = 7, 500_000
+SHORT_WORD, KNOWN = 7, 1 << 16
 GRAM, OTHER_GRAM = U(0xD6E8FEB86659FD93), U(0x9E3779B97F4A7C15)
 LOW = U((1 << 63) - 1)
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
