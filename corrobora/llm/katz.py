@@ -37,7 +37,8 @@ BUCKET = 32 << 20
 CUT = 5
 HIGH = 0.1
 #: The end of a text as a word hash, and identifiers that are no word's: an unknown word, a text's start.
-END = U(0x5851F42D4C957F2D)
+#: No word has the hash 0: every word has a length.
+END = U(0)
 UNKNOWN, START, FIRST_ID = 0, 1, 2
 
 
