@@ -1,6 +1,7 @@
 """Command line: ingest documents, analyze them against a catalogue, review, report, or run all of it.
 
-Each stage reads and writes Parquet tables in the working folder, so a stage can be repeated by itself.
+Each stage reads and writes keyed tables with versions in the working folder, so a stage can be repeated by itself, and
+one that breaks off leaves the last version of each table as it was.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from corrobora.functions import text as T
 from corrobora.operators import assess, chunks, remote, report, review, vectors
 from corrobora.operators.ordering import with_position
 from corrobora.session import session
-from corrobora.sources import catalogue, documents
+from corrobora.sources import catalogue, documents, manifest
+from corrobora.store import Store
 from corrobora.tables import written
 
+#: The working folder's tables: their keys, and their numbers of buckets.
+KEYED = {"manifest": (["path"], 16), "chunks": (["path"], 64), "index": (["index_id"], 1), "assessments": (["outcome_id"], 16), "decisions": (["outcome_id"], 16), "profile": (["outcome_id"], 16)}
 DECISIONS = "outcome_id string, decision string, final_coverage string, note string, reviewed_by string, reviewed_at string, reviewed_against string"
 
 
@@ -49,33 +53,26 @@ class Run:
         self.spark, self.config, self.at = spark, config, config["workDir"].rstrip("/")
         self.now = config["fixedNow"] or datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
 
-    def _fs(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _store(self, name: str) -> Store:
+        return Store(self.spark, f"{self.at}/{name}", *KEYED[name])
 
     def _write(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes beside, moves the old table aside and the new one in, so that one of them is whole at any time."""
-        df.write.mode("overwrite").parquet(f"{self.at}/{name}.new")
-        (new, fs), (now, _), (old, _) = self._fs(f"{name}.new"), self._fs(name), self._fs(f"{name}.old")
-        fs.delete(old, True)
-        if fs.exists(now) and not fs.rename(now, old):
-            raise OSError(f"cannot move {now}")
-        if not fs.rename(new, now):
-            raise OSError(f"cannot move {new}")
-        fs.delete(old, True)
+        """All of a table anew, as its next version."""
+        self._store(name).replace(df)
         return self._read(name)
 
     def _has(self, name: str) -> bool:
-        """Is the table there? One that a crash left aside, between the two moves, goes back."""
-        (now, fs), (old, _) = self._fs(name), self._fs(f"{name}.old")
-        if not fs.exists(now) and fs.exists(old):
-            fs.rename(old, now)
-        return fs.exists(now)
+        return self._store(name).exists()
 
     def _read(self, name: str) -> DataFrame:
         if not self._has(name):
             raise FileNotFoundError(f"{name} is missing in {self.at}: run the stage that makes it first")
-        return self.spark.read.parquet(f"{self.at}/{name}")
+        return self._store(name).read()
+
+    def _upsert(self, df: DataFrame, name: str) -> DataFrame:
+        """Rows in place of those of the same key; only their buckets are written anew."""
+        self._store(name).upsert(df)
+        return self._read(name)
 
     def _embedder(self) -> tuple[str, str | Callable]:
         """The embedder's identity, which the index keeps, and the embedder."""
@@ -84,22 +81,48 @@ class Run:
         return model if model == c["provider"] else f"{c['provider']}:{model}", remote.embedder_of(c)
 
     def ingest(self) -> dict:
+        """Reads the files that are new or changed since the last time, and forgets those that are gone.
+
+        A document's chunks are replaced together. Other settings than the last time's, or ``force``, read all anew. What
+        the index then is does not depend on how it came about.
+        """
         c = self.config
-        parsed = self._write(documents.load(self.spark, c["docsPath"]), "parsed")
-        counts = {r.status: r.n for r in documents.report(parsed).collect()}
-        files = with_position(parsed.where("status = 'parsed'"), "doc_id", F.collate("file", "UNICODE"), F.collate("path", "UNICODE"))
+        identity, embedder = self._embedder()
+        made_with = {"embedder": identity, "size": c["chunk"]["size"], "overlap": c["chunk"]["overlap"]}
+        anew = c["force"] or not self._has("index") or any(getattr(self._read("index").first(), k) != v for k, v in made_with.items())
+        found = manifest.files(self.spark, c["docsPath"])
+        known = self.spark.createDataFrame([], manifest.MANIFEST) if anew or not self._has("manifest") else self._read("manifest")
+        changes = written(manifest.diff(found, known, c["trustTimes"]))
+        todo = changes.where(F.col("change").isin(manifest.NEW, manifest.CHANGED))
+        parsed = written(documents.parse(found.join(todo.select("path"), "path", "left_semi")))
+        files = with_position(parsed.where("status = 'parsed'"), "doc_id", F.col("path"))
         segments = files.select("doc_id", F.posexplode("segments").alias("seg", "s")).select("doc_id", "seg", "s.page", "s.text")
-        made = chunks.chunk(segments, c["chunk"]["size"], c["chunk"]["overlap"]).join(files.select("doc_id", "path", F.col("file").alias("source_file")), "doc_id")
+        made = chunks.chunk(segments, c["chunk"]["size"], c["chunk"]["overlap"]).join(files.select("doc_id", "path", F.col("file").alias("source_file")), "doc_id").drop("doc_id")
         made = made.withColumn("id", chunks.chunk_id(F.col("path"), F.col("source_file"), F.col("page"), F.col("ord")))
-        identity, embedder = self._embedder()
-        made = vectors.embed(made, "text", embedder, batch=c["embeddings"]["batchSize"])
-        stored = self._write(with_position(made, "pos", F.col("doc_id"), F.col("ord")), "chunks")
-        if stored.isEmpty():
+        made = written(vectors.embed(made, "text", embedder, batch=c["embeddings"]["batchSize"]))
+        stored, entries = self._store("chunks"), manifest.entries(todo, parsed)
+        if anew:
+            stored.replace(made)
+            self._store("manifest").replace(entries)
+        else:
+            # A changed file that gives no chunk any more loses those it had; files are told last, so that a run that
+            # breaks off between the tables is taken up again.
+            stored.delete(changes.where(F.col("change").isin(manifest.GONE, manifest.CHANGED)).join(made.select("path").distinct(), "path", "left_anti").select("path"))
+            stored.upsert(made)
+            self._store("manifest").upsert(entries.unionByName(manifest.tombstones(changes, known, self.now)))
+        if stored.read().isEmpty():
             raise ValueError("no document gave any text")
-        dim = stored.select(F.size("vector").alias("n")).first().n
-        index = chunks.index_id(stored, identity, c["chunk"]["size"], c["chunk"]["overlap"])
-        self._write(index.withColumns({"embedder": F.lit(identity), "dim": F.lit(dim), "created_at": F.lit(self.now)}), "index")
-        return counts
+        placed = self._chunks()
+        index = chunks.index_id(placed, identity, c["chunk"]["size"], c["chunk"]["overlap"])
+        dim = F.lit(placed.select(F.size("vector").alias("n")).first().n)
+        self._write(index.withColumns({**{k: F.lit(v) for k, v in made_with.items()}, "dim": dim, "created_at": F.lit(self.now)}), "index")
+        counts = {r.status: r.n for r in documents.report(self._read("manifest").where("gone_at IS NULL")).collect()}
+        kinds = {r.change: r["count"] for r in changes.groupBy("change").count().collect()}
+        return counts | ({} if anew else {k: kinds.get(k, 0) for k in (manifest.NEW, manifest.CHANGED, manifest.GONE, manifest.SAME)})
+
+    def _chunks(self) -> DataFrame:
+        """The index's chunks with their places: files by name, then path, in the locale's order, and their chunks in turn."""
+        return with_position(self._read("chunks"), "pos", F.collate("source_file", "UNICODE"), F.collate("path", "UNICODE"), F.col("path"), F.col("ord"))
 
     def analyze(self) -> dict:
         """Judges what is not judged yet under these settings; returns how many, how many were there, and the flagged."""
@@ -127,7 +150,7 @@ class Run:
         # An outcome whose request failed was not judged: it stays to be asked again, the others are kept.
         unanswered = F.coalesce(F.col("fallback_reason").startswith(remote.UNANSWERED), F.lit(False))
         done = new.where(~unanswered)
-        kept = self._write(assess.upsert(stored, done) if stored is not None else done, "assessments")
+        kept = self._upsert(done, "assessments")
         failed = new.where(unanswered)
         if n := failed.count():
             raise remote.ServiceError(f"{n} of {new.count()} outcomes were not judged: {failed.first().fallback_reason}")
@@ -144,11 +167,11 @@ class Run:
         if c["decisionsPath"]:
             given = decisions(self.spark, c["decisionsPath"])
             skipped = given.where("lower(trim(decision)) = 'skip'").count()
-            decided = self._write(assess.upsert(decided, review.decide(rows, given, c["identity"], self.now)), "decisions")
+            decided = self._upsert(review.decide(rows, given, c["identity"], self.now), "decisions")
             rows = review.joined(assessed, decided)
         if c["acceptAll"]:
             new = review.accept_all(rows, c["identity"], self.now, c["review"]["showAll"])
-            decided = self._write(assess.upsert(decided, new), "decisions")
+            decided = self._upsert(new, "decisions")
             rows = review.joined(assessed, decided)
         return review.stats(rows).first().asDict() | {"skipped": skipped}
 
@@ -184,6 +207,7 @@ def main(args: list[str] | None = None) -> None:
         parser.add_argument(f"--{flag}", type=float)
     parser.add_argument("--critique", action=argparse.BooleanOptionalAction)
     parser.add_argument("--show-all", "--all", action="store_true", default=None)
+    parser.add_argument("--rehash", dest="trust_times", action="store_false", default=None, help="open all files, whatever their times say")
     for flag in ("strict", "accept-all", "force", "local"):
         parser.add_argument(f"--{flag}", action="store_true", default=None)
     for flag, level in (("verbose", "debug"), ("quiet", "quiet")):
@@ -195,7 +219,7 @@ def main(args: list[str] | None = None) -> None:
             Path(a.config).write_text(json.dumps(settings.DEFAULTS, indent=2) + "\n")
         return
     flags = {
-        "docsPath": a.docs, "cataloguePath": a.catalogue, "workDir": a.out, "identity": a.identity, "fixedNow": a.now, "acceptAll": a.accept_all, "force": a.force, "local": a.local, "decisionsPath": a.decisions, "envPath": a.env, "logLevel": a.log_level,
+        "docsPath": a.docs, "cataloguePath": a.catalogue, "workDir": a.out, "identity": a.identity, "fixedNow": a.now, "acceptAll": a.accept_all, "force": a.force, "trustTimes": a.trust_times, "local": a.local, "decisionsPath": a.decisions, "envPath": a.env, "logLevel": a.log_level,
         "chunk": {"size": a.chunk_size, "overlap": a.chunk_overlap}, "embeddings": {"provider": a.embed_provider, "model": a.embed_model, "batchSize": a.batch_size},
         "llm": {"provider": a.llm_provider, "model": a.llm_model, "temperature": a.temperature, "maxTokens": a.max_tokens}, "report": {"evidenceQuoteMaxChars": a.quote_chars},
         "retrieval": {"topK": a.top_k}, "analysis": {"confidenceThreshold": a.threshold, "critique": a.critique, "strict": a.strict}, "review": {"showAll": a.show_all},

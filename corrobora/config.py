@@ -24,6 +24,7 @@ DEFAULTS: dict = {
     "identity": None,
     "fixedNow": None,
     "force": False,
+    "trustTimes": True,
     "local": False,
     "logLevel": "info",
 }

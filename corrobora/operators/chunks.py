@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corrobora.functions import hashing as H
 from corrobora.functions import text as T
+from corrobora.operators import merkle
 
 LOOKBACK = 120
 _SPACE = T.SPACE.replace("\\x0B", "\x0b")
@@ -77,15 +78,18 @@ def chunk_id(path, file, page, ordinal):
     return F.concat(T.slug(file), F.lit("~"), tag, F.lit("#"), F.coalesce(F.concat(F.lit("p"), page.cast("string")), F.lit("na")), F.lit("#c"), ordinal.cast("string"))
 
 
-def index_id(chunks: DataFrame, embedder_id: str, size: int, overlap: int) -> DataFrame:
-    """One row (index_id): a hash of the embedder, the parameters and all chunks in the order of ``pos``.
-
-    Each chunk's canonical JSON is hashed where it is; only these digests, 32 bytes a chunk, are put in order
-    and hashed again, in groups of 4096 and then over the groups, so no task holds the corpus.
-    """
+def index_tree(chunks: DataFrame, fan: int = merkle.FAN) -> DataFrame:
+    """The Merkle tree of an index: each chunk's canonical JSON is hashed where it is, the digests in the order of ``pos``."""
     line = H.canonical(F.struct("char_end", "char_start", "id", "page", "source_file", "text"))
-    digests = chunks.select("pos", F.sha2(line, 256).alias("h"))
-    groups = digests.groupBy(F.floor(F.col("pos") / 4096).alias("g")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
+    return merkle.tree(chunks, F.sha2(line, 256), fan)
+
+
+def index_id(chunks: DataFrame, embedder_id: str, size: int, overlap: int) -> DataFrame:
+    """One row (index_id): a hash of the embedder, the parameters and all chunks in the order of ``pos``."""
     head = f'{{"chunk_params":{{"overlap":{overlap},"size":{size}}},"embedder_id":"{embedder_id}"}}'
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), "")
-    return groups.agg(F.substring(F.sha2(F.concat(F.lit(head), joined), 256), 1, 12).alias("index_id"))
+    nodes = index_tree(chunks)
+    above = nodes.where("level > 0")
+    # Up to FAN chunks are one node, as in any larger index every chunk is below one.
+    if above.isEmpty():
+        above = nodes.groupBy(F.lit(1).alias("level")).agg(F.sha2(merkle.joined("node"), 256).alias("h")).withColumn("node", F.lit(0).cast("long"))
+    return merkle.top(above).select(F.substring(F.sha2(F.concat(F.lit(head), "h"), 256), 1, 12).alias("index_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corrobora.functions import hashing as H
 from corrobora.functions import numbers as N
 from corrobora.functions import text as T
-from corrobora.operators import assess, chunks, contract, judge, pruned, report, review, vectors, verify
+from corrobora.operators import assess, chunks, contract, judge, merkle, pruned, report, review, vectors, verify
 from corrobora.operators.ordering import with_position
 from corrobora.plans import inputs as I
 from corrobora.plans import made_pdf
@@ -329,6 +329,26 @@ def h4_index_id(spark, sf):
     return chunks.index_id(with_position(docs, "pos", F.col("doc_id")), "mock", 1200, 200)
 
 
+@query("""
+    WITH a AS (
+        SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, text FROM documents
+    ), b AS (
+        SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, CASE WHEN lang = 'de' AND source IN ('src1', 'src2') THEN coalesce(text, '') || '!' ELSE text END AS text FROM documents WHERE doc_id <= (SELECT max(doc_id) FROM documents) - 30
+    ), d AS (
+        SELECT coalesce(a.pos, b.pos) AS pos FROM a FULL JOIN b ON a.pos = b.pos
+        WHERE (a.pos IS NULL) OR (b.pos IS NULL) OR coalesce(a.text, '') <> coalesce(b.text, '')
+    )
+    SELECT pos // 8 * 8 AS first, pos // 8 * 8 + 7 AS last, count(*) AS changed FROM d GROUP BY pos // 8
+""")
+def h4_changed_ranges(spark, sf):
+    """Where an index of all documents and one with some changed and the last ones gone differ, by their trees."""
+    docs = I.documents(spark, sf).select("doc_id", "lang", "source", "text")
+    last = docs.agg(F.max("doc_id")).first()[0] or 0
+    changed = F.when((F.col("lang") == "de") & F.col("source").isin("src1", "src2"), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    one, other = (merkle.tree(with_position(x, "pos", F.col("doc_id")), F.sha2("text", 256), 8) for x in (docs, docs.where(F.col("doc_id") <= last - 30).withColumn("text", changed)))
+    return merkle.ranges(one, other, 8)
+
+
 # --- replies
 
 
