@@ -30,7 +30,7 @@ from corrobora.llm.wordhash import blocks, shingle_sets
 
 U = np.uint64
 #: Bytes of text whose sets a task holds at a time.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Grams that the order moves to the end; the most frequent ones if there are more. It bounds a broadcast of 16 MB
 #: and changes only how many candidates there are, never the result.
 MOST_HEAVY = 1 << 20

@@ -138,16 +138,20 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     """
     if len(h) < n:
         return np.empty(0, U)
-    one, two = h[: len(h) - n + 1].copy(), ~h[: len(h) - n + 1]
-    for k in range(1, n):
-        word = h[k : len(h) - n + 1 + k]
-        one ^= one >> U(29)
-        one *= GRAM
-        one += word
-        two ^= two >> U(32)
-        two *= OTHER_GRAM
-        two ^= word
-    return mix(mix(one ^ U(n)) + two)
+    out = np.empty(len(h) - n + 1, U)
+    for a in range(0, len(out), PIECE):
+        b = min(a + PIECE, len(out))
+        one, two = h[a:b].copy(), ~h[a:b]
+        for k in range(1, n):
+            word = h[a + k : b + k]
+            one ^= one >> U(29)
+            one *= GRAM
+            one += word
+            two ^= two >> U(32)
+            two *= OTHER_GRAM
+            two ^= word
+        out[a:b] = mix(mix(one ^ U(n)) + two)
+    return out
 
 
 def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
