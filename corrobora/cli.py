@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from corrobora import __version__
 from corrobora import config as settings
 from corrobora.functions import hashing as H
-from corrobora.functions import text as T
 from corrobora.operators import assess, chunks, remote, report, review, vectors
 from corrobora.operators.ordering import with_position
 from corrobora.session import session
+from corrobora.sinks import write_document
 from corrobora.sources import catalogue, documents, manifest
 from corrobora.store import Store
 from corrobora.tables import written
@@ -182,15 +182,11 @@ class Run:
         entries = self._write(report.profile(outcomes, self._read("assessments"), decided), "profile")
         if self.config["analysis"]["strict"]:
             report.strict_gate(entries)
-        out = Path(f"{self.at}/reports")
-        out.mkdir(parents=True, exist_ok=True)
-        total = report.summary(entries).first().asDict()
-        rows = [json.loads(r) for r in entries.orderBy("outcome_id").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toPandas().iloc[:, 0]]
-        (out / "profile.json").write_text(json.dumps({"generatedAt": self.now, "summary": total, "subcategories": rows}, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
-        (out / "gap-analysis.md").write_text(report.gap_markdown(entries, most=self.config["report"]["evidenceQuoteMaxChars"]), encoding="utf-8")
-        lines = report.evidence_map(entries).orderBy("subcategory_id").select(T.csv_line(*report.EVIDENCE_COLUMNS)).toPandas().iloc[:, 0].tolist()
-        (out / "evidence-map.csv").write_text(report.csv_document(lines, report.EVIDENCE_COLUMNS), encoding="utf-8", newline="")
-        return total
+        out = f"{self.at}/reports"
+        write_document(report.profile_lines(entries, self.now), f"{out}/profile.json", F.col("section"), F.col("at"))
+        write_document(report.markdown_lines(entries, most=self.config["report"]["evidenceQuoteMaxChars"]), f"{out}/gap-analysis.md", *report.markdown_order())
+        write_document(report.evidence_lines(entries), f"{out}/evidence-map.csv", F.col("section"), F.col("subcategory_id"), F.col("at"))
+        return report.summary(entries).first().asDict()
 
 
 def main(args: list[str] | None = None) -> None:

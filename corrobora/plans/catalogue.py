@@ -615,6 +615,17 @@ def a1_summary(spark, sf):
     return report.summary(I.profile(spark, sf))
 
 
+@query(f"""
+    WITH {I.PROFILE} SELECT CASE grouping(function, category) WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS level, function, category, count(*) AS total, {_TALLY}, count(*) FILTER (coverage IN ('none', 'partial')) AS gaps,
+        count(*) FILTER (review_status = 'reviewed') AS reviewed, count(*) FILTER (review_status = 'unreviewed') AS unreviewed, count(*) FILTER (review_status = 'stale') AS stale, count(human_coverage) AS overridden,
+        count(*) FILTER (downgraded) AS downgraded_by_verifier, floor(count(*) FILTER (coverage IN ('substantial', 'full'))::DOUBLE / count(*) * 100 + 0.5::DOUBLE)::INTEGER AS pct
+    FROM p GROUP BY GROUPING SETS ((), (function), (function, category))
+""")
+def a1_totals(spark, sf):
+    """All of a report's counts, over everything, by function and by category, from one pass over the profile."""
+    return report.totals(I.profile(spark, sf))
+
+
 @query(f"WITH {I.PROFILE} SELECT function, count(*) AS total, {_TALLY}, floor(count(*) FILTER (coverage IN ('substantial', 'full'))::DOUBLE / count(*) * 100 + 0.5::DOUBLE)::INTEGER AS pct FROM p GROUP BY function")
 def a3_by_function(spark, sf):
     return report.by_function(I.profile(spark, sf))
