@@ -78,7 +78,7 @@ class Run:
         """The embedder's identity, which the index keeps, and the embedder."""
         c = self.config["embeddings"]
         model = remote.model_of("embeddings", c)
-        return model if model == c["provider"] else f"{c['provider']}:{model}", remote.embedder_of(c)
+        return model if model == c["provider"] else f"{c['provider']}:{model}", remote.embedder_of(c, f"{self.at}/answers")
 
     def ingest(self) -> dict:
         """Reads the files that are new or changed since the last time, and forgets those that are gone.
@@ -131,7 +131,7 @@ class Run:
         identity, embedder = self._embedder()
         if index.embedder != identity:
             raise ValueError(f"the index was made with {index.embedder}, the settings name {identity}")
-        judge, warnings = remote.judge_of(c["llm"])
+        judge, warnings = remote.judge_of(c["llm"], f"{self.at}/answers")
         for w in warnings:
             print(f"warning: {w}")
         sig = H.engine_signature(remote.model_of("embeddings", c["embeddings"]), remote.model_of("llm", c["llm"]), c["retrieval"]["topK"], c["chunk"]["size"], c["chunk"]["overlap"], c["analysis"]["critique"], index.index_id)
@@ -197,9 +197,9 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--now", "--fixed-now")
     for flag in ("docs", "catalogue", "embed-provider", "embed-model", "llm-provider", "llm-model", "identity", "decisions", "env", "log-level"):
         parser.add_argument(f"--{flag}")
-    for flag in ("top-k", "chunk-size", "chunk-overlap", "batch-size", "max-tokens", "quote-chars"):
+    for flag in ("top-k", "chunk-size", "chunk-overlap", "batch-size", "max-tokens", "senders", "quote-chars"):
         parser.add_argument(f"--{flag}", type=int)
-    for flag in ("threshold", "temperature"):
+    for flag in ("threshold", "temperature", "per-minute"):
         parser.add_argument(f"--{flag}", type=float)
     parser.add_argument("--critique", action=argparse.BooleanOptionalAction)
     parser.add_argument("--show-all", "--all", action="store_true", default=None)
@@ -217,7 +217,7 @@ def main(args: list[str] | None = None) -> None:
     flags = {
         "docsPath": a.docs, "cataloguePath": a.catalogue, "workDir": a.out, "identity": a.identity, "fixedNow": a.now, "acceptAll": a.accept_all, "force": a.force, "trustTimes": a.trust_times, "local": a.local, "decisionsPath": a.decisions, "envPath": a.env, "logLevel": a.log_level,
         "chunk": {"size": a.chunk_size, "overlap": a.chunk_overlap}, "embeddings": {"provider": a.embed_provider, "model": a.embed_model, "batchSize": a.batch_size},
-        "llm": {"provider": a.llm_provider, "model": a.llm_model, "temperature": a.temperature, "maxTokens": a.max_tokens}, "report": {"evidenceQuoteMaxChars": a.quote_chars},
+        "llm": {"provider": a.llm_provider, "model": a.llm_model, "temperature": a.temperature, "maxTokens": a.max_tokens, "senders": a.senders, "perMinute": a.per_minute}, "report": {"evidenceQuoteMaxChars": a.quote_chars},
         "retrieval": {"topK": a.top_k}, "analysis": {"confidenceThreshold": a.threshold, "critique": a.critique, "strict": a.strict}, "review": {"showAll": a.show_all},
     }
     config, warnings = settings.load(a.config, flags)

@@ -13,7 +13,7 @@ DEFAULTS: dict = {
     "workDir": "./output",
     "chunk": {"size": 1200, "overlap": 200},
     "embeddings": {"provider": "mock", "model": None, "batchSize": 64},
-    "llm": {"provider": "lexical", "model": None, "temperature": 0, "maxTokens": 1024},
+    "llm": {"provider": "lexical", "model": None, "temperature": 0, "maxTokens": 1024, "senders": 8, "perMinute": 0},
     "retrieval": {"topK": 6},
     "analysis": {"confidenceThreshold": 0.6, "critique": False, "strict": False},
     "review": {"showAll": False},
@@ -36,6 +36,8 @@ RULES: dict = {
     "embeddings.batchSize": (int, 1, 2048),
     "llm.temperature": (float, 0, 2),
     "llm.maxTokens": (int, 1, 200_000),
+    "llm.senders": (int, 1, 10_000),
+    "llm.perMinute": (float, 0, 1_000_000),
     "retrieval.topK": (int, 1, 50),
     "analysis.confidenceThreshold": (float, 0, 1),
     "report.evidenceQuoteMaxChars": (int, 20, 100_000),
