@@ -23,10 +23,12 @@ from corrobora.operators import assess, chunks, remote, report, review, vectors
 from corrobora.operators.ordering import with_position
 from corrobora.session import session
 from corrobora.sinks import write_document
-from corrobora.sources import catalogue, documents, manifest
+from corrobora.sources import catalogue, documents, manifest, workbook
 from corrobora.store import Store
 from corrobora.tables import written
 
+#: Characters of a segment that one task cuts.
+LONG = 4 << 20
 #: The working folder's tables: their keys, and their numbers of buckets.
 KEYED = {"manifest": (["path"], 16), "chunks": (["path"], 64), "index": (["index_id"], 1), "assessments": (["outcome_id"], 16), "decisions": (["outcome_id"], 16), "profile": (["outcome_id"], 16)}
 DECISIONS = "outcome_id string, decision string, final_coverage string, note string, reviewed_by string, reviewed_at string, reviewed_against string"
@@ -97,7 +99,9 @@ class Run:
         parsed = written(documents.parse(found.join(todo.select("path"), "path", "left_semi")))
         files = with_position(parsed.where("status = 'parsed'"), "doc_id", F.col("path"))
         segments = files.select("doc_id", F.posexplode("segments").alias("seg", "s")).select("doc_id", "seg", "s.page", "s.text")
-        made = chunks.chunk(segments, c["chunk"]["size"], c["chunk"]["overlap"]).join(files.select("doc_id", "path", F.col("file").alias("source_file")), "doc_id").drop("doc_id")
+        # Very long segments are cut by many tasks; that takes jobs of its own, so only where there are some.
+        long = None if segments.where(F.length("text") > LONG).isEmpty() else LONG
+        made = chunks.chunk(segments, c["chunk"]["size"], c["chunk"]["overlap"], long).join(files.select("doc_id", "path", F.col("file").alias("source_file")), "doc_id").drop("doc_id")
         made = made.withColumn("id", chunks.chunk_id(F.col("path"), F.col("source_file"), F.col("page"), F.col("ord")))
         made = written(vectors.embed(made, "text", embedder, batch=c["embeddings"]["batchSize"]))
         stored, entries = self._store("chunks"), manifest.entries(todo, parsed)
@@ -191,7 +195,7 @@ class Run:
 
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="corrobora", description=__doc__)
-    parser.add_argument("command", choices=["init", "ingest", "analyze", "review", "report", "all", "run"])
+    parser.add_argument("command", choices=["init", "catalogue", "ingest", "analyze", "review", "report", "all", "run"])
     parser.add_argument("--config", default="corrobora.config.json")
     parser.add_argument("--out", "--work-dir")
     parser.add_argument("--now", "--fixed-now")
@@ -203,6 +207,7 @@ def main(args: list[str] | None = None) -> None:
         parser.add_argument(f"--{flag}", type=float)
     parser.add_argument("--critique", action=argparse.BooleanOptionalAction)
     parser.add_argument("--show-all", "--all", action="store_true", default=None)
+    parser.add_argument("--workbook", help="the spreadsheet of which the command catalogue makes the catalogue file")
     parser.add_argument("--rehash", dest="trust_times", action="store_false", default=None, help="open all files, whatever their times say")
     for flag in ("strict", "accept-all", "force", "local"):
         parser.add_argument(f"--{flag}", action="store_true", default=None)
@@ -225,6 +230,9 @@ def main(args: list[str] | None = None) -> None:
     quiet = config["logLevel"] in ("error", "quiet")
     for w in warnings if not quiet else []:
         print(f"warning: {w}")
+    if a.command == "catalogue":
+        print("catalogue", workbook.build(session(), a.workbook, config["cataloguePath"]))
+        return
     run = Run(session(), config)
     for stage in ["ingest", "analyze", "review", "report"] if a.command in ("all", "run") else [a.command]:
         done = getattr(run, stage)()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corrobora.functions import hashing as H
 from corrobora.functions import text as T
-from corrobora.operators import merkle
+from corrobora.operators import long_chunks, merkle
 
 LOOKBACK = 120
 _SPACE = T.SPACE.replace("\\x0B", "\x0b")
@@ -48,11 +48,12 @@ CHUNKS = "doc_id long, page int, seg int, char_start int, char_end int, text str
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("seg", pa.int32()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("text", pa.string())])
 
 
-def chunk(segments: DataFrame, size: int = 1200, overlap: int = 200) -> DataFrame:
+def chunk(segments: DataFrame, size: int = 1200, overlap: int = 200, long: int | None = None) -> DataFrame:
     """Rows (doc_id, page, seg, ord, char_start, char_end, text) of segments (doc_id, page, text[, seg]).
 
     Offsets refer to the normalised text. Blank segments give nothing and use up no ordinal; ordinals run
-    over a document's segments from 0. Every document is cut by itself, so this scales with their number.
+    over a document's segments from 0. Segments of up to ``long`` characters are cut one by one; longer ones are many
+    tasks' work, if there are any.
     """
     seg = F.col("seg") if "seg" in segments.columns else F.lit(0)
     source = segments.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), seg.cast("int").alias("seg"), T.norm_for_chunks(F.coalesce("text", F.lit(""))).alias("text"))
@@ -66,7 +67,14 @@ def chunk(segments: DataFrame, size: int = 1200, overlap: int = 200) -> DataFram
                     rows.extend((doc_id, page, k, x, y, text[x:y]) for x, y in spans(text, size, overlap))
                 yield pa.record_batch([list(c) for c in zip(*rows, strict=True)], schema=_SCHEMA)
 
-    made = source.mapInArrow(run, CHUNKS)
+    if long is None:
+        made = source.mapInArrow(run, CHUNKS)
+    else:
+        size = max(100, min(100_000, int(size)))
+        long = max(long, size)
+        made = source.where(F.length("text") <= long).mapInArrow(run, CHUNKS)
+        some = source.where(F.length("text") > long)
+        made = made.unionByName(long_chunks.chunk_long(some, size, max(0, min(size - 1, int(overlap)))).select(*made.columns))
     from corrobora.sources.documents import ordinals
 
     return ordinals(made, "doc_id", "seg", "char_start").select("doc_id", "page", "seg", "ord", "char_start", "char_end", "text")

@@ -13,10 +13,11 @@ from corrobora.functions import text as T
 from corrobora.operators import assess, chunks, contract, judge, merkle, pruned, report, review, vectors, verify
 from corrobora.operators.ordering import with_position
 from corrobora.plans import inputs as I
-from corrobora.plans import made_pdf
+from corrobora.plans import made_pdf, made_workbook
 from corrobora.session import table
 from corrobora.sources import catalogue as cat
 from corrobora.sources import documents as D
+from corrobora.sources import workbook
 from corrobora.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +98,17 @@ def s4_pdf_pages(spark, sf):
     return pages.select("doc_id", "s.page", F.length("s.text").alias("n_chars"), F.sha2("s.text", 256).alias("text_sha256"))
 
 
+@query("""
+    WITH l AS (SELECT doc_id, lang, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS row FROM documents)
+    SELECT doc_id, row::INT AS row, 'B' AS col, lang AS value FROM l UNION ALL SELECT doc_id, row::INT, 'C', line FROM l
+""")
+def s14_workbook_cells(spark, sf):
+    """Every document as a workbook of its lines, with shared strings or without, and its cells read back."""
+    files = table(spark, sf, "documents").select("doc_id", "text", "lang").mapInArrow(made_workbook.files, "path string, content binary")
+    found = workbook.cells(files).where("sheet = 2")
+    return found.select(F.regexp_extract("path", r"^(-?\d+)\.", 1).cast("long").alias("doc_id"), "row", "col", "value")
+
+
 @query("""
     SELECT CASE WHEN lang NOT IN ('en', 'fr') THEN 'failed' WHEN trim(coalesce(text, '')) = '' THEN 'skipped' ELSE 'parsed' END AS status, count(*) AS n FROM documents GROUP BY 1
 """)
@@ -162,6 +174,28 @@ def x1_chunks(spark, sf):
     return made.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("ord", "char_start", "char_end")), F.sha2("text", 256).alias("sha"))
 
 
+@query(f"""
+    WITH RECURSIVE {DOCS}, long AS (SELECT min(doc_id) AS doc_id, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM docs GROUP BY source), n AS (SELECT doc_id, {NORM_CHUNK} AS t FROM long WHERE trim(regexp_replace(text, '{WS}+', ' ', 'g')) <> ''),
+    c(doc_id, t, len, s, e, ord) AS (
+        SELECT doc_id, t, length(t), 0, e, 0 FROM (SELECT doc_id, t, CASE WHEN length(t) <= 1200 THEN length(t) ELSE (SELECT 0) END AS e0, 0 AS s FROM n) x, LATERAL (SELECT CASE WHEN x.e0 > 0 THEN x.e0 ELSE
+            CASE WHEN length(regexp_extract(t[1081:1201], '(?s)^(.*[.!?]){WS}', 1)) > 0 THEN 1080 + length(regexp_extract(t[1081:1201], '(?s)^(.*[.!?]){WS}', 1))
+                 WHEN length(regexp_extract(t[1081:1200], '(?s)^(.*{WS})', 1)) > 0 THEN 1080 + length(regexp_extract(t[1081:1200], '(?s)^(.*{WS})', 1)) ELSE 1200 END END AS e)
+        UNION ALL
+        SELECT doc_id, t, len, b, CASE WHEN b + 1200 >= len THEN len
+                WHEN length(regexp_extract(t[b + 1081:b + 1201], '(?s)^(.*[.!?]){WS}', 1)) > 0 THEN b + 1080 + length(regexp_extract(t[b + 1081:b + 1201], '(?s)^(.*[.!?]){WS}', 1))
+                WHEN length(regexp_extract(t[b + 1081:b + 1200], '(?s)^(.*{WS})', 1)) > 0 THEN b + 1080 + length(regexp_extract(t[b + 1081:b + 1200], '(?s)^(.*{WS})', 1)) ELSE b + 1200 END, ord + 1
+        FROM (SELECT *, CASE WHEN e - 200 > s THEN e - 200 ELSE e END AS b FROM c WHERE e < len)
+    )
+    SELECT doc_id AS segment, ord::BIGINT AS ord, s::BIGINT AS char_start, e::BIGINT AS char_end, sha256(t[s + 1:e]) AS sha FROM c
+""")
+def x1_long_chunks(spark, sf):
+    """Each source's documents as one long segment, whose blocks are cut by tasks of their own."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n")
+    long = I.documents(spark, sf).groupBy("source").agg(F.min("doc_id").alias("doc_id"), joined.alias("text"))
+    made = chunks.chunk(D.text_segments(long), long=0)
+    return made.select(F.col("doc_id").alias("segment"), *(F.col(c).cast("long").alias(c) for c in ("ord", "char_start", "char_end")), F.sha2("text", 256).alias("sha"))
+
+
 @query(f"SELECT doc_id, sha256({I.norm_match_sql('text')}) AS sha FROM documents")
 def f5_norm_match(spark, sf):
     return T.with_norm(I.documents(spark, sf).select("doc_id", "text"), "text", "norm").select("doc_id", F.sha2("norm", 256).alias("sha"))
