@@ -31,7 +31,7 @@ from corrobora.llm.common import discard, held_out, partitions, stable, text_or_
 from corrobora.llm.wordhash import blocks, mix, word_hashes
 
 U = np.uint64
-BLOCK = 8 << 20
+BLOCK = 6 << 20
 #: Bytes of text to a bucket; what an owner holds at a time is some twenty times as much.
 BUCKET = 32 << 20
 CUT = 5
@@ -274,7 +274,7 @@ class Grams:
         # What training cannot have, as it lacks the shorter n-gram, is asked for as the unknown word: for the context.
         width = len(self.word_ids)
         w = np.where(self.lower > 0, self.w, width - 1)
-        key, first, self.code = np.unique(h[self.askable] * width + w[self.askable], return_index=True, return_inverse=True)
+        key, first, self.code = ragged.numbered(h[self.askable] * width + w[self.askable])
         self.gram_h, self.gram_w = key // width, key % width
         self.gram_lower = self.lower[self.askable][first]
         self.gram_base = lower_context[self.askable][first]
@@ -394,7 +394,7 @@ def _answer_grams(level: int, lower: Discount, buckets: int, last: bool):
         each = [np.repeat(np.cumsum(unpack(x)), n) for x, n in zip(hs, sizes, strict=True)]
         h, w, r, low = np.concatenate(each), *(np.concatenate([unpack(x) for x in blobs]) for blobs in (ws, trained, lowers))
         base = np.concatenate([np.repeat(unpack(x), n) for x, n in zip(bases, sizes, strict=True)])
-        order = np.lexsort((w, h))
+        order = ragged.ordered(h, w)
         new = np.ones(len(h), bool)
         new[1:] = (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0)
         code = np.empty(len(h), np.int64)

@@ -27,3 +27,24 @@ def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     if len(some):
         out[some] = np.add.reduceat(values, at[some])
     return out
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in ascending order, a place of each, and every key's number among them.
+
+    What numpy.unique gives, but for which place it is: that needs no stable sort, which takes several times as long.
+    """
+    order = np.argsort(keys)
+    found = keys[order]
+    new = np.ones(len(found), bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    code = np.empty(len(found), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return found[new], order[new], code
+
+
+def ordered(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """An order by ``high`` and then ``low``, neither of them negative; ties come in any order."""
+    if len(high) and int(high.max()) >= (1 << 62) // (int(low.max()) + 1):
+        high, low = numbered(high)[2], numbered(low)[2]
+    return np.argsort(high * (int(low.max(initial=0)) + 1) + low)

@@ -5,8 +5,10 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
+from corrobora.llm import ragged
 from corrobora.llm.katz import CUT, HIGH, Katz, katz_scores
 
 
@@ -122,6 +124,16 @@ def test_structured_words_are_told_apart(spark):
         assert a[5:] == pytest.approx(plain.row(*r)[5:], rel=1e-7, abs=2e-6)
 
 
+def test_numbering_and_ordering():
+    rng = np.random.default_rng(3)
+    for n, top in ((0, 5), (1, 5), (500, 9), (500, 1 << 61)):
+        x, y = rng.integers(0, top, n), rng.integers(0, top, n)
+        keys, first, code = ragged.numbered(x)
+        assert keys.tolist() == sorted(set(x.tolist())) and x[first].tolist() == keys.tolist() and keys[code].tolist() == x.tolist()
+        order = ragged.ordered(x, y)
+        assert [(x[i], y[i]) for i in order] == sorted(zip(x.tolist(), y.tolist(), strict=True))
+
+
 @pytest.mark.parametrize("pair", [("?&6rtcebaaaa385a", "{,!o.jd.$qb_@_@~"), ("aaaaaaaa", "aaaaaaa\x01"), ("\x00", "\x00\x00")])
 def test_words_that_weak_hashes_merge(spark, pair):
     """A held-out text with the word that training texts do not have."""
