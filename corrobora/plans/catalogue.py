@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corrobora.functions import hashing as H
 from corrobora.functions import numbers as N
 from corrobora.functions import text as T
-from corrobora.operators import assess, chunks, contract, judge, merkle, pruned, report, review, vectors, verify
+from corrobora.operators import assess, chunks, contract, judge, merkle, prompts, pruned, report, review, vectors, verify
 from corrobora.operators.ordering import with_position
 from corrobora.plans import inputs as I
 from corrobora.plans import made_pdf, made_workbook
@@ -293,6 +293,22 @@ def u1_hash_vector(spark, sf):
     return hashed.groupBy("item_id", (F.col("h") % 512).alias("idx")).agg(F.sum(sign).cast("long").alias("weight")).where("weight <> 0")
 
 
+#: Signed counts per bucket of texts x (id, text), and their unit vectors: idx, and v as a 32-bit float.
+def _hashed(x: str, name: str) -> str:
+    return f"""
+    {name}t AS (SELECT id, unnest({TOKENS % ('text', 3)}) AS token FROM {x}),
+    {name}h AS (SELECT token, list_reduce(list_transform(string_split(token, ''), lambda c: ascii(c)::BIGINT), lambda h, x: (xor(h, x) * 16777619) & 4294967295, 2166136261::BIGINT) AS h FROM (SELECT DISTINCT token FROM {name}t)),
+    {name}w AS (SELECT id, h % 512 AS idx, sum(CASE WHEN (h >> 9) & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS w FROM {name}t JOIN {name}h USING (token) GROUP BY ALL HAVING w <> 0),
+    {name} AS (SELECT id, idx, (w / sqrt(sum(w * w) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS v FROM {name}w)"""
+
+
+@query(f"WITH x AS (SELECT item_id AS id, text FROM benchmark), {_hashed('x', 'u')} SELECT id AS item_id, idx, round(v * 1000000)::BIGINT AS millionths FROM u")
+def u1_hash_embedder(spark, sf):
+    """The unit vectors that the embedder itself gives, but for their zeros."""
+    made = vectors.embed(table(spark, sf, "benchmark").select("item_id", "text"), "text").select("item_id", F.posexplode("vector").alias("idx", "v")).where("v <> 0")
+    return made.select("item_id", F.col("idx").cast("long").alias("idx"), F.round(F.col("v").cast("double") * 1000000).cast("long").alias("millionths"))
+
+
 @query("""
     SELECT vec_id, len(embedding) AS dims, abs(list_sum(list_transform(u, lambda x: x * x)) - 1) < 1e-6 AS is_unit, array_to_string(list_transform(u, lambda x: round(x::FLOAT::DOUBLE * 1000000)::BIGINT), ',') AS millionths
     FROM (SELECT vec_id, embedding, list_transform(embedding, lambda x: (x::DOUBLE * (label + 1))::FLOAT::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: (y::DOUBLE * (label + 1))::FLOAT::DOUBLE * (y::DOUBLE * (label + 1))::FLOAT::DOUBLE)))) AS u FROM embeddings)
@@ -320,6 +336,14 @@ def j1_similarity(spark, sf):
     return vectors.count_near(rows, asked, 0.25, row_id="vec_id")
 
 
+@query(f"WITH {_SCORES} SELECT qid, vec_id, round(score * 1000000)::BIGINT AS millionths FROM s")
+def j1_scores(spark, sf):
+    """Every query's score with every row, as many ranks as there are rows."""
+    rows, asked = _embeddings(spark, sf)
+    found = vectors.top_k(rows, asked, 2**31 - 1, row_id="vec_id")
+    return found.select("qid", "vec_id", F.round(F.col("score") * 1000000).cast("long").alias("millionths"))
+
+
 @query(f"WITH {_SCORES} SELECT qid, rank, vec_id FROM (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 6")
 def w1_topk(spark, sf):
     rows, asked = _embeddings(spark, sf)
@@ -339,12 +363,24 @@ def h1_short_hash(spark, sf):
     return table(spark, sf, "labels").select("doc_id", H.short_hash(H.canonical(F.struct("quality", "toxic"))).alias("hash"))
 
 
-_SIGNATURE = '{"chunkOverlap":200,"chunkSize":1200,"critique":false,"embeddingModel":"mock","indexId":"i","llmModel":"lexical","topK":6}'
+_INDEX_ID = """
+    WITH l AS (
+        SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, sha256('{"char_end":' || length(coalesce(text, '')) || ',"char_start":0,"id":"' || doc_id || '","page":null,"source_file":' || to_json(source) || ',"text":' || to_json(coalesce(text, '')) || '}') AS h FROM documents
+    ), g AS (SELECT pos // 4096 AS g, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM l GROUP BY 1)
+    SELECT sha256('{"chunk_params":{"overlap":200,"size":1200},"embedder_id":"mock"}' || string_agg(h, '' ORDER BY g))[1:12] AS index_id FROM g
+"""
 
 
-@query(f"SELECT sha256('{_SIGNATURE}')[1:12] AS engine_sig")
+def _index_id(spark, sf):
+    docs = I.documents(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_file"), F.lit(None).cast("int").alias("page"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), "text")
+    return chunks.index_id(with_position(docs, "pos", F.col("doc_id")), "mock", 1200, 200)
+
+
+@query(f"""SELECT sha256('{{"chunkOverlap":200,"chunkSize":1200,"critique":false,"embeddingModel":"mock","indexId":"' || index_id || '","llmModel":"lexical","topK":6}}')[1:12] AS engine_sig FROM ({_INDEX_ID})""")
 def h2_engine_sig(spark, sf):
-    return spark.createDataFrame([(H.engine_signature("mock", "lexical", 6, 1200, 200, False, "i"),)], "engine_sig string")
+    """The signature that assessments over an index of all documents carry."""
+    found = _index_id(spark, sf).first()
+    return spark.createDataFrame([(H.engine_signature("mock", "lexical", 6, 1200, 200, False, found.index_id),)], "engine_sig string")
 
 
 @query(f"SELECT outcome_id, hash FROM ({I.ASSESSMENTS})")
@@ -352,15 +388,9 @@ def h3_assessment_hash(spark, sf):
     return I.assessments(spark, sf).select("outcome_id", "hash")
 
 
-@query("""
-    WITH l AS (
-        SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, sha256('{"char_end":' || length(coalesce(text, '')) || ',"char_start":0,"id":"' || doc_id || '","page":null,"source_file":' || to_json(source) || ',"text":' || to_json(coalesce(text, '')) || '}') AS h FROM documents
-    ), g AS (SELECT pos // 4096 AS g, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM l GROUP BY 1)
-    SELECT sha256('{"chunk_params":{"overlap":200,"size":1200},"embedder_id":"mock"}' || string_agg(h, '' ORDER BY g))[1:12] AS index_id FROM g
-""")
+@query(_INDEX_ID)
 def h4_index_id(spark, sf):
-    docs = I.documents(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_file"), F.lit(None).cast("int").alias("page"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), "text")
-    return chunks.index_id(with_position(docs, "pos", F.col("doc_id")), "mock", 1200, 200)
+    return _index_id(spark, sf)
 
 
 @query("""
@@ -391,6 +421,24 @@ def n1_extract_json(spark, sf):
     return I.replies(spark, sf).select("doc_id", contract.json_object(F.col("raw")).isNotNull().alias("found"))
 
 
+@query(f"WITH {I.REPLIES} SELECT doc_id, json_extract_string(o, '$.subcategory_id') AS subcategory_id, json_extract_string(o, '$.coverage') AS coverage, json_extract_string(o, '$.confidence') AS confidence, json_extract_string(o, '$.evidence[0].quote') AS quote, json_extract_string(o, '$.extra[0]') AS extra FROM obj")
+def n1_extracted(spark, sf):
+    """What the object within each reply holds, before anything is coerced."""
+    o = I.replies(spark, sf).select("doc_id", contract.json_object(F.col("raw")).alias("o"))
+    return o.select("doc_id", *(F.try_variant_get("o", f"$.{path}", "string").alias(name) for name, path in (("subcategory_id", "subcategory_id"), ("coverage", "coverage"), ("confidence", "confidence"), ("quote", "evidence[0].quote"), ("extra", "extra[0]"))))
+
+
+@query(f"""
+    WITH {I.REPLIES}, e AS (
+        SELECT doc_id, list_filter(list_transform(json_extract(o, '$.evidence[*]'), lambda e: concat(json_extract_string(e, '$.source_file'), ' | ', json_extract_string(e, '$.quote'))), lambda x: trim(split_part(x, ' | ', 1)) <> '' AND trim(split_part(x, ' | ', 2)) <> '') AS items FROM obj WHERE o IS NOT NULL
+    ) SELECT doc_id, array_to_string(items, ',') AS items FROM e
+""")
+def n2_evidence(spark, sf):
+    """The evidence items that are left of each reply."""
+    rows = contract.validated(I.replies(spark, sf)).where("value IS NOT NULL")
+    return rows.select("doc_id", F.array_join(F.transform("value.evidence", lambda e: F.concat_ws(" | ", e["source_file"], e["quote"])), ",").alias("items"))
+
+
 @query(f"WITH {I.REPLIES} SELECT doc_id, coverage, confidence, n_evidence, needs_review FROM val")
 def n2_coerce(spark, sf):
     rows = contract.validated(I.replies(spark, sf))
@@ -561,6 +609,21 @@ def p6_threshold(spark, sf):
     return assess.flag_low(rows).select("doc_id", "needs_review")
 
 
+_PROMPT = prompts.ASK.replace("'", "''")
+
+
+@query(f"""
+    WITH h AS ({I.HITS}), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS n FROM h),
+    e AS (SELECT item_id, string_agg('[' || n || '] ' || source_file || CASE WHEN page IS NULL THEN '' ELSE ', p.' || page END || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS evidence FROM r WHERE n <= 6 GROUP BY item_id)
+    SELECT b.item_id, sha256('Outcome ' || b.item_id || ': ' || b.text || chr(10) || chr(10) || 'Excerpts:' || chr(10) || coalesce(e.evidence, '{prompts.NOTHING}') || chr(10) || chr(10) || '{_PROMPT}') AS sha FROM benchmark b LEFT JOIN e USING (item_id)
+""")
+def f15_prompt_task(spark, sf):
+    """The whole task that a model judge gets for each item, from the library."""
+    hits = I.hits(spark, sf).withColumn("n", F.row_number().over(_by_rank())).where("n <= 6")
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("outcome"))
+    return prompts.task(items, hits, "item_id").select("item_id", F.sha2("prompt", 256).alias("sha"))
+
+
 def f15_prompt_evidence(spark, sf):
     """Numbered, labelled blocks of an item's evidence, in rank order."""
     block = F.concat(F.lit("["), F.row_number().over(_by_rank()).cast("string"), F.lit("] "), T.location("source_file", "page"), F.lit("\n"), F.col("text"))
@@ -736,7 +799,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     best = vectors.top_k(index.select("chunk_id", "vector"), asked, 6, row_id="chunk_id").withColumnRenamed("qid", "item_id")
     hits = best.join(made.select("chunk_id", F.col("doc_id").cast("string").alias("source_file"), "page", "text"), "chunk_id")
     claims = items.select("item_id", F.lit(0).alias("pos"), F.lit("").alias("source_file"), F.col("text").alias("quote"))
-    checked = verify.verify_quotes(claims, hits, "item_id")
+    checked = verify.verify_quotes(claims, hits, "item_id", bounded=True)
     claim = items.select("item_id", F.lit("full").alias("coverage"), F.lit(0.9).alias("confidence"), F.lit("claimed verbatim").alias("rationale"), F.lit(False).alias("needs_review"))
     return verify.downgrade(claim, checked, "item_id").select("item_id", "coverage", "confidence", "verifier_action", F.transform("evidence", lambda e: e["chunk_id"]).alias("chunks"))
 
@@ -744,3 +807,43 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def e2e_support(spark, sf):
     return flagship(spark, sf)
+
+
+@query(f"""
+    WITH RECURSIVE {DOCS}, n AS (SELECT doc_id, {NORM_CHUNK} AS t FROM docs WHERE trim(regexp_replace(text, '{WS}+', ' ', 'g')) <> ''),
+    c(doc_id, t, len, s, e, ord) AS (
+        SELECT doc_id, t, length(t), 0, e, 0 FROM (SELECT doc_id, t, CASE WHEN length(t) <= 1200 THEN length(t) ELSE (SELECT 0) END AS e0, 0 AS s FROM n) x, LATERAL (SELECT CASE WHEN x.e0 > 0 THEN x.e0 ELSE
+            CASE WHEN length(regexp_extract(t[1081:1201], '(?s)^(.*[.!?]){WS}', 1)) > 0 THEN 1080 + length(regexp_extract(t[1081:1201], '(?s)^(.*[.!?]){WS}', 1))
+                 WHEN length(regexp_extract(t[1081:1200], '(?s)^(.*{WS})', 1)) > 0 THEN 1080 + length(regexp_extract(t[1081:1200], '(?s)^(.*{WS})', 1)) ELSE 1200 END END AS e)
+        UNION ALL
+        SELECT doc_id, t, len, b, CASE WHEN b + 1200 >= len THEN len
+                WHEN length(regexp_extract(t[b + 1081:b + 1201], '(?s)^(.*[.!?]){WS}', 1)) > 0 THEN b + 1080 + length(regexp_extract(t[b + 1081:b + 1201], '(?s)^(.*[.!?]){WS}', 1))
+                WHEN length(regexp_extract(t[b + 1081:b + 1200], '(?s)^(.*{WS})', 1)) > 0 THEN b + 1080 + length(regexp_extract(t[b + 1081:b + 1200], '(?s)^(.*{WS})', 1)) ELSE b + 1200 END, ord + 1
+        FROM (SELECT *, CASE WHEN e - 200 > s THEN e - 200 ELSE e END AS b FROM c WHERE e < len)
+    ),
+    x AS (SELECT doc_id || '#' || ord AS id, t[s + 1:e] AS text FROM c), {_hashed('x', 'v')},
+    y AS (SELECT item_id AS id, text FROM benchmark), {_hashed('y', 'u')},
+    q AS (SELECT id, idx, (v / sqrt(sum(v * v) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS v FROM u),
+    p AS (SELECT q.id AS item_id, v.id AS chunk_id, round(sum(q.v * v.v), 9) AS score FROM q JOIN v USING (idx) GROUP BY ALL),
+    k AS (SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM p QUALIFY rank <= 6),
+    b AS (SELECT item_id, {I.norm_match_sql('text')} AS needle FROM benchmark),
+    f AS (
+        SELECT k.item_id, arg_min(k.chunk_id, k.rank) AS chunk_id FROM k JOIN x ON x.id = k.chunk_id JOIN b ON b.item_id = k.item_id
+        WHERE length(b.needle) >= 20 AND len(regexp_extract_all(b.needle, '[a-z]{{3,}}')) >= 3 AND contains({I.norm_match_sql('x.text')}, b.needle) GROUP BY k.item_id
+    ), t AS (SELECT item_id, string_agg(chunk_id, ',' ORDER BY rank) AS retrieved FROM k GROUP BY item_id)
+    SELECT b.item_id, CASE WHEN f.chunk_id IS NULL THEN 'none' ELSE 'full' END AS coverage, CASE WHEN f.chunk_id IS NULL THEN '{verify.DOWNGRADED}' END AS verifier_action, f.chunk_id AS chunk, t.retrieved
+    FROM b LEFT JOIN f USING (item_id) LEFT JOIN t USING (item_id)
+""")
+def e2e_verdicts(spark, sf):
+    """The same with the retrieved chunks, over the index of inverted lists."""
+    made = chunks.chunk(D.text_segments(I.documents(spark, sf))).withColumn("chunk_id", F.concat_ws("#", "doc_id", "ord"))
+    index = written(pruned.build(vectors.embed(made, "text").select("chunk_id", "vector"), "chunk_id"))
+    items = table(spark, sf, "benchmark")
+    asked = vectors.embed(items.select(F.col("item_id").alias("qid"), "text"), "text").select("qid", "vector")
+    best = written(pruned.search(index, asked, 6, row_id="chunk_id").withColumnRenamed("qid", "item_id"))
+    hits = best.join(made.select("chunk_id", F.col("doc_id").cast("string").alias("source_file"), "page", "text"), "chunk_id")
+    claims = items.select("item_id", F.lit(0).alias("pos"), F.lit("").alias("source_file"), F.col("text").alias("quote"))
+    claim = items.select("item_id", F.lit("full").alias("coverage"), F.lit(0.9).alias("confidence"), F.lit("claimed verbatim").alias("rationale"), F.lit(False).alias("needs_review"))
+    judged = verify.downgrade(claim, verify.verify_quotes(claims, hits, "item_id", bounded=True), "item_id")
+    retrieved = best.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]), ",").alias("retrieved"))
+    return judged.join(retrieved, "item_id", "left").select("item_id", "coverage", "verifier_action", F.try_element_at("evidence", F.lit(1))["chunk_id"].alias("chunk"), "retrieved")
