@@ -10,7 +10,9 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 
 MADE: dict[str, SparkSession] = {}
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: its shuffles' files go with it, and what passes to Python comes in small batches,
+#: of which JVM and worker hold some copies each.
+WHILE_WRITTEN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,15 +56,17 @@ def written(df: DataFrame) -> DataFrame:
     The shuffles that made it are of no more use then, and leave the executors' disks at once.
     """
     spark = df.sparkSession
-    path, before = scratch(spark), spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    path, before = scratch(spark), {k: spark.conf.get(k, None) for k in WHILE_WRITTEN}
+    for key, value in WHILE_WRITTEN.items():
+        spark.conf.set(key, value)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
