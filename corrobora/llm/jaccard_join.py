@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from corrobora.llm.common import BROADCAST_ROWS, discard, many_to_one, partitions, text_or_empty, without, written
 from corrobora.llm.components import components
@@ -41,6 +42,10 @@ LONG_LIST = 4096
 #: Rounds in which the sets of a list meet its hubs only, so many of them, before all of its sets meet.
 STAR_ROUNDS = 2
 HUBS = 3
+#: A set in more pairs than this, and than twice a task's fair share of them, is a hub.
+HUB_PAIRS = 256
+#: Bytes of hubs' rows that are broadcast.
+HUB_BYTES = 32 << 20
 #: Prefix entries of a bucket, which one task sorts at a time.
 BUCKET = 1 << 22
 
@@ -352,7 +357,7 @@ def _hubs() -> list:
 
 
 class JaccardJoin:
-    """The join over one table of documents; ``links`` and ``components`` are its results."""
+    """The join over one table of documents; ``labels`` and ``components`` are its results."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75):
         if not 0 < percent <= 100 or words < 1:
@@ -387,18 +392,26 @@ class JaccardJoin:
         """Stored pairs (a, b) with columns of both sets, given as (column, its name for a, its name for b)."""
         x = sets.select(F.col("node").alias("a"), *(F.col(c).alias(p) for c, p, _ in columns))
         y = sets.select(F.col("node").alias("b"), *(F.col(c).alias(q) for c, _, q in columns))
-        # A hub is in many pairs on either side. Its row is met by broadcast, so that no task gets all of them.
-        share = max(256, 2 * pairs.count() // partitions(self.spark))
+        # A hub is in many pairs on either side. Its row is met by broadcast, so that no task gets all of them; rows that
+        # are too large together for that are dealt to all tasks, and the pairs to one of them each.
+        share = max(HUB_PAIRS, 2 * pairs.count() // partitions(self.spark))
         often = [r[0] for r in pairs.select(F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(k).alias("node")) for k in "ab"))).alias("e")).groupBy("e").count().where(F.col("count") > share).select("e.node").distinct().collect()]
         if not often:
             return pairs.join(x, "a").join(y, "b")
         hubs = self.spark.createDataFrame([(n,) for n in often], "node long")
         own = written(sets.join(F.broadcast(hubs), "node"))
-        hot = pairs
-        for key, side, names in (("a", x, [p for _, p, _ in columns]), ("b", y, [q for _, _, q in columns])):
+        sizes = [F.octet_length(c) if own.schema[c].dataType == BinaryType() else F.lit(8) for c, _, _ in columns]
+        size = own.agg(F.sum(sum(sizes, F.lit(8)))).first()[0] or 0
+        hot, n = pairs, partitions(self.spark)
+        for key, other, side, names in (("a", "b", x, [p for _, p, _ in columns]), ("b", "a", y, [q for _, _, q in columns])):
             near = own.select(F.col("node").alias(key), *(F.col(c).alias(n) for (c, _, _), n in zip(columns, names, strict=True)))
             keys = F.broadcast(hubs.select(F.col("node").alias(key)))
-            hot = hot.join(keys, key, "left_anti").join(side, key).unionByName(hot.join(F.broadcast(near), key))
+            if size <= HUB_BYTES:
+                met = hot.join(F.broadcast(near), key)
+            else:
+                dealt = hot.join(keys, key, "left_semi").withColumn("__part", F.pmod(F.xxhash64(other), F.lit(n)).cast("int"))
+                met = dealt.join(near.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), [key, "__part"]).drop("__part")
+            hot = hot.join(keys, key, "left_anti").join(side, key).unionByName(met)
         return hot
 
     def _linked(self, pairs: DataFrame) -> DataFrame:
@@ -447,8 +460,11 @@ class JaccardJoin:
         both = whole.unionByName(met).unionByName(mine).select(*CELL, "node", "size", "pos", "label", "mine")
         return both.repartition(partitions(self.spark), *CELL).sortWithinPartitions(*CELL, "size", "pos", "node")
 
-    def links(self) -> DataFrame:
-        """(a, b) of verified links between distinct sets; enough of them to connect every component."""
+    def labels(self) -> DataFrame:
+        """(node, label) of every set with a link: the smallest node that verified links reach.
+
+        Labels are kept up: a round adds the links that it finds to those that lead to the labels so far.
+        """
         n = partitions(self.spark)
         entries = (self.nodes.agg(F.sum("n")).first()[0] or 0) * (100 - self.percent) // 100
         buckets = max(4 * n, -(-entries // BUCKET))
@@ -459,9 +475,9 @@ class JaccardJoin:
         lists = written(lists.join(often, "node"))
         tried = written(index.where("pair").select("a", "b").distinct())
         discard(index)
-        links = self._linked(tried)
+        labels = written(components(self._linked(tried)))
         for star in (*[True] * STAR_ROUNDS, False):
-            rows, several = self._open(lists, components(links))
+            rows, several = self._open(lists, labels)
             if several.isEmpty():
                 break
             found = self._stars(rows, several) if star else self._cells(rows, several).mapInArrow(_across(self.percent), "a long, b long")
@@ -469,12 +485,13 @@ class JaccardJoin:
             discard(rows, several)
             if pairs.isEmpty():
                 continue
-            tried, links = tried.unionByName(pairs), written(links.unionByName(self._linked(pairs)))
-        return links
+            known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+            tried, labels = tried.unionByName(pairs), written(components(known.unionByName(self._linked(pairs))))
+        return labels
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id: one row per document."""
-        labels = components(self.links())
+        labels = self.labels()
         own = self.sets.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
         # Written, so that both sides of the join are plain shuffles, of which Spark can split a hot component.
         least = written(own.groupBy("comp").agg(F.min("doc_id").alias("least")))

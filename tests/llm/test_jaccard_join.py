@@ -64,6 +64,9 @@ def test_components(spark, seed, monkeypatch):
 @pytest.mark.parametrize("rounds", [0, 3])
 def test_a_large_group_of_near_copies(spark, rounds, monkeypatch):
     monkeypatch.setattr(module, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(module, "HUB_PAIRS", 8)
+    if rounds:  # hubs' rows are dealt out instead of broadcast
+        monkeypatch.setattr(module, "HUB_BYTES", 0)
     rng = random.Random(9)
     base = [f"w{k}" for k in range(60)]
     rows = []
