@@ -31,7 +31,7 @@ from corrobora.llm.common import discard, held_out, partitions, stable, text_or_
 from corrobora.llm.wordhash import blocks, mix, word_hashes
 
 U = np.uint64
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 #: Bytes of text to a bucket; what an owner holds at a time is some twenty times as much.
 BUCKET = 32 << 20
 CUT = 5
