@@ -209,10 +209,12 @@ class Writing:
         self.end: tuple[float, float] | None = None
 
     def add(self, text: str, at: Matrix, size: float, advance: float) -> None:
-        """Text that starts at a matrix's origin and runs ``advance`` along its first axis."""
+        """Text that starts at a matrix's origin and runs ``advance`` along its first axis; no text is no place either."""
+        if not text:
+            return
         length = hypot(at[0], at[1]) or 1.0
         em = abs(size) * length or 1.0
-        if self.end is not None and text:
+        if self.end is not None:
             x, y = at[4] - self.end[0], at[5] - self.end[1]
             along, across = (x * at[0] + y * at[1]) / length, (y * at[0] - x * at[1]) / length
             if along > GAP * em or along < -BACK * em or abs(across) > LINE * em:

@@ -31,6 +31,7 @@ def shown(*args, **kw):
         ("BT /F1 10 Tf (Hel) Tj 14.5 0 Td (lo) Tj ET", "Hello"),
         ("BT /F1 10 Tf (one) Tj 22 0 Td (two) Tj ET", "one two"),
         ("BT /F1 10 Tf (one) Tj 0 -12 Td (two) Tj ET", "one two"),
+        ("BT /F1 10 Tf (one) Tj 0 -12 Td () Tj [() 40 (two)] TJ ET", "one two"),
         ("BT /F1 10 Tf 12 TL (one) Tj T* (two) Tj (three) ' 1 2 (four) \" ET", "one two three four"),
         ("BT /F1 10 Tf [(ker) 30 (ning) -250 (gap) 80 (s)] TJ ET", "kerning gaps"),
         ("BT /F1 10 Tf 1 0 0 1 100 100 Tm (a) Tj 1 0 0 1 50 100 Tm (b) Tj ET", "a b"),
