@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrobora.tables import discard, fresh, scratch, written
 
-__all__ = ["BROADCAST_ROWS", "discard", "fresh", "held_out", "many_to_one", "partitions", "scratch", "stable", "table", "text_or_empty", "without", "written"]
+__all__ = ["BROADCAST_ROWS", "discard", "fresh", "held_out", "many_to_one", "partitions", "release", "released", "scratch", "stable", "table", "text_or_empty", "without", "written"]
 
 #: A table of row keys with at most this many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
@@ -30,6 +35,25 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def release() -> None:
+    """Gives back to the system what a task has freed: workers outlive their tasks, and other stages' tasks run beside them."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that ends with ``release``."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidy
+
+
 def without(docs: DataFrame, keys: DataFrame, *on: Column) -> DataFrame:
     """The rows of ``docs`` whose expressions ``on`` equal no row of ``keys``, column by column; null equals null."""
     names = fresh(docs.columns, *(f"__{i}" for i in range(len(on))))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.common import fresh, partitions, text_or_empty, without, written
+from corrobora.llm.common import fresh, partitions, released, text_or_empty, without, written
 
 #: Bytes of labels that a task's trie holds before it moves a subtree to disk.
 SPILL_BYTES = 96 << 20
@@ -284,10 +284,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = text_or_empty(text_col).cast("binary")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("sha"))
     # Written, as both the owners and the last join read it and the representatives must be the same for both.
-    local = written(source.mapInArrow(_collapse(keep == "largest"), "doc_id long, sha binary, rep long, first boolean, n long, text binary"))
+    local = written(source.mapInArrow(released(_collapse(keep == "largest")), "doc_id long, sha binary, rep long, first boolean, n long, text binary"))
     reps = local.where("first").select("doc_id", "rep", "n", "text")
     n = partitions(docs.sparkSession)
-    owned = reps.repartition(n, F.octet_length("text"), F.xxhash64("text")).mapInArrow(_own(keep == "largest"), "rep long, keep_id long, keep_rep long, group_size long")
+    owned = reps.repartition(n, F.octet_length("text"), F.xxhash64("text")).mapInArrow(released(_own(keep == "largest")), "rep long, keep_id long, keep_rep long, group_size long")
     return local.drop("text", "n").join(owned, "rep").select(
         "doc_id",
         "keep_id",

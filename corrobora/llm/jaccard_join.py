@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from corrobora.llm.common import BROADCAST_ROWS, discard, many_to_one, partitions, text_or_empty, without, written
+from corrobora.llm.common import BROADCAST_ROWS, discard, many_to_one, partitions, released, text_or_empty, without, written
 from corrobora.llm.components import components
 from corrobora.llm.wordhash import blocks, shingle_sets
 
@@ -365,7 +365,7 @@ class JaccardJoin:
         self.spark, self.words, self.percent = docs.sparkSession, words, percent
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
         for self.seed in range(8):
-            both = written(self.docs.mapInArrow(_signatures(words, self.seed), "doc_id long, node long, check long, n long, sketch binary, gram boolean"))
+            both = written(self.docs.mapInArrow(released(_signatures(words, self.seed)), "doc_id long, node long, check long, n long, sketch binary, gram boolean"))
             sets = both.where("not gram")
             nodes = written(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), (F.min("check") != F.max("check")).alias("clash")))
             if nodes.where("clash").isEmpty():
@@ -385,7 +385,7 @@ class JaccardJoin:
         need = written(self.nodes.select("node", "doc_id").join(nodes, "node").select("doc_id"))
         few = need.count() <= BROADCAST_ROWS
         texts = self.docs.join(F.broadcast(need) if few else need, "doc_id", "left_semi")
-        blobs = texts.mapInArrow(_set_blobs(self.words, self.seed), "node long, grams binary")
+        blobs = texts.mapInArrow(released(_set_blobs(self.words, self.seed)), "node long, grams binary")
         return written(blobs.dropDuplicates(["node"]))
 
     def _with_both(self, pairs: DataFrame, sets: DataFrame, *columns: tuple[str, str, str]) -> DataFrame:
@@ -417,9 +417,9 @@ class JaccardJoin:
     def _linked(self, pairs: DataFrame) -> DataFrame:
         """The links among stored pairs."""
         sized = self._with_both(pairs, self.nodes, ("n", "m", "n"), ("sketch", "x", "y"))
-        left = written(sized.select("a", "b", "m", "n", "x", "y").mapInArrow(_may_link(self.percent), "a long, b long"))
+        left = written(sized.select("a", "b", "m", "n", "x", "y").mapInArrow(released(_may_link(self.percent)), "a long, b long"))
         sets = self._sets_of(left)
-        found = written(self._with_both(left, sets, ("grams", "x", "y")).select("a", "b", "x", "y").mapInArrow(_verify(self.percent), "a long, b long"))
+        found = written(self._with_both(left, sets, ("grams", "x", "y")).select("a", "b", "x", "y").mapInArrow(released(_verify(self.percent)), "a long, b long"))
         discard(left, sets)
         return found
 
@@ -468,8 +468,8 @@ class JaccardJoin:
         n = partitions(self.spark)
         entries = (self.nodes.agg(F.sum("n")).first()[0] or 0) * (100 - self.percent) // 100
         buckets = max(4 * n, -(-entries // BUCKET))
-        prefixes = self.docs.where("doc_id is not null").mapInArrow(_prefixes(self.words, self.percent, self.seed, *self._heavy, buckets), "bucket long, tok binary, doc binary, pos binary, nodes binary, sizes binary")
-        index = written(prefixes.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_index(self.percent), "pair boolean, a long, b long, size int, pos int"))
+        prefixes = self.docs.where("doc_id is not null").mapInArrow(released(_prefixes(self.words, self.percent, self.seed, *self._heavy, buckets)), "bucket long, tok binary, doc binary, pos binary, nodes binary, sizes binary")
+        index = written(prefixes.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(released(_index(self.percent)), "pair boolean, a long, b long, size int, pos int"))
         lists = index.where("not pair").select(F.col("a").alias("list"), F.col("b").alias("node"), "size", "pos")
         often = lists.groupBy("node").agg((F.count("*") / F.max("size")).alias("like"))
         lists = written(lists.join(often, "node"))
@@ -480,7 +480,7 @@ class JaccardJoin:
             rows, several = self._open(lists, labels)
             if several.isEmpty():
                 break
-            found = self._stars(rows, several) if star else self._cells(rows, several).mapInArrow(_across(self.percent), "a long, b long")
+            found = self._stars(rows, several) if star else self._cells(rows, several).mapInArrow(released(_across(self.percent)), "a long, b long")
             pairs = written(found.distinct().join(tried, ["a", "b"], "left_anti"))
             discard(rows, several)
             if pairs.isEmpty():

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.common import held_out, text_or_empty
+from corrobora.llm.common import held_out, release, released, text_or_empty
 from corrobora.llm.wordhash import blocks
 
 CHUNK, WIDTH, STEP = 1024, 16, 4
@@ -186,7 +186,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
                 yield pa.record_batch([part.column(0), pa.array(model.value.scores(part.column(1).to_pylist()))], names=["doc_id", "score"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-    scored = source.mapInArrow(run, "doc_id long, score double")
+    scored = source.mapInArrow(released(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -199,8 +199,10 @@ def keep_good(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: s
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("double")
-    def rate(texts: pd.Series) -> pd.Series:
-        held = [t.encode() for t in texts]
-        return pd.Series(np.concatenate([np.empty(0), *(model.value.scores(held[a:b]) for a, b in blocks(np.array([len(t) for t in held]), BLOCK))]))
+    def rate(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            sizes = texts.str.len().to_numpy()
+            yield pd.Series(np.concatenate([np.empty(0), *(model.value.scores([t.encode() for t in texts.iloc[a:b]]) for a, b in blocks(sizes, BLOCK))]))
+        release()
 
     return docs.where(rate(text_or_empty(text_col)) >= threshold)
