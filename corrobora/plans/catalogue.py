@@ -847,3 +847,12 @@ def e2e_verdicts(spark, sf):
     judged = verify.downgrade(claim, verify.verify_quotes(claims, hits, "item_id", bounded=True), "item_id")
     retrieved = best.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]), ",").alias("retrieved"))
     return judged.join(retrieved, "item_id", "left").select("item_id", "coverage", "verifier_action", F.try_element_at("evidence", F.lit(1))["chunk_id"].alias("chunk"), "retrieved")
+
+
+@query()
+def j1_pruned_work(spark, sf):
+    """Of each item, how many chunks there are and how many of their scores the pruned top-k made."""
+    made = chunks.chunk(D.text_segments(I.documents(spark, sf))).withColumn("chunk_id", F.concat_ws("#", "doc_id", "ord"))
+    index = written(pruned.build(vectors.embed(made, "text").select("chunk_id", "vector"), "chunk_id"))
+    asked = vectors.embed(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"), "text").select("qid", "vector")
+    return pruned.work(index, asked, 6, row_id="chunk_id")
