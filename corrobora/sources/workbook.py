@@ -18,6 +18,11 @@ RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships
 #: The framework's categories, and how many outcomes they have.
 CATEGORIES = "GV.OC GV.RM GV.RR GV.PO GV.OV GV.SC ID.AM ID.RA ID.IM PR.AA PR.AT PR.DS PR.PS PR.IR DE.CM DE.AE RS.MA RS.AN RS.CO RS.MI RC.RP RC.CO".split()
 OUTCOMES = 106
+#: How a catalogue sheet's cells begin a function, begin a category, and hold an outcome.
+FUNCTION = r"^([A-Z][A-Za-z]+) \(([A-Z]{2})\):"
+CATEGORY = r"^(.+?) \(([A-Z]{2}\.[A-Z]{2})\):"
+OUTCOME = r"(?s)^([A-Z]{2}\.[A-Z]{2}-\d{2}):\s*(.+)$"
+WITHDRAWN = r"(?i)^\[withdrawn"
 
 CELLS = "path string, sheet int, row int, col string, value string"
 _CELLS = pa.schema([("path", pa.string()), ("sheet", pa.int32()), ("row", pa.int32()), ("col", pa.string()), ("value", pa.string())])
@@ -106,11 +111,10 @@ def catalogue(found: DataFrame, categories: list[str] | None = None) -> DataFram
     cell = lambda c: F.max(F.when(F.col("col") == c, F.col("value"))).alias(c)
     rows = found.groupBy("path", "row").agg(cell("A"), cell("B"), cell("C"))
     part = lambda c, pattern, k: F.when(F.col(c).rlike(pattern), F.regexp_extract(c, pattern, k))
-    function, category, outcome = r"^([A-Z][A-Za-z]+) \(([A-Z]{2})\):", r"^(.+?) \(([A-Z]{2}\.[A-Z]{2})\):", r"(?s)^([A-Z]{2}\.[A-Z]{2}-\d{2}):\s*(.+)$"
     before = Window.partitionBy("path").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c: F.last(c, ignorenulls=True).over(before)
-    named = rows.select("path", "row", last(part("A", function, 1)).alias("function"), last(part("A", function, 2)).alias("function_id"), last(part("B", category, 1)).alias("category_name"), last(part("B", category, 2)).alias("category_id"), part("C", outcome, 1).alias("id"), F.regexp_replace(part("C", outcome, 2), r"^\s+|\s+$", "").alias("outcome"))
-    kept = named.where(F.col("id").isNotNull() & F.col("category_id").isin(CATEGORIES if categories is None else categories) & ~F.col("outcome").rlike(r"(?i)^\[withdrawn"))
+    named = rows.select("path", "row", last(part("A", FUNCTION, 1)).alias("function"), last(part("A", FUNCTION, 2)).alias("function_id"), last(part("B", CATEGORY, 1)).alias("category_name"), last(part("B", CATEGORY, 2)).alias("category_id"), part("C", OUTCOME, 1).alias("id"), F.regexp_replace(part("C", OUTCOME, 2), r"^\s+|\s+$", "").alias("outcome"))
+    kept = named.where(F.col("id").isNotNull() & F.col("category_id").isin(CATEGORIES if categories is None else categories) & ~F.col("outcome").rlike(WITHDRAWN))
     return kept.select("path", "row", "id", "function_id", "function", "category_id", F.concat("category_name", F.lit(" ("), "category_id", F.lit(")")).alias("category"), "outcome")
 
 
