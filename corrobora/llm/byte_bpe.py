@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corrobora.llm import ragged
-from corrobora.llm.common import partitions, stable, text_or_empty
+from corrobora.llm.common import partitions, released, stable, text_or_empty
 from corrobora.llm.wordhash import blocks
 
 #: Bytes of text in a block; a longer document is a block of its own.
@@ -199,8 +199,8 @@ def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: st
     source = docs.select(F.col("id").cast("long").alias("doc_id"), text_or_empty("text").cast("binary").alias("text"))
     n = partitions(docs.sparkSession)
     # A bucket is a partition: hashing its number once more would leave some without any and give others several.
-    words = source.mapInArrow(_explode(pattern, n, True), ROW).repartitionById(n, "bucket").mapInArrow(_encode(path, pattern), ROW)
-    positions = source.mapInArrow(_explode(pattern, n, False), ROW)
+    words = source.mapInArrow(released(_explode(pattern, n, True)), ROW).repartitionById(n, "bucket").mapInArrow(released(_encode(path, pattern)), ROW)
+    positions = source.mapInArrow(released(_explode(pattern, n, False)), ROW)
     return positions.unionByName(words).groupBy("block").applyInArrow(_reassemble(finish, schema), ddl)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.common import discard, text_or_empty, without, written
+from corrobora.llm.common import discard, released, text_or_empty, without, written
 from corrobora.llm.wordhash import mix
 
 U = np.uint64
@@ -239,7 +239,7 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     for k in range(passes):
         block = wanted.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
         index = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in block], q, edit_percent))
-        found = out.mapInArrow(_search(index), f"doc_id long, text string, found {kind}")
+        found = out.mapInArrow(released(_search(index)), f"doc_id long, text string, found {kind}")
         if passes == 1:
             out = found
             break
