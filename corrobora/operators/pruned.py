@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corrobora.operators.vectors import QUERY_BLOCK, _matrix, _unit_rows
+from corrobora.operators.vectors import CELLS, QUERY_BLOCK, _matrix, _unit_rows
 
 #: Rows of a segment and of a leaf, and bytes that a segment's values may take as plain rows.
 SEGMENT, LEAF, BYTES = 4096, 8, 16 << 20
@@ -26,6 +26,9 @@ SEGMENT, LEAF, BYTES = 4096, 8, 16 << 20
 FIRST = 8
 #: Bounds and scores are sums in some order; what is this close counts as not below.
 SLACK = 1e-9
+#: A query that may have its best rows in this share of a segment's leaves is scored with all of them, with others of its
+#: kind, CELLS scores at a time.
+MOST = 0.9
 
 
 def neighbours(v: np.ndarray, leaf: int = LEAF) -> np.ndarray:
@@ -116,6 +119,23 @@ class Segment:
         up = q > 0
         return q[up] @ self.high[dims[up]] + q[~up] @ self.low[dims[~up]]
 
+    def possible(self, q: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """For each query, the share of leaves that can hold a row that is not below ``least``."""
+        bound = np.maximum(q, 0) @ self.high + np.minimum(q, 0) @ self.low
+        return (bound >= least[:, None] - SLACK).mean(1)
+
+    def all_best(self, q: np.ndarray, k: int, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """As ``best`` of each query, all rows scored together."""
+        s = q @ self.values[:, : self.n]
+        out = []
+        for own, low in zip(s, least, strict=True):
+            rows = np.flatnonzero(own >= low - SLACK)
+            scores = np.round(own[rows], 9)
+            keep = np.lexsort((self.place[rows], -scores))[:k]
+            keep = keep[scores[keep] >= low]
+            out.append((rows[keep], scores[keep], self.n))
+        return out
+
     def best(self, dims: np.ndarray, q: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows and scores of the ``k`` best that are not below ``least``, ties by place, and how many rows were scored."""
         bound = self.bounds(dims, q)
@@ -152,10 +172,11 @@ def _scan(index: DataFrame, queries: DataFrame, k: int, row_id: str, query_id: s
         if not block:
             continue
         unit = _unit_rows(np.array([r[1] for r in block], np.float32)).astype(float)
-        held = spark.sparkContext.broadcast(([r[0] for r in block], [(np.flatnonzero(q), q[np.flatnonzero(q)]) for q in unit], unit.shape[1]))
+        held = spark.sparkContext.broadcast(([r[0] for r in block], unit))
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            qids, asked_for, width = held.value
+            qids, unit = held.value
+            asked_for, width = [(np.flatnonzero(q), q[np.flatnonzero(q)]) for q in unit], unit.shape[1]
             top = np.full((len(qids), k), -np.inf)
             scored, pairs = np.zeros(len(qids), np.int64), 0
             for batch in batches:
@@ -166,8 +187,14 @@ def _scan(index: DataFrame, queries: DataFrame, k: int, row_id: str, query_id: s
                         raise ValueError(f"rows have {len(segment.values)} dimensions and queries {width}: another embedder made them")
                     pairs += segment.n
                     at, rows, scores = [], [], []
+                    together = {}
+                    step = max(1, CELLS // max(1, segment.n))
+                    for a in range(0, len(unit), step):
+                        least = top[a : a + step, -1]
+                        js = np.flatnonzero(np.isfinite(least) & (segment.possible(unit[a : a + step], least) >= MOST))
+                        together[a] = dict(zip(js.tolist(), segment.all_best(unit[a + js], k, least[js]), strict=True))
                     for j, (dims, q) in enumerate(asked_for):
-                        own, s, seen = segment.best(dims, q, k, top[j, -1])
+                        own, s, seen = together[j - j % step].get(j % step) or segment.best(dims, q, k, top[j, -1])
                         scored[j] += seen
                         if len(own):
                             top[j] = np.sort(np.r_[top[j], s])[::-1][:k]
