@@ -52,8 +52,10 @@ def with_norm(df: DataFrame, source: str, out: str) -> DataFrame:
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            for a in range(0, batch.num_rows, 128):
+                part = batch.slice(a, 128)
+                texts = [t if t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t) for t in part.column(at).to_pylist()]
+                yield part.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     return held.mapInArrow(compose, held.schema).withColumn(out, norm_of_composed(out))
 
