@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ SHORTEST = RUN + WINDOW - 1
 #: Characters that are hashed at a time.
 PIECE = 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: A filter of seeds has two to this many bits, made in two to the other many parts.
+BITS, PARTS = 28, 6
 
 
 def seeds(text: str) -> np.ndarray:
@@ -43,20 +46,54 @@ def seeds(text: str) -> np.ndarray:
     return np.unique(np.concatenate(kept))
 
 
-def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bit(seeds: np.ndarray) -> np.ndarray:
+    """Each seed's bit of the filter; seeds themselves are no even hashes, as they are the least of several."""
+    return (seeds.view(np.uint64) * FACTOR >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _part(key: tuple, group: pa.Table) -> pa.Table:
+    bits = np.zeros(1 << BITS - PARTS, np.uint8)
+    bits[_bit(np.ascontiguousarray(group.column("seed").to_numpy())) & len(bits) - 1] = 1
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(bits).tobytes()])], names=["part", "bits"])
+
+
+def filter_of(wanted: DataFrame) -> Broadcast:
+    """The bits of seeds (seed long) for tasks to look up: of fixed size, whatever their number."""
+    @F.arrow_udf("int")
+    def part_of(seeds: pa.Array) -> pa.Array:
+        return pa.array((_bit(np.ascontiguousarray(seeds.to_numpy(zero_copy_only=False))) >> BITS - PARTS).astype(np.int32))
+
+    made = wanted.select("seed").withColumn("part", part_of("seed")).groupBy("part").applyInArrow(_part, "part int, bits binary").collect()
+    each = (1 << BITS - PARTS) // 8
+    whole = np.zeros(1 << BITS - 3, np.uint8)
+    for r in made:
+        whole[r.part * each : (r.part + 1) * each] = np.frombuffer(r.bits, np.uint8)
+    return wanted.sparkSession.sparkContext.broadcast(whole)
+
+
+def _passed(found: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
+    """The seeds that may be among the wanted ones."""
+    if bits is None:
+        return found
+    at = _bit(found)
+    return found[(bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)]
+
+
+def _seeded(batches: Iterator[pa.RecordBatch], held: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
     """(id, text) -> (id, seeds)."""
+    bits = None if held is None else held.value
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             ids, texts = batch.column(0).slice(a, 256), batch.column(1).slice(a, 256)
-            found = [seeds(t or "") for t in texts.to_pylist()]
+            found = [_passed(seeds(t or ""), bits) for t in texts.to_pylist()]
             at = np.cumsum([0, *(len(s) for s in found)])
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)))
             yield pa.record_batch([ids, lists], names=["id", "seeds"])
 
 
-def with_seeds(rows: DataFrame) -> DataFrame:
-    """(id, seed) of (id, text) rows."""
-    return rows.select(F.col("id").cast("long"), "text").mapInArrow(_seeded, "id long, seeds array<long>").select("id", F.explode("seeds").alias("seed"))
+def with_seeds(rows: DataFrame, held: Broadcast | None = None) -> DataFrame:
+    """(id, seed) of (id, text) rows, without most of those that a filter does not have."""
+    return rows.select(F.col("id").cast("long"), "text").mapInArrow(lambda batches: _seeded(batches, held), "id long, seeds array<long>").select("id", F.explode("seeds").alias("seed"))
 
 
 def containing(quotes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -70,9 +107,11 @@ def containing(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     asked = written(with_seeds(quotes.select("id", "text")).join(quotes.select("id", "group"), "id").select(F.col("id").alias("quote"), "group", "seed"))
     wanted = written(asked.select("group", "seed").distinct())
     # What no quote has is of no use; the rest is stored once, as it is counted and then met.
-    own = with_seeds(texts.select("id", "text"))
+    # Many wanted seeds are met in a shuffle, to which only what passes their filter goes.
+    few = wanted.count() <= BROADCAST_ROWS
+    own = with_seeds(texts.select("id", "text"), None if few else filter_of(wanted))
     seeds_only = wanted.select("seed").distinct()
-    own = own.join(F.broadcast(seeds_only) if wanted.count() <= BROADCAST_ROWS else seeds_only, "seed", "left_semi")
+    own = own.join(F.broadcast(seeds_only) if few else seeds_only, "seed", "left_semi")
     met = written(own.select(F.col("id").alias("text"), "seed").join(texts.select(F.col("id").alias("text"), "group"), "text").join(wanted, ["group", "seed"], "left_semi"))
     counts = met.groupBy("group", "seed").agg(F.count("*").alias("n"))
     # A seed that no text of the group has rules its quote out.
