@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,11 +12,6 @@ from corrobora.functions import hashing as H
 from corrobora.functions import text as T
 from corrobora.operators import long_chunks, merkle
 
-LOOKBACK = 120
-_SPACE = T.SPACE.replace("\\x0B", "\x0b")
-SENTENCE_CUT = re.compile(rf"(?s)^(.*[.!?]){_SPACE}")
-SPACE_CUT = re.compile(rf"(?s)^(.*{_SPACE})")
-
 
 def spans(text: str, size: int = 1200, overlap: int = 200) -> list[tuple[int, int]]:
     """Start and end of each chunk of normalised text.
@@ -32,11 +26,7 @@ def spans(text: str, size: int = 1200, overlap: int = 200) -> list[tuple[int, in
         return [(0, n)]
     out, start = [], 0
     while start < n:
-        end = min(start + size, n)
-        if end < n:
-            low = max(start + 1, end - LOOKBACK)
-            cut = SENTENCE_CUT.match(text[low : end + 1]) or SPACE_CUT.match(text[low:end])
-            end = low + len(cut[1]) if cut else end
+        end = long_chunks.end_of(text, start, size, n)
         out.append((start, end))
         if end >= n:
             break

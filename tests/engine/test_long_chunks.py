@@ -1,6 +1,7 @@
 """Chunks of long segments by blocks against the sequential ones."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -69,3 +70,69 @@ def test_one_very_long_segment(spark, tmp_path):
     got = long_chunks.chunk_long(segments, 1200, 200).select("char_start", "char_end").toPandas().sort_values("char_start")
     want = chunks.spans(text)
     assert len(want) > 30_000 and list(zip(got.char_start.tolist(), got.char_end.tolist(), strict=True)) == want
+
+
+def test_ways_and_tables_agree():
+    rng = random.Random(9)
+    for size, overlap in ((100, 0), (100, 99), (150, 20), (400, 90)):
+        text = drawn(rng, 50 * size)
+        for block, a in enumerate(range(0, len(text), 16 * size)):
+            piece = text[a : a + 17 * size + 1]
+            walked, tabled = (long_chunks.walks(piece, block, 16 * size, len(text), size, overlap, most) for most in (1 << 30, 0))
+            for one, other in zip(walked, tabled, strict=True):
+                assert one.tolist() == other.tolist()
+
+
+def joined_rows(rng):
+    """Sources of texts that meet in line feeds of all numbers, one without identifiers in part, some blank."""
+    ends = ["", "", "\n", "\n\n", "\n\n\n\n", " \n", "\n \t", "﻿"]
+    rows = [("a", k, rng.choice(ends) + drawn(rng, rng.choice([0, 0, 3, 40, 700, 4000])) + rng.choice(ends)) for k in range(120)]
+    rows += [(None, k, rng.choice(ends) + "x. y") for k in range(500, 530)] + [("blank", k, rng.choice(["\n", " ", None, ""])) for k in range(600, 620)]
+    rows += [("b", 700, "﻿one"), ("b", None, "\nlast\n\n\n"), ("none", None, "\n\n\nonly\n"), ("feeds first", 800, None), ("feeds first", 801, "\n\n"), ("feeds first", 802, "\nx" * 90), ("feeds first", 803, "\n"), ("feeds first", 804, None)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("size", "overlap", "fan"), [(100, 30, 2), (100, 30, 1024), (120, 119, 3)])
+def test_joined_texts(spark, monkeypatch, size, overlap, fan):
+    """Against the joined text as one string, whatever partitions, blocks and levels of tables it is dealt over."""
+    monkeypatch.setattr(long_chunks, "FAN", fan)
+    rows = joined_rows(random.Random(size + fan))
+    want = []
+    for source in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == source), key=lambda r: (r[1] is None, r[1]))
+        text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t\f\x0b]+", " ", "\n".join(r[2] or "" for r in own)))
+        if re.search(long_chunks._SOLID, text):
+            want += [(own[0][1], k, a, z, text[a:z]) for k, (a, z) in enumerate(chunks.spans(text, size, overlap))]
+    got = long_chunks.chunk_joined(spark.createDataFrame(rows, "source string, doc_id long, text string").repartition(3), size, overlap, 1600)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_no_value_is_a_source_and_sql_agrees(spark, monkeypatch, tmp_path):
+    """Three million characters of a source are nowhere in one value; the result is the SQL's, with its order of nulls."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from corrobora.plans import catalogue
+
+    rng = random.Random(11)
+    texts = [drawn(rng, 30_000) + "\n" * (k % 4) for k in range(100)]
+    ids = [*range(99), None]
+    pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": ["﻿" + texts[0], *texts[1:]], "lang": ["en"] * 100, "source": ["one"] * 100}), tmp_path / "documents.parquet")
+    stored, real = [], long_chunks.written
+
+    def spied(df):
+        stored.append(real(df))
+        if "text" in df.columns:
+            longest = stored[-1].selectExpr("max(length(text))").first()[0]
+            assert longest < 1_200_000
+        return stored[-1]
+
+    monkeypatch.setattr(long_chunks, "written", spied)
+    got = catalogue.QUERIES["x1_long_chunks"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    found = con.execute(catalogue.ORACLES["x1_long_chunks"])
+    columns = [d[0] for d in found.description]
+    assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, found.fetchall()))
