@@ -42,13 +42,24 @@ END = U(0)
 UNKNOWN, START, FIRST_ID = 0, 1, 2
 
 
+#: Kept, as making one for each blob takes longer than most blobs do.
+PACKER, UNPACKER = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+
+
 def pack(array: np.ndarray) -> bytes:
-    """Unsigned 64-bit integers, each byte apart, compressed; high zero bytes take no room."""
-    return zstandard.compress(np.ascontiguousarray(array.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    """Integers that are not negative, each byte apart, compressed; the number of bytes that the largest one needs
+    comes first, and no other bytes follow."""
+    array = np.ascontiguousarray(array, "<i8")
+    width = -(-int(array.max(initial=1)).bit_length() // 8)
+    return bytes([width]) + PACKER.compress(np.ascontiguousarray(array.view(np.uint8).reshape(-1, 8)[:, :width].T))
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).astype(np.int64)
+    planes = np.frombuffer(UNPACKER.decompress(memoryview(blob)[1:]), np.uint8).reshape(blob[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    for k, plane in enumerate(planes):
+        out[:, k] = plane
+    return out.view("<i8").reshape(-1)
 
 
 @dataclass
@@ -142,8 +153,8 @@ def _by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
         yield int(k), slice(edges[k], edges[k + 1])
 
 
-def _ask_words(buckets: int, words_only: bool):
-    """Blocks of documents to their distinct words by bucket, or to one row of positions (bucket -1).
+def _ask_words(buckets: int):
+    """Blocks of documents to their distinct words by bucket, and to one row of positions (bucket -1).
 
     Within a bucket words stand by falling frequency in the block; the code of the i-th word of bucket b is
     i * buckets + b, so small codes are frequent ones and both kinds of rows agree without a list of words.
@@ -156,19 +167,21 @@ def _ask_words(buckets: int, words_only: bool):
             mark.update(f"{doc_id},{len(text)}:".encode())
             mark.update(text)
         h, at = word_hashes(texts)
-        tokens = np.insert(h, at[1:], END)
         n = np.diff(at) + 1
-        words, code, count = np.unique(tokens, return_inverse=True, return_counts=True)
-        bucket = (words % U(buckets)).astype(np.int64)
-        order = np.lexsort((words, -count, bucket))
-        if words_only:
-            train = np.repeat(~part.column(1).to_numpy(zero_copy_only=False), n)
-            trained = np.bincount(code[train], minlength=len(words))
-            return [row(mark.digest(), 1, k, words[order[x]].tobytes(), pack(trained[order[x]])) for k, x in _by_bucket(bucket[order], buckets)]
-        place = np.empty(len(words), np.int64)
-        for k, x in _by_bucket(bucket[order], buckets):
+        found = pa.array(np.insert(h, at[1:], END)).dictionary_encode()
+        words, code = found.dictionary.to_numpy(), found.indices.to_numpy()
+        train = np.repeat(~part.column(1).to_numpy(zero_copy_only=False), n)
+        trained = np.bincount(code[train], minlength=len(words))
+        count = np.bincount(code, minlength=len(words))
+        order = np.argsort(words)
+        bucket = (words[order] % U(buckets)).astype(np.int64)
+        order = order[ragged.ordered(bucket, len(code) - count[order])]
+        bucket = (words[order] % U(buckets)).astype(np.int64)
+        place, out = np.empty(len(words), np.int64), []
+        for k, x in _by_bucket(bucket, buckets):
             place[order[x]] = np.arange(x.stop - x.start) * buckets + k
-        return [row(mark.digest(), 1, -1, _docs_blob(part.column(0), part.column(1), n), pack(place[code]))]
+            out.append(row(mark.digest(), 1, k, words[order[x]].tobytes(), pack(trained[order[x]])))
+        return [*out, row(mark.digest(), 1, -1, _docs_blob(part.column(0), part.column(1), n), pack(place[code]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +203,8 @@ def _answer_words(buckets: int):
     def run(asked: pa.Table) -> pa.Table:
         block, _, bucket, words, trained, *_ = columns(asked)
         words, trained = [np.frombuffer(w, U) for w in words], [unpack(t) for t in trained]
-        known, code = np.unique(np.concatenate(words), return_inverse=True)
+        found = pa.array(np.concatenate(words)).dictionary_encode()
+        known, code = found.dictionary.to_numpy(), found.indices.to_numpy()
         total = np.bincount(code, np.concatenate(trained), len(known)).astype(np.int64)
         order = np.lexsort((known, -total))
         ids = np.empty(len(known), np.int64)
@@ -204,27 +218,29 @@ def _answer_words(buckets: int):
     return run
 
 
-CHANGED = "the documents changed between two reads; write them as a table first"
+LACKING = "a block lacks its positions or an answer"
 
 
 def _number(buckets: int):
-    """A block's positions and answers together: its tokens as identifiers, and the counts of its words."""
+    """A block's positions and answers together: its tokens by number, and its words' identifiers and counts."""
 
     def run(given: pa.Table) -> pa.Table:
         block, _, bucket, a, b, *_ = columns(given)
         answers = {k: (unpack(x), unpack(y)) for k, x, y in zip(bucket, a, b, strict=True) if k >= 0}
         own = [i for i, k in enumerate(bucket) if k < 0]
         if not own:
-            raise ValueError(CHANGED)
+            raise ValueError(LACKING)
         code = unpack(b[own[0]])
         width = int(code.max()) + buckets + 1
         ids, counts = np.full(width, -1, np.int64), np.zeros(width, np.int64)
         for k, (x, y) in answers.items():
             ids[k : k + len(x) * buckets : buckets], counts[k : k + len(y) * buckets : buckets] = x, y
-        if (ids[code] < 0).any():
-            raise ValueError(CHANGED)
-        vocabulary, first = np.unique(ids[ids >= 0], return_index=True)
-        counts = counts[ids >= 0][first]
+        answered = ids >= 0
+        if not answered[code].all():
+            raise ValueError(LACKING)
+        vocabulary, first, number = ragged.numbered(ids[answered])
+        counts = counts[answered][first]
+        ids[answered] = number
         found = row(block[0], 1, -1, a[own[0]], pack(ids[code]), pack(vocabulary), pack(np.where(vocabulary == UNKNOWN, 0, counts)))
         return table_of([found] * len(own))  # a block that occurs twice as a whole stays twice
 
@@ -245,7 +261,7 @@ class Grams:
         self.n = self.docs.column("n").to_numpy()
         self.at = ragged.offsets(self.n)
         vocabulary = unpack(vocabulary)
-        self.w = self.item = np.searchsorted(vocabulary, unpack(tokens))
+        self.w = self.item = unpack(tokens)
         self.word_ids = self.ids = np.r_[vocabulary, UNKNOWN]
         self.r = np.r_[unpack(counts), 0]
         #: Of each token, the count of its n-gram's context; of single words, all tokens.
@@ -258,76 +274,80 @@ class Grams:
         """The next order's contexts and the n-grams to be asked for, by bucket and then by context and word."""
         self.level += 1
         last = len(self.r) - 1
-        self.lower, lower_context = self.seen(), self.context
-        # Contexts by identifier, so that these rise; the start of a text comes after them.
-        order = np.argsort(self.ids[:last], kind="stable")
+        self.lower, self.lower_context = self.seen(), self.context
+        # Contexts by identifier, so that these rise; the start of a text has the lowest.
+        order = ragged.rising(self.ids[:last])[1]
         rank = np.empty(last + 1, np.int64)
-        rank[order], rank[last] = np.arange(last), last + 1
+        rank[order], rank[last] = np.arange(1, last + 1), last + 1
         h = np.empty(len(self.w), np.int64)
         h[1:] = rank[self.item[:-1]]
-        h[self.at[:-1]] = last
+        h[self.at[:-1]] = 0
         self.h = h
-        self.context_ids = np.r_[self.ids[order], START, UNKNOWN]
-        self.context_counts = np.r_[self.r[order], self.words.texts, 0]
+        self.context_ids = np.r_[START, self.ids[order], UNKNOWN]
+        self.context_counts = np.r_[self.words.texts, self.r[order], 0]
+        del order, rank
         self.context = self.context_counts[h]
         self.askable = self.context > 0
         # What training cannot have, as it lacks the shorter n-gram, is asked for as the unknown word: for the context.
-        width = len(self.word_ids)
-        w = np.where(self.lower > 0, self.w, width - 1)
-        key, first, self.code = ragged.numbered(h[self.askable] * width + w[self.askable])
-        self.gram_h, self.gram_w = key // width, key % width
-        self.gram_lower = self.lower[self.askable][first]
-        self.gram_base = lower_context[self.askable][first]
+        unknown = len(self.word_ids) - 1
+        bits = unknown.bit_length()
+        key, first, self.code = ragged.numbered((h << bits | np.where(self.lower > 0, self.w, unknown))[self.askable])
+        gram_h = key >> bits
         self.hot = self.context_counts * 4 * self.buckets >= self.words.tokens
-        hid, wid = self.context_ids[self.gram_h].astype(U), self.word_ids[self.gram_w].astype(U)
-        self.bucket = (np.where(self.hot[self.gram_h], mix(hid * U(0x9E3779B97F4A7C15) + wid), mix(hid)) % U(self.buckets)).astype(np.int64)
+        hid, wid = self.context_ids[gram_h].astype(U), self.word_ids[key & ((1 << bits) - 1)].astype(U)
+        bucket = (np.where(self.hot[gram_h], mix(hid * U(0x9E3779B97F4A7C15) + wid), mix(hid)) % U(self.buckets)).astype(np.int64)
         small = np.uint16 if self.buckets <= 1 << 16 else np.int64
-        self.order = np.argsort(self.bucket.astype(small), kind="stable")
-
-    def slices(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Of each bucket: its n-grams, and where among them a context starts."""
-        for k, s in _by_bucket(self.bucket[self.order], self.buckets):
-            own = self.order[s]
-            h = self.gram_h[own]
-            yield k, own, np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        #: N-grams by bucket, and by context and word within it; where among them a bucket and a context start.
+        self.order = np.argsort(bucket.astype(small), kind="stable")
+        self.gram_h, self.gram_w, self.first = gram_h[self.order], wid[self.order].astype(np.int64), first[self.order]
+        bucket = bucket[self.order]
+        self.edges = np.searchsorted(bucket, np.arange(self.buckets + 1))
+        self.starts = np.flatnonzero(ragged.changes(bucket) | ragged.changes(self.gram_h))
+
+    def slices(self) -> Iterator[tuple[int, slice, slice]]:
+        """Of each bucket: its n-grams, and its contexts."""
+        contexts = np.searchsorted(self.starts, self.edges)
+        for k in np.flatnonzero(np.diff(self.edges)):
+            yield int(k), slice(self.edges[k], self.edges[k + 1]), slice(contexts[k], contexts[k + 1])
 
     def asked(self, block: bytes) -> list[tuple]:
         train = np.repeat(~self.docs.column("held").to_numpy(), self.n)[self.askable]
-        trained = np.bincount(self.code[train], minlength=len(self.gram_h))
-        out = []
-        for k, own, starts in self.slices():
-            h = self.gram_h[own[starts]]
-            # What the lower order says is needed once of what training has, and any block that trains on it has it.
-            r = trained[own]
-            base = np.where(np.maximum.reduceat(r, starts) > 0, self.gram_base[own[starts]], 0)
-            out.append(row(
-                block, self.level, k, pack(np.diff(self.context_ids[h] * 2 + self.hot[h], prepend=0)), pack(np.diff(np.r_[starts, len(own)])), pack(base),
-                pack(self.word_ids[self.gram_w[own]]), pack(r), pack(np.where(r > 0, self.gram_lower[own], 0)),
-            ))
-        return out
+        r = np.bincount(self.code[train], minlength=len(self.order))[self.order]
+        # What the lower order says is needed once of what training has, and any block that trains on it has it.
+        low = np.where(r > 0, self.lower[self.askable][self.first], 0)
+        base = np.where(np.maximum.reduceat(r, self.starts) > 0, self.lower_context[self.askable][self.first[self.starts]], 0) if len(r) else r
+        h = self.gram_h[self.starts]
+        h, sizes = self.context_ids[h] * 2 + self.hot[h], np.diff(self.starts, append=len(r))
+        return [
+            row(block, self.level, k, pack(ragged.steps(h[c])), pack(sizes[c]), pack(base[c]), pack(self.gram_w[own]), pack(r[own]), pack(low[own]))
+            for k, own, c in self.slices()
+        ]
 
     def take(self, answers: dict[int, tuple]) -> tuple[np.ndarray, ...]:
         """Takes the order's answers: counts and identifiers become the block's, and the contexts' sums are given
         back as (numbers of the contexts, types, mass)."""
-        k = len(self.gram_h)
-        r, ids = np.zeros(k + 1, np.int64), np.full(k + 1, UNKNOWN, np.int64)
-        contexts, types, mass = [np.empty(0, np.int64)], [np.empty((0, CUT + 1), np.int64)], [np.empty(0)]
-        for bucket, own, starts in self.slices():
+        k = len(self.order)
+        total, ids = np.zeros(k, np.int64), np.full(k, UNKNOWN, np.int64)
+        types, mass = [np.empty((0, CUT + 1), np.int64)], [np.empty(0)]
+        for bucket, own, _ in self.slices():
             if bucket not in answers:
-                raise ValueError(CHANGED)
-            total, found, kinds, masses = answers[bucket]
-            r[own] = total = unpack(total)
+                raise ValueError(LACKING)
+            counts, found, kinds, masses = answers[bucket]
+            total[own] = counts = unpack(counts)
             if found:
-                ids[own[total > 0]] = np.cumsum(unpack(found))
+                ids[own][counts > 0] = np.cumsum(unpack(found))
             if kinds:
-                h = self.gram_h[own[starts]]
-                contexts.append(h[_backs_off(total, starts) & ~self.hot[h]])
                 types.append(unpack(kinds).reshape(-1, CUT + 1))
                 mass.append(np.frombuffer(masses, float))
-        self.r, self.ids = r, ids
+        h = self.gram_h[self.starts]
+        contexts = h[_backs_off(total, self.starts) & ~self.hot[h]] if len(types) > 1 else h[:0]
+        self.r, self.ids = np.zeros(k + 1, np.int64), np.full(k + 1, UNKNOWN, np.int64)
+        self.r[self.order], self.ids[self.order] = total, ids
         self.item = np.full(len(self.w), k)
         self.item[self.askable] = self.code
-        return np.concatenate(contexts), np.concatenate(types), np.concatenate(mass)
+        # The next order has its own of these, and they would stand beside its.
+        del self.lower, self.lower_context, self.askable, self.code, self.order, self.gram_h, self.gram_w, self.first, self.edges, self.starts
+        return contexts, np.concatenate(types), np.concatenate(mass)
 
 
 def _backs_off(total: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -348,7 +368,7 @@ def _climb(given, words: Words, buckets: int) -> tuple[Grams, dict[int, dict[int
     block, level, bucket, *blobs, _ = columns(given)
     own = [i for i, k in enumerate(bucket) if k < 0]
     if not own:
-        raise ValueError(CHANGED)
+        raise ValueError(LACKING)
     return Grams(tuple(blobs[k][own[0]] for k in range(4)), words, buckets), _answers(level, bucket, blobs[:4]), [block[i] for i in own]
 
 
@@ -390,41 +410,40 @@ def _answer_grams(level: int, lower: Discount, buckets: int, last: bool):
 
     def run(asked: pa.Table) -> pa.Table:
         block, _, bucket, hs, sizes, bases, ws, trained, lowers, _ = columns(asked)
-        sizes = [unpack(x) for x in sizes]
-        each = [np.repeat(np.cumsum(unpack(x)), n) for x, n in zip(hs, sizes, strict=True)]
-        h, w, r, low = np.concatenate(each), *(np.concatenate([unpack(x) for x in blobs]) for blobs in (ws, trained, lowers))
-        base = np.concatenate([np.repeat(unpack(x), n) for x, n in zip(bases, sizes, strict=True)])
-        order = ragged.ordered(h, w)
-        new = np.ones(len(h), bool)
-        new[1:] = (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0)
-        code = np.empty(len(h), np.int64)
+        contexts, sizes = [np.cumsum(unpack(x)) for x in hs], np.concatenate([unpack(x) for x in sizes])
+        #: Of each row, where its contexts and its n-grams start.
+        at = ragged.offsets(np.array([len(x) for x in contexts]))
+        edges = ragged.offsets(sizes)
+        h, _, number = ragged.numbered(np.concatenate(contexts))
+        w, r, low, base = (np.concatenate([unpack(x) for x in blobs]) for blobs in (ws, trained, lowers, bases))
+        found, order = ragged.rising(ragged.paired(np.repeat(number, sizes), w))
+        new = ragged.changes(found)
+        code = np.empty(len(w), np.int64)
         code[order] = np.cumsum(new) - 1
-        first = order[new]
-        total = np.bincount(code, r, len(first)).astype(np.int64)
+        context = np.repeat(number, sizes)[order[new]]
+        total = np.bincount(code, r, len(context)).astype(np.int64)
         seen = total > 0
         ids = FIRST_ID + (np.cumsum(seen) - 1) * buckets + bucket[0]
-        starts = np.flatnonzero(np.r_[True, np.diff(h[first]) != 0])
-        context = np.cumsum(np.r_[False, np.diff(h[first]) != 0])
-        trains = r > 0
-        p = np.zeros(len(first))
-        p[code[trains]] = lower.kept(low[trains]) / base[trains]
-        types = np.stack([np.add.reduceat((total == k).astype(np.int64), starts) for k in range(1, CUT + 1)] + [np.add.reduceat((total > CUT).astype(np.int64), starts)], 1)
-        mass = np.add.reduceat(p, starts)
-        hot = h[first][starts] % 2 == 1
-        out, x = [], 0
-        for b, n in zip(block, sizes, strict=True):
-            y = x + int(n.sum())
-            own = code[x:y]
-            found = total[own]
-            edges = np.cumsum(n) - n
-            # Contexts from which the block backs off; the block tells them by the same rule.
-            at = context[own[edges]][_backs_off(found, edges)]
-            at = at[~hot[at]]
-            out.append(row(b, level, bucket[0], pack(found), None if last else pack(np.diff(ids[own][found > 0], prepend=0)), pack(types[at].reshape(-1)), mass[at].tobytes()))
-            x = y
+        # Rows that train on an n-gram say the same of it, as do those that train on a context.
+        trains, some = r > 0, base > 0
+        lows, under = np.zeros(len(context), np.int64), np.ones(len(h), np.int64)
+        lows[code[trains]], under[number[some]] = low[trains], base[some]
+        p = np.where(seen, lower.kept(lows) / under[context], 0.0)
+        types = np.bincount(context * (CUT + 2) + np.minimum(total, CUT + 1), minlength=len(h) * (CUT + 2)).reshape(-1, CUT + 2)[:, 1:]
+        mass = np.add.reduceat(p, np.flatnonzero(ragged.changes(context)))
+        hot = h % 2 == 1
+        counts, given = total[code], ids[code]
+        # Contexts from which a block backs off; the block tells them by the same rule.
+        backs_off = _backs_off(counts, edges[:-1]) & ~hot[number]
+        out = []
+        for b, i, j in zip(block, at[:-1], at[1:], strict=True):
+            own = counts[edges[i] : edges[j]]
+            told = None if last else pack(ragged.steps(given[edges[i] : edges[j]][own > 0]))
+            sums = number[i:j][backs_off[i:j]]
+            out.append(row(b, level, bucket[0], pack(own), told, pack(types[sums].reshape(-1)), mass[sums].tobytes()))
         out.append(row(None, level, bucket[0], sums=_counts(total)))
         if hot.any():
-            out.append(row(None, level, -2, pack(h[first][starts][hot] // 2), pack(types[hot].reshape(-1)), mass[hot].tobytes()))
+            out.append(row(None, level, -2, pack(h[hot] // 2), pack(types[hot].reshape(-1)), mass[hot].tobytes()))
         return table_of(out)
 
     return run
@@ -456,11 +475,12 @@ def _score(words: Words, discounts: list[Discount], buckets: int, hot: list[tupl
                 at = np.minimum(np.searchsorted(ids, grams.context_ids), len(ids) - 1)
                 known = grams.hot & (ids[at] == grams.context_ids)
                 left[known] = alphas[at[known]]
-            seen = grams.seen()
             # A context that training lacks hands on as it is.
-            log_c = np.log10(np.maximum(grams.context, 1))
+            log_c = np.log10(np.maximum(grams.context_counts, 1))
+            down = np.where(grams.context_counts > 0, left - log_c, 0.0)
             with np.errstate(divide="ignore"):
-                score = np.where(seen > 0, np.log10(discount.kept(seen)) - log_c, score + np.where(grams.context > 0, left[grams.h] - log_c, 0.0))
+                kept = np.log10(discount.kept(grams.r))
+            score = np.where(grams.seen() > 0, kept[grams.item] - log_c[grams.h], score + down[grams.h])
         if np.isnan(score).any():
             raise ValueError("a context's sums are missing")
         sums = [ragged.sums(v, grams.at) for v in ((count > 0).astype(np.int64), words.base(count), score)]
@@ -491,13 +511,12 @@ class Katz:
         source = source.select("doc_id", held_out(modulus, remainder).alias("held"), "text")
         size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.n = max(3 * partitions(docs.sparkSession), -(-size // BUCKET))
-        asked = source.mapInArrow(_ask_words(self.n, True), ROW)
+        asked = written(source.mapInArrow(_ask_words(self.n), ROW))
         #: Words by bucket, then blocks as numbers, then n-grams by bucket, order by order.
-        word_table = written(asked.groupBy("bucket").applyInArrow(_answer_words(self.n), ROW))
+        word_table = written(asked.where("bucket >= 0").groupBy("bucket").applyInArrow(_answer_words(self.n), ROW))
         self.words = Words.of(_sums(word_table, 3 + CUT + 1))
-        positions = source.mapInArrow(_ask_words(self.n, False), ROW)
-        self.blocks = written(positions.unionByName(word_table.where("block is not null")).groupBy("block").applyInArrow(_number(self.n), ROW))
-        discard(word_table)
+        self.blocks = written(asked.where("bucket < 0").unionByName(word_table.where("block is not null")).groupBy("block").applyInArrow(_number(self.n), ROW))
+        discard(asked, word_table)
         self.discounts, self.hot, self.tables = [], [], []
         lower = self.words.discount
         for level in range(2, order + 1):
@@ -541,6 +560,6 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     probabilities of the model of that ``order``, both rounded to six decimals. Without training rows every token
     is unknown with probability one. Repeated rows train and are scored as often as they occur; an empty table
     gives no rows; other columns are ignored. Words are told apart by 64-bit hashes; all else is by number. Input
-    that is no stored table is written first, as it is read twice.
+    that is no stored table is written first, as it is read twice, for its size and for its words.
     """
     return Katz(stable(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "id", "text", modulus, remainder, order).scores()

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from corrobora.llm import ragged
+from corrobora.llm import katz, ragged
 from corrobora.llm.katz import CUT, HIGH, Katz, katz_scores
 
 
@@ -134,6 +134,34 @@ def test_numbering_and_ordering():
         assert [(x[i], y[i]) for i in order] == sorted(zip(x.tolist(), y.tolist(), strict=True))
 
 
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    passes, ask = [], katz._ask_words
+    monkeypatch.setattr(katz, "_ask_words", lambda *a: passes.append(a) or ask(*a))
+    Katz(spark.createDataFrame(corpus(1, 20, 30), "doc_id long, text string"))
+    assert len(passes) == 1
+
+
+def test_blobs_hold_the_bytes_that_numbers_need():
+    rng = np.random.default_rng(4)
+    for top in (1, 2, 255, 256, 1 << 16, 1 << 40, (1 << 63) - 1):
+        for n in (0, 1, 1000):
+            values = rng.integers(0, top, n, endpoint=True)
+            assert katz.unpack(katz.pack(values)).tolist() == values.tolist()
+        blob = katz.pack(np.r_[values, top])
+        assert blob[0] == -(-top.bit_length() // 8) and len(blob) < 1002 * blob[0] + 30
+
+
+def test_sorted_keys_and_their_places():
+    """With room for the place beside the key, just so, without it, and with negative keys."""
+    rng = np.random.default_rng(5)
+    for n, low, high in ((0, 0, 1), (1, 0, 1), (700, 0, 40), (700, 0, (1 << 53) - 1), (700, 0, 1 << 53), (700, -9, 9)):
+        keys = rng.integers(low, high, n, endpoint=True)
+        keys[-1:] = high
+        found, order = ragged.rising(keys)
+        assert order.tolist() == np.argsort(keys, kind="stable").tolist() and found.tolist() == sorted(keys.tolist())
+        assert np.cumsum(ragged.steps(found)).tolist() == found.tolist()
+
+
 @pytest.mark.parametrize("pair", [("?&6rtcebaaaa385a", "{,!o.jd.$qb_@_@~"), ("aaaaaaaa", "aaaaaaa\x01"), ("\x00", "\x00\x00")])
 def test_words_that_weak_hashes_merge(spark, pair):
     """A held-out text with the word that training texts do not have."""
