@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corrobora.functions import text as T
 from corrobora.operators import quotes
 from corrobora.operators.joins import many_to_one
-from corrobora.tables import written
+from corrobora.tables import discard, written
 
 DOWNGRADED = "downgraded_to_none_no_valid_quote"
 PREFIX = "[Auto-downgraded: no claimed quote was found verbatim in the retrieved evidence.] "
@@ -29,18 +29,19 @@ def verify_quotes(claims: DataFrame, hits: DataFrame, key: str = "outcome_id", b
     quotes' seeds instead, so that none of them is one task's. ``bounded`` says that there are none: hits are a top k.
     """
     score = F.col("score").cast("double") if "score" in hits.columns else F.lit(None).cast("double")
-    shown = T.with_norm(hits.select(key, "rank", "chunk_id", F.col("source_file").alias("hit_source"), "page", score.alias("score"), F.col("text").alias("__norm")), "__norm", "__norm")
+    shown = lambda rows: T.with_norm(rows.select(key, "rank", "chunk_id", F.col("source_file").alias("hit_source"), "page", score.alias("score"), F.col("text").alias("__norm")), "__norm", "__norm")
     asked = T.with_norm(claims, "quote", "__needle")
     ask = asked.where(T.substantive("__needle")).select(key, "pos", "__needle")
     if bounded:
-        first = _first(ask.join(shown, key).where(F.contains("__norm", "__needle")), key)
+        first = _first(ask.join(shown(hits), key).where(F.contains("__norm", "__needle")), key)
     else:
         large = written(ask.groupBy(key).agg(F.countDistinct("__needle").alias("q")).join(hits.groupBy(key).agg(F.count("*").alias("h")), key).where(F.col("q") * F.col("h") > PAIRS).select(key))
         if large.isEmpty():
-            first = _first(ask.join(shown, key).where(F.contains("__norm", "__needle")), key)
+            first = _first(ask.join(shown(hits), key).where(F.contains("__norm", "__needle")), key)
         else:
-            small = ask.join(large, key, "left_anti").join(shown.join(large, key, "left_anti"), key).where(F.contains("__norm", "__needle"))
-            first = _first(small, key).unionByName(_by_seeds(ask.join(large, key, "left_semi"), shown.join(large, key, "left_semi"), key))
+            # Only what a branch meets is normalised for it.
+            small = ask.join(large, key, "left_anti").join(shown(hits.join(large, key, "left_anti")), key).where(F.contains("__norm", "__needle"))
+            first = _first(small, key).unionByName(_by_seeds(ask.join(large, key, "left_semi"), shown(hits.join(large, key, "left_semi")), key))
     out = asked.drop("__needle").join(first, [key, "pos"], "left")
     return out.select(
         *(c for c in claims.columns),
@@ -61,8 +62,9 @@ def _by_seeds(ask: DataFrame, shown: DataFrame, key: str) -> DataFrame:
     """(key, pos, hit) of outcomes with many quotes and hits; equal quotes of an outcome are looked up once."""
     shown = written(shown.withColumn("__h", F.monotonically_increasing_id()))
     needles = written(ask.select(key, "__needle").distinct().withColumn("__q", F.monotonically_increasing_id()))
-    found = quotes.containing(needles.select(F.col("__q").alias("id"), F.col(key).alias("group"), F.col("__needle").alias("text")), shown.select(F.col("__h").alias("id"), F.col(key).alias("group"), F.col("__norm").alias("text")))
-    best = many_to_one(found.withColumnRenamed("text", "__h"), shown.drop("__norm", key), ["__h"]).groupBy(F.col("quote").alias("__q")).agg(F.min_by(F.struct("hit_source", "page", "chunk_id", "score"), "rank").alias("hit"))
+    found = quotes.containing(needles.select(F.col("__q").alias("id"), F.col(key).alias("group"), F.col("__needle").alias("text")), shown.select(F.col("__h").alias("id"), F.col(key).alias("group"), F.col("__norm").alias("text"), "rank"), first=True)
+    best = written(many_to_one(found.withColumnRenamed("text", "__h"), shown.drop("__norm", key), ["__h"]).groupBy(F.col("quote").alias("__q")).agg(F.min_by(F.struct("hit_source", "page", "chunk_id", "score"), "rank").alias("hit")))
+    discard(shown, found)
     return ask.join(needles, [key, "__needle"]).join(best, "__q").select(key, "pos", "hit")
 
 
